@@ -25,92 +25,82 @@ def pairs_from_points(points: Column) -> Column:
     return F.transform(points, lambda p: F.array(p["x"], p["y"]))
 
 
-def bbox(points: Column) -> Column:
-    """Struct ``x0, y0, x1, y1`` around the points; NULL fields when there are none."""
-    xs = F.transform(points, lambda p: p["x"])
-    ys = F.transform(points, lambda p: p["y"])
-    return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"),
-                    F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
-
-
 def outline_stats(points: Column) -> Column:
-    """Box, vertex mean and signed double area from one pass over the vertices; NULL without points."""
+    """Everything a ring needs, from one pass over its vertices: box ``x0, y0, x1, y1``, count ``n``, coordinate sums
+    ``sx, sy``, signed double area ``cross`` and its moments ``mx, my``. NULL without points.
+
+    Store it in a column when several measures are wanted; the functions below take such a column.
+    """
     last = F.element_at(points, -1)
+    zero = F.lit(0.0)
     start = F.struct(F.lit(float("inf")).alias("x0"), F.lit(float("inf")).alias("y0"), F.lit(float("-inf")).alias("x1"),
-                     F.lit(float("-inf")).alias("y1"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy"),
-                     F.lit(0.0).alias("cross"), last["x"].alias("px"), last["y"].alias("py"))
+                     F.lit(float("-inf")).alias("y1"), zero.alias("n"), zero.alias("sx"), zero.alias("sy"),
+                     zero.alias("cross"), zero.alias("mx"), zero.alias("my"), last["x"].alias("px"), last["y"].alias("py"))
 
     def step(acc: Column, p: Column) -> Column:
+        cross = acc["px"] * p["y"] - p["x"] * acc["py"]
         return F.struct(F.least(acc["x0"], p["x"]).alias("x0"), F.least(acc["y0"], p["y"]).alias("y0"),
                         F.greatest(acc["x1"], p["x"]).alias("x1"), F.greatest(acc["y1"], p["y"]).alias("y1"),
-                        (acc["sx"] + p["x"]).alias("sx"), (acc["sy"] + p["y"]).alias("sy"),
-                        (acc["cross"] + acc["px"] * p["y"] - p["x"] * acc["py"]).alias("cross"),
-                        p["x"].alias("px"), p["y"].alias("py"))
+                        (acc["n"] + 1.0).alias("n"), (acc["sx"] + p["x"]).alias("sx"), (acc["sy"] + p["y"]).alias("sy"),
+                        (acc["cross"] + cross).alias("cross"), (acc["mx"] + (acc["px"] + p["x"]) * cross).alias("mx"),
+                        (acc["my"] + (acc["py"] + p["y"]) * cross).alias("my"), p["x"].alias("px"), p["y"].alias("py"))
 
     return F.when(F.size(points) > 0, F.aggregate(points, start, step))
 
 
-def is_rectangle(shape_type: Column) -> Column:
-    return F.lower(F.coalesce(shape_type, F.lit(""))) == "rectangle"
-
-
-def shape_to_points(shape_type: Column, points: Column, min_poly_points: int = 3) -> Column:
-    """Outline of a shape: two rectangle corners become four; NULL when the shape has too few points."""
-    a, b = F.get(points, F.lit(0)), F.get(points, F.lit(1))
-    left, right = F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])
-    top, bottom = F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"])
-    corners = F.array(point(left, top), point(right, top), point(right, bottom), point(left, bottom))
-    rect = is_rectangle(shape_type)
-    return (F.when(rect & (F.size(points) >= 2), corners)
-            .when(~rect & (F.size(points) >= min_poly_points), points))
+def stats_box(s: Column) -> Column:
+    return F.struct(s["x0"].alias("x0"), s["y0"].alias("y0"), s["x1"].alias("x1"), s["y1"].alias("y1"))
 
 
-def _next_points(points: Column) -> Column:
-    """The same ring shifted by one, so that it can be zipped with itself."""
-    return F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
+def stats_area(s: Column) -> Column:
+    """Shoelace area; 0 below three points."""
+    return F.when(s["n"] >= 3, F.lit(0.5) * F.abs(s["cross"])).otherwise(F.lit(0.0))
 
 
-def _cross_terms(points: Column) -> Column:
-    return F.zip_with(
-        points, _next_points(points),
-        lambda p, q: F.struct((p["x"] * q["y"] - q["x"] * p["y"]).alias("c"), (p["x"] + q["x"]).alias("sx"),
-                              (p["y"] + q["y"]).alias("sy")))
+def stats_mean(s: Column) -> Column:
+    """Vertex mean."""
+    return point(s["sx"] / s["n"], s["sy"] / s["n"])
 
 
-def _sum(values: Column, of) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + of(v))
+def stats_centroid(s: Column) -> Column:
+    """Area centroid; vertex mean for degenerate rings; (0, 0) for no points."""
+    flat = (s["n"] < 3) | (F.abs(s["cross"]) < 1e-9)
+    scale = F.when(~flat, 3.0 * s["cross"])
+    zero = F.lit(0.0)
+    return point(F.when(s.isNull(), zero).when(flat, s["sx"] / s["n"]).otherwise(s["mx"] / scale),
+                 F.when(s.isNull(), zero).when(flat, s["sy"] / s["n"]).otherwise(s["my"] / scale))
 
 
-def signed_double_area(points: Column) -> Column:
-    return _sum(_cross_terms(points), lambda t: t["c"])
+def bbox(points: Column) -> Column:
+    """Struct ``x0, y0, x1, y1`` around the points; NULL fields when there are none."""
+    return stats_box(outline_stats(points))
 
 
 def polygon_area(points: Column) -> Column:
-    """Shoelace area; 0 below three points."""
-    return F.when(F.size(points) < 3, F.lit(0.0)).otherwise(F.lit(0.5) * F.abs(signed_double_area(points)))
+    return stats_area(outline_stats(points))
 
 
 def vertex_mean(points: Column) -> Column:
-    n = F.nullif(F.size(points), F.lit(0))
-    return point(_sum(points, lambda p: p["x"]) / n, _sum(points, lambda p: p["y"]) / n)
+    return stats_mean(outline_stats(points))
 
 
 def polygon_centroid(points: Column) -> Column:
-    """Area centroid; vertex mean for degenerate rings; (0, 0) for no points."""
-    twice = signed_double_area(points)
-    terms = _cross_terms(points)
-    weighted = point(_sum(terms, lambda t: t["sx"] * t["c"]) / F.nullif(3.0 * twice, F.lit(0.0)),
-                     _sum(terms, lambda t: t["sy"] * t["c"]) / F.nullif(3.0 * twice, F.lit(0.0)))
-    return (F.when(F.size(points) == 0, point(F.lit(0.0), F.lit(0.0)))
-            .when((F.size(points) < 3) | (F.abs(twice) < 1e-9), vertex_mean(points))
-            .otherwise(weighted))
+    return stats_centroid(outline_stats(points))
 
 
-def shape_area(shape_type: Column, points: Column) -> Column:
-    """Rectangle: area of its box. Anything else: shoelace area."""
-    box = bbox(points)
-    rect_area = F.greatest(box["x1"] - box["x0"], F.lit(0.0)) * F.greatest(box["y1"] - box["y0"], F.lit(0.0))
-    return F.when(is_rectangle(shape_type), rect_area).otherwise(polygon_area(points))
+def is_rectangle(shape_type: Column) -> Column:
+    return F.lower(F.coalesce(shape_type, F.lit(""))) == "rectangle"
+
+
+def shape_to_points(shape_type: Column, points: Column, min_poly_points: int = 3) -> Column:
+    """Outline of a shape: two rectangle corners become four; NULL when the shape has too few points."""
+    a, b = F.get(points, F.lit(0)), F.get(points, F.lit(1))
+    left, right = F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])
+    top, bottom = F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"])
+    corners = F.array(point(left, top), point(right, top), point(right, bottom), point(left, bottom))
+    rect = is_rectangle(shape_type)
+    return (F.when(rect & (F.size(points) >= 2), corners)
+            .when(~rect & (F.size(points) >= min_poly_points), points))
 
 
 def shape_box(points: Column) -> Column:
@@ -119,17 +109,26 @@ def shape_box(points: Column) -> Column:
     return F.when((F.size(points) >= 2) & (box["x1"] > box["x0"]) & (box["y1"] > box["y0"]), box)
 
 
+def corner_box(points: Column) -> Column:
+    """Box between the first two points, in any order; NULL fields with fewer points."""
+    a, b = F.get(points, F.lit(0)), F.get(points, F.lit(1))
+    both = F.size(points) >= 2
+    return F.struct(F.when(both, F.least(a["x"], b["x"])).alias("x0"), F.when(both, F.least(a["y"], b["y"])).alias("y0"),
+                    F.when(both, F.greatest(a["x"], b["x"])).alias("x1"), F.when(both, F.greatest(a["y"], b["y"])).alias("y1"))
+
+
 def rect_prompt(points: Column) -> Column:
     """Box and midpoint of a two-corner rectangle; NULL when it is degenerate."""
-    box = shape_box(F.slice(points, 1, 2))
-    return F.when(box.isNotNull(), F.struct(
+    box = corner_box(points)
+    return F.when((box["x1"] > box["x0"]) & (box["y1"] > box["y0"]), F.struct(
         box.alias("box"), point(F.lit(0.5) * (box["x0"] + box["x1"]), F.lit(0.5) * (box["y0"] + box["y1"])).alias("point")))
 
 
-def shape_prompt_point(shape_type: Column, points: Column) -> Column:
+def shape_prompt_point(shape_type: Column, points: Column, stats: Column | None = None) -> Column:
     """Midpoint of a rectangle, centroid of a polygon, NULL when the shape is not usable."""
+    stats = outline_stats(points) if stats is None else stats
     return (F.when(is_rectangle(shape_type), rect_prompt(points)["point"])
-            .when(F.size(points) >= 3, polygon_centroid(points)))
+            .when(F.size(points) >= 3, stats_centroid(stats)))
 
 
 def box_iou(a: Column, b: Column) -> Column:
@@ -169,19 +168,22 @@ def scale_points(points: Column, sx: Column, sy: Column | None = None) -> Column
     return F.transform(points, lambda p: point(p["x"] * sx, p["y"] * sy))
 
 
-def object_crop_window(points: Column, context_scale: float, tile_size: int) -> Column:
-    """Square crop around an object (it may reach outside the image) and the outline in crop pixels."""
-    box = bbox(points)
+def object_crop_window(box: Column, context_scale: float) -> Column:
+    """Square crop ``x0, y0, side`` around an object; it may reach outside the image."""
     bw = F.greatest(F.lit(1.0), box["x1"] - box["x0"])
     bh = F.greatest(F.lit(1.0), box["y1"] - box["y0"])
     side = F.greatest(F.lit(16), F.ceil(F.greatest(bw, bh) * F.lit(float(context_scale))).cast("int"))
     left = F.rint(F.lit(0.5) * (box["x0"] + box["x1"]) - F.lit(0.5) * side).cast("int")
     top = F.rint(F.lit(0.5) * (box["y0"] + box["y1"]) - F.lit(0.5) * side).cast("int")
-    factor = F.lit(float(tile_size)) / side
+    return F.struct(left.alias("x0"), top.alias("y0"), side.alias("side"))
+
+
+def points_in_crop(points: Column, window: Column, tile_size: int) -> Column:
+    """Outline in the pixels of a crop that was resized to ``tile_size``."""
+    factor = F.lit(float(tile_size)) / window["side"]
     edge = float(tile_size - 1)
-    inside = F.transform(points, lambda p: point(clamp((p["x"] - left) * factor, 0.0, edge),
-                                                 clamp((p["y"] - top) * factor, 0.0, edge)))
-    return F.struct(left.alias("x0"), top.alias("y0"), side.alias("side"), inside.alias("points"))
+    return F.transform(points, lambda p: point(clamp((p["x"] - window["x0"]) * factor, 0.0, edge),
+                                               clamp((p["y"] - window["y0"]) * factor, 0.0, edge)))
 
 
 def object_tile_window(box: Column, width: Column, height: Column, tile_size: int, context_scale: float) -> Column:
@@ -228,17 +230,21 @@ def zoom_candidate_window(box: Column, width: Column, height: Column, tile_size:
         zx1.alias("zx1"), zy1.alias("zy1"), (bw * bh).alias("area")))
 
 
-def normalized_detection(crop_points: Column, crop_w: Column, crop_h: Column) -> Column:
-    """Box ``x, y, w, h`` and outline of an object relative to its crop."""
+def normalized_box(box: Column, crop_w: Column, crop_h: Column) -> Column:
+    """Box of an object as ``x, y, w, h`` relative to its crop."""
     w = F.greatest(F.lit(1), crop_w).cast("double")
     h = F.greatest(F.lit(1), crop_h).cast("double")
-    box = bbox(crop_points)
     bw = F.greatest(F.lit(1.0), box["x1"] - box["x0"])
     bh = F.greatest(F.lit(1.0), box["y1"] - box["y0"])
     return F.struct(
         (F.greatest(F.lit(0.0), box["x0"]) / w).alias("x"), (F.greatest(F.lit(0.0), box["y0"]) / h).alias("y"),
-        (F.least(crop_w.cast("double"), bw) / w).alias("w"), (F.least(crop_h.cast("double"), bh) / h).alias("h"),
-        F.transform(crop_points, lambda p: point(p["x"] / w, p["y"] / h)).alias("outline"))
+        (F.least(crop_w.cast("double"), bw) / w).alias("w"), (F.least(crop_h.cast("double"), bh) / h).alias("h"))
+
+
+def normalized_outline(points: Column, crop_w: Column, crop_h: Column) -> Column:
+    w = F.greatest(F.lit(1), crop_w).cast("double")
+    h = F.greatest(F.lit(1), crop_h).cast("double")
+    return F.transform(points, lambda p: point(p["x"] / w, p["y"] / h))
 
 
 def sigmoid(logit: Column) -> Column:

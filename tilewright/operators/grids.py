@@ -225,8 +225,8 @@ def zoom_scores(polygons: DataFrame, records: DataFrame, tile_size: int,
 
     ``score`` receives the crop windows and returns ``image_id, shape_idx, zoom_logit``.
     """
-    box = G.bbox(F.col("points"))
-    sized = polygons.where(F.size("points") >= 3).join(records.select("image_id", "width", "height"), "image_id")
+    box = F.col("_s")
+    sized = polygons.where(F.size("points") >= 3).withColumn("_s", G.outline_stats(F.col("points"))).join(records.select("image_id", "width", "height"), "image_id")
     windows = (sized.select("image_id", "shape_idx", G.zoom_candidate_window(
         box, F.col("width"), F.col("height"), tile_size).alias("_z")).where(F.col("_z").isNotNull())
         .select("image_id", "shape_idx", "_z.*"))

@@ -37,7 +37,8 @@ def pair_summary(documents: DataFrame, images: DataFrame) -> DataFrame:
 
 def profile_shapes(shapes: DataFrame) -> DataFrame:
     """Per shape: label, type, number of points and extent. ``n_points`` (if present) counts ill-formed points too."""
-    box = G.bbox(F.col("points"))
+    shapes = shapes.withColumn("_s", G.outline_stats(F.col("points")))
+    box = F.col("_s")
     n = F.col("n_points") if "n_points" in shapes.columns else F.size("points")
     return shapes.select("image_id", "shape_idx", "label", "shape_type", n.cast("bigint").alias("num_points"),
                          box["x0"].alias("min_x"), box["x1"].alias("max_x"), box["y0"].alias("min_y"),

@@ -39,15 +39,15 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     if not chunked:
         df = cut_by_range(df, keys, order)
     amount = F.lit(1).cast("bigint") if weight is None else F.col(weight)
-    per_chunk = df.groupBy(*keys, CHUNK).agg(F.sum(amount).alias("_n"))
+    per_chunk = df.groupBy(*keys, CHUNK).agg(F.sum(amount).alias("_in_chunk"))
     before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    per_chunk = per_chunk.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    per_chunk = per_chunk.withColumn("_before", F.coalesce(F.sum("_in_chunk").over(before), F.lit(0)))
     if total is not None:
-        per_chunk = per_chunk.withColumn(total, F.sum("_n").over(W.partitionBy(*keys)))
+        per_chunk = per_chunk.withColumn(total, F.sum("_in_chunk").over(W.partitionBy(*keys)))
     inside = W.partitionBy(*keys, CHUNK).orderBy(*_name(df, order))
     local = F.row_number().over(inside) if weight is None else F.sum(weight).over(
         inside.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return (df.join(per_chunk.drop("_n"), [*keys, CHUNK])
+    return (df.join(per_chunk.drop("_in_chunk"), [*keys, CHUNK])
             .withColumn(name, F.col("_before") + local)
             .drop(CHUNK, "_before"))
 

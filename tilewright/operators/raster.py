@@ -6,39 +6,91 @@ the pixels under the outline give slightly larger masks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tilewright.functions import geometry as G
 
+#: Edge rows handled at once; bounds the memory of a task whatever the polygons look like.
+_EDGE_ROWS = 2_000_000
 
-def _edges(points: Column) -> Column:
-    return F.zip_with(points, G._next_points(points), lambda p, q: F.struct(
-        p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))
+
+def _rows(values: np.ndarray) -> np.ndarray:
+    """First pixel index whose centre is at or beyond each coordinate."""
+    return np.ceil(values - 0.5).astype(np.int64)
+
+
+def _crossings(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spell out index ranges: source index and value of every element of ``[first, last]``."""
+    counts = np.maximum(last - first + 1, 0)
+    src = np.repeat(np.arange(len(first)), counts)
+    start = np.cumsum(counts) - counts
+    return src, first[src] + (np.arange(len(src)) - start[src])
+
+
+def _polygon_spans(offsets, xs, ys, width, height):
+    """Spans of polygons given as flat coordinates: polygon index, row, first and last pixel."""
+    n = np.diff(offsets)
+    poly = np.repeat(np.arange(len(n)), n)
+    nxt = np.arange(len(xs)) + 1
+    nxt[offsets[1:][n > 0] - 1] = offsets[:-1][n > 0]
+    ay, by = ys, ys[nxt]
+    first = np.maximum(_rows(np.minimum(ay, by)), 0)
+    last = np.minimum(_rows(np.maximum(ay, by)) - 1, height[poly] - 1)
+    first = np.where(n[poly] >= 3, first, last + 1)
+    edge, row = _crossings(first, last)
+    mid = row + 0.5
+    x = xs[edge] + (mid - ay[edge]) * (xs[nxt][edge] - xs[edge]) / (by[edge] - ay[edge])
+    order = np.lexsort((x, row, poly[edge]))
+    x, row, owner = x[order], row[order], poly[edge][order]
+    left = np.maximum(_rows(x[0::2]), 0)
+    right = np.minimum(_rows(x[1::2]) - 1, width[owner[0::2]] - 1)
+    keep = left <= right
+    return owner[0::2][keep], row[0::2][keep], left[keep], right[keep]
 
 
 def spans(polygons: DataFrame, keys: Sequence[str], points: str = "points", width: str | int = "width",
           height: str | int = "height") -> DataFrame:
-    """Row spans of each polygon, clipped to the frame. Shapes with fewer than three points give none."""
+    """Row spans of each polygon, clipped to the frame. Shapes with fewer than three points give none.
+
+    Every ring crosses a row of pixel centres an even number of times, so sorted crossings pair up into spans. This
+    runs on whole Arrow batches with numpy, a bounded number of edge rows at a time.
+    """
+    keys = list(keys)
     w = F.col(width) if isinstance(width, str) else F.lit(width)
     h = F.col(height) if isinstance(height, str) else F.lit(height)
-    box = G.bbox(F.col(points))
-    top = F.greatest(F.lit(0), F.ceil(box["y0"] - 0.5).cast("int"))
-    bottom = F.least(h - 1, F.ceil(box["y1"] - 0.5).cast("int") - 1)
-    rows = (polygons.where(F.size(points) >= 3)
-            .select(*keys, _edges(F.col(points)).alias("_e"), w.alias("_w"), top.alias("_t"), bottom.alias("_b"))
-            .where(F.col("_t") <= F.col("_b"))
-            .select(*keys, "_e", "_w", F.explode(F.sequence("_t", "_b")).alias("y")))
-    mid = F.col("y") + F.lit(0.5)
-    hit = F.filter(F.col("_e"), lambda e: (e["ay"] <= mid) != (e["by"] <= mid))
-    xs = F.array_sort(F.transform(hit, lambda e: e["ax"] + (mid - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"])))
-    crossed = rows.select(*keys, "_w", "y", xs.alias("_x")).where(F.size("_x") >= 2)
-    pairs = F.transform(F.sequence(F.lit(0), F.expr("size(_x) div 2") - 1), lambda i: F.struct(
-        F.greatest(F.lit(0), F.ceil(F.get(F.col("_x"), i * 2) - 0.5).cast("int")).alias("xs"),
-        F.least(F.col("_w") - 1, F.ceil(F.get(F.col("_x"), i * 2 + 1) - 0.5).cast("int") - 1).alias("xe")))
-    return (crossed.select(*keys, "y", F.explode(pairs).alias("_s")).select(*keys, "y", "_s.xs", "_s.xe")
-            .where(F.col("xs") <= F.col("xe")))
+    flat = polygons.select(*keys, F.transform(points, lambda p: p["x"]).alias("_xs"),
+                           F.transform(points, lambda p: p["y"]).alias("_ys"), w.cast("bigint").alias("_w"),
+                           h.cast("bigint").alias("_h"))
+    out = T.StructType([flat.schema[k] for k in keys]
+                       + [T.StructField(c, T.IntegerType()) for c in ("y", "xs", "xe")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            col = {name: i for i, name in enumerate(whole.schema.names)}
+            if not whole.num_rows:
+                continue
+            vertices = np.diff(whole.column(col["_xs"]).offsets.to_numpy()).astype(np.int64)
+            load = np.cumsum(vertices * whole.column(col["_h"]).to_numpy()) // _EDGE_ROWS
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(load)) + 1, [whole.num_rows]])
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                part = whole.slice(lo, hi - lo)
+                xcol, ycol = part.column(col["_xs"]), part.column(col["_ys"])
+                offsets = xcol.offsets.to_numpy()
+                base = offsets[0]
+                owner, row, left, right = _polygon_spans(
+                    offsets.astype(np.int64) - base, xcol.flatten().to_numpy(zero_copy_only=False),
+                    ycol.flatten().to_numpy(zero_copy_only=False), part.column(col["_w"]).to_numpy(),
+                    part.column(col["_h"]).to_numpy())
+                take = pa.array(owner)
+                arrays = [part.column(col[k]).take(take) for k in keys]
+                arrays += [pa.array(v.astype(np.int32)) for v in (row, left, right)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "y", "xs", "xe"])
+
+    return flat.where(F.size("_xs") >= 3).mapInArrow(run, out)
 
 
 def box_spans(boxes: DataFrame, keys: Sequence[str], width: str = "width", height: str = "height") -> DataFrame:

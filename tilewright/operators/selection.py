@@ -46,7 +46,7 @@ def objects_from_shapes(shapes: DataFrame, target: str, fp_label: str | None = N
     kept = named.where(wanted_here & F.when(rect, n >= 2).otherwise(n >= min_poly_points))
     stats = kept.withColumn("_s", G.outline_stats(F.col("points")))
     w, h = F.col("_s.x1") - F.col("_s.x0"), F.col("_s.y1") - F.col("_s.y0")
-    area = F.when(rect, w * h).when(n >= 3, F.lit(0.5) * F.abs(F.col("_s.cross"))).otherwise(F.lit(0.0))
+    area = F.when(rect, w * h).otherwise(G.stats_area(F.col("_s")))
     out = stats.select("image_id", "shape_idx", "label_cf", (F.col("label_cf") != wanted).alias("is_fp"), "shape_type",
                        "points", "_s.x0", "_s.y0", "_s.x1", "_s.y1", (F.col("_s.sx") / n).alias("cx"),
                        (F.col("_s.sy") / n).alias("cy"), area.alias("area"))

@@ -276,17 +276,18 @@ def batch_prompts(shapes: DataFrame, records: DataFrame, mode: str = "bbox", bat
     One row per prompt with its ``slot``. Within a batch every record gets as many slots as the fullest one, filled
     with its last prompt; ``repeat`` on that row counts the slots it stands for, so nothing is spelled out.
     """
+    rect = G.is_rectangle(F.col("shape_type"))
+    none = F.lit(None).cast("double")
     if mode == "bbox":
-        prompt = F.when(G.is_rectangle(F.col("shape_type")), G.rect_prompt(F.col("points"))["box"])
-        rows = shapes.select("image_id", "shape_idx", prompt.alias("_p")).where(F.col("_p").isNotNull())
-        rows = rows.select("image_id", "shape_idx", F.col("_p.x0").alias("px0"), F.col("_p.y0").alias("py0"),
-                           F.col("_p.x1").alias("px1"), F.col("_p.y1").alias("py1"))
+        box = G.corner_box(F.col("points"))
+        rows = (shapes.where(rect).select("image_id", "shape_idx", box["x0"].alias("px0"), box["y0"].alias("py0"),
+                                          box["x1"].alias("px1"), box["y1"].alias("py1"))
+                .where((F.col("px1") > F.col("px0")) & (F.col("py1") > F.col("py0"))))
     elif mode == "point":
-        prompt = F.when(~(G.is_rectangle(F.col("shape_type")) & (F.size("points") >= 2)),
-                        G.shape_prompt_point(F.col("shape_type"), F.col("points")))
-        rows = shapes.select("image_id", "shape_idx", prompt.alias("_p")).where(F.col("_p").isNotNull())
-        rows = rows.select("image_id", "shape_idx", F.col("_p.x").alias("px0"), F.col("_p.y").alias("py0"),
-                           F.lit(None).cast("double").alias("px1"), F.lit(None).cast("double").alias("py1"))
+        stats = shapes.where(~rect & (F.size("points") >= 3)).select("image_id", "shape_idx", G.outline_stats(F.col("points")).alias("_s"))
+        centre = G.stats_centroid(F.col("_s"))
+        rows = stats.select("image_id", "shape_idx", centre["x"].alias("px0"), centre["y"].alias("py0"),
+                            none.alias("px1"), none.alias("py1"))
     else:
         raise ValueError(mode)
     batches = (number_rows(records.select("image_id"), [], ["image_id"], "_rank")

@@ -38,12 +38,15 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item: image, shape key, label, type and a box."""
     digest = f"conv(substring(md5(cast({_KEY.format(s='string')} as binary)), 1, 13), 16, 10)"
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    columns = [
         "l_orderkey as image_id", f"cast({digest} as bigint) as shape_idx",
         "case l_returnflag when 'A' then 'vehicle' when 'N' then ' Vehicle ' else 'fp' end as label",
         "case l_linestatus when 'F' then 'rectangle' else 'polygon' end as shape_type",
-        *[line.strip().rstrip(",") for line in _BOX.strip().splitlines()],
-        "l_partkey", "l_suppkey", "l_linenumber")
+        *[line.strip().rstrip(",") for line in _BOX.strip().splitlines()], "l_partkey", "l_suppkey", "l_linenumber"]
+    # The one-element explode keeps the optimizer from copying these expressions into every later use of a coordinate,
+    # which a stored table would not do either.
+    row = F.explode(F.array(F.struct(*[F.expr(c) for c in columns]))).alias("b")
+    return table(spark, sf_dir, "lineitem").select(row).select("b.*")
 
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +147,33 @@ SQL = {
     "objects": """objects as (select image_id, shape_idx, lower(trim(label)) as label_cf, lower(trim(label)) = 'fp' as is_fp,
         shape_type, bx as x0, by_ as y0, bx + bw as x1, by_ + bh as y1, bx + bw / 2 as cx, by_ + bh / 2 as cy,
         case when shape_type = 'rectangle' then bw * bh else bw * bh / 2 end as area, l_partkey from boxes)""",
+    # outline edges, pixel-row spans (centre rule) of the convex outlines, clipped to the image
+    "spans": """outline as (select *, bx + bw as x1, by_ + bh as y1, bx + bw / 2 as mx, by_ + bh / 2 as my,
+          shape_type = 'rectangle' as r from boxes),
+        edges as (
+          select image_id, shape_idx, case when r then bx else mx end as ax, by_ as ay, x1 as ex, case when r then by_ else my end as ey from outline
+          union all select image_id, shape_idx, x1, case when r then by_ else my end, case when r then x1 else mx end, y1 from outline
+          union all select image_id, shape_idx, case when r then x1 else mx end, y1, bx, case when r then y1 else my end from outline
+          union all select image_id, shape_idx, bx, case when r then y1 else my end, case when r then bx else mx end, by_ from outline),
+        edge_rows as (select *, unnest(range(floor(least(ay, ey))::int, ceil(greatest(ay, ey))::int + 1)) as y from edges),
+        crossings as (select image_id, shape_idx, y, ax + (y + 0.5 - ay) * (ex - ax) / (ey - ay) as x from edge_rows
+          where (ay <= y + 0.5) <> (ey <= y + 0.5)),
+        raw_spans as (select image_id, shape_idx, y, greatest(0, ceil(min(x) - 0.5)::int) as xs, ceil(max(x) - 0.5)::int - 1 as xe
+          from crossings group by all),
+        spans as (select s.image_id, shape_idx, y, xs, least(xe, width - 1) as xe, width, height from raw_spans s
+          join records using (image_id) where y >= 0 and y < height and xs <= least(xe, width - 1))""",
+    "tiles": """cfg(ts, st) as (values (224, 112), (336, 168)),
+        tx as (select distinct image_id, ts, x0 from (
+          select image_id, ts, unnest(range(0, greatest(width - ts, 0) + 1, st)) as x0 from records, cfg
+          union all select image_id, ts, greatest(width - ts, 0) from records, cfg)),
+        ty as (select distinct image_id, ts, y0 from (
+          select image_id, ts, unnest(range(0, greatest(height - ts, 0) + 1, st)) as y0 from records, cfg
+          union all select image_id, ts, greatest(height - ts, 0) from records, cfg)),
+        tiles as (select image_id, ts as src_tile_size, x0, y0 from tx join ty using (image_id, ts))""",
+    "tile_index": """tile_index as (select t.image_id, t.src_tile_size, t.x0, t.y0,
+          count(*) filter (not o.is_fp) as n_pos, count(*) filter (o.is_fp) as n_fp
+        from tiles t left join objects o on o.image_id = t.image_id and o.x0 >= t.x0 and o.y0 >= t.y0
+          and o.x1 <= t.x0 + t.src_tile_size and o.y1 <= t.y0 + t.src_tile_size group by all)""",
     "stems": """docs as (select 'img_' || lpad(cast(o_orderkey as varchar), 10, '0') as stem from orders),
         imgs as (select distinct * from (
           select 'img_' || lpad(cast(l_orderkey as varchar), 10, '0') as stem,

@@ -17,10 +17,10 @@ def _r(col, name):
 
 def polygon_geometry(spark, d):
     s = X.shapes(spark, d).withColumn("o", G.shape_to_points(F.col("shape_type"), F.col("points")))
-    s = s.withColumns({"b": G.bbox(F.col("o")), "c": G.polygon_centroid(F.col("o")), "m": G.vertex_mean(F.col("o"))})
-    return s.select("image_id", "shape_idx", F.size("o").cast("bigint").alias("n"), "b.x0", "b.y0", "b.x1", "b.y1",
-                    _r(G.polygon_area(F.col("o")), "area"), _r(F.col("c.x"), "cx"), _r(F.col("c.y"), "cy"),
-                    _r(F.col("m.x"), "mx"), _r(F.col("m.y"), "my"))
+    s = s.select("image_id", "shape_idx", G.outline_stats(F.col("o")).alias("s"))
+    c, m = G.stats_centroid(F.col("s")), G.stats_mean(F.col("s"))
+    return s.select("image_id", "shape_idx", F.col("s.n").cast("bigint").alias("n"), "s.x0", "s.y0", "s.x1", "s.y1",
+                    _r(G.stats_area(F.col("s")), "area"), _r(c["x"], "cx"), _r(c["y"], "cy"), _r(m["x"], "mx"), _r(m["y"], "my"))
 
 
 QUERIES["polygon_geometry"] = polygon_geometry
@@ -48,10 +48,10 @@ select image_id, shape_idx, label_cf, is_fp, shape_type, x0, y0, x1, y1, round(c
 
 
 def shape_prompts(spark, d):
-    s = X.shapes(spark, d)
+    s = X.shapes(spark, d).withColumn("st", G.outline_stats(F.col("points")))
     box = G.rect_prompt(F.col("points"))["box"]
     return s.select("image_id", "shape_idx", F.when(G.is_rectangle(F.col("shape_type")), box).alias("b"),
-                    G.shape_prompt_point(F.col("shape_type"), F.col("points")).alias("p")).select(
+                    G.shape_prompt_point(F.col("shape_type"), F.col("points"), F.col("st")).alias("p")).select(
         "image_id", "shape_idx", "b.x0", "b.y0", "b.x1", "b.y1", _r(F.col("p.x"), "px"), _r(F.col("p.y"), "py"))
 
 
@@ -86,10 +86,11 @@ def object_crops(spark, d):
     o = o.withColumn("o", F.when(F.col("shape_type") == "rectangle", F.array(
         G.point(F.col("x0"), F.col("y0")), G.point(F.col("x1"), F.col("y0")), G.point(F.col("x1"), F.col("y1")),
         G.point(F.col("x0"), F.col("y1")))).otherwise(F.col("points")))
-    o = o.withColumns({"c": G.object_crop_window(F.col("o"), 1.6, 224), "t": G.object_tile_window(box, w, h, 96, 2.0),
+    o = o.withColumns({"c": G.object_crop_window(box, 1.6), "t": G.object_tile_window(box, w, h, 96, 2.0),
                        "z": G.zoom_candidate_window(box, w, h, 224)})
     o = o.withColumns({"p": G.crop_pad_rect(F.col("c.x0"), F.col("c.y0"), F.col("c.side"), w, h),
-                       "n": G.normalized_detection(F.col("c.points"), F.lit(224), F.lit(224))})
+                       "l": G.outline_stats(G.points_in_crop(F.col("o"), F.col("c"), 224))})
+    o = o.withColumn("n", G.normalized_box(F.col("l"), F.lit(224), F.lit(224)))
     return o.select(
         "image_id", "shape_idx", F.col("c.x0").alias("crop_x0"), F.col("c.y0").alias("crop_y0"), F.col("c.side").alias("side"),
         "p.sx0", "p.sy0", "p.sx1", "p.sy1", "p.ox", "p.oy", F.col("t.x0").alias("tx0"), F.col("t.y0").alias("ty0"),

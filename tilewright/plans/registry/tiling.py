@@ -1 +1,240 @@
+"""Tiles, tile–object joins, balancing, mining, prompts."""
+
+from pyspark.sql import functions as F
+
+from tilewright.operators import raster as RA
+from tilewright.operators import tiling as T
+from tilewright.plans import fixtures as X
+from tilewright.plans.registry.shapes import objects
+
 QUERIES, ORACLES = {}, {}
+CONFIGS = T.tile_configs(224, 112, "1.0,1.5")
+WIDE = T.tile_configs(448, 448)
+R = 6
+
+
+def _per_image(tiles):
+    mark = F.col("x0") * 3 + F.col("y0") * 5
+    return tiles.groupBy("image_id", "src_tile_size").agg(
+        F.count(F.lit(1)).alias("n_tiles"), F.sum(mark).alias("marks"), F.count_if(F.col("n_pos") > 0).alias("n_object"),
+        F.count_if(F.col("n_fp") > 0).alias("n_with_fp"), F.sum(mark * F.col("n_pos")).alias("pos_marks"),
+        F.sum(mark * F.col("n_fp")).alias("fp_marks"))
+
+
+_PER_IMAGE = """
+select image_id, src_tile_size, count(*) as n_tiles, sum(x0 * 3 + y0 * 5)::bigint as marks, count(*) filter (n_pos > 0) as n_object,
+  count(*) filter (n_fp > 0) as n_with_fp, sum((x0 * 3 + y0 * 5) * n_pos)::bigint as pos_marks,
+  sum((x0 * 3 + y0 * 5) * n_fp)::bigint as fp_marks from tile_index group by 1, 2"""
+
+QUERIES["tile_origins"] = lambda s, d: T.tile_origins(X.records(s, d), CONFIGS).groupBy("image_id", "src_tile_size").agg(
+    F.count(F.lit(1)).alias("n_tiles"), F.sum(F.col("x0") * 3 + F.col("y0") * 5).alias("marks"))
+ORACLES["tile_origins"] = X.with_sql("records", "tiles") + """
+select image_id, src_tile_size, count(*) as n_tiles, sum(x0 * 3 + y0 * 5)::bigint as marks from tiles group by 1, 2"""
+
+
+def index(s, d, mode="contained", configs=CONFIGS):
+    return T.build_tile_index(X.records(s, d), objects(s, d), configs, mode)
+
+
+QUERIES["tile_index"] = lambda s, d: _per_image(index(s, d))
+ORACLES["tile_index"] = X.with_sql("records", "boxes", "objects", "tiles", "tile_index") + _PER_IMAGE
+
+QUERIES["tile_index_intersects"] = lambda s, d: _per_image(index(s, d, "intersects"))
+ORACLES["tile_index_intersects"] = X.with_sql("records", "boxes", "objects", "tiles") + """,
+tile_index as (select t.image_id, t.src_tile_size, t.x0, t.y0, count(*) filter (not o.is_fp) as n_pos, count(*) filter (o.is_fp) as n_fp
+  from tiles t left join objects o on o.image_id = t.image_id and not (o.x1 < t.x0 or o.x0 > t.x0 + t.src_tile_size
+    or o.y1 < t.y0 or o.y0 > t.y0 + t.src_tile_size) group by all)""" + _PER_IMAGE
+
+
+def tile_geometry(s, d):
+    pairs = T.to_scale(T.to_local(T.tile_objects(X.records(s, d), objects(s, d), CONFIGS)), 224)
+    first = F.element_at("points", 1)
+    return pairs.groupBy("image_id", "shape_idx").agg(
+        F.count(F.lit(1)).alias("n_tiles"), F.round(F.sum("bx0") + 1e-9, 5).alias("sx0"), F.round(F.sum("by1") + 1e-9, 5).alias("sy1"),
+        F.round(F.sum(first["x"] + first["y"]) + 1e-9, 5).alias("first_point"))
+
+
+QUERIES["tile_geometry"] = tile_geometry
+ORACLES["tile_geometry"] = X.with_sql("records", "boxes", "objects", "tiles") + """,
+p as (select o.*, t.src_tile_size as ts, t.x0 as tx, t.y0 as ty, 224.0::double / t.src_tile_size as f,
+    case when shape_type = 'rectangle' and l_partkey % 2 = 0 then o.x1 + o.y1 when shape_type = 'rectangle' then o.x0 + o.y0
+      else o.cx + o.y0 end as first_xy
+  from tiles t join objects o on o.image_id = t.image_id and o.x0 >= t.x0 and o.y0 >= t.y0
+    and o.x1 <= t.x0 + t.src_tile_size and o.y1 <= t.y0 + t.src_tile_size)
+select image_id, shape_idx, count(*) as n_tiles, round(sum((x0 - tx) * f) + 1e-9::double, 5) as sx0, round(sum((y1 - ty) * f) + 1e-9::double, 5) as sy1,
+  round(sum((first_xy - tx - ty) * f) + 1e-9::double, 5) as first_point from p group by 1, 2"""
+
+
+def _draws(chosen):
+    return chosen.groupBy("image_id", "draw").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("x0") * 3 + F.col("y0") * 5 + F.col("src_tile_size")).alias("marks"))
+
+
+_KEY_SQL = "cast(image_id as varchar), ':', cast(src_tile_size as varchar), ':', cast(x0 as varchar), ':', cast(y0 as varchar)"
+_ORDER = "image_id, src_tile_size, x0, y0"
+QUERIES["balanced_tiles"] = lambda s, d: _draws(T.balance_tiles(index(s, d), 0.5, 42))
+ORACLES["balanced_tiles"] = X.with_sql("records", "boxes", "objects", "tiles", "tile_index") + f""",
+k as (select *, case when n_pos > 0 then 'pos' when n_fp > 0 then 'fp_neg' else 'pure_neg' end as draw from tile_index),
+r as (select *, row_number() over (partition by draw order by md5(concat('42:', {_KEY_SQL})), {_ORDER}) as rn from k),
+c as (select count(*) filter (draw = 'pos') as p, count(*) filter (draw <> 'pos') as g, count(*) filter (draw = 'fp_neg') as f,
+  count(*) filter (draw = 'pure_neg') as u from k),
+q as (select least(p, g) as n, least(f, round_even(least(p, g) * 0.5, 0)::bigint) as nf, u from c),
+chosen as (select r.*, q.* from r, q where (draw = 'pos' and rn <= n) or (draw = 'fp_neg' and rn <= nf) or (draw = 'pure_neg' and rn <= least(u, n - nf))),
+extra as (select k.*, row_number() over (order by md5(concat('42:fill:', {_KEY_SQL})), {_ORDER}) as rn from k where draw <> 'pos'),
+al as (select image_id, src_tile_size, x0, y0, draw from chosen
+  union all select image_id, src_tile_size, x0, y0, 'fill' from extra, q where rn <= n - nf - least(u, n - nf))
+select image_id, draw, count(*) as n, sum(x0 * 3 + y0 * 5 + src_tile_size)::bigint as marks from al group by 1, 2"""
+
+QUERIES["balanced_simple"] = lambda s, d: _draws(T.balance_simple(index(s, d, "intersects", WIDE), 7))
+ORACLES["balanced_simple"] = X.with_sql("records", "boxes", "objects", "tiles").replace(
+    "(values (224, 112), (336, 168))", "(values (448, 448))") + f""",
+k as (select t.image_id, t.src_tile_size, t.x0, t.y0, case when count(*) filter (not o.is_fp) > 0 then 'pos' else 'pure_neg' end as draw
+  from tiles t left join objects o on o.image_id = t.image_id and not (o.x1 < t.x0 or o.x0 > t.x0 + t.src_tile_size
+    or o.y1 < t.y0 or o.y0 > t.y0 + t.src_tile_size) group by all),
+r as (select *, row_number() over (partition by draw order by md5(concat('7:', {_KEY_SQL})), {_ORDER}) as rn from k),
+q as (select least(count(*) filter (draw = 'pos'), count(*) filter (draw <> 'pos')) as m from k)
+select image_id, draw, count(*) as n, sum(x0 * 3 + y0 * 5 + src_tile_size)::bigint as marks from r, q where rn <= m group by 1, 2"""
+
+QUERIES["split_records"] = lambda s, d: T.split_records(X.records(s, d), 0.95, 42).select("image_id", "split")
+ORACLES["split_records"] = X.with_sql("records") + """
+select image_id, case when row_number() over (order by md5(concat('42:', cast(image_id as varchar))), image_id)
+  <= floor(count(*) over () * 0.95) then 'train' else 'val' end as split from records"""
+
+QUERIES["split_records_in_order"] = lambda s, d: T.split_records(X.records(s, d), 0.9, None).groupBy("split").agg(
+    F.count(F.lit(1)).alias("n"), F.min("image_id").alias("first"), F.max("image_id").alias("last"))
+ORACLES["split_records_in_order"] = X.with_sql("records") + """,
+k as (select image_id, case when row_number() over (order by image_id) <= floor(count(*) over () * 0.9) then 'train' else 'val' end as split from records)
+select split, count(*) as n, min(image_id) as "first", max(image_id) as "last" from k group by 1"""
+
+QUERIES["subset_tiles"] = lambda s, d: T.subset_tiles(T.tile_origins(X.records(s, d), CONFIGS), 12000, 5).select(
+    "image_id", "src_tile_size", "x0", "y0")
+ORACLES["subset_tiles"] = X.with_sql("records", "tiles") + f"""
+select image_id, src_tile_size, x0, y0 from tiles order by md5(concat('5:', {_KEY_SQL})), {_ORDER} limit 12000"""
+
+
+def _scores(tiles):
+    return tiles.select(*T.TILE_KEY, (F.pmod(F.col("x0") * 7 + F.col("y0") * 13 + F.col("image_id") * 5, F.lit(1000)) / 1000.0).alias("score"))
+
+
+def hard_negatives(s, d):
+    tiles = index(s, d)
+    mined = T.mine_hard_negatives(tiles, _scores(tiles), T.TILE_KEY, epoch=3, seed=42, hard_ratio=0.5, pool_fraction=0.2)
+    return _draws(mined)
+
+
+QUERIES["hard_negatives"] = hard_negatives
+ORACLES["hard_negatives"] = X.with_sql("records", "boxes", "objects", "tiles", "tile_index") + f""",
+neg as (select *, ((x0 * 7 + y0 * 13 + image_id * 5) % 1000) / 1000.0::double as score from tile_index where n_pos = 0),
+q as (select (select count(*) from tile_index where n_pos > 0) as p, (select count(*) from neg) as g),
+pool as (select neg.*, case when row_number() over (order by score desc, {_ORDER}) <= greatest(1, floor(g * 0.2::double)) then 'hard' else 'rest' end as draw from neg, q),
+r as (select *, row_number() over (partition by draw order by md5(concat('42:3:', {_KEY_SQL})), {_ORDER}) as rn from pool),
+l as (select p, g, least(greatest(1, floor(g * 0.2::double)), floor(p * 0.5)) as h, g - greatest(1, floor(g * 0.2::double)) as outside from q),
+l2 as (select *, least(outside, p - h) as t from l),
+extra as (select neg.*, row_number() over (order by md5(concat('42:3:fill:', {_KEY_SQL})), {_ORDER}) as rn from neg),
+al as (select image_id, x0, y0, src_tile_size, 'pos' as draw from tile_index where n_pos > 0
+  union all select image_id, x0, y0, src_tile_size, draw from r, l2 where (draw = 'hard' and rn <= h) or (draw = 'rest' and rn <= t)
+  union all select image_id, x0, y0, src_tile_size, 'fill' from extra, l2,
+    lateral (select unnest(range(0, ((p - h - t) // g + case when rn <= (p - h - t) % g then 1 else 0 end)::bigint)) as c))
+select image_id, draw, count(*) as n, sum(x0 * 3 + y0 * 5 + src_tile_size)::bigint as marks from al group by 1, 2"""
+
+
+def hard_score_update(s, d):
+    tiles = index(s, d, configs=WIDE)
+    old = _scores(tiles)
+    new = tiles.select(*T.TILE_KEY, (F.pmod(F.col("x0") * 11 + F.col("y0") * 3 + F.col("image_id") * 9, F.lit(1000)) / 1000.0).alias("score"))
+    return T.update_hard_scores(old, new, tiles, T.TILE_KEY)
+
+
+QUERIES["hard_score_update"] = hard_score_update
+ORACLES["hard_score_update"] = X.with_sql("records", "boxes", "objects", "tiles", "tile_index").replace(
+    "(values (224, 112), (336, 168))", "(values (448, 448))") + """
+select image_id, src_tile_size, x0, y0, greatest(((x0 * 7 + y0 * 13 + image_id * 5) % 1000) / 1000.0::double,
+  ((x0 * 11 + y0 * 3 + image_id * 9) % 1000) / 1000.0::double) as score from tile_index where n_pos = 0"""
+
+
+def zoom_roi(s, d):
+    rec, obj = X.records(s, d), objects(s, d)
+    scaled = T.to_scale(T.to_local(T.tile_objects(rec, obj, WIDE)), 224)
+    roi = T.zoom_roi(T.tile_origins(rec, WIDE), scaled, 224, 42)
+    return roi.select(*T.TILE_KEY, "zoom_target", "zoom_source", *[F.round(c, 5).alias(c) for c in ("zx0", "zy0", "zx1", "zy1")])
+
+
+_U = "('0x' || substr(h, {0}, 8))::bigint / 4294967296.0::double"
+QUERIES["zoom_roi"] = zoom_roi
+ORACLES["zoom_roi"] = X.with_sql("records", "boxes", "objects", "tiles").replace(
+    "(values (224, 112), (336, 168))", "(values (448, 448))") + f""",
+best as (select t.*, o.is_fp, (o.x0 - t.x0) / 2 as bx0, (o.y0 - t.y0) / 2 as by0, (o.x1 - t.x0) / 2 as bx1, (o.y1 - t.y0) / 2 as by1
+  from tiles t join objects o on o.image_id = t.image_id and o.x0 >= t.x0 and o.y0 >= t.y0
+    and o.x1 <= t.x0 + t.src_tile_size and o.y1 <= t.y0 + t.src_tile_size
+  qualify row_number() over (partition by t.image_id, t.src_tile_size, t.x0, t.y0 order by o.is_fp, (bx1 - bx0) * (by1 - by0) desc, shape_idx) = 1),
+j as (select t.*, is_fp, bx0, by0, bx1, by1, md5(concat('42:', cast(t.image_id as varchar), ':', cast(t.src_tile_size as varchar), ':', cast(t.x0 as varchar), ':', cast(t.y0 as varchar))) as h
+  from tiles t left join best b using (image_id, src_tile_size, x0, y0)),
+w as (select *, case when is_fp is not null then greatest(10, (bx1 - bx0) * 1.8) else 40.32 + {_U.format(1)} * 60.48 end as w,
+  case when is_fp is not null then greatest(10, (by1 - by0) * 1.8) else 40.32 + {_U.format(9)} * 60.48 end as hh from j),
+c as (select *, case when is_fp is not null then (bx0 + bx1) / 2 else w / 2 + {_U.format(17)} * (224 - w) end as cx,
+  case when is_fp is not null then (by0 + by1) / 2 else hh / 2 + {_U.format(25)} * (224 - hh) end as cy from w),
+z as (select *, greatest(0, cx - w / 2) as zx0, greatest(0, cy - hh / 2) as zy0, least(224, cx + w / 2) as zx1, least(224, cy + hh / 2) as zy1 from c)
+select image_id, src_tile_size, x0, y0, (case when is_fp = false then 1.0 else 0.0 end)::double as zoom_target,
+  case when is_fp is null then 'random' when is_fp then 'fp' else 'pos' end as zoom_source,
+  round(zx0, 5) as zx0, round(zy0, 5) as zy0, round(case when zx1 <= zx0 then least(224, zx0 + 2) else zx1 end, 5) as zx1,
+  round(case when zy1 <= zy0 then least(224, zy0 + 2) else zy1 end, 5) as zy1 from z"""
+
+
+def _prompts(mode):
+    def run(s, d):
+        p = T.batch_prompts(X.shapes(s, d), X.records(s, d), mode, 4)
+        return p.select("batch", "image_id", "shape_idx", "slot", "repeat", "max_prompts", F.round("px0", 4).alias("px0"),
+                        F.round("py0", 4).alias("py0"))
+    return run
+
+
+for _mode, _where, _x, _y in (("bbox", "shape_type = 'rectangle'", "bx", "by_"), ("point", "shape_type <> 'rectangle'", "bx + bw / 2", "by_ + bh / 2")):
+    QUERIES[f"prompt_batches_{_mode}"] = _prompts(_mode)
+    ORACLES[f"prompt_batches_{_mode}"] = X.with_sql("records", "boxes") + f""",
+b as (select image_id, (row_number() over (order by image_id) - 1) // 4 as batch from records),
+p as (select batch, image_id, shape_idx, row_number() over (partition by image_id order by shape_idx) - 1 as slot,
+  count(*) over (partition by image_id) as n, round({_x}, 4) as px0, round({_y}, 4) as py0 from boxes join b using (image_id) where {_where})
+select batch, image_id, shape_idx, slot, case when slot = n - 1 then max(n) over (partition by batch) - n + 1 else 1 end as repeat,
+  max(n) over (partition by batch) as max_prompts, px0, py0 from p"""
+
+
+def raster_cells(s, d):
+    o = X.shapes(s, d).join(X.records(s, d), "image_id")
+    from tilewright.functions import geometry as G
+    o = o.withColumn("points", G.shape_to_points(F.col("shape_type"), F.col("points")))
+    rows = RA.spans(o, ["image_id", "shape_idx"])
+    n = F.col("xe") - F.col("xs") + 1
+    return rows.groupBy("image_id", "shape_idx").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(n).alias("n_pixels"), F.sum(F.col("y") * n).alias("sum_y"),
+        F.sum(F.col("xs") * 3 + F.col("xe") * 5).alias("marks"))
+
+
+QUERIES["raster_cells"] = raster_cells
+ORACLES["raster_cells"] = X.with_sql("records", "boxes", "spans") + """
+select image_id, shape_idx, count(*) as n_rows, sum(xe - xs + 1)::bigint as n_pixels, sum(y * (xe - xs + 1))::bigint as sum_y,
+  sum(xs * 3 + xe * 5)::bigint as marks from spans group by 1, 2"""
+
+
+def _targets(mode):
+    def run(s, d):
+        scaled = T.to_scale(T.to_local(T.tile_objects(X.records(s, d), objects(s, d), WIDE)), 448)
+        cells = RA.seg_target_cells(scaled, 448, 8, mode)
+        return cells.groupBy("image_id", "src_tile_size", "x0", "y0", "is_fp").agg(
+            F.count(F.lit(1)).alias("n_cells"), F.sum(F.col("gy") * 3 + F.col("gx") * 5).alias("marks"))
+    return run
+
+
+_TARGET = X.with_sql("records", "boxes", "objects", "spans", "tiles").replace("(values (224, 112), (336, 168))", "(values (448, 448))") + """,
+local as (select t.image_id, t.src_tile_size, t.x0, t.y0, o.is_fp, o.shape_type, s.y - t.y0 as y, s.xs - t.x0 as xs, s.xe - t.x0 as xe
+  from tiles t join objects o on o.image_id = t.image_id and o.x0 >= t.x0 and o.y0 >= t.y0
+    and o.x1 <= t.x0 + t.src_tile_size and o.y1 <= t.y0 + t.src_tile_size
+  join spans s on s.image_id = o.image_id and s.shape_idx = o.shape_idx)"""
+QUERIES["seg_target_cells"] = _targets("pooled")
+ORACLES["seg_target_cells"] = _TARGET + """,
+cells as (select distinct image_id, src_tile_size, x0, y0, is_fp, y // 8 as gy, unnest(range(xs // 8, xe // 8 + 1)) as gx from local)
+select image_id, src_tile_size, x0, y0, is_fp, count(*) as n_cells, sum(gy * 3 + gx * 5)::bigint as marks from cells group by all"""
+QUERIES["seg_target_cells_nearest"] = _targets("nearest")
+ORACLES["seg_target_cells_nearest"] = _TARGET + """,
+px as (select *, unnest(range(xs, xe + 1)) as x from local where y % 8 = 0 and shape_type <> 'rectangle'),
+cells as (select distinct image_id, src_tile_size, x0, y0, is_fp, y // 8 as gy, x // 8 as gx from px where x % 8 = 0)
+select image_id, src_tile_size, x0, y0, is_fp, count(*) as n_cells, sum(gy * 3 + gx * 5)::bigint as marks from cells group by all"""
