@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tilewright.functions import geometry as G
 from tilewright.functions.labels import fold, normalize_label
 from tilewright.operators.ranking import exact_quantiles, seeded_sample
+from tilewright.session import pin
 
 
 def pair_integrity(documents: DataFrame, images: DataFrame) -> DataFrame:
@@ -120,7 +121,7 @@ def fixed_bin_histogram(df: DataFrame, value: str, bins: int = 25) -> DataFrame:
 
     A constant column is spread over ±0.5, as the usual plotting library does.
     """
-    present = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"), F.lit(1).alias("_one"))
+    present = pin(df.select(F.col(value).cast("double").alias("_v"), F.lit(1).alias("_one")).where(F.col("_v").isNotNull()))
     edge = present.groupBy("_one").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     flat = F.col("_lo") == F.col("_hi")
     edge = edge.select("_one", F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tilewright.functions import geometry as G
+from tilewright.session import spread
 
 WIDTH = "640 + (o_orderkey * 37) % 641"
 HEIGHT = "480 + (o_orderkey * 53) % 241"
@@ -26,8 +27,18 @@ _BOX = f"""
   cast(4 + (l_suppkey * 11 + l_linenumber * 17) % 120 as double) as bh"""
 
 
+#: Columns that the projections use; selected first so that nothing else is read or moved.
+_USED = {
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag",
+                 "l_linestatus"),
+    "orders": ("o_orderkey",), "part": ("p_partkey",), "embeddings": ("vec_id", "embedding", "label"),
+    "events": ("event_id", "ts", "user_id", "event_type", "value"),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    columns = _USED.get(name, ("*",))
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
