@@ -109,14 +109,17 @@ PRED_SIDE = PRED_TILE // PRED_CELL
 
 
 def tile_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored tiles: an 8×8 grid and a class probability per tile, from arithmetic on the tile key."""
+    """Scored tiles: an 8×8 grid and a class probability per tile, from arithmetic on the tile key.
+
+    Values are multiples of 1/1024, so sums are exact and no threshold depends on the order of addition.
+    """
     from tilewright.operators.tiling import tile_origins
 
     tiles = tile_origins(records(spark, sf_dir), [(PRED_TILE, PRED_STRIDE)])
     value = (f"transform(sequence(0, {PRED_SIDE * PRED_SIDE - 1}), i -> cast(((x0 * 7 + y0 * 13 + (i % {PRED_SIDE}) * 310 "
-             f"+ (i div {PRED_SIDE}) * 170 + image_id * 5) % 1000) / 1000.0 as double))")
+             f"+ (i div {PRED_SIDE}) * 170 + image_id * 5) % 1024) / 1024.0 as double))")
     return tiles.selectExpr("image_id", "x0", "y0", f"{PRED_SIDE} as gh", f"{PRED_SIDE} as gw", f"{value} as seg",
-                            "cast(((x0 + y0 + image_id) % 100) / 100.0 as double) as tile_cls")
+                            "cast(((x0 + y0 + image_id) % 128) / 128.0 as double) as tile_cls")
 
 
 def logit_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,10 +199,10 @@ SQL = {
         axis_y as (select distinct image_id, y0 from (
           select image_id, unnest(range(0, greatest(height - {PRED_TILE}, 0) + 1, {PRED_STRIDE})) as y0 from records
           union all select image_id, greatest(height - {PRED_TILE}, 0) from records)),
-        preds as (select image_id, x0, y0, ((x0 + y0 + image_id) % 100) / 100.0::double as tile_cls
+        preds as (select image_id, x0, y0, ((x0 + y0 + image_id) % 128) / 128.0::double as tile_cls
           from axis_x join axis_y using (image_id)),
         pred_cells as (select image_id, x0, y0, tile_cls, r.range as cy, c.range as cx,
-          ((x0 * 7 + y0 * 13 + c.range * 310 + r.range * 170 + image_id * 5) % 1000) / 1000.0::double as v
+          ((x0 * 7 + y0 * 13 + c.range * 310 + r.range * 170 + image_id * 5) % 1024) / 1024.0::double as v
           from preds, range({PRED_SIDE}) r, range({PRED_SIDE}) c)""",
     "logit_cells": """cells as (select o_orderkey // 16 as batch, o_orderkey as sample, i.range // 6 as gy, i.range % 6 as gx,
         ((o_orderkey * 7 + (i.range % 6) * 31 + (i.range // 6) * 170) % 1000 - 500) / 100.0::double as logit,

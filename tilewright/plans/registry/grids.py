@@ -1 +1,221 @@
+"""Score grids, components, pooling."""
+
+from pyspark.sql import functions as F
+
+from tilewright.operators import components as C
+from tilewright.operators import grids as GR
+from tilewright.operators import raster as RA
+from tilewright.plans import fixtures as X
+from tilewright.plans.registry.shapes import objects
+from tilewright.session import pin
+
 QUERIES, ORACLES = {}, {}
+
+
+def merged(s, d, mode="none", threshold=0.5):
+    return GR.merge_tiles(GR.gate_tiles(X.tile_preds(s, d), mode, threshold), X.records(s, d), X.PRED_CELL)
+
+
+_MERGED = """,
+merged as (select image_id, y0 // 56 + cy as gy, x0 // 56 + cx as gx, avg({value}) as prob, avg(tile_cls) as cls
+  from pred_cells join records using (image_id) where y0 // 56 + cy < height // 56 and x0 // 56 + cx < width // 56 group by 1, 2, 3)"""
+
+
+def _summary(cells):
+    return cells.groupBy("image_id").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.round(F.sum("prob") + 1e-9, 5).alias("prob"), F.round(F.sum("cls") + 1e-9, 5).alias("cls"),
+        F.round(F.sum(F.col("prob") * (F.col("gy") * 3 + F.col("gx"))) + 1e-9, 4).alias("marks"))
+
+
+for _mode, _value in (("none", "v"), ("hard", "case when tile_cls < 0.5 then 0 else v end"), ("multiply", "v * tile_cls")):
+    _name = "merged_grid" if _mode == "none" else f"merged_grid_{_mode}"
+    QUERIES[_name] = lambda s, d, m=_mode: _summary(merged(s, d, m))
+    ORACLES[_name] = X.with_sql("records", "tile_preds") + _MERGED.format(value=_value) + """
+select image_id, count(*) as n_cells, round(sum(prob) + 1e-9::double, 5) as prob, round(sum(cls) + 1e-9::double, 5) as cls, round(sum(prob * (gy * 3 + gx)) + 1e-9::double, 4) as marks
+from merged group by 1"""
+
+QUERIES["tile_cls_stats"] = lambda s, d: GR.tile_cls_stats(X.tile_preds(s, d)).withColumn("tile_cls_mean", F.round(F.col("tile_cls_mean") + 1e-9, 6))
+ORACLES["tile_cls_stats"] = X.with_sql("records", "tile_preds") + """
+select image_id, round(avg(tile_cls) + 1e-9::double, 6) as tile_cls_mean, min(tile_cls) as tile_cls_min, max(tile_cls) as tile_cls_max, 1 as tile_cls_used
+from preds group by 1"""
+
+THRESHOLD = 0.6
+
+
+def positive(s, d):
+    return GR.threshold_cells(merged(s, d), THRESHOLD)
+
+
+QUERIES["threshold_cells"] = lambda s, d: positive(s, d).groupBy("image_id").agg(
+    F.count(F.lit(1)).alias("n"), F.sum(F.col("gy") * 31 + F.col("gx")).alias("marks"))
+ORACLES["threshold_cells"] = X.with_sql("records", "tile_preds") + _MERGED.format(value="v") + """
+select image_id, count(*) as n, sum(gy * 31 + gx)::bigint as marks from merged where prob >= 0.6 group by 1"""
+
+
+def components(s, d):
+    return C.connected_components(positive(s, d))
+
+
+_COMPONENTS = X.with_sql("records", "tile_preds").replace("with ", "with recursive ", 1) + _MERGED.format(value="v") + """,
+pos as (select image_id, gy, gx, prob from merged where prob >= 0.6),
+near as (select a.image_id, a.gy, a.gx, b.gy as ny, b.gx as nx from pos a
+  join (select *, unnest([-1, 0, 1]) as dy from pos) b on a.image_id = b.image_id and b.gy + b.dy = a.gy and abs(b.gx - a.gx) <= 1),
+cc(image_id, gy, gx, lab) using key (image_id, gy, gx) as (
+  select image_id, gy, gx, gy * 100000 + gx from pos
+  union
+  select n.image_id, n.gy, n.gx, min(c.lab) from cc c join near n on c.image_id = n.image_id and c.gy = n.ny and c.gx = n.nx
+    join recurring.cc r on r.image_id = n.image_id and r.gy = n.gy and r.gx = n.gx where c.lab < r.lab group by 1, 2, 3)"""
+QUERIES["components"] = components
+ORACLES["components"] = _COMPONENTS + """
+select image_id, gy::int as gy, gx::int as gx, (lab // 100000)::int as comp_y, (lab % 100000)::int as comp_x from cc"""
+
+
+def detections(s, d):
+    cells = positive(s, d)
+    labelled = pin(C.component_id(C.connected_components(cells)))
+    return C.component_stats(labelled.join(cells, ["image_id", "gy", "gx"]), X.PRED_CELL)
+
+
+QUERIES["component_stats"] = lambda s, d: detections(s, d).withColumn("score", F.round(F.col("score") + 1e-9, 6))
+ORACLES["component_stats"] = _COMPONENTS + """
+select image_id, (lab // 100000) * 4294967296 + lab % 100000 as det_id, count(*) as n_cells, min(gx) * 56.0::double as x0, min(gy) * 56.0::double as y0,
+  (max(gx) + 1) * 56.0::double as x1, (max(gy) + 1) * 56.0::double as y1, round(avg(prob) + 1e-9::double, 6) as score
+from cc join pos using (image_id, gy, gx) group by image_id, lab"""
+
+
+def grid_sizes(s, d):
+    return X.records(s, d).selectExpr("image_id", f"height div {X.PRED_CELL} as h", f"width div {X.PRED_CELL} as w").selectExpr(
+        "image_id", "cast(h as int) as gh", "cast(w as int) as gw", "cast(h * 2 as int) as out_h", "cast(w * 2 as int) as out_w")
+
+
+def upsampled(s, d):
+    return GR.upsample_bilinear(merged(s, d), grid_sizes(s, d))
+
+
+QUERIES["upsample_bilinear"] = lambda s, d: upsampled(s, d).select(
+    "image_id", "y", F.size("vals").cast("bigint").alias("n"),
+    F.round(F.aggregate("vals", F.lit(0.0), lambda a, v: a + v) + 1e-9, 5).alias("total"),
+    F.round(F.element_at("vals", 2) + 1e-9, 6).alias("second"))
+_UP = X.with_sql("records", "tile_preds") + _MERGED.format(value="v") + """,
+ax as (select image_id, height // 56 as gh, width // 56 as gw from records),
+py as (select image_id, gh, gw, unnest(range(0, 2 * gh)) as y, greatest(0, (y + 0.5) / 2 - 0.5) as sy from ax),
+px as (select image_id, unnest(range(0, 2 * gw)) as x, greatest(0, (x + 0.5) / 2 - 0.5) as sx from ax),
+p as (select image_id, y, x, floor(sy)::bigint as y0, least(floor(sy)::bigint + 1, gh - 1) as y1, sy - floor(sy) as wy,
+  floor(sx)::bigint as x0, least(floor(sx)::bigint + 1, gw - 1) as x1, sx - floor(sx) as wx from py join px using (image_id)),
+up as (select p.image_id, y, x, coalesce(a.prob, 0) * (1 - wy) * (1 - wx) + coalesce(b.prob, 0) * (1 - wy) * wx
+  + coalesce(c.prob, 0) * wy * (1 - wx) + coalesce(d.prob, 0) * wy * wx as v from p
+  left join merged a on a.image_id = p.image_id and a.gy = y0 and a.gx = x0 left join merged b on b.image_id = p.image_id and b.gy = y0 and b.gx = x1
+  left join merged c on c.image_id = p.image_id and c.gy = y1 and c.gx = x0 left join merged d on d.image_id = p.image_id and d.gy = y1 and d.gx = x1)"""
+ORACLES["upsample_bilinear"] = _UP + """
+select image_id, y::int as y, count(*) as n, round(sum(v) + 1e-9::double, 5) as total, round(any_value(v) filter (x = 1) + 1e-9::double, 6) as second from up group by 1, 2"""
+
+QUERIES["upsampled_spans"] = lambda s, d: GR.row_spans_at(upsampled(s, d), 0.55003).groupBy("image_id").agg(
+    F.count(F.lit(1)).alias("n_spans"), F.sum(F.col("xe") - F.col("xs") + 1).alias("n_pixels"),
+    F.sum(F.col("y") * (F.col("xs") * 3 + F.col("xe"))).alias("marks"))
+ORACLES["upsampled_spans"] = _UP + """,
+hit as (select image_id, y, x, x - row_number() over (partition by image_id, y order by x) as island from up where v >= 0.55003),
+sp as (select image_id, y, min(x) as xs, max(x) as xe from hit group by image_id, y, island)
+select image_id, count(*) as n_spans, sum(xe - xs + 1)::bigint as n_pixels, sum(y * (xs * 3 + xe))::bigint as marks from sp group by 1"""
+
+QUERIES["upsample_nearest"] = lambda s, d: GR.upsample_nearest(positive(s, d), X.records(s, d), X.PRED_CELL).groupBy("image_id").agg(
+    F.count(F.lit(1)).alias("n_spans"), F.sum(F.col("xe") - F.col("xs") + 1).alias("n_pixels"),
+    F.sum(F.col("y") * 3 + F.col("xs")).alias("marks"))
+ORACLES["upsample_nearest"] = X.with_sql("records", "tile_preds") + _MERGED.format(value="v") + """,
+pos as (select m.image_id, gy, gx, height, width, height // 56 as gh, width // 56 as gw from merged m join records using (image_id) where prob >= 0.6),
+py as (select image_id, y, (y * gh) // height as gy from (select image_id, height, height // 56 as gh, unnest(range(0, height)) as y from records)),
+px as (select image_id, gx, count(*) as n, min(x) as xs from (select image_id, x, (x * gw) // width as gx
+  from (select image_id, width, width // 56 as gw, unnest(range(0, width)) as x from records)) group by 1, 2)
+select pos.image_id, count(*) as n_spans, sum(n)::bigint as n_pixels, sum(y * 3 + xs)::bigint as marks
+from pos join py using (image_id, gy) join px on px.image_id = pos.image_id and px.gx = pos.gx group by 1"""
+
+QUERIES["dense_grid"] = lambda s, d: GR.dense_grid(positive(s, d), X.records(s, d), X.PRED_CELL).groupBy("image_id").agg(
+    F.count(F.lit(1)).alias("n"), F.count_if(F.col("prob") > 0).alias("n_on"), F.round(F.sum("prob") + 1e-9, 5).alias("total"))
+ORACLES["dense_grid"] = X.with_sql("records", "tile_preds") + _MERGED.format(value="v") + """
+select r.image_id, any_value((height // 56) * (width // 56))::bigint as n, count(m.prob) as n_on, round(coalesce(sum(prob), 0) + 1e-9::double, 5) as total
+from records r left join (select * from merged where prob >= 0.6) m using (image_id) group by 1"""
+
+
+def candidates(s, d):
+    rect = objects(s, d).where(F.col("shape_type") == "rectangle").select("image_id", "shape_idx")
+    return rect.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("cand_idx")).withColumn(
+        "score", F.pmod(F.col("shape_idx") + F.col("cand_idx") * 3, F.lit(5)) / 5.0)
+
+
+QUERIES["best_mask"] = lambda s, d: GR.pick_best_mask(candidates(s, d))
+ORACLES["best_mask"] = X.with_sql("boxes") + """,
+c as (select image_id, shape_idx, k.range::int as cand_idx, ((shape_idx + k.range * 3) % 5) / 5.0::double as score from boxes, range(3) k where shape_type = 'rectangle')
+select * from c qualify row_number() over (partition by image_id, shape_idx order by score desc, cand_idx) = 1"""
+
+QUERIES["conversion_counts"] = lambda s, d: GR.conversion_counts(X.boxes(s, d).select(
+    "image_id", F.when(F.col("shape_type") == "rectangle", F.pmod("shape_idx", F.lit(3))).alias("n_polygons")))
+ORACLES["conversion_counts"] = X.with_sql("boxes") + """,
+p as (select image_id, case when shape_type = 'rectangle' then shape_idx % 3 end as n from boxes)
+select count(distinct image_id) as records, count(*) as prompts_total, count(*) filter (n > 0) as prompts_converted, count(*) filter (n = 0) as prompts_fallback from p"""
+
+
+def tokens(s, d):
+    e = X.table(s, d, "embeddings")
+    return e.select(F.col("vec_id").alias("object_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i")).selectExpr(
+        "object_id", "cast(i div 4 as bigint) as ty", "cast(i % 4 as bigint) as tx", "slice(embedding, i * 4 + 1, 4) as vec")
+
+
+def token_masks(s, d):
+    e = X.table(s, d, "embeddings")
+    m = e.selectExpr("vec_id as object_id", "cast(vec_id * 7 % 40 as double) as x0", "cast(vec_id * 11 % 40 as double) as y0")
+    b = m.selectExpr("object_id", "x0", "y0", "x0 + object_id % 20 as x1", "y0 + 9 as y1", "64 as width", "64 as height")
+    return RA.box_spans(b, ["object_id"])
+
+
+def masked_pool(s, d):
+    w = GR.token_weights(token_masks(s, d), 64, 4)
+    pooled = GR.masked_pool(tokens(s, d), w)
+    return pooled.select("object_id", *[F.round(F.element_at("embedding", i + 1), 5).alias(f"e{i}") for i in range(4)])
+
+
+QUERIES["masked_pool"] = masked_pool
+ORACLES["masked_pool"] = """
+with m as (select vec_id, vec_id * 7 % 40 as x0, vec_id * 11 % 40 as y0, vec_id * 7 % 40 + vec_id % 20 as x1, vec_id * 11 % 40 + 9 as y1 from embeddings),
+w as (select vec_id, i.range as i, greatest(0, least(x1, (i.range % 4) * 16 + 16) - greatest(x0, (i.range % 4) * 16))
+  * greatest(0, least(y1, (i.range // 4) * 16 + 16) - greatest(y0, (i.range // 4) * 16)) / 256.0::double as w from m, range(16) i),
+t as (select vec_id, i, j.range as j, w, embedding[i * 4 + j.range + 1]::double as v from w join embeddings using (vec_id), range(4) j),
+p as (select vec_id, j, case when sum(w) < 1e-6 then avg(v) else sum(w * v) / sum(w) end as v from t group by 1, 2),
+n as (select vec_id, sqrt(sum(v * v)) as n from p group by 1)
+select vec_id as object_id, """ + ", ".join(f"round(any_value(v / greatest(n, 1e-12)) filter (j = {i}), 5) as e{i}" for i in range(4)) + " from p join n using (vec_id) group by 1"
+
+
+def zoom_scores(s, d):
+    polys = objects(s, d).select("image_id", "shape_idx", F.when(F.size("points") >= 3, F.col("points")).otherwise(F.array(
+        F.element_at("points", 1), F.element_at("points", 2), F.element_at("points", 2))).alias("points"))
+
+    def score(windows):
+        return windows.select("image_id", "shape_idx", ((F.col("cx1") - F.col("cx0")) / 50.0 - 1.0).alias("zoom_logit"))
+
+    return GR.zoom_scores(polys, X.records(s, d), 224, score, 3).select("image_id", "shape_idx", F.round("zoom_score", 6).alias("zoom_score"))
+
+
+QUERIES["zoom_scores"] = zoom_scores
+ORACLES["zoom_scores"] = X.with_sql("records", "boxes", "objects") + """,
+s as (select o.*, width as w, greatest(1, x1 - x0) as bw, greatest(1, y1 - y0) as bh from objects o join records using (image_id)),
+z as (select *, least(w, ceil(x1 + greatest(2, bw * 0.2::double))) - greatest(0, floor(x0 - greatest(2, bw * 0.2::double))) as cw,
+  row_number() over (partition by image_id order by bw * bh desc, shape_idx) as n from s)
+select image_id, shape_idx, case when n <= 3 then round(1 / (1 + exp(-(cw / 50.0 - 1))), 6) end as zoom_score from z"""
+
+
+def inference_report(s, d):
+    pos = positive(s, d)
+    px = GR.upsample_nearest(pos, X.records(s, d), X.PRED_CELL)
+    polys = C.connected_components(pos).select("image_id", "comp_y", "comp_x").distinct()
+    return GR.inference_report(X.records(s, d), GR.tile_cls_stats(X.tile_preds(s, d)), px, polys).withColumn(
+        "tile_cls_mean", F.round(F.col("tile_cls_mean") + 1e-9, 6))
+
+
+QUERIES["inference_report"] = inference_report
+ORACLES["inference_report"] = _COMPONENTS + """,
+st as (select image_id, round(avg(tile_cls) + 1e-9::double, 6) as tile_cls_mean, min(tile_cls) as tile_cls_min, max(tile_cls) as tile_cls_max, 1 as tile_cls_used from preds group by 1),
+py as (select image_id, gy, count(*) as n from (select image_id, (y * gh) // height as gy from (select image_id, height, height // 56 as gh, unnest(range(0, height)) as y from records)) group by 1, 2),
+px as (select image_id, gx, count(*) as n from (select image_id, (x * gw) // width as gx from (select image_id, width, width // 56 as gw, unnest(range(0, width)) as x from records)) group by 1, 2),
+m as (select pos.image_id, sum(py.n * px.n)::bigint as mask_pixels from pos join py on py.image_id = pos.image_id and py.gy = pos.gy
+  join px on px.image_id = pos.image_id and px.gx = pos.gx group by 1),
+k as (select image_id, count(distinct lab) as polygons from cc group by 1)
+select r.image_id, tile_cls_mean, tile_cls_min, tile_cls_max, tile_cls_used, coalesce(polygons, 0) as polygons, coalesce(mask_pixels, 0) as mask_pixels
+from records r left join st using (image_id) left join k using (image_id) left join m using (image_id)"""
