@@ -117,9 +117,9 @@ def tile_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     tiles = tile_origins(records(spark, sf_dir), [(PRED_TILE, PRED_STRIDE)])
     value = (f"transform(sequence(0, {PRED_SIDE * PRED_SIDE - 1}), i -> cast(((x0 * 7 + y0 * 13 + (i % {PRED_SIDE}) * 310 "
-             f"+ (i div {PRED_SIDE}) * 170 + image_id * 5) % 1024) / 1024.0 as double))")
+             f"+ (i div {PRED_SIDE}) * 170 + image_id * 5) % 1024) / 1024.0D as double))")
     return tiles.selectExpr("image_id", "x0", "y0", f"{PRED_SIDE} as gh", f"{PRED_SIDE} as gw", f"{value} as seg",
-                            "cast(((x0 + y0 + image_id) % 128) / 128.0 as double) as tile_cls")
+                            "cast(((x0 + y0 + image_id) % 128) / 128.0D as double) as tile_cls")
 
 
 def logit_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ def logit_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey as sample", "o_orderkey div 16 as batch", "explode(sequence(0, 35)) as i")
     return base.selectExpr(
         "batch", "sample", "i div 6 as gy", "i % 6 as gx",
-        "cast(((sample * 7 + (i % 6) * 31 + (i div 6) * 170) % 1000 - 500) / 100.0 as double) as logit",
+        "cast(((sample * 7 + (i % 6) * 31 + (i div 6) * 170) % 1000 - 500) / 100.0D as double) as logit",
         "cast(case when sample % 5 <> 0 and (sample + (i % 6) * 3 + (i div 6) * 5) % 7 < 2 then 1 else 0 end as double) as target",
         "cast(case when (sample + i) % 11 = 0 then 1 else 0 end as double) as fp")
 

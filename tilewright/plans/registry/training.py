@@ -48,7 +48,7 @@ select batch, round(avg(p) filter (fp > 0.5), 6) as fp_activation, round(avg(gre
 from probs group by 1"""
 
 QUERIES["tile_cls_bce"] = lambda s, d: _round(M.cls_loss(
-    X.table(s, d, "orders").selectExpr("o_orderkey div 16 as batch", "cast((o_orderkey * 13 % 400 - 200) / 50.0 as double) as z",
+    X.table(s, d, "orders").selectExpr("o_orderkey div 16 as batch", "cast((o_orderkey * 13 % 400 - 200) / 50.0D as double) as z",
                                        "o_orderkey % 2 as t"), "z", "t"), "cls_bce")
 ORACLES["tile_cls_bce"] = """
 with r as (select o_orderkey // 16 as batch, (o_orderkey * 13 % 400 - 200) / 50.0::double as z, o_orderkey % 2 as t from orders)
