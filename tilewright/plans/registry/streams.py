@@ -1 +1,47 @@
+"""Tracks over frame streams, as batch twins of the streaming operators."""
+
+from pyspark.sql import functions as F
+
+from tilewright.plans import fixtures as X
+from tilewright.streaming import tracks as TR
+
 QUERIES, ORACLES = {}, {}
+RULES = TR.TrackRules()
+
+QUERIES["infer_index"] = lambda s, d: TR.number_scored(X.frames(s, d), RULES).select("stream_id", "frame_idx", "infer_idx")
+_SCORED = """
+with g as (select user_id as stream_id, event_id as frame_idx, event_type = 'error' as empty from events
+  qualify event_id % 2 = 0 or row_number() over (partition by user_id order by event_id) = 1),
+sc as (select *, row_number() over (partition by stream_id order by frame_idx) as infer_idx from g)"""
+ORACLES["infer_index"] = _SCORED + "select stream_id, frame_idx, infer_idx from sc"
+
+QUERIES["quiet_segments"] = lambda s, d: TR.quiet_segments(TR.number_scored(X.frames(s, d), RULES), RULES).select(
+    "stream_id", "infer_idx", "segment")
+ORACLES["quiet_segments"] = _SCORED + """,
+c as (select *, case when lag(empty) over w and lag(empty, 2) over w then 1 else 0 end as cut from sc window w as (partition by stream_id order by infer_idx))
+select stream_id, infer_idx, sum(cut) over (partition by stream_id order by infer_idx)::bigint as segment from c"""
+
+
+def tracks(s, d):
+    return TR.track_frames(X.frames(s, d), RULES).select(
+        "stream_id", "frame_idx", "infer_idx", "track_id", "hits", "miss", "last_infer", "persistent", "save", "x0")
+
+
+# greedy matching is sequential; these are checked against a plain fold in the tests
+QUERIES["tracks"] = tracks
+QUERIES["persistent_tracks"] = lambda s, d: TR.persistent_tracks(tracks(s, d))
+
+
+def saves(s, d):
+    """Save decisions over every scored frame that has detections."""
+    scored = TR.number_scored(X.frames(s, d), RULES)
+    return TR.save_decisions(scored.where(F.size("detections") > 0).select("stream_id", "infer_idx"), 3)
+
+
+QUERIES["auto_save"] = saves
+ORACLES["auto_save"] = _SCORED.replace("with ", "with recursive ", 1) + """,
+c as (select stream_id, infer_idx, row_number() over (partition by stream_id order by infer_idx) as n from sc where not empty),
+w as (select stream_id, infer_idx, n, infer_idx as last, true as save from c where n = 1
+  union all select c.stream_id, c.infer_idx, c.n, case when c.infer_idx - last >= 3 then c.infer_idx else last end, c.infer_idx - last >= 3
+  from w join c on c.stream_id = w.stream_id and c.n = w.n + 1)
+select stream_id, infer_idx, save from w"""

@@ -33,7 +33,8 @@ def to_labelme(records: DataFrame, shapes: DataFrame, shapes_per_doc: int = SHAP
     numbered = number_rows(shapes, ["image_id"], ["shape_idx"], "_rank")
     parts = (numbered.withColumn("part", F.expr(f"(_rank - 1) div {int(shapes_per_doc)}"))
              .groupBy("image_id", "part")
-             .agg(F.array_sort(F.collect_list(F.struct("_rank", "shape"))).alias("_s"))
+             .agg(F.array_sort(F.collect_list(F.struct("_rank", "shape")),
+                               lambda a, b: F.signum((a["_rank"] - b["_rank"]).cast("double")).cast("int")).alias("_s"))
              .withColumn("shapes", F.transform("_s", lambda s: s["shape"])))
     docs = records.join(parts, "image_id", "left").withColumn("part", F.coalesce("part", F.lit(0).cast("bigint")))
     empty = F.array().cast(shapes.select(F.array("shape")).schema[0].dataType)
