@@ -262,7 +262,7 @@ def size_bucket(area: Column, small: float = SMALL_AREA, medium: float = MEDIUM_
 
 def tile_configs(tile_size: int, tile_stride: int, scales: Column) -> Column:
     """``"1.0,1.5"`` → distinct ``(size, stride)`` pairs in order; an empty list means scale 1."""
-    tokens = F.filter(F.transform(F.split(scales, ","), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(scales, ","), lambda t: F.trim(t)), lambda t: t != "")
     tokens = F.when(F.size(tokens) == 0, F.array(F.lit("1.0"))).otherwise(tokens)
     return F.array_distinct(F.transform(tokens, lambda t: F.struct(
         F.greatest(F.lit(14), F.rint(F.lit(float(tile_size)) * t.cast("double")).cast("int")).alias("size"),

@@ -95,8 +95,12 @@ STREAM_OUTPUT = f"stream_id bigint, frame_idx bigint, infer_idx bigint, {TRACK_C
 STREAM_STATE = "last_frame bigint, infer_idx bigint, next_id bigint, last_save bigint, late bigint, fps double, last_us bigint, tracks string"
 
 
-def track_stream(frames: DataFrame, rules: TrackRules = TrackRules(), idle_ms: int = 3_600_000) -> DataFrame:
-    """Tracks after every scored frame of a streaming ``frames`` table, with the save decision and the smoothed rate."""
+def track_stream(frames: DataFrame, rules: TrackRules = TrackRules(), idle_ms: int | None = 3_600_000) -> DataFrame:
+    """Tracks after every scored frame of a streaming ``frames`` table, with the save decision and the smoothed rate.
+
+    State of a stream expires after ``idle_ms`` without frames. Pass None with the ``availableNow`` trigger: Spark keeps
+    starting empty batches for as long as a processing-time timeout could fire, so such a run would not end.
+    """
     names = [c.split()[0] for c in STREAM_OUTPUT.split(", ") if ":" not in c.split()[0]]
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -132,11 +136,13 @@ def track_stream(frames: DataFrame, rules: TrackRules = TrackRules(), idle_ms: i
             rows += [{"stream_id": key[0], "frame_idx": frame_idx, "infer_idx": infer_idx, **o, "save": save, "fps": fps,
                       "late": late} for o in out]
         state.update((last_frame, infer_idx, tracker.next_id, last_save, late, fps, last_us, json.dumps(tracker.tracks)))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=names)
 
     return frames.groupBy("stream_id").applyInPandasWithState(
-        run, STREAM_OUTPUT, STREAM_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        run, STREAM_OUTPUT, STREAM_STATE, "append",
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def persistent_tracks(tracks: DataFrame) -> DataFrame:
