@@ -22,7 +22,7 @@ def read_annotations(spark: SparkSession, path: str, on_corrupt: str = "fail") -
     """
     if on_corrupt not in ("fail", "skip"):
         raise ValueError(on_corrupt)
-    text = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    text = (spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
             .select(F.col("_metadata.file_path").alias("json_path"), F.col("_metadata.file_size").alias("json_bytes"),
                     F.col("value")))
     mode = "FAILFAST" if on_corrupt == "fail" else "PERMISSIVE"
