@@ -143,12 +143,17 @@ def dataset_peek(records: DataFrame, shapes: DataFrame, label: str, max_images:
     if max_images > 0:
         chosen = seeded_sample(chosen, max_images, seed, ["image_id"])
     n_images = chosen.agg(F.count(F.lit(1)).alias("n_images"))
-    rows = shapes.join(chosen.select("image_id", "width", "height"), "image_id")
-    outline = G.shape_to_points(F.col("shape_type"), F.col("points"))
-    area = F.coalesce(G.polygon_area(outline), F.lit(0.0))
+    # a rectangle's outline has the area of its box, so its corners need not be spelled out
+    rect = G.is_rectangle(F.col("shape_type"))
+    box = G.corner_box(F.col("points"))
+    flat = shapes.select("image_id", "label", rect.alias("_r"), (box["x1"] - box["x0"]).alias("_bw"),
+                         (box["y1"] - box["y0"]).alias("_bh"), F.when(~rect, G.outline_stats(F.col("points"))).alias("_s"))
+    area = F.coalesce(F.when(F.col("_r"), F.col("_bw") * F.col("_bh")).otherwise(G.stats_area(F.col("_s"))), F.lit(0.0))
+    rows = (flat.select("image_id", "label", area.alias("_area"))
+            .join(chosen.select("image_id", "width", "height"), "image_id"))
     wanted = normalize_label(F.col("label")) == fold(label)
-    ratio = F.when(wanted & (area > 0), G.area_ratio(area, F.col("width"), F.col("height")))
-    ratios = rows.select(F.coalesce("label", F.lit("")).alias("label"), ratio.alias("ratio"))
+    ratio = F.when(wanted & (F.col("_area") > 0), G.area_ratio(F.col("_area"), F.col("width"), F.col("height")))
+    ratios = pin(rows.select(F.coalesce("label", F.lit("")).alias("label"), ratio.alias("ratio")))
     per_label = ratios.groupBy("label").agg(
         F.count("ratio").alias("n"), F.sum("ratio").alias("s"), F.count_if(F.col("ratio") < 0.01).alias("c1"),
         F.count_if(F.col("ratio") < 0.005).alias("c2"), F.count_if(F.col("ratio") < 0.001).alias("c3"))

@@ -102,6 +102,22 @@ def box_spans(boxes: DataFrame, keys: Sequence[str], width: str = "width", heigh
             .select(*keys, F.explode(F.sequence("_t", "_b")).alias("y"), "xs", "xe"))
 
 
+def box_cells(boxes: DataFrame, keys: Sequence[str], stride: int, width: str = "width", height: str = "height") -> DataFrame:
+    """Cells of ``stride`` pixels that a box touches, straight from its corners; the grid ends at the last whole cell."""
+    s = int(stride)
+    x0, y0 = F.greatest(F.lit(0), F.floor("x0").cast("int")), F.greatest(F.lit(0), F.floor("y0").cast("int"))
+    x1, y1 = F.least(F.col(width), F.ceil("x1").cast("int")), F.least(F.col(height), F.ceil("y1").cast("int"))
+    gw, gh = F.expr(f"{width} div {s}").cast("int"), F.expr(f"{height} div {s}").cast("int")
+    ranges = (boxes.select(*keys, x0.alias("_l"), (x1 - 1).alias("_r"), y0.alias("_t"), (y1 - 1).alias("_b"), gw.alias("_gw"), gh.alias("_gh"))
+              .where((F.col("_l") <= F.col("_r")) & (F.col("_t") <= F.col("_b")))
+              .select(*keys, *[F.expr(f"cast({c} div {s} as int)").alias(c) for c in ("_l", "_t")],
+                      F.least(F.expr(f"cast(_r div {s} as int)"), F.col("_gw") - 1).alias("_r"),
+                      F.least(F.expr(f"cast(_b div {s} as int)"), F.col("_gh") - 1).alias("_b"))
+              .where((F.col("_l") <= F.col("_r")) & (F.col("_t") <= F.col("_b"))))
+    return (ranges.select(*keys, "_l", "_r", F.explode(F.sequence("_t", "_b")).alias("gy"))
+            .select(*keys, "gy", F.explode(F.sequence("_l", "_r")).alias("gx")))
+
+
 def outline_or_box(points: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """The outline, or the box as an outline where there are fewer than three points."""
     corners = F.array(G.point(x0, y0), G.point(x1, y0), G.point(x1, y1), G.point(x0, y1))

@@ -71,7 +71,7 @@ select image_id, gy::int as gy, gx::int as gx, (lab // 100000)::int as comp_y, (
 
 
 def detections(s, d):
-    cells = positive(s, d)
+    cells = pin(positive(s, d))
     labelled = pin(C.component_id(C.connected_components(cells)))
     return C.component_stats(labelled.join(cells, ["image_id", "gy", "gx"]), X.PRED_CELL)
 
@@ -202,7 +202,7 @@ select image_id, shape_idx, case when n <= 3 then round(1 / (1 + exp(-(cw / 50.0
 
 
 def inference_report(s, d):
-    pos = positive(s, d)
+    pos = pin(positive(s, d))
     px = GR.upsample_nearest(pos, X.records(s, d), X.PRED_CELL)
     polys = C.connected_components(pos).select("image_id", "comp_y", "comp_x").distinct()
     return GR.inference_report(X.records(s, d), GR.tile_cls_stats(X.tile_preds(s, d)), px, polys).withColumn(
