@@ -7,6 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 
+#: Values of the ``source`` flag on generated shapes (fixed values).
+SOURCE_BATCHED = "sam1_box_to_poly"
+SOURCE_OBJECT_TILE = "sam1_bbox_point"
+SOURCE_PASTED = "paste_augment"
+
+
 def strip(text: Column) -> Column:
     """Remove white space of every kind from both ends (SQL ``trim`` removes blanks only)."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tilewright.functions import geometry as G
 from tilewright.functions.draws import draw_int, seeded_digest
+from tilewright.functions.labels import SOURCE_PASTED
 from tilewright.operators.ranking import number_rows
 from tilewright.operators.raster import spans
 from tilewright.operators.selection import largest_per_image
@@ -186,4 +187,4 @@ def pasted_shapes(placed: DataFrame, donors: DataFrame, label: str) -> DataFrame
                                                       p["y"] * F.col("new_h") / F.col("bbox_h") + F.col("y0")))
     return placed.join(source, ["donor_image", "donor_shape"]).select(
         "image_id", "paste", F.lit(label).alias("label"), F.lit("polygon").alias("shape_type"), points.alias("points"),
-        F.create_map(F.lit("source"), F.lit("paste_augment")).alias("flags"))
+        F.create_map(F.lit("source"), F.lit(SOURCE_PASTED)).alias("flags"))

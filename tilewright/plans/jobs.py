@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tilewright.functions import geometry as G
-from tilewright.functions.labels import file_stem, hashed_image_name, object_name
+from tilewright.functions.labels import SOURCE_BATCHED, SOURCE_OBJECT_TILE, file_stem, hashed_image_name, object_name
 from tilewright.operators import components as C
 from tilewright.operators import embeddings as V
 from tilewright.operators import evaluate as E
@@ -43,7 +43,7 @@ def mask_polygons(candidates: DataFrame, min_area: float, epsilon_frac: float) -
 
 def box_to_polygon_dataset(records: DataFrame, shapes: DataFrame, candidates: Candidates, mode: str = "bbox",
                            batch: int = 4, min_area: float = 20.0, epsilon_frac: float = 0.002,
-                           source: str = "sam1_box_to_poly") -> tuple[DataFrame, DataFrame]:
+                           source: str = SOURCE_BATCHED) -> tuple[DataFrame, DataFrame]:
     """Boxes (or points) to polygons by a mask model: the new shapes, and the conversion counts.
 
     ``candidates`` gets the batched prompts and returns scored masks. Prompts without a usable polygon keep their shape.
@@ -58,7 +58,7 @@ def box_to_polygon_dataset(records: DataFrame, shapes: DataFrame, candidates: Ca
 
 def object_tile_conversion(records: DataFrame, shapes: DataFrame, label: str, candidates: Candidates,
                            tile_size: int = 448, context_scale: float = 2.0, min_area: float = 20.0,
-                           epsilon_frac: float = 0.002, source: str = "sam1_object_tile") -> DataFrame:
+                           epsilon_frac: float = 0.002, source: str = SOURCE_OBJECT_TILE) -> DataFrame:
     """One crop per object of exactly this label; ``candidates`` gets the crop, the box and its midpoint in crop pixels.
 
     Records without such an object are left out.
