@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tilewright.functions.draws import seeded_digest
-from tilewright.session import pin, width
+from tilewright.session import pin
 
 CHUNK = "_chunk"
 
@@ -22,9 +22,12 @@ def _name(df: DataFrame, order: Sequence[Column | str]) -> list[Column]:
 
 
 def cut_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """Range partition on keys and order, with the partition number as chunk, pinned so that it stays the same."""
-    n = width(df.sparkSession)
-    ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *_name(df, order))
+    """Range partition on keys and order, with the partition number as chunk, pinned so that it stays the same.
+
+    The number of partitions is left to Spark, which merges neighbouring small ones; their numbers still follow the
+    order.
+    """
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *_name(df, order))
     return pin(ranged.withColumn(CHUNK, F.spark_partition_id()))
 
 

@@ -52,11 +52,6 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def width(spark: SparkSession) -> int:
-    """Partition count used for explicit range partitioning."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan at least one task per core.
 
