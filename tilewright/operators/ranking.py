@@ -50,9 +50,13 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     inside = W.partitionBy(*keys, CHUNK).orderBy(*_name(df, order))
     local = F.row_number().over(inside) if weight is None else F.sum(weight).over(
         inside.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return (df.join(per_chunk.drop("_in_chunk"), [*keys, CHUNK])
+    per_chunk = per_chunk.drop("_in_chunk").withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)} | {CHUNK: "_at"})
+    same = F.col(CHUNK) == F.col("_at")
+    for i, k in enumerate(keys):  # a null key is a key like any other
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    return (df.join(per_chunk, same)
             .withColumn(name, F.col("_before") + local)
-            .drop(CHUNK, "_before"))
+            .drop(CHUNK, "_at", "_before", *[f"_key_{i}" for i in range(len(keys))]))
 
 
 def seeded_rank(df: DataFrame, keys: Sequence[str], seed: int | str, by: Sequence[str],
