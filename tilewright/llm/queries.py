@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tilewright.llm import mixing, sharding, warc
+from tilewright.llm import mixing, pii, quality, secret_scan, sharding, warc
 
 QUERIES = {
+    "op3_secret_automaton": secret_scan.op3,
     "op6_sampled_splitters": sharding.op6,
+    "op7_contextual_pii": pii.op7,
     "op8_water_filling": mixing.op8,
     "op9_seekable_warc": warc.op9,
+    "op10_likelihood_ratio": quality.op10,
 }
 
 ORACLES = {
