@@ -77,3 +77,15 @@ class HashedWords(dict):
             self.clear()
         value = self[word] = zlib.crc32(word)
         return value
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """Join rows with one row for each group, where a group may hold any share of the rows.
+
+    ``groups`` has ``_n``, the number of rows of the group; those above ``total / 1000`` are at most a thousand and are
+    broadcast, so their rows stay where they are. The others meet in a shuffle. ``_n`` is dropped.
+    """
+    share = total // 1000 + 1
+    hot = F.broadcast(groups.where(F.col("_n") > share).drop("_n"))
+    rest = groups.where(F.col("_n") <= share).drop("_n")
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(rest, key, how), allowMissingColumns=True)

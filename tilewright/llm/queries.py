@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tilewright.llm import mixing, pii, quality, secret_scan, sharding, warc
+from tilewright.llm import mixing, pii, quality, secret_scan, setsketch, sharding, suffix_tree, toxicity, warc
 
 QUERIES = {
+    "op1_suffix_tree": suffix_tree.op1,
+    "op2_nb_char_ngrams": toxicity.op2,
     "op3_secret_automaton": secret_scan.op3,
+    "op5_setsketch": setsketch.op5,
     "op6_sampled_splitters": sharding.op6,
     "op7_contextual_pii": pii.op7,
     "op8_water_filling": mixing.op8,
@@ -14,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_setsketch": setsketch.OP5_SQL,
     "op8_water_filling": mixing.OP8_SQL,
     "op9_seekable_warc": warc.OP9_SQL,
 }
