@@ -27,7 +27,8 @@ LEAST_PERCENT = 75
 REGISTERS, ROWS, BANDS = 128, 4, 32
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 LEAST_ESTIMATE = 0.5
-SLOT_GROWTH = 4          # centres of a bucket grow by this factor with each round
+SLOT_GROWTH = 8          # centres of a bucket grow by this factor with each round
+PAIRS_PER_ENTRY = 1.0    # pairs left for each bucket entry from which no more rounds are needed
 MEMBERS_PER_TASK = 256   # members compared with one copy of a centre
 BATCH_ELEMENTS = 400_000
 
@@ -201,8 +202,9 @@ def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Components (node, label) of the nodes with a similar other text.
 
     Buckets whose members are not yet known to be connected are worked on in rounds: a growing number of centres for each
-    bucket is compared with the members that are in other components. A centre that has met all is done. The rounds end
-    when every bucket is connected or all its pairs were compared, so no link is lost and no bucket is paired at once.
+    bucket is compared with the members that are in other components. A centre that has met all is done. Once the pairs
+    across components are no more than the entries of all buckets, they are compared and nothing is left. So no link is
+    lost, and a group of copies, which its first centre connects, is never paired.
     """
     spark = docs.sparkSession
     sketches = keep(rows.join(nodes.select(F.col("node").alias("row"), F.col("node")), "row")
@@ -219,32 +221,53 @@ def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     label = spark.createDataFrame([], "node long, label long")
     proven = spark.createDataFrame([], "u long, v long")
     tested = spark.createDataFrame([], "a long, b long")
-    slots, nearest_only = 1, True
+    slots = 0
     while True:
-        known = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        state = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"),
-                                            F.count(F.lit(1)).alias("_n")).where("low < high").select("bucket", "_n")
-        open_ = keep(join_groups(known, state, "bucket", n_entries))
-        if not open_.head(1):
+        open_, cross = still_open(members, label, n_entries)
+        if not cross:
             return label
-        slot = F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")
-        centres = keep(open_.groupBy("bucket", slot).agg(F.min(F.struct("node", "label")).alias("c"))
-                       .select("bucket", F.col("c.node").alias("a"), F.col("c.label").alias("la")))
-        pairs = (open_.join(centres, "bucket").where((F.col("node") != F.col("a")) & (F.col("label") != F.col("la")))
-                 .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        if nearest_only:  # at first every member meets one centre, which settles most groups
+        if cross <= PAIRS_PER_ENTRY * n_entries and slots:  # what is left is linear in the input
+            other = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
+            pairs = (open_.withColumnRenamed("node", "a").join(other, "bucket")
+                     .where((F.col("a") < F.col("b")) & (F.col("label") != F.col("lb"))))
+            centres = None
+        else:
+            slot = F.pmod(F.xxhash64("node"), F.lit(max(slots, 1))).alias("slot")
+            centres = keep(open_.groupBy("bucket", slot).agg(F.min(F.struct("node", "label")).alias("c"))
+                           .select("bucket", F.col("c.node").alias("a"), F.col("c.label").alias("la")))
+            pairs = (open_.join(centres, "bucket").where((F.col("node") != F.col("a")) & (F.col("label") != F.col("la")))
+                     .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")))
+        pairs = pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        if not slots:  # at first every member meets one centre, which settles most groups
             pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         pairs = keep(pairs)
         proven = keep(proven.unionByName(verify(keep(likely(pairs, sketches)), texts)))
-        tested = tested.unionByName(pairs)
         label = keep(connected(proven))
-        if nearest_only:
-            members, nearest_only = open_.select("node", "bucket"), False
-        else:
-            done = centres.select("bucket", F.col("a").alias("node"))
-            members = keep(open_.select("node", "bucket").join(done, ["bucket", "node"], "left_anti"))
-            slots *= SLOT_GROWTH
+        if centres is None:
+            return label
+        tested = tested.unionByName(pairs)
+        members = open_.select("bucket", "node")
+        if slots:
+            members = members.join(centres.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
+        slots = slots * SLOT_GROWTH if slots else 1
+
+
+def still_open(members: DataFrame, label: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """(bucket, node, label) of the buckets with more than one component, and the number of pairs across components.
+
+    Of buckets with the same members one is enough.
+    """
+    known = keep(members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    counts = known.groupBy("bucket", "label").agg(
+        F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"),
+        F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
+    buckets = counts.groupBy("bucket").agg(
+        F.sum("k").alias("_n"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count(F.lit(1)).alias("labels"),
+        F.sum("x").alias("x"), F.expr("bit_xor(y)").alias("y")).where("labels > 1")
+    buckets = keep(buckets.groupBy("_n", "x", "y").agg(F.min_by(F.struct("bucket", "same"), "bucket").alias("b"))
+                   .select("b.bucket", "_n", "b.same"))
+    cross = buckets.agg(F.sum((F.col("_n") * F.col("_n") - F.col("same")) / 2)).head()[0] or 0
+    return keep(join_groups(known, buckets.drop("same"), "bucket", total)), int(cross)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
