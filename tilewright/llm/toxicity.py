@@ -1,8 +1,9 @@
 """Toxicity: linear classifier on hashed byte n-grams, scaled by naive Bayes log-count ratios.
 
 A text's features are the distinct buckets of its lower-cased byte n-grams. Labelled documents give smoothed log-count
-ratios r of toxic against other texts; a logistic regression on the features scaled by r is fitted with weight decay, so
-a bucket's share of the score is r times its weight. Scores are probabilities; class weights restore the labelled share.
+ratios r of toxic against other texts, and those that are not significant become 0; a logistic regression on the
+features scaled by r is fitted with weight decay, so a bucket's share of the score is r times its weight. Scores are
+probabilities; class weights restore the labelled share.
 """
 
 from __future__ import annotations
@@ -16,15 +17,16 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tilewright.llm.common import fold, keep, per_batch, table, text_bytes
 
 BITS = 18
-ORDERS = (3, 4, 5)
+ORDERS = (3, 4, 5, 6)
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 SAMPLE_PER_CLASS = 1500        # bound of the labelled sample that the classifier is fitted on (expected rows)
 SAMPLE_ENTRIES = 12_000_000    # and of its features in all: a text beyond it is not taken into the sample
-SMOOTHING, DECAY, STEPS, RATE = 1.0, 1e-4, 100, 0.05
+SMOOTHING, DECAY, STEPS, RATE = 1.0, 1e-3, 100, 0.05
+LEAST_SIGNIFICANCE = 3.0       # standard errors that a log-count ratio must be away from 0 to count
 
 _SPACES = bytes(32 if b in b"\t\n\v\f\r" else b for b in range(256))
-_FACTORS = {3: np.uint32(0x9E3779B1), 4: np.uint32(0x85EBCA6B), 5: np.uint32(0xC2B2AE35)}
+_FACTORS = {3: np.uint32(0x9E3779B1), 4: np.uint32(0x85EBCA6B), 5: np.uint32(0xC2B2AE35), 6: np.uint32(0x27D4EB2F)}
 
 
 class Features:
@@ -60,8 +62,9 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, bits: int
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
     counts = np.stack([np.bincount(index, weights=(toxic == k)[owner], minlength=size) for k in (0, 1)]) + SMOOTHING
-    shares = counts / counts.sum(axis=1, keepdims=True)
-    ratio = np.log(shares[1] / shares[0])
+    texts = np.array([(toxic == k).sum() for k in (0, 1)]) + 2 * SMOOTHING
+    ratio = np.log(counts[1] / texts[1]) - np.log(counts[0] / texts[0])
+    ratio[np.abs(ratio) < LEAST_SIGNIFICANCE * np.sqrt((1 / counts).sum(axis=0))] = 0.0
     values = ratio.astype(np.float32)[index]
     weights, bias = np.zeros(size), float(np.log((weight * toxic).sum() / (weight * (1 - toxic)).sum()))
     first, second, moments = np.zeros(size), np.zeros(size), [0.0, 0.0]
