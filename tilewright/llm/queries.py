@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tilewright.llm import mixing, pii, quality, secret_scan, setsketch, sharding, suffix_tree, toxicity, warc
+from tilewright.llm import decontaminate, mixing, pii, quality, secret_scan, setsketch, sharding, suffix_tree, toxicity, warc
 
 QUERIES = {
     "op1_suffix_tree": suffix_tree.op1,
     "op2_nb_char_ngrams": toxicity.op2,
     "op3_secret_automaton": secret_scan.op3,
+    "op4_latent_retrieval": decontaminate.op4,
     "op5_setsketch": setsketch.op5,
     "op6_sampled_splitters": sharding.op6,
     "op7_contextual_pii": pii.op7,
