@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tilewright.llm import mixing, sharding
+from tilewright.llm import decontaminate, mixing, setsketch, sharding, toxicity
 from tilewright.llm.common import keep
 
 STAGES = [
-    ("mix", mixing.mix_stage),
-    ("shard", sharding.shard_stage),
+    ("toxicity", toxicity.toxicity_stage),
+    ("near duplicates", setsketch.near_stage),
+    ("decontamination", decontaminate.decontamination_stage),
+    ("mixing", mixing.mix_stage),
+    ("sharding", sharding.shard_stage),
 ]
 
 #: The trained classifier and the latent search can't be said in SQL; tests/llm compares the stages with brute force.
