@@ -27,8 +27,9 @@ LEAST_PERCENT = 75
 REGISTERS, ROWS, BANDS = 128, 4, 32
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 LEAST_ESTIMATE = 0.5
-SLOT_GROWTH = 8          # centres of a bucket grow by this factor with each round
-PAIRS_PER_ENTRY = 1.0    # pairs left for each bucket entry from which no more rounds are needed
+NEAREST_ROUNDS = 3       # rounds in which members meet centres
+SLOTS, CENTRES = 2, 4    # centres of a bucket, and those that a member meets, in each round
+PAIRS_PER_ENTRY = 0.02   # pairs across components for each bucket entry, from which no more rounds are needed
 MEMBERS_PER_TASK = 256   # members compared with one copy of a centre
 BATCH_ELEMENTS = 400_000
 
@@ -128,7 +129,7 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
 
 
 def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes allow the similarity and whose registers make it likely."""
+    """Pairs (a, b, estimate) whose sizes allow the similarity and whose registers make it likely."""
     def side(x: str) -> DataFrame:
         return sketches.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("bands").alias(f"s{x}"))
 
@@ -141,10 +142,11 @@ def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
                 left, right = (np.asarray(batch.column(c).flatten(), np.int64).reshape(-1, BANDS).view(np.uint16)
                                for c in ("sa", "sb"))
                 sizes = (np.asarray(batch.column(c), np.float64) for c in ("na", "nb"))
-                good = pa.array(estimate(left, right, *sizes) >= LEAST_ESTIMATE)
-                yield batch.select(["a", "b"]).filter(good)
+                found = estimate(left, right, *sizes)
+                arrays = [batch.column("a"), batch.column("b"), pa.array(found)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "estimate"]).filter(pa.array(found >= LEAST_ESTIMATE))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, estimate double")
 
 
 def shingle_set(data: bytes) -> set:
@@ -201,10 +203,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Components (node, label) of the nodes with a similar other text.
 
-    Buckets whose members are not yet known to be connected are worked on in rounds: a growing number of centres for each
-    bucket is compared with the members that are in other components. A centre that has met all is done. Once the pairs
-    across components are no more than the entries of all buckets, they are compared and nothing is left. So no link is
-    lost, and a group of copies, which its first centre connects, is never paired.
+    In rounds, every member of a bucket that is not yet connected meets a few centres of its buckets, and is compared in
+    full with the one that its registers put nearest. That is linear in the input and connects groups of copies, however
+    large, nearly whole. Then all pairs of a bucket that are still in different components are compared, so no link
+    between components is lost.
     """
     spark = docs.sparkSession
     sketches = keep(rows.join(nodes.select(F.col("node").alias("row"), F.col("node")), "row")
@@ -221,35 +223,34 @@ def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     label = spark.createDataFrame([], "node long, label long")
     proven = spark.createDataFrame([], "u long, v long")
     tested = spark.createDataFrame([], "a long, b long")
-    slots = 0
-    while True:
+    for turn in range(NEAREST_ROUNDS + 1):
         open_, cross = still_open(members, label, n_entries)
         if not cross:
             return label
-        if cross <= PAIRS_PER_ENTRY * n_entries and slots:  # what is left is linear in the input
-            other = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-            pairs = (open_.withColumnRenamed("node", "a").join(other, "bucket")
-                     .where((F.col("a") < F.col("b")) & (F.col("label") != F.col("lb"))))
-            centres = None
-        else:
-            slot = F.pmod(F.xxhash64("node"), F.lit(max(slots, 1))).alias("slot")
-            centres = keep(open_.groupBy("bucket", slot).agg(F.min(F.struct("node", "label")).alias("c"))
-                           .select("bucket", F.col("c.node").alias("a"), F.col("c.label").alias("la")))
-            pairs = (open_.join(centres, "bucket").where((F.col("node") != F.col("a")) & (F.col("label") != F.col("la")))
-                     .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")))
-        pairs = pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        if not slots:  # at first every member meets one centre, which settles most groups
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        pairs = keep(pairs)
-        proven = keep(proven.unionByName(verify(keep(likely(pairs, sketches)), texts)))
+        if turn == NEAREST_ROUNDS or (turn and cross <= PAIRS_PER_ENTRY * n_entries):
+            break
+        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(SLOTS)).alias("slot")
+        centres = open_.groupBy("bucket", slot).agg(F.min(F.struct("node", "label")).alias("c")).select(
+            "bucket", F.col("c.node").alias("a"), F.col("c.label").alias("la"))
+        met = open_.join(centres, "bucket").where((F.col("node") != F.col("a")) & (F.col("label") != F.col("la")))
+        few = F.slice(F.array_sort(F.collect_set("a")), 1, CENTRES)  # of BANDS * SLOTS at most
+        pairs = met.groupBy(F.col("node").alias("b")).agg(few.alias("a")).select(F.explode("a").alias("a"), "b")
+        pairs = likely(not_in(pairs, tested), sketches)
+        nearest = keep(pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b"))
+        proven = keep(proven.unionByName(verify(nearest, texts)))
+        tested = tested.unionByName(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         label = keep(connected(proven))
-        if centres is None:
-            return label
-        tested = tested.unionByName(pairs)
-        members = open_.select("bucket", "node")
-        if slots:
-            members = members.join(centres.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
-        slots = slots * SLOT_GROWTH if slots else 1
+    other = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
+    pairs = (open_.withColumnRenamed("node", "a").join(other, "bucket")
+             .where((F.col("a") < F.col("b")) & (F.col("label") != F.col("lb"))).select("a", "b").distinct())
+    left = keep(likely(not_in(pairs, tested), sketches).select("a", "b"))
+    return keep(connected(proven.unionByName(verify(left, texts))))
+
+
+def not_in(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs that were not compared yet, whichever way round."""
+    done = tested.select(F.col("a").alias("_lo"), F.col("b").alias("_hi")).distinct()
+    return pairs.join(done, (F.least("a", "b") == F.col("_lo")) & (F.greatest("a", "b") == F.col("_hi")), "left_anti")
 
 
 def still_open(members: DataFrame, label: DataFrame, total: int) -> tuple[DataFrame, int]:
@@ -306,14 +307,15 @@ def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs)
     gone = found.where(~F.col("first")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
     stays = found.where("first").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    rows = docs.withColumn("_d", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest"))
+    rows = docs.select(F.struct(*docs.columns).alias("r"), F.col("doc_id").alias("_i"),
+                       F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("_d"))
+    same = F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest"))
     kept = rows.join(gone, same, "left_anti")
     # Rows that repeat both identifier and text are on both lists; one of each stays.
     twice = keep(gone.distinct().intersect(stays))
     if twice.head(1):
-        kept = kept.unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_d"]))
-    return kept.select(*docs.columns)
+        kept = kept.unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["_i", "_d"]))
+    return kept.select("r.*")
 
 
 OP5_SQL = r"""
