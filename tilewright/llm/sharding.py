@@ -35,12 +35,16 @@ def _json(pairs: list[tuple[int, int]]) -> str:
     return "[" + ",".join(f'{{"h":{h},"d":{d}}}' for h, d in pairs) + "]"
 
 
-def _draw(rows: DataFrame, n: int) -> list[tuple[int, int]]:
-    """``n`` keys, drawn without replacement with probability by size: the smallest exponential arrival times."""
+def _draw(rows: DataFrame, n: int, total: int) -> list[tuple[int, int]]:
+    """About ``n`` keys, drawn with probability by size: those that arrive first when every byte arrives at rate 1.
+
+    Bytes arrive at the rate ``total`` in all, so ``n / total`` is the time by which about ``n`` are there; a key counts
+    once. No task sorts or sends more than its share.
+    """
     uniform = (F.pmod(F.xxhash64("_h", "_d", F.lit("draw")), F.lit(2 ** 40)) + 1) / float(2 ** 40 + 1)
     arrival = -F.log(uniform) / F.col("_size")
-    drawn = rows.where(F.col("_size") > 0).select("_h", "_d", arrival.alias("_t")).orderBy("_t", "_h", "_d").limit(n)
-    return sorted({(r["_h"], r["_d"]) for r in drawn.collect()})
+    drawn = rows.where((F.col("_size") > 0) & (arrival <= n / max(total, 1))).select("_h", "_d").distinct()
+    return sorted((r["_h"], r["_d"]) for r in drawn.collect())
 
 
 def _quantiles(sample: list[tuple[int, int]], parts: int) -> list[tuple[int, int]]:
@@ -61,7 +65,8 @@ def assign_shards(df: DataFrame, size: Column, shards: int = SHARDS, key: Column
                             "_d": F.xxhash64(*spark_tie) if spark_tie else F.xxhash64(*df.columns)})
     keyed = keep(keyed)
     n_ranges = shards * ranges_per_shard
-    splitters = _quantiles(_draw(keyed, n_ranges * DRAWS_PER_RANGE), n_ranges)
+    total_bytes = keyed.agg(F.sum("_size")).head()[0] or 0
+    splitters = _quantiles(_draw(keyed, n_ranges * DRAWS_PER_RANGE, total_bytes), n_ranges)
     point = F.struct(F.col("_h").alias("h"), F.col("_d").alias("d"))
 
     def totals(found: DataFrame) -> list:
@@ -72,13 +77,13 @@ def assign_shards(df: DataFrame, size: Column, shards: int = SHARDS, key: Column
     ranged = keyed.withColumn("_range", _splitter_column(splitters, point))
     per_range = totals(ranged)
     for _ in range(4):
-        mean = sum(r["bytes"] for r in per_range) / n_ranges
+        mean = total_bytes / n_ranges
         full = [r for r in per_range if r["bytes"] > OVERFULL * mean and r["low"] != r["high"]]
         more = {}
         if full:
             within = ranged.where(F.col("_range").isin([r["_range"] for r in full]))
             cuts = sum(int(r["bytes"] / mean) for r in full)
-            sample = _draw(within, cuts * DRAWS_PER_RANGE)
+            sample = _draw(within, cuts * DRAWS_PER_RANGE, sum(r["bytes"] for r in full))
             for r in full:
                 low, high = tuple(r["low"]), tuple(r["high"])
                 inside = [k for k in sample if low < k <= high]
@@ -90,7 +95,6 @@ def assign_shards(df: DataFrame, size: Column, shards: int = SHARDS, key: Column
         ranged = keyed.withColumn("_range", _splitter_column(splitters, point))
         per_range = totals(ranged)
 
-    total_bytes = sum(r["bytes"] for r in per_range)
     offsets, bytes_before, rows_before = [], 0, 0
     for r in per_range:
         offsets.append((r["_range"], bytes_before, rows_before))
@@ -130,9 +134,8 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def shard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every row it gets, with ``shard`` and ``slot``."""
-    columns = [c for c in docs.columns if c not in ("shard", "slot", "_size", "_h", "_d")]
-    narrow = docs.select(*columns)
-    tie = [F.col(c) for c in columns if c == "doc_id"] + [F.xxhash64(*columns)]
-    placed = assign_shards(narrow, document_size(F.col("text")), SHARDS, F.col("text"), tie)
-    return placed.select(*columns, "shard", "slot")
+    """Pipeline stage: every row it gets, with ``shard`` and ``slot`` in place of columns of those names."""
+    rows = docs.select(F.struct(*docs.columns).alias("r"), document_size(docs["text"]).alias("size"),
+                       F.xxhash64(docs["text"]).alias("text_hash"), docs["doc_id"].alias("id"))
+    placed = assign_shards(rows, F.col("size"), SHARDS, F.col("text_hash"), [F.col("id"), F.xxhash64("r")])
+    return placed.select(*[F.col("r")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
