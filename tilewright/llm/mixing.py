@@ -79,8 +79,30 @@ def mix(df: DataFrame, size: Column, source: Column, identity: list[Column], wei
              .rowsBetween(W.unboundedPreceding, W.currentRow))
     end = F.col("_before") + F.sum("_size").over(order)
     taken = (2 * end - F.col("_size") <= 2 * F.col("_part")) & (F.col("_part") > 0)
-    return (joined.withColumn("_copies", (F.col("_whole") + taken.cast("int")).cast("int"))
-            .drop("_source", "_digest", "_chunk", "_before", "_whole", "_part"))
+    placed = keep(joined.withColumn("_in", taken).drop("_before"))
+    flips = _nearest_flip(placed, filled.select("_s", "_c"))
+    flipped = F.col("_flip").isNotNull() != F.col("_in")
+    same = (F.col("_digest") == F.col("_fd")) & F.col("_source").eqNullSafe(F.col("_fs"))
+    return (placed.join(flips, same, "left").withColumn("_copies", (F.col("_whole") + flipped.cast("int")).cast("int"))
+            .drop("_source", "_digest", "_chunk", "_whole", "_part", "_in", "_flip", "_fd", "_fs"))
+
+
+def _nearest_flip(placed: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(_fs, _fd, _flip): source and digest of one document for each source that brings the source nearer to its target.
+
+    The order ends within half a document of the target, which may be a long one. The document whose size is nearest to
+    what is missing is taken too, or the one nearest to the excess is left out, if that helps.
+    """
+    got = F.sum(F.when(F.col("_in"), F.col("_size")).otherwise(0))
+    sums = placed.groupBy("_source", "_chunk").agg(got.alias("g"), F.max("_part").alias("p"))
+    missing = sums.groupBy("_source").agg((F.max("p") - F.sum("g")).alias("_missing")).withColumnRenamed("_source", "_m")
+    by_chunk = chunks.join(missing, F.col("_s").eqNullSafe(F.col("_m"))).drop("_m")
+    rows = placed.select("_source", "_chunk", "_digest", "_size", "_in").join(
+        by_chunk, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_chunk") == F.col("_c")))
+    gap = F.abs(F.abs("_missing") - F.col("_size"))
+    useful = (F.col("_in") == (F.col("_missing") < 0)) & (gap < F.abs("_missing"))
+    best = rows.where(useful).groupBy("_source").agg(F.min(F.struct(gap.alias("g"), "_digest")).alias("b"))
+    return best.select(F.col("_source").alias("_fs"), F.col("b._digest").alias("_fd"), F.lit(True).alias("_flip"))
 
 
 def word_count(text: Column) -> Column:
@@ -109,12 +131,17 @@ r as (select *, 2 * source_size as cap, (2 * source_size) / weight as ratio,
              1.5::double * sum(source_size) over () as budget from s),
 l as (select arg_min((budget - caps) / weights, ratio) filter (where ratio >= (budget - caps) / weights) as level from r),
 t as (select source, source_size, case when ratio < level then cap::double else weight * level end as target from r, l),
-p as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as whole from t)
-select doc_id, size, source_size, target,
-       (size * (whole + case when target - whole * source_size > 0 and
-           2 * sum(size) over (partition by d.source order by digest, size rows unbounded preceding) - size
-           <= 2 * (target - whole * source_size) then 1 else 0 end))::bigint as taken
-from d join p on d.source is not distinct from p.source
+p as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as whole from t),
+o as (select d.*, source_size, target, whole, target - whole * source_size as part,
+             target - whole * source_size > 0 and
+             2 * sum(size) over (partition by d.source order by digest, size rows unbounded preceding) - size
+             <= 2 * (target - whole * source_size) as chosen
+      from d join p on d.source is not distinct from p.source),
+m as (select *, part - sum(case when chosen then size else 0 end) over (partition by source) as missing from o),
+f as (select *, chosen = (missing < 0) and abs(abs(missing) - size) < abs(missing) as useful from m),
+x as (select *, useful and row_number() over (partition by source, useful order by abs(abs(missing) - size), digest) = 1
+             as flip from f)
+select doc_id, size, source_size, target, (size * (whole + (chosen != flip)::int))::bigint as taken from x
 """
 
 
