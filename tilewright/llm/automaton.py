@@ -75,6 +75,8 @@ class _Nfa:
 def _bytes_of(op, arg, fold: bool) -> frozenset[int]:
     if op is C.LITERAL:
         found = {arg}
+    elif op is C.NOT_LITERAL:
+        found = set(range(256)) - {arg}
     elif op is C.ANY:
         found = set(range(256)) - {10}
     elif op is C.IN:
