@@ -27,8 +27,9 @@ LEAST_SHARE = 4e-6
 LEAST_DIVERGENCE = 30.0
 END = 10
 FOLDS, HELD_OUT = 7, 2
-BLOCK_BYTES = 4 << 20
-VOCABULARY = 400_000      # distinct words of one local vocabulary
+BLOCK_BYTES = 512 << 10   # text whose grams are at hand at once; arrays are 8 times as large
+VOCABULARY = 200_000      # distinct words of one local vocabulary
+GRAMS_AT_ONCE = 1_000_000  # distinct grams that a task counts before it gives them away
 
 
 def grams_of(joined: bytes) -> np.ndarray:
@@ -75,21 +76,25 @@ def gram_blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np
 def gram_counts(train: DataFrame) -> DataFrame:
     """(gram, c): how often each symbol follows each context of ``DEPTH`` symbols."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, fresh = [], 0
 
-        def out() -> pa.RecordBatch:
+        def merged() -> tuple[np.ndarray, np.ndarray]:
             grams, inverse = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
-            counts = np.bincount(inverse, weights=np.concatenate([c for _, c in held])).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], names=["gram", "c"])
+            return grams, np.bincount(inverse, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["gram", "c"])
 
         for batch in batches:
             for grams, _, _ in gram_blocks([b" ".join(data.lower().split()) for data in text_bytes(batch)]):
                 held.append(np.unique(grams, return_counts=True))
-                size += len(held[-1][0])
-                if size > 4_000_000:
-                    yield out()
-                    held, size = [], 0
+                fresh += len(held[-1][0])
+                if fresh > GRAMS_AT_ONCE:
+                    held, fresh = [merged()], 0
+                    if len(held[0][0]) > GRAMS_AT_ONCE:
+                        yield out()
         if held:
+            held = [merged()]
             yield out()
 
     return train.select("text").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
