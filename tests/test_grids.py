@@ -84,6 +84,23 @@ def test_polygons(spark):
     assert sorted((p["x"], p["y"]) for p in thin[(30, 3)]["points"]) == [(3, 30), (3, 33), (8, 30), (8, 33)]
 
 
+def test_component_in_an_open_bay_stays_when_rings_are_thinned(spark):
+    mask = np.zeros((90, 90), dtype=bool)
+    mask[5:85, 5:85] = True
+    mask[20:70, 12:78] = False         # hole
+    mask[74:83, 44:46] = False         # bay, open to the outside below
+    mask[83:90, 44:46] = False
+    mask[76:80, 44:45] = False
+    mask[10:14, 10:14] = False         # a second hole
+    bay = np.zeros_like(mask)
+    mask[72:90, 30:60] = False
+    bay[76:88, 33:57] = True           # lies in the bay and touches nothing
+    comps = C.connected_components(cells_of(spark, {7: mask | bay}))
+    raw = {(r["comp_y"], r["comp_x"]) for r in PO.components_to_polygons(comps, 0.0, 0.0, 0.0).collect()}
+    thin = {(r["comp_y"], r["comp_x"]) for r in PO.components_to_polygons(comps, 20.0, 0.05).collect()}
+    assert (76, 33) in raw and (76, 33) in thin
+
+
 def test_outer_ring_visits_the_whole_outline():
     rng = np.random.default_rng(11)
     for _ in range(60):

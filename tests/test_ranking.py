@@ -50,12 +50,13 @@ def test_seeded_order_is_a_permutation(skewed):
 
 def test_smoothed_rate(spark):
     rng = np.random.default_rng(0)
-    rows = [(k, i, float(x)) for k, n in ((0, 3000), (1, 1), (2, 513)) for i, x in enumerate(rng.uniform(1, 60, n))]
+    rows = [(k, i, float(x)) for k, n in ((0, 3000), (1, 1), (2, 513), (3, 1100)) for i, x in enumerate(rng.uniform(1, 60, n))]
+    rows = [(k, i, 0.0 if k == 3 and i < 600 else x) for k, i, x in rows] + [(4, 0, 0.0), (4, 1, 10.0), (4, 2, 10.0), (5, 0, 0.0)]
     got = {(r["k"], r["i"]): r["smoothed"] for r in
            S.smoothed_rate(spark.createDataFrame(rows, "k int, i bigint, x double"), "k", "i", "x").collect()}
     state = {}
     for k, i, x in rows:
-        state[k] = x if k not in state else 0.9 * state[k] + 0.1 * x
+        state[k] = x if state.get(k, 0.0) <= 0 else 0.9 * state[k] + 0.1 * x
         assert got[(k, i)] == pytest.approx(state[k], rel=1e-12)
 
 
@@ -82,3 +83,15 @@ def test_decisions(spark):
     log = spark.createDataFrame([(1, 0, "a"), (2, 0, "n"), (3, 0, "D"), (4, 1, "d"), (5, 1, "A"), (6, 2, "p")], "seq int, image_idx int, key string")
     got = {r["image_idx"]: (r["state"], r["exported"]) for r in S.last_decisions(log).collect()}
     assert got == {0: ("reject", True), 1: ("accept", True)}
+
+
+def test_null_keys_keep_their_rows(spark):
+    rows = [(None, 1), (None, 2), ("a", 1), ("a", 2)]
+    got = number_rows(spark.createDataFrame(rows, "k string, v int"), ["k"], ["v"]).collect()
+    assert sorted((r["k"] or "", r["v"], r["rank"]) for r in got) == [("", 1, 1), ("", 2, 2), ("a", 1, 1), ("a", 2, 2)]
+
+
+def test_draws_reach_beyond_32_bits(spark):
+    from tilewright.functions.draws import draw_int, seeded_digest
+    got = spark.range(200).select(draw_int(seeded_digest(1, F.col("id")), F.lit(1 << 50)).alias("d")).collect()
+    assert max(r["d"] for r in got) > 1 << 48 and min(r["d"] for r in got) >= 0

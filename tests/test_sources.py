@@ -150,3 +150,15 @@ def test_projection_runs_are_kept_apart(spark):
     write_projection_run(spark.range(5), out, " ")
     write_projection_run(spark.range(2), out, "a")
     assert {r["run_key"]: r["count"] for r in spark.read.parquet(out).groupBy("run_key").count().collect()} == {"a": 2, "obj_umap": 5}
+
+
+def test_written_documents_read_back_whole(spark, tmp_path):
+    rec = spark.createDataFrame([("a", "a.png", 10, 20), ("b", "b.png", 5, 5)], "image_id string, image_name string, width int, height int")
+    points = [{"x": 0.0, "y": 0.0}, {"x": float(3), "y": 0.0}, {"x": 0.0, "y": 4.0}]
+    rows = [("a", i, f"l{i}", points) for i in range(7)]
+    shapes = spark.createDataFrame(rows, "image_id string, shape_idx int, label string, points array<struct<x:double,y:double>>")
+    shapes = shapes.select("image_id", "shape_idx", WR.shape_struct(F.col("label"), F.col("points")).alias("shape"))
+    WR.write_documents(WR.to_labelme(rec, shapes, shapes_per_doc=3), str(tmp_path / "out"))
+    got = {r["stem"]: r for r in RD.read_written_documents(spark, str(tmp_path / "out")).collect()}
+    assert set(got) == {"a", "b"} and [s["label"] for s in got["a"]["shapes"]] == [f"l{i}" for i in range(7)]
+    assert got["b"]["shapes"] == [] and got["a"]["imageWidth"] == 10

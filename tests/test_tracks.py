@@ -28,46 +28,62 @@ def make_frames(seed, streams=3, n=60):
     return rows
 
 
-def plain_fold(rows, rules):
-    """Frame by frame, written the way a single process does it."""
-    out = set()
-    for stream in {r[0] for r in rows}:
-        tracks, next_id, infer, last_save = [], 1, 0, -10 ** 9
-        for i, (_, f, _, dets) in enumerate(sorted(r for r in rows if r[0] == stream)):
-            if i and f % rules.infer_every:
-                continue
-            infer += 1
-            pairs = []
-            for ti, t in enumerate(tracks):
-                for di, d in enumerate(dets):
-                    a, b = t["box"], (d["x0"], d["y0"], d["x1"], d["y1"])
-                    iw, ih = max(0, min(a[2], b[2]) - max(a[0], b[0])), max(0, min(a[3], b[3]) - max(a[1], b[1]))
-                    inter = iw * ih
-                    v = inter / (800 - inter) if inter > 0 else 0.0
-                    if v >= rules.iou:
-                        pairs.append((v, ti, di))
-            pairs.sort(key=lambda p: p[0], reverse=True)
-            mt, md = set(), set()
-            for _, ti, di in pairs:
-                if ti in mt or di in md:
-                    continue
-                mt.add(ti), md.add(di)
-                d = dets[di]
-                tracks[ti].update(box=(d["x0"], d["y0"], d["x1"], d["y1"]), hits=tracks[ti]["hits"] + 1, miss=0, last=infer)
-            for ti, t in enumerate(tracks):
-                if ti not in mt:
-                    t["miss"] += 1
-            for di, d in enumerate(dets):
-                if di not in md:
-                    tracks.append({"id": next_id, "box": (d["x0"], d["y0"], d["x1"], d["y1"]), "hits": 1, "miss": 0, "last": infer})
-                    next_id += 1
-            tracks = [t for t in tracks if t["miss"] <= rules.max_miss]
-            lasting = [t["hits"] >= rules.persist and t["miss"] == 0 and t["last"] == infer for t in tracks]
-            save = any(lasting) and infer - last_save >= rules.cooldown
-            if save:
-                last_save = infer
-            out |= {(stream, f, infer, t["id"], round(t["box"][0], 6), t["hits"], t["miss"], p, save) for t, p in zip(tracks, lasting)}
-    return out
+def box_of(d):
+    return d["x0"], d["y0"], d["x1"], d["y1"]
+
+
+def overlap(a, b):
+    """By counting, on a grid of tenths; the boxes of these tests are 20 wide and start on any real number."""
+    shared = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    return shared / (2 * 400.0 - shared)
+
+
+def check_rules(rows, got, rules):
+    """The rules, read off the result: each scored frame's tracks against those of the frame before and its detections."""
+    frames = {}
+    for stream, index, _, detections in rows:
+        frames.setdefault(stream, {})[index] = [d for d in detections if len(d["poly"]) >= 3]
+    after = {}
+    for r in got:
+        after.setdefault((r["stream_id"], r["frame_idx"]), []).append(r)
+    assert {k[0] for k in after} <= set(frames)
+    for stream, by_index in frames.items():
+        first, highest, before, last_save = min(by_index), 0, {}, None
+        scored = [f for f in sorted(by_index) if f == first or f % rules.infer_every == 0]
+        for number, index in enumerate(scored, 1):
+            now = {r["track_id"]: r for r in after.pop((stream, index), [])}
+            detections = by_index[index]
+            assert all(r["infer_idx"] == number for r in now.values())
+            hit = {i: box_of(r) for i, r in now.items() if r["miss"] == 0}
+            assert sorted(hit.values()) == sorted(map(box_of, detections))  # every detection is one track
+            new = sorted(set(now) - set(before))
+            assert new == list(range(highest + 1, highest + 1 + len(new)))  # identifiers are never used again
+            highest += len(new)
+            assert all(now[i]["hits"] == 1 and now[i]["miss"] == 0 for i in new)
+            matched = {i: overlap(box_of(before[i]), hit[i]) for i in hit if i in before}
+            for i, old in before.items():
+                if i in matched:
+                    assert now[i]["hits"] == old["hits"] + 1 and matched[i] >= rules.iou
+                elif old["miss"] < rules.max_miss:
+                    assert (now[i]["miss"], now[i]["hits"], box_of(now[i])) == (old["miss"] + 1, old["hits"], box_of(old))
+                else:
+                    assert i not in now
+            of_detection = {box: matched.get(i, -1.0) for i, box in hit.items()}
+            for i, old in before.items():  # no free pair was better than both of the pairs that were taken instead
+                for box, taken in of_detection.items():
+                    value = overlap(box_of(old), box)
+                    assert value < rules.iou or value <= max(matched.get(i, -1.0), taken) + 1e-9
+            lasting = {i for i, r in now.items() if r["hits"] >= rules.persist and r["miss"] == 0}
+            assert lasting == {i for i, r in now.items() if r["persistent"]}
+            due = bool(lasting) and (last_save is None or number - last_save >= rules.cooldown)
+            assert {r["save"] for r in now.values()} <= {due}
+            last_save = number if due else last_save
+            before = now
+    assert not after
+
+
+def batch_set(spark, rows, rules=RULES):
+    return as_set(TR.track_frames(spark.createDataFrame(rows, FRAMES), rules))
 
 
 def as_set(df):
@@ -76,10 +92,10 @@ def as_set(df):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_batch_twin_equals_fold(spark, seed):
+def test_batch_twin_follows_the_rules(spark, seed):
     rows = make_frames(seed)
     df = spark.createDataFrame(rows, FRAMES).repartition(5)
-    assert as_set(TR.track_frames(df, RULES)) == plain_fold(rows, RULES)
+    check_rules(rows, TR.track_frames(df, RULES).collect(), RULES)
     assert TR.quiet_segments(TR.number_scored(df, RULES), RULES).select("segment").distinct().count() > 1
 
 
@@ -102,11 +118,11 @@ def run_stream(spark, path, out, max_files, checkpoint=None):
 
 
 @pytest.mark.parametrize("cuts, max_files", [((0, 60), 1), ((0, 7, 30, 31, 60), 1), ((0, 7, 30, 31, 60), 3)])
-def test_stream_equals_fold_for_any_cut(spark, cuts, max_files):
+def test_stream_equals_batch_for_any_cut(spark, cuts, max_files):
     rows = make_frames(9)
     out = tempfile.mkdtemp(prefix="spark-")
     run_stream(spark, write_parts(spark, rows, cuts), out, max_files)
-    assert as_set(spark.read.parquet(out)) == plain_fold(rows, RULES)
+    assert as_set(spark.read.parquet(out)) == batch_set(spark, rows)
 
 
 def test_restart_and_replayed_frames(spark):
@@ -116,7 +132,7 @@ def test_restart_and_replayed_frames(spark):
     spark.createDataFrame([r for r in rows if 20 < r[1]], FRAMES).coalesce(1).write.mode("append").parquet(path)
     run_stream(spark, path, out, 1, checkpoint)
     got = spark.read.parquet(out)
-    assert as_set(got) == plain_fold(rows, RULES)
+    assert as_set(got) == batch_set(spark, rows)
     assert got.agg({"late": "max"}).first()[0] == 10
     assert got.where("fps > 0").agg({"fps": "max"}).first()[0] == pytest.approx(25.0)
 
@@ -127,5 +143,19 @@ def test_save_sink_replaces_a_repeated_batch(spark):
     q = TR.save_documents(TR.track_stream(read_frame_stream(spark, path), RULES, idle_ms=None), out, cp).trigger(availableNow=True).start()
     q.awaitTermination()
     saved = spark.read.parquet(out)
-    want = {(s, f, t) for s, f, _, t, _, _, _, p, save in plain_fold(rows, RULES) if p and save}
+    want = {(s, f, t) for s, f, _, t, _, _, _, p, save in batch_set(spark, rows) if p and save}
     assert {(r["stream_id"], r["frame_idx"], r["track_id"]) for r in saved.collect()} == want
+
+
+def test_outlines_of_two_points_open_no_track(spark):
+    line = {"poly": [{"x": 0.0, "y": 0.0}, {"x": 20.0, "y": 20.0}], "x0": 0.0, "y0": 0.0, "x1": 20.0, "y1": 20.0}
+    full = {**line, "poly": [*line["poly"], {"x": 0.0, "y": 20.0}]}
+    rows = [(1, f, datetime(2024, 1, 1), [line] if f < 5 else [line, full]) for f in range(1, 9)]
+    got = TR.track_frames(spark.createDataFrame(rows, FRAMES), RULES).collect()
+    assert {r["track_id"] for r in got} == {1} and {r["frame_idx"] for r in got} == {6, 8}
+    check_rules(rows, got, RULES)
+
+
+def test_pairs_are_taken_best_first():
+    assert TR.pair_up(np.array([[0.5, 0.6], [0.55, 0.9]]), 0.25) == {1: 1, 0: 0}
+    assert TR.pair_up(np.array([[0.1, 0.2]]), 0.25) == {} and TR.pair_up(np.zeros((0, 2)), 0.1) == {}

@@ -22,5 +22,5 @@ def uniform(digest: Column, start: int = 1) -> Column:
 
 
 def draw_int(digest: Column, bound: Column, start: int = 1) -> Column:
-    """An integer in [0, bound) from eight hex digits of a digest."""
-    return digest_int(digest, start) % bound
+    """An integer in [0, bound) from fifteen hex digits of a digest, so bounds up to 2^60 are drawn whole."""
+    return digest_int(digest, start, 15) % bound

@@ -13,7 +13,7 @@ from tilewright.functions.draws import draw_int, seeded_digest
 from tilewright.functions.labels import SOURCE_PASTED
 from tilewright.operators.ranking import number_rows
 from tilewright.operators.raster import spans
-from tilewright.operators.selection import largest_per_image
+from tilewright.operators.selection import largest_per_image, min_area_filter
 from tilewright.session import pin
 
 #: Side of the buckets in which boxes look for each other, in pixels.
@@ -110,7 +110,7 @@ def paste_candidates(records: DataFrame, donors: DataFrame, ratios: DataFrame, r
              .where(F.col("_n") > 0)
              .withColumn("paste", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
              .withColumn("_h", seeded_digest(f"{rules.seed}:draw", F.col("image_id"), F.col("paste")))
-             .withColumns({"_d": draw_int(F.col("_h"), F.col("_nd"), 1), "_q": draw_int(F.col("_h"), F.col("_nq"), 9)})
+             .withColumns({"_d": draw_int(F.col("_h"), F.col("_nd"), 1), "_q": draw_int(F.col("_h"), F.col("_nq"), 17)})
              .drop("_nd", "_nq", "_n", "_one", "_h"))
     sized = (drawn.join(donors.drop("_nd"), "_d").join(ratios.drop("_nq"), "_q")
              .withColumn("_target", F.col("width").cast("double") * F.col("height") * F.col("ratio"))
@@ -126,7 +126,7 @@ def paste_candidates(records: DataFrame, donors: DataFrame, ratios: DataFrame, r
             .withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(rules.tries - 1))))
             .withColumn("_h", seeded_digest(f"{rules.seed}:place", F.col("image_id"), F.col("paste"), F.col("try")))
             .withColumn("x0", draw_int(F.col("_h"), F.col("width") - F.col("new_w") + 1, 1).cast("int"))
-            .withColumn("y0", (F.col("_y") + draw_int(F.col("_h"), F.greatest(F.lit(0), F.col("height") - F.col("new_h") - F.col("_y")) + 1, 9)).cast("int"))
+            .withColumn("y0", (F.col("_y") + draw_int(F.col("_h"), F.greatest(F.lit(0), F.col("height") - F.col("new_h") - F.col("_y")) + 1, 17)).cast("int"))
             .withColumns({"x1": F.col("x0") + F.col("new_w"), "y1": F.col("y0") + F.col("new_h")})
             .drop("_h", "_y", "width", "height"))
 
@@ -179,12 +179,17 @@ def plan_pastes(records: DataFrame, existing: DataFrame, donors: DataFrame, rati
             .mapInPandas(_accept(rules.max_iou), free.schema))
 
 
-def pasted_shapes(placed: DataFrame, donors: DataFrame, label: str) -> DataFrame:
-    """Placed donors as shapes: the outline scaled to the new size and moved to its place."""
+def pasted_shapes(placed: DataFrame, donors: DataFrame, label: str, min_area: float = 0.0) -> DataFrame:
+    """Placed donors as shapes: the outline scaled to the new size and moved to its place.
+
+    A placement whose scaled outline is below ``min_area`` keeps its place but gives no shape.
+    """
     source = donors.select(F.col("image_id").alias("donor_image"), F.col("shape_idx").alias("donor_shape"), "bbox_h",
                            "bbox_w", "outline")
     points = F.transform("outline", lambda p: G.point(p["x"] * F.col("new_w") / F.col("bbox_w") + F.col("x0"),
                                                       p["y"] * F.col("new_h") / F.col("bbox_h") + F.col("y0")))
-    return placed.join(source, ["donor_image", "donor_shape"]).select(
-        "image_id", "paste", F.lit(label).alias("label"), F.lit("polygon").alias("shape_type"), points.alias("points"),
+    scaled = placed.join(source, ["donor_image", "donor_shape"]).withColumn("points", points)
+    scaled = min_area_filter(scaled.withColumn("area", G.stats_area(G.outline_stats(F.col("points")))), min_area)
+    return scaled.select(
+        "image_id", "paste", F.lit(label).alias("label"), F.lit("polygon").alias("shape_type"), "points",
         F.create_map(F.lit("source"), F.lit(SOURCE_PASTED)).alias("flags"))

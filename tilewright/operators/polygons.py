@@ -107,7 +107,7 @@ def polygon_of(ys: np.ndarray, xs: np.ndarray, epsilon_frac: float, min_epsilon:
     filled = area + len(ring) / 2.0 + 1.0 if len(ring) > 1 else 1.0  # lattice points inside and on the ring
     eps = max(min_epsilon, epsilon_frac * perimeter)
     points = simplify_ring(corners_only(ring), eps) if eps > 0 and len(ring) > 2 else ring
-    return area, filled, points
+    return area, filled, points, ring
 
 
 def components_to_polygons(cells: DataFrame, min_area: float = 20.0, epsilon_frac: float = 0.002,
@@ -142,18 +142,19 @@ def components_to_polygons(cells: DataFrame, min_area: float = 20.0, epsilon_fra
             new[1:] |= a[1:] != a[:-1]
         at = np.concatenate([[0], np.flatnonzero(new), [len(pdf)]])
         ys, xs = pdf["gy"].to_numpy(), pdf["gx"].to_numpy()
-        out = {k: [] for k in (*keys, "area", "filled", "points")}
+        out = {k: [] for k in (*keys, "area", "filled", "points", "ring")}
         for lo, hi in zip(at[:-1], at[1:]):
-            area, filled, points = polygon_of(ys[lo:hi], xs[lo:hi], epsilon_frac, min_epsilon)
+            area, filled, points, ring = polygon_of(ys[lo:hi], xs[lo:hi], epsilon_frac, min_epsilon)
             for k, a in zip(keys, arrays):
                 out[k].append(a[lo])
             out["area"].append(area)
             out["filled"].append(filled)
-            out["points"].append([{"x": float(x), "y": float(y)} for x, y in points])
+            for name, line in (("points", points), ("ring", ring)):
+                out[name].append([{"x": float(x), "y": float(y)} for x, y in line])
         return pd.DataFrame(out)
 
     schema = (f"image_id {image_type}, comp_y int, comp_x int, area double, filled double, "
-              "points array<struct<x:double,y:double>>")
+              "points array<struct<x:double,y:double>>, ring array<struct<x:double,y:double>>")
     border = boundary_cells(cells.select(*keys, "gy", "gx"))
     traced = border.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(trace, schema)
     sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells"))
@@ -167,15 +168,15 @@ def components_to_polygons(cells: DataFrame, min_area: float = 20.0, epsilon_fra
 def _without_enclosed(polygons: DataFrame, keys: list[str]) -> DataFrame:
     """Leave out components whose naming cell lies inside another one's ring.
 
-    Only components with a hole, which hold fewer cells than their ring encloses, can enclose others. Their rings are
-    rasterised and met with the naming cells row by row.
+    Only components with a hole, which hold fewer cells than their ring encloses, can enclose others. Their rings, as
+    walked and not thinned, are rasterised and met with the naming cells row by row.
     """
     from tilewright.session import pin
 
     polygons = pin(polygons)
     holed = polygons.where(F.col("filled") > F.col("n_cells") + 0.5).select(
         F.col("image_id"), F.col("comp_y").alias("_oy"), F.col("comp_x").alias("_ox"),
-        F.transform("points", lambda p: F.struct((p["x"] + 0.5).alias("x"), (p["y"] + 0.5).alias("y"))).alias("points"))
+        F.transform("ring", lambda p: F.struct((p["x"] + 0.5).alias("x"), (p["y"] + 0.5).alias("y"))).alias("points"))
     frame = F.array_max(F.transform("points", lambda p: F.greatest(p["x"], p["y"]))).cast("int") + 1
     inside = spans(holed.withColumn("_f", frame), ["image_id", "_oy", "_ox"], "points", "_f", "_f")
     found = (polygons.select(*keys).join(inside, (polygons["image_id"] == inside["image_id"]) & (F.col("comp_y") == F.col("y")))

@@ -73,10 +73,7 @@ def seeded_rank(df: DataFrame, keys: Sequence[str], seed: int | str, by: Sequenc
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int | str, by: Sequence[str]) -> DataFrame:
-    """``n`` rows in seeded random order. Few rows come from a top-n, many from distributed ranks."""
-    if n <= 10_000:
-        digest = seeded_digest(seed, *[F.col(c) for c in by])
-        return df.orderBy(digest, *by).limit(n)
+    """The first ``n`` rows in seeded random order."""
     return seeded_rank(df, [], seed, by, "_rank").where(F.col("_rank") <= n).drop("_rank")
 
 

@@ -138,8 +138,6 @@ def cap_objects(objects: DataFrame, max_objects: int) -> DataFrame:
     """First ``max_objects`` objects in (file, shape) order; 0 keeps all."""
     if max_objects <= 0:
         return objects
-    if max_objects <= 10_000:
-        return objects.orderBy("image_id", "shape_idx").limit(max_objects)
     return (number_rows(objects, [], ["image_id", "shape_idx"], "_rank")
             .where(F.col("_rank") <= max_objects).drop("_rank"))
 
@@ -186,7 +184,9 @@ _RATE_BLOCK = 512
 
 
 def smoothed_rate(samples: DataFrame, key: str, index: str, value: str) -> DataFrame:
-    """``s = 0.9·s + 0.1·x`` per key in index order, starting with the first value; column ``smoothed``.
+    """``s = 0.9·s + 0.1·x`` per key in index order, starting with the first positive value; column ``smoothed``.
+
+    Values are rates and so never negative; before the first positive one the smoothed rate is 0.
 
     The recurrence is linear, so a block of 512 samples can be summed on its own with weights ``0.9^-i``. What a block
     inherits from the blocks before its predecessor is scaled by less than 0.9^512 ≈ 4e-24, below the precision of a
@@ -194,7 +194,9 @@ def smoothed_rate(samples: DataFrame, key: str, index: str, value: str) -> DataF
     """
     pos = (F.col(index) % _RATE_BLOCK).cast("double")
     block = F.expr(f"{index} div {_RATE_BLOCK}")
-    weight = F.when(F.col(index) == 0, F.lit(1.0)).otherwise(F.lit(1.0 - RATE_KEEP))
+    starts = samples.where(F.col(value) > 0).groupBy(key).agg(F.min(index).alias("_start")).withColumnRenamed(key, "_k")
+    samples = samples.join(starts, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+    weight = F.when(F.col(index) == F.col("_start"), F.lit(1.0)).otherwise(F.lit(1.0 - RATE_KEEP))
     inside = W.partitionBy(key, "_block").orderBy(index).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = (samples.withColumn("_block", block)
              .withColumn("_own", F.sum(weight * F.col(value) / F.pow(F.lit(RATE_KEEP), pos)).over(inside)
@@ -203,7 +205,7 @@ def smoothed_rate(samples: DataFrame, key: str, index: str, value: str) -> DataF
             .withColumn("_block", F.col("_block") + 1))
     return (local.join(ends, [key, "_block"], "left")
             .withColumn("smoothed", F.col("_own") + F.coalesce("_carry", F.lit(0.0)) * F.pow(F.lit(RATE_KEEP), pos + 1))
-            .drop("_block", "_own", "_carry"))
+            .drop("_block", "_own", "_carry", "_start"))
 
 
 def save_policy(results: DataFrame, save_empty: bool, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

@@ -263,10 +263,10 @@ def zoom_roi(tiles: DataFrame, scaled: DataFrame, tile_size: int, seed: int = 42
 
 
 def assert_positive_tiles(tiles: DataFrame, shapes: DataFrame, label: str) -> None:
-    """Raise, naming up to 50 labels that do occur, when no tile has a target object."""
+    """Raise, naming the labels that do occur, when no tile has a target object."""
     if tiles.where(F.col("is_object") == 1).limit(1).count() == 0:
         from tilewright.operators.profile import labels_seen
-        found = [r["label"] for r in labels_seen(shapes).limit(50).collect()]
+        found = [r["label"] for r in labels_seen(shapes).collect()]
         raise ValueError(f"no tile holds an object labelled {label!r}; labels found: {found}")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tilewright.functions import geometry as G
 from tilewright.functions.labels import SOURCE_BATCHED, SOURCE_OBJECT_TILE, file_stem, hashed_image_name, object_name
 from tilewright.operators import components as C
+from tilewright.operators.ranking import seeded_sample
 from tilewright.operators import embeddings as V
 from tilewright.operators import evaluate as E
 from tilewright.operators import export as X
@@ -90,9 +91,18 @@ def object_tile_conversion(records: DataFrame, shapes: DataFrame, label: str, ca
 
 def paste_dataset(records: DataFrame, shapes: DataFrame, donor_records: DataFrame, donor_shapes: DataFrame, label: str,
                   rules: PA.PasteRules = PA.PasteRules(), min_area: float = 20.0, low: float = 0.0005,
-                  high: float = 0.02, brightness: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Donor pool, size distribution, placement plan and the shapes with the pasted ones appended."""
+                  high: float = 0.02, brightness: DataFrame | None = None, max_images: int = 0, donor_max_images: int = 0,
+                  sample_seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Donor pool, size distribution, placement plan and the shapes with the pasted ones appended.
+
+    ``donor_max_images`` takes a seeded sample of the donor images, ``max_images`` the first images by identifier; 0 takes
+    all. Pasted shapes below ``min_area`` are not appended.
+    """
     records = S.valid_records(records)
+    if max_images > 0:
+        records = S.select_items(records, ["image_id"], max_items=max_images).drop("item_idx")
+    if donor_max_images > 0:
+        donor_records = seeded_sample(donor_records, donor_max_images, sample_seed, ["image_id"])
     donors = pin(PA.build_donor_pool(S.filter_labels(donor_shapes, [label]), donor_records, min_area))
     outlined = (S.filter_labels(shapes, [label]).withColumn("points", G.shape_to_points(F.col("shape_type"), F.col("points")))
                 .where(F.size("points") >= 3).withColumn("_s", G.outline_stats(F.col("points"))))
@@ -100,7 +110,7 @@ def paste_dataset(records: DataFrame, shapes: DataFrame, donor_records: DataFram
     ratios = S.size_ratio_filter(
         objects.join(records, "image_id").select(G.area_ratio(F.col("area"), F.col("width"), F.col("height")).alias("ratio")), low, high)
     placed = pin(PA.plan_pastes(records, objects, donors, ratios, rules, brightness))
-    pasted = PA.pasted_shapes(placed, donors, label)
+    pasted = PA.pasted_shapes(placed, donors, label, min_area)
     return placed, X.appended_shapes(shapes, pasted, "paste")
 
 

@@ -189,7 +189,7 @@ QUERIES["fps_ema"] = lambda s, d: S.smoothed_rate(_rates(s, d), "user_id", "idx"
 ORACLES["fps_ema"] = """
 with recursive v as (select user_id, row_number() over (partition by user_id order by event_id) - 1 as idx, value from events),
 ema as (select user_id, idx, value as s from v where idx = 0
-  union all select v.user_id, v.idx, 0.9::double * ema.s + 0.1::double * v.value from ema join v on v.user_id = ema.user_id and v.idx = ema.idx + 1)
+  union all select v.user_id, v.idx, case when ema.s <= 0 then v.value else 0.9::double * ema.s + 0.1::double * v.value end from ema join v on v.user_id = ema.user_id and v.idx = ema.idx + 1)
 select user_id, idx, round(s + 3.14159e-10::double, 6) as smoothed from ema"""
 
 QUERIES["select_items"] = lambda s, d: S.select_items(

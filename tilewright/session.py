@@ -51,12 +51,3 @@ def pin(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one task per core.
-
-    A small file with one row group is read by a single task, which would leave the other cores idle through every
-    CPU-bound projection above it. Scans that already have enough tasks, as all large ones do, are returned untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

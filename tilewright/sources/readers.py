@@ -16,7 +16,7 @@ IMAGE_EXTS = (".png", ".jpg", ".jpeg", ".gif", ".tif", ".tiff")
 
 
 def read_annotations(spark: SparkSession, path: str, on_corrupt: str = "fail") -> DataFrame:
-    """One row per ``*.json`` document (or per row of a Parquet copy): ``json_path, stem, json_bytes`` and its fields.
+    """One row per ``*.json`` document: ``json_path, stem, json_bytes`` and its fields.
 
     ``on_corrupt`` is ``fail`` or ``skip``. A document that is not an object with the expected types counts as corrupt.
     """
@@ -25,6 +25,26 @@ def read_annotations(spark: SparkSession, path: str, on_corrupt: str = "fail") -
     text = (spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
             .select(F.col("_metadata.file_path").alias("json_path"), F.col("_metadata.file_size").alias("json_bytes"),
                     F.col("value")))
+    return _parse_documents(text, on_corrupt)
+
+
+def read_written_documents(spark: SparkSession, path: str, on_corrupt: str = "fail") -> DataFrame:
+    """Documents that :func:`tilewright.sources.writers.write_documents` wrote, as :func:`read_annotations` gives them.
+
+    Continuation documents (``__partNNNN``) are put together again, shapes in their order.
+    """
+    rows = spark.read.schema("doc_name string, doc string").parquet(path)
+    docs = _parse_documents(rows.select(F.col("doc_name").alias("json_path"), F.octet_length("doc").cast("bigint").alias("json_bytes"),
+                                        F.col("doc").alias("value")), on_corrupt)
+    part = F.coalesce(F.expr("try_cast(nullif(regexp_extract(stem, '__part([0-9]+)$', 1), '') as int)"), F.lit(0))
+    whole = docs.withColumns({"_part": part, "stem": F.regexp_replace("stem", "__part[0-9]+$", "")})
+    pieces = F.array_sort(F.collect_list(F.struct("_part", "shapes")), lambda a, b: F.signum((a["_part"] - b["_part"]).cast("double")).cast("int"))
+    rest = [F.min_by(c, "_part").alias(c) for c in docs.columns if c not in ("stem", "shapes", "json_bytes")]
+    joined = whole.groupBy("stem").agg(*rest, F.sum("json_bytes").alias("json_bytes"), pieces.alias("_s"))
+    return joined.withColumn("shapes", F.flatten(F.transform("_s", lambda s: s["shapes"]))).select(*docs.columns)
+
+
+def _parse_documents(text: DataFrame, on_corrupt: str) -> DataFrame:
     mode = "FAILFAST" if on_corrupt == "fail" else "PERMISSIVE"
     schema = ANNOTATION_DOC
     if on_corrupt == "skip":
@@ -55,6 +75,12 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
                     F.col("image.data").alias("data")))
 
 
+def unreadable_images(spark: SparkSession, path: str) -> DataFrame:
+    """Paths of the images that :func:`read_pixels` leaves out because they can't be decoded."""
+    found = spark.read.format("image").load(path)
+    return found.where(F.col("image.width") < 0).select(F.col("image.origin").alias("path"))
+
+
 def pair_images(documents: DataFrame, images: DataFrame, policy: str = "preference",
                 exts: Sequence[str] = IMAGE_EXTS) -> DataFrame:
     """Documents with one image of the same stem: columns of ``documents`` plus ``image_path``.

@@ -13,6 +13,7 @@ import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -41,35 +42,40 @@ class Tracker:
     tracks: list = field(default_factory=list)
 
 
-def _iou(a, b) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return 0.0
-    size = [max(1.0, (r[2] - r[0]) * (r[3] - r[1])) for r in (a, b)]
-    return w * h / (size[0] + size[1] - w * h)
+def overlap_matrix(boxes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """IoU of every box with every other one; boxes below one pixel count as one pixel."""
+    if not len(boxes) or not len(others):
+        return np.zeros((len(boxes), len(others)))
+    a, b = boxes[:, None, :], others[None, :, :]
+    sides = np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2])
+    shared = np.where((sides > 0).all(axis=-1), sides.prod(axis=-1), 0.0)
+    size_a, size_b = (np.maximum(1.0, (x[..., 2:] - x[..., :2]).prod(axis=-1)) for x in (a, b))
+    return shared / (size_a + size_b - shared)
+
+
+def pair_up(overlap: np.ndarray, least: float) -> dict[int, int]:
+    """column -> row: the best free pair again and again, until none reaches ``least``."""
+    free, out = overlap.copy(), {}
+    while free.size:
+        row, column = np.unravel_index(free.argmax(), free.shape)
+        if free[row, column] < least:
+            break
+        out[int(column)] = int(row)
+        free[row, :] = free[:, column] = -1.0
+    return out
 
 
 def advance(state: Tracker, detections: Iterable[tuple], infer_idx: int, rules: TrackRules) -> None:
-    """Match detections ``(box, outline)`` to the tracks, best overlap first, and update the state in place."""
-    found = list(detections)
-    overlaps = [(_iou(t[1], d[0]), ti, di) for ti, t in enumerate(state.tracks) for di, d in enumerate(found)]
-    candidates = sorted((o for o in overlaps if o[0] >= rules.iou), key=lambda o: -o[0])
-    taken_t: set[int] = set()
-    taken_d: set[int] = set()
-    for _, ti, di in candidates:
-        if ti not in taken_t and di not in taken_d:
-            taken_t.add(ti)
-            taken_d.add(di)
-            old = state.tracks[ti]
-            state.tracks[ti] = [old[0], *found[di], old[3] + 1, 0, infer_idx]
-    for ti, track in enumerate(state.tracks):
-        if ti not in taken_t:
-            track[4] += 1
-    for di, det in enumerate(found):
-        if di not in taken_d:
-            state.tracks.append([state.next_id, *det, 1, 0, infer_idx])
-            state.next_id += 1
-    state.tracks = [t for t in state.tracks if t[4] <= rules.max_miss]
+    """Take the detections ``(box, outline)`` of a scored frame into the state. Outlines under three points don't count."""
+    found = [d for d in detections if len(d[1]) >= 3]
+    boxes = [np.array([box for box in side], dtype=float).reshape(-1, 4) for side in ([t[1] for t in state.tracks], [d[0] for d in found])]
+    partner = pair_up(overlap_matrix(*boxes), rules.iou)
+    seen = {row: found[column] for column, row in partner.items()}
+    aged = [[t[0], *seen[i], t[3] + 1, 0, infer_idx] if i in seen else [*t[:4], t[4] + 1, t[5]] for i, t in enumerate(state.tracks)]
+    fresh = [d for column, d in enumerate(found) if column not in partner]
+    opened = [[state.next_id + i, *d, 1, 0, infer_idx] for i, d in enumerate(fresh)]
+    state.next_id += len(opened)
+    state.tracks = [t for t in aged + opened if t[4] <= rules.max_miss]
 
 
 def is_persistent(track, infer_idx: int, rules: TrackRules) -> bool:
