@@ -165,7 +165,7 @@ class Index:
                 owners.append(len(self.items))
                 offsets.append(offset)
                 rows.append(self.project(part[None, :] & (BUCKETS - 1))[0])
-            self.items.append((item, _masks(words.tolist()), len(words), _masks(asked.tolist()), len(asked)))
+            self.items.append((item, words.tolist(), _masks(words.tolist()), asked.tolist()))
         self.owners, self.offsets = np.array(owners), np.array(offsets)
         self.latent = _unit(np.array(rows)).astype(np.float32) if rows else np.zeros((0, 0), np.float32)
 
@@ -175,6 +175,20 @@ class Index:
         weight = np.where(row >= 0, self.idf[windows], 0.0)
         return np.einsum("nw,nwk->nk", weight, self.space[row])
 
+    def compare(self, k: int, words: np.ndarray, begin: int) -> tuple[int, bool] | None:
+        """(common words, answer found) of item ``k`` and the text where it would begin, if that is a leak."""
+        _, item, masks, asked = self.items[k]
+        slack = PASSAGE + len(item) // 4
+        near = words[max(0, begin - slack):max(0, begin + len(item) + slack)].tolist()
+        present = set(near)
+        if sum(map(present.__contains__, item)) < LEAST_PARAPHRASE * len(item):
+            return None  # no common subsequence is longer than that
+        common = common_subsequence(masks, len(item), near)
+        if common < LEAST_PARAPHRASE * len(item):
+            return None
+        answer = common_subsequence(_masks(asked), len(asked), near) >= LEAST_ANSWER * len(asked)
+        return (common, answer) if answer or common >= LEAST_COMMON * len(item) else None
+
     def hits(self, words: np.ndarray) -> Iterator[tuple]:
         """(item, cosine, common words, share of the item, answer found): the best for each item."""
         if not len(words) or not len(self.latent):
@@ -195,18 +209,19 @@ class Index:
             latent = _unit(self.project(np.where(at < n, bucket[np.minimum(at, n - 1)], -1))).astype(np.float32)
             for first in range(0, len(self.latent), 8192):
                 cosine = latent @ self.latent[first:first + 8192].T
-                for w, p in zip(*np.nonzero(cosine >= LEAST_COSINE)):
-                    k, begin = self.owners[first + p], some[w] - self.offsets[first + p]
-                    item, masks, length, asked, asked_length = self.items[k]
-                    slack = PASSAGE + length // 4
-                    near = words[max(0, begin - slack):max(0, begin + length + slack)].tolist()
-                    common = common_subsequence(masks, length, near)
-                    answer = common_subsequence(asked, asked_length, near) >= LEAST_ANSWER * asked_length
-                    if common >= LEAST_COMMON * length or (answer and common >= LEAST_PARAPHRASE * length):
-                        found = (common, float(cosine[w, p]), bool(answer))
+                window, passage = np.nonzero(cosine >= LEAST_COSINE)
+                near = {}  # windows and passages that place the item alike count once, with their best cosine
+                for k, begin, value in zip(self.owners[first + passage].tolist(),
+                                           (some[window] - self.offsets[first + passage]).tolist(),
+                                           cosine[window, passage].tolist()):
+                    near[k, begin] = max(value, near.get((k, begin), 0.0))
+                for (k, begin), value in near.items():
+                    found = self.compare(k, words, begin)
+                    if found:
+                        found = (found[0], value, found[1])
                         best[k] = max(best.get(k, found), found)
         for k, (common, cosine, answer) in best.items():
-            yield self.items[k][0], cosine, common, common / self.items[k][2], answer
+            yield self.items[k][0], cosine, common, common / len(self.items[k][1]), answer
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
