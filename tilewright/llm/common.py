@@ -65,7 +65,7 @@ def _arrow(kind: T.DataType) -> pa.DataType:
         return pa.list_(_arrow(kind.elementType))
     if isinstance(kind, T.StructType):
         return pa.struct([(f.name, _arrow(f.dataType)) for f in kind.fields])
-    return {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(),
+    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(),
             "binary": pa.binary(), "boolean": pa.bool_()}[kind.simpleString()]
 
 

@@ -3,11 +3,11 @@
 A document's set is its distinct five-word shingles. Every shingle is a Poisson process of points, each of which falls on
 one of ``REGISTERS`` registers; a register keeps its smallest point on a logarithmic scale (base ``BASE``, cut to 16
 bits). Equal registers happen about as often as the Jaccard similarity, and a sketch of a union is the maximum of the
-registers. Bands of four registers nominate pairs, the likelihood of the counts of larger, equal and smaller registers
+registers. Bands of six registers nominate pairs, the likelihood of the counts of larger, equal and smaller registers
 rules out dissimilar ones, and full sets decide.
 
-At similarity 0.75, 32 bands of four registers miss a pair with probability (1 - 0.75^4)^32 = 5e-6; the likelihood test
-at 0.5 is more than six standard errors away.
+At similarity 0.75, 48 bands of six registers miss a pair with probability (1 - 0.75^6)^48 = 8e-5; the likelihood test
+at 0.6 is about six standard errors away.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ from tilewright.llm.components import connected
 
 SHINGLE = 5
 LEAST_PERCENT = 75
-REGISTERS, ROWS, BANDS = 128, 4, 32
+ROWS, BANDS = 6, 48
+REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 65_535
-LEAST_ESTIMATE = 0.5
+LEAST_ESTIMATE = 0.6
 NEAREST_ROUNDS = 3       # rounds in which members meet centres
 SLOTS, CENTRES = 2, 4    # centres of a bucket, and those that a member meets, in each round
 PAIRS_PER_ENTRY = 0.02   # pairs across components for each bucket entry, from which no more rounds are needed
@@ -76,7 +77,7 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
         draw = _mix(element + np.uint64(shift))
         uniform = ((draw >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0 ** -53
         at = at - np.log(uniform) / (RATE * REGISTERS)
-        register = (_mix(draw) & np.uint64(REGISTERS - 1)).astype(np.int64)
+        register = (_mix(draw) % np.uint64(REGISTERS)).astype(np.int64)
         np.minimum.at(minima, owner * REGISTERS + register, at)
         limit = minima.reshape(n, REGISTERS).max(axis=1)  # later points only matter below the largest minimum
         open_ = at < limit[owner]
@@ -86,13 +87,12 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sketch_batch(batch: pa.RecordBatch) -> dict:
-    hashes, sizes, bands = _Words(), [], []
+    hashes, sizes, registers = _Words(), [], []
     waiting: list[np.ndarray] = []
 
     def flush() -> None:
         if waiting:
-            packed = sketch(waiting).view(np.int64)
-            bands.extend(packed.tolist())
+            registers.extend(sketch(waiting).view(np.int16))
             waiting.clear()
 
     held = 0
@@ -104,12 +104,12 @@ def _sketch_batch(batch: pa.RecordBatch) -> dict:
             held += len(found)
         else:
             flush()
-            bands.append(None)
+            registers.append(None)
         if held >= BATCH_ELEMENTS or len(waiting) >= 4096:
             flush()
             held = 0
     flush()
-    return {"n_shingles": sizes, "bands": bands}
+    return {"n_shingles": sizes, "registers": registers}
 
 
 def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -131,7 +131,7 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
 def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b, estimate) whose sizes allow the similarity and whose registers make it likely."""
     def side(x: str) -> DataFrame:
-        return sketches.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("bands").alias(f"s{x}"))
+        return sketches.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("registers").alias(f"s{x}"))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(
         100 * F.least("na", "nb") >= LEAST_PERCENT * F.greatest("na", "nb"))
@@ -139,7 +139,7 @@ def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                left, right = (np.asarray(batch.column(c).flatten(), np.int64).reshape(-1, BANDS).view(np.uint16)
+                left, right = (np.asarray(batch.column(c).flatten()).view(np.uint16).reshape(-1, REGISTERS)
                                for c in ("sa", "sb"))
                 sizes = (np.asarray(batch.column(c), np.float64) for c in ("na", "nb"))
                 found = estimate(left, right, *sizes)
@@ -154,13 +154,15 @@ def shingle_set(data: bytes) -> set:
     return set(zip(*(words[i:] for i in range(SHINGLE)))) if len(words) >= SHINGLE else {tuple(words)} if words else set()
 
 
-def similar(a: set, b: set) -> bool:
+def compared(a: set, b: set) -> tuple[bool, float]:
+    """(linked, Jaccard distance)."""
     common = len(a & b)
-    return common > 0 and 100 * common >= LEAST_PERCENT * (len(a) + len(b) - common)
+    union = len(a) + len(b) - common
+    return common > 0 and 100 * common >= LEAST_PERCENT * union, 1 - common / max(1, union)
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar by their full sets.
+    """(u, v, linked, distance) of the pairs (a, b), by their full sets.
 
     Rows are sorted so that a centre's text comes right before its members'; a task holds one centre's set at a time. A
     centre with many members is copied for every ``MEMBERS_PER_TASK`` of them.
@@ -176,24 +178,26 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre: set = set()
         for batch in batches:
-            out_a, out_b = [], []
+            out = []
             nodes = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())
             for (a, b), data in zip(nodes, text_bytes(batch)):
                 if b is None:
                     centre = shingle_set(data)
-                elif similar(centre, shingle_set(data)):
-                    out_a.append(a)
-                    out_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["u", "v"])
+                else:
+                    out.append((a, b, *compared(centre, shingle_set(data))))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.float64())
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                             names=["u", "v", "linked", "distance"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(run, "u long, v long, linked boolean, distance double")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, row, digest, n_shingles, bands; nodes: digest, node, _n). Equal texts are one node."""
+    """(rows: doc_id, row, digest, n_shingles, registers; nodes: digest, node, _n). Equal texts are one node."""
     rows = per_batch(docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")),
                      _sketch_batch, ["doc_id", "digest"],
-                     [("n_shingles", T.LongType()), ("bands", T.ArrayType(T.LongType()))])
+                     [("n_shingles", T.LongType()), ("registers", T.ArrayType(T.ShortType()))])
     rows = keep(rows.withColumn("row", F.monotonically_increasing_id()))
     nodes = (rows.where("n_shingles > 0").groupBy("digest")
              .agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("_n")))
@@ -204,14 +208,17 @@ def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Components (node, label) of the nodes with a similar other text.
 
     In rounds, every member of a bucket that is not yet connected meets a few centres of its buckets, and is compared in
-    full with the one that its registers put nearest. That is linear in the input and connects groups of copies, however
-    large, nearly whole. Then all pairs of a bucket that are still in different components are compared, so no link
-    between components is lost.
+    full with one: at first with the smallest, which becomes its pivot, then with that which its registers put nearest.
+    This is linear in the input and connects groups of copies, however large. Then the pairs of a bucket that are still
+    in different components are compared, so no link between components is lost. Jaccard distance is a metric: two
+    members whose distances to one pivot differ by more than 0.25 can't be linked and are left out.
     """
     spark = docs.sparkSession
     sketches = keep(rows.join(nodes.select(F.col("node").alias("row"), F.col("node")), "row")
-                    .select("node", "doc_id", "digest", "n_shingles", "bands"))
-    entries = sketches.select("node", F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("bucket"))
+                    .select("node", "doc_id", "digest", "n_shingles", "registers"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
+                        lambda i: F.xxhash64(i, F.slice("registers", i * ROWS + 1, ROWS)))
+    entries = sketches.select("node", F.explode(bands).alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     n_entries = sketches.count() * BANDS
     members = keep(join_groups(entries, shared, "bucket", n_entries))
@@ -235,16 +242,28 @@ def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
         met = open_.join(centres, "bucket").where((F.col("node") != F.col("a")) & (F.col("label") != F.col("la")))
         few = F.slice(F.array_sort(F.collect_set("a")), 1, CENTRES)  # of BANDS * SLOTS at most
         pairs = met.groupBy(F.col("node").alias("b")).agg(few.alias("a")).select(F.explode("a").alias("a"), "b")
-        pairs = likely(not_in(pairs, tested), sketches)
-        nearest = keep(pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b"))
-        proven = keep(proven.unionByName(verify(nearest, texts)))
+        if turn:
+            pairs = likely(not_in(pairs, tested), sketches)
+            nearest = keep(pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b"))
+        else:
+            nearest = keep(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        results = keep(verify(nearest, texts))
+        if not turn:
+            own = results.select(F.col("v").alias("node"), F.col("u").alias("pivot"), "distance")
+            heads = results.select(F.col("u").alias("node")).distinct().join(own, "node", "left_anti")
+            pivots = keep(own.unionByName(heads.select("node", F.col("node").alias("pivot"), F.lit(0.0).alias("distance"))))
+        proven = proven.unionByName(results.where("linked").select("u", "v"))
         tested = tested.unionByName(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         label = keep(connected(proven))
-    other = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-    pairs = (open_.withColumnRenamed("node", "a").join(other, "bucket")
-             .where((F.col("a") < F.col("b")) & (F.col("label") != F.col("lb"))).select("a", "b").distinct())
+    placed = open_.join(pivots, "node", "left")
+    other = placed.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("pivot").alias("pb"),
+                          F.col("distance").alias("db"))
+    apart = (F.col("pivot") == F.col("pb")) & (F.abs(F.col("distance") - F.col("db")) > 1 - LEAST_PERCENT / 100 + 1e-9)
+    pairs = (placed.withColumnRenamed("node", "a").join(other, "bucket")
+             .where((F.col("a") < F.col("b")) & (F.col("label") != F.col("lb")) & ~F.coalesce(apart, F.lit(False)))
+             .select("a", "b").distinct())
     left = keep(likely(not_in(pairs, tested), sketches).select("a", "b"))
-    return keep(connected(proven.unionByName(verify(left, texts))))
+    return keep(connected(proven.unionByName(verify(left, texts).where("linked").select("u", "v"))))
 
 
 def not_in(pairs: DataFrame, tested: DataFrame) -> DataFrame:
