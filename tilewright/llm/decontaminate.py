@@ -12,7 +12,7 @@ The space is fitted on all benchmark passages; every document is searched whole.
 
 from __future__ import annotations
 
-import zlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,31 +31,73 @@ LEAST_PARAPHRASE = 0.5     # the same, when the answer is found
 LEAST_ANSWER = 0.8         # of the answer's words, in order
 ANSWER_WORDS = 6           # an item without an answer of its own: its last words
 ITEMS_PER_BLOCK = 10_000
+BLOCK_BYTES = 1 << 20
 _EDGE = b".,;:!?\"'()[]{}"
 
 
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        value = self[word] = zlib.crc32(word.strip(_EDGE))
-        return value
-
-
-def word_ids(data: bytes, ids: _Ids) -> np.ndarray:
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_SOLID = np.ones(256, bool)  # bytes that neither part words nor fall off at their ends
+_SOLID[list(b" \t\n\v\f\r" + _EDGE)] = False
+_FACTOR = 0x9E3779B97F4A7C15
+_POWERS, _INVERSES = (np.concatenate([[np.uint64(1)], np.full(BLOCK_BYTES, x, np.uint64)]).cumprod(dtype=np.uint64)
+                      for x in (_FACTOR, pow(_FACTOR, -1, 2 ** 64)))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if n <= len(_POWERS):
+        return _POWERS[:n], _INVERSES[:n]
+    return tuple(np.concatenate([[np.uint64(1)], np.full(n - 1, x, np.uint64)]).cumprod(dtype=np.uint64)
+                 for x in (_FACTOR, pow(_FACTOR, -1, 2 ** 64)))
+
+
+def _block_ids(data: bytes) -> np.ndarray:
+    """Polynomial hashes (modulo 2^64) of the words of lower-case bytes, by differences of prefix sums."""
+    codes = np.frombuffer(data, np.uint8)
+    blank = np.ones(len(codes) + 2, bool)
+    blank[1:-1] = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    begins, ends = edges[::2], edges[1::2]
+    solid = np.flatnonzero(_SOLID[codes])
+    if not len(solid):
+        return np.zeros(len(begins), np.int64)
+    before = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(_SOLID[codes], out=before[1:])
+    first, last = before[begins], before[ends]
+    some = last > first  # others are nothing but edge characters
+    begins = np.where(some, solid[np.minimum(first, len(solid) - 1)], 0)
+    ends = np.where(some, solid[last - 1] + 1, 0)
+    powers, inverses = _powers(len(codes))
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
+    value = (sums[ends] - sums[begins]) * inverses[begins]
+    return ((value ^ (value >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(1)).astype(np.int64)
+
+
+def word_ids(data: bytes) -> np.ndarray:
+    """A hash for each word of the text, without the punctuation at its ends; equal words have equal hashes.
+
+    Long texts are taken in blocks of ``BLOCK_BYTES``, cut between words.
+    """
     lower = data.lower() if data.isascii() else data.decode("utf-8", "replace").lower().encode()
-    words = lower.split()
-    return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+    if len(lower) <= BLOCK_BYTES:
+        return _block_ids(lower)
+    parts, at = [], 0
+    while at < len(lower):
+        gap = _SPACE.search(lower, at + BLOCK_BYTES - 1)
+        end = gap.end() if gap else len(lower)
+        parts.append(_block_ids(lower[at:end]))
+        at = end
+    return np.concatenate(parts)
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """(documents with a word of the bucket, documents), of all documents; ``BUCKETS`` sums reach the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts, rows = _Ids(), np.zeros(BUCKETS, np.int64), 0
+        counts, rows = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
             for data in text_bytes(batch):
-                counts[np.unique(word_ids(data, ids) & (BUCKETS - 1))] += 1
+                counts[np.unique(word_ids(data) & (BUCKETS - 1))] += 1
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(counts[used], rows))],
                                          names=["bucket", "n"])
@@ -84,18 +126,18 @@ def latent_space(items: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndar
     A product with the matrix and its transpose is one Spark job: tasks multiply their own passages and Spark adds the
     parts by bucket. The driver orthonormalises ``RANK + OVERSAMPLE`` columns over the benchmark's buckets.
     """
-    def rows_of(batch: pa.RecordBatch, ids: _Ids) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for data in text_bytes(batch):
-            for _, words in passages_of(word_ids(data, ids)):
+            for _, words in passages_of(word_ids(data)):
                 if len(words):
                     buckets, often = np.unique(words & (BUCKETS - 1), return_counts=True)
                     weight = often * idf[buckets]
                     yield buckets, weight / max(np.linalg.norm(weight), 1e-12)
 
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, seen = _Ids(), np.zeros(BUCKETS, bool)
+        seen = np.zeros(BUCKETS, bool)
         for batch in batches:
-            for buckets, _ in rows_of(batch, ids):
+            for buckets, _ in rows_of(batch):
                 seen[buckets] = True
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], names=["bucket"])
 
@@ -108,9 +150,9 @@ def latent_space(items: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndar
         shared = items.sparkSession.sparkContext.broadcast(basis)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, out = _Ids(), np.zeros_like(shared.value)
+            out = np.zeros_like(shared.value)
             for batch in batches:
-                for b, weight in rows_of(batch, ids):
+                for b, weight in rows_of(batch):
                     rows = place[b]
                     out[rows] += weight[:, None] * (weight @ shared.value[rows])
             some = np.flatnonzero(out.any(axis=1))
@@ -152,13 +194,13 @@ class Index:
     """What a task needs to search a text for one block of items."""
 
     def __init__(self, items: list[tuple], idf: np.ndarray, buckets: np.ndarray, space: np.ndarray):
-        ids, self.items, owners, offsets, rows = _Ids(), [], [], [], []
+        self.items, owners, offsets, rows = [], [], [], []
         self.idf, self.space = idf, space
         self.place = np.full(BUCKETS, -1, np.int32)
         self.place[buckets] = np.arange(len(buckets))
         for item, text, answer in items:
-            words = word_ids((text or "").encode(), ids)
-            asked = word_ids((answer or "").encode(), ids) if answer else words[-ANSWER_WORDS:]
+            words = word_ids((text or "").encode())
+            asked = word_ids((answer or "").encode()) if answer else words[-ANSWER_WORDS:]
             if not len(words):
                 continue
             for offset, part in passages_of(words):
@@ -256,8 +298,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for shared in indexes(docs, benchmark):
         def work(batch: pa.RecordBatch, shared=shared) -> dict:
-            ids, names = _Ids(), hit.names
-            return {"hits": [[dict(zip(names, h)) for h in shared.value.hits(word_ids(data, ids))]
+            names = hit.names
+            return {"hits": [[dict(zip(names, h)) for h in shared.value.hits(word_ids(data))]
                              for data in text_bytes(batch)]}
 
         found = per_batch(docs.select("doc_id", "text"), work, ["doc_id"], [("hits", T.ArrayType(hit))])
@@ -278,8 +320,7 @@ def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     for shared in indexes(docs, table(spark, sf_dir, "benchmark")):
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = _Ids()
-                good = [next(shared.value.hits(word_ids(data, ids)), None) is None for data in text_bytes(batch)]
+                good = [next(shared.value.hits(word_ids(data)), None) is None for data in text_bytes(batch)]
                 yield batch.filter(pa.array(good, pa.bool_()))
 
         clean = clean.mapInArrow(run, docs.schema)
