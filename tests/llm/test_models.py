@@ -280,3 +280,13 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert set(seen["decontamination"]) == {i for i, t in texts.items() if not any(q in t for q in items)}
     assert seen["mixing"] == seen["sharding"] and max(seen["mixing"].values()) <= 2
     assert corpus_pipeline.run(spark, SF).count() == sum(seen["sharding"].values())
+
+
+def test_word_hashes_part_words_and_drop_their_edges(monkeypatch):
+    texts = [cases.prose(i, 300) for i in range(20)] + ["", "  ", ".", " ... A!", "\v(x)\f É é, \t\nz" + "y" * 90, "a a. (A)"]
+    plain = [[w.strip(decontaminate._EDGE) for w in t.lower().encode().split()] for t in texts]
+    hashes = [decontaminate.word_ids(t.encode()).tolist() for t in texts]
+    pairs = {(w, h) for ws, hs in zip(plain, hashes, strict=True) for w, h in zip(ws, hs, strict=True)}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 50)  # long texts are taken in blocks
+    assert [decontaminate.word_ids(t.encode()).tolist() for t in texts] == hashes
