@@ -1,8 +1,9 @@
 """Sharding and mixing."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,19 @@ def test_one_source_takes_all_of_its_budget(spark):
     docs = spark.range(50).select(F.lit("s").alias("source"), "id", F.lit(4).alias("n"))
     got = mixing.mix(docs, F.col("n"), F.col("source"), [F.col("id")]).agg(F.sum(F.col("_copies") * 4)).head()[0]
     assert got == 300
+
+
+def test_many_rows_under_one_identity_flip_one_at_most(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "s" if i % 4 else "t", "w " * (3 + i * 7 % 11 + (500 if i % 97 == 5 else 0))) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    path = cases.save(spark, tmp_path, docs)
+    got = mixing.op8(spark, path).collect()
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{path}/documents.parquet/*.parquet')")
+    assert Counter(tuple(r) for r in got) == Counter(con.execute(mixing.OP8_SQL).fetchall())
+    taken = Counter()
+    for r in got:
+        taken[r["source_size"], r["target"]] += r["taken"]
+    assert all(abs(n - target) <= 256 for (_, target), n in taken.items())
+    staged = Counter(r["source"] for r in mixing.mix_stage(spark, docs, "").select("source", F.explode(F.split(F.trim("text"), " "))).collect())
+    assert sorted(staged.values()) == sorted(taken.values())

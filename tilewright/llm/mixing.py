@@ -7,18 +7,15 @@ passes over its documents plus a fraction; the fraction is taken in a seeded ord
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tilewright.llm.common import WORD, keep, table
-from tilewright.operators.ranking import number_rows
+from tilewright.operators.ranking import cut_by_range, number_rows
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MAX_EPOCHS = 2
 SEED = "mix"
-ROWS_PER_CHUNK = 100_000
 
 
 def water_level(sources: DataFrame, budget: float) -> tuple[float, float]:
@@ -42,18 +39,19 @@ def water_level(sources: DataFrame, budget: float) -> tuple[float, float]:
 
 
 def mix(df: DataFrame, size: Column, source: Column, identity: list[Column], weights: tuple[int, ...] = WEIGHTS,
-        budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+        budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: str = SEED, tie: Column | None = None) -> DataFrame:
     """Add ``_size``, ``_source_size``, ``_target``, ``_copies`` to every row.
 
     Sources are taken by code point with null last and get ``weights`` in turn; they share ``budget`` times all sizes.
-    ``identity`` tells rows apart; rows equal in it and in size are interchangeable. A source of size 0 has target 0 and
-    its documents no copies. Documents come in the order of their digest, in chunks by its first digits, so one source
-    may hold any share of the rows. Empty input gives no rows.
+    Documents come in the order of the digest of their ``identity``, then of size, ``tie`` and a row number, in chunks
+    that are ranges of that order; so one source, or one identity, may hold any share of the rows. Rows equal in all but
+    the number are interchangeable. A source of size 0 has target 0 and its documents no copies. Empty input gives no rows.
     """
     digest = F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("null")) for c in identity]))
-    rows = keep(df.withColumns({"_size": size.cast("long"), "_source": source, "_digest": digest}))
-    digits = max(1, math.ceil(math.log(max(1, rows.count() / ROWS_PER_CHUNK), 16)))
-    rows = rows.withColumn("_chunk", F.substring("_digest", 1, digits))
+    whole_rows = keep(df.withColumns({"_size": size.cast("long"), "_source": source, "_digest": digest,
+                                      "_tie": F.lit(0) if tie is None else tie, "_row": F.monotonically_increasing_id()}))
+    order = ["_digest", "_size", "_tie", "_row"]
+    rows = cut_by_range(whole_rows.select("_source", *order), ["_source"], order)
     per_chunk = keep(rows.groupBy("_source", "_chunk").agg(F.sum("_size").alias("_in_chunk")))
     sizes = per_chunk.groupBy("_source").agg(F.sum("_in_chunk").alias("_source_size"))
     ordered = sizes.withColumn("_null", F.col("_source").isNull())
@@ -75,20 +73,21 @@ def mix(df: DataFrame, size: Column, source: Column, identity: list[Column], wei
     filled = filled.join(s, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s", "_in_chunk")
     filled = filled.withColumnsRenamed({"_source": "_s", "_chunk": "_c"})
     joined = rows.join(filled, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_chunk") == F.col("_c"))).drop("_s", "_c")
-    order = (W.partitionBy("_source", "_chunk").orderBy("_digest", "_size")
-             .rowsBetween(W.unboundedPreceding, W.currentRow))
-    end = F.col("_before") + F.sum("_size").over(order)
+    so_far = W.partitionBy("_source", "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    end = F.col("_before") + F.sum("_size").over(so_far)
     taken = (2 * end - F.col("_size") <= 2 * F.col("_part")) & (F.col("_part") > 0)
     placed = keep(joined.withColumn("_in", taken).drop("_before"))
     flips = _nearest_flip(placed, filled.select("_s", "_c"))
     flipped = F.col("_flip").isNotNull() != F.col("_in")
-    same = (F.col("_digest") == F.col("_fd")) & F.col("_source").eqNullSafe(F.col("_fs"))
-    return (placed.join(flips, same, "left").withColumn("_copies", (F.col("_whole") + flipped.cast("int")).cast("int"))
-            .drop("_source", "_digest", "_chunk", "_whole", "_part", "_in", "_flip", "_fd", "_fs"))
+    copies = (placed.join(flips, F.col("_row") == F.col("_fr"), "left")
+              .withColumn("_copies", (F.col("_whole") + flipped.cast("int")).cast("int"))
+              .select(F.col("_row").alias("_r"), "_source_size", "_target", "_copies"))
+    return (whole_rows.join(copies, F.col("_row") == F.col("_r"))
+            .drop("_source", "_digest", "_tie", "_row", "_r"))
 
 
 def _nearest_flip(placed: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(_fs, _fd, _flip): source and digest of one document for each source that brings the source nearer to its target.
+    """(_fr, _flip): number of one row for each source that brings the source nearer to its target.
 
     The order ends within half a document of the target, which may be a long one. The document whose size is nearest to
     what is missing is taken too, or the one nearest to the excess is left out, if that helps.
@@ -97,12 +96,12 @@ def _nearest_flip(placed: DataFrame, chunks: DataFrame) -> DataFrame:
     sums = placed.groupBy("_source", "_chunk").agg(got.alias("g"), F.max("_part").alias("p"))
     missing = sums.groupBy("_source").agg((F.max("p") - F.sum("g")).alias("_missing")).withColumnRenamed("_source", "_m")
     by_chunk = chunks.join(missing, F.col("_s").eqNullSafe(F.col("_m"))).drop("_m")
-    rows = placed.select("_source", "_chunk", "_digest", "_size", "_in").join(
+    rows = placed.select("_source", "_chunk", "_digest", "_size", "_tie", "_row", "_in").join(
         by_chunk, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_chunk") == F.col("_c")))
     gap = F.abs(F.abs("_missing") - F.col("_size"))
     useful = (F.col("_in") == (F.col("_missing") < 0)) & (gap < F.abs("_missing"))
-    best = rows.where(useful).groupBy("_source").agg(F.min(F.struct(gap.alias("g"), "_digest")).alias("b"))
-    return best.select(F.col("_source").alias("_fs"), F.col("b._digest").alias("_fd"), F.lit(True).alias("_flip"))
+    best = rows.where(useful).groupBy("_source").agg(F.min(F.struct(gap.alias("g"), "_digest", "_size", "_tie", "_row")).alias("b"))
+    return best.select(F.col("b._row").alias("_fr"), F.lit(True).alias("_flip"))
 
 
 def word_count(text: Column) -> Column:
@@ -150,6 +149,6 @@ def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
     inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
     at = {c: F.col(f"c{i}") for i, c in enumerate(columns)}
-    mixed = mix(inner, word_count(at["text"]), at["source"], [at["doc_id"]])
+    mixed = mix(inner, word_count(at["text"]), at["source"], [at["doc_id"]], tie=F.xxhash64(at["text"]))
     copies = mixed.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return copies.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
