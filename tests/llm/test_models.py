@@ -101,6 +101,21 @@ def test_toxicity_of_odd_rows(spark, tmp_path, some, labelled):
     assert toxicity.toxicity_stage(spark, docs, path).columns == docs.columns
 
 
+def test_a_frequent_labelled_identifier_pushes_no_label_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ENTRIES", 300_000)
+    ids = [i for i in range(240) if zlib.crc32(str(i).encode()) % toxicity.FOLDS != toxicity.HELD_OUT]
+    hot = spark.createDataFrame([(i,) for i in ids], "i long").orderBy(F.xxhash64("i", F.lit("order")), "i").head()[0]
+    rows = [(i, cases.prose(i, 60) + (" vileword" if i % 3 == 0 and i != hot else "")) for i in range(240)]
+    rng = random.Random(5)
+    rows += [(hot, " ".join(f"{rng.randrange(16 ** 8):08x}" for _ in range(300))) for _ in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0 and i != hot)) for i in range(240)], LABELS)
+    keys, _ = toxicity.sample_keys(labels)
+    assert Counter(r["_id"] for r in toxicity.sample_texts(docs.unionByName(docs), keys).collect()) == Counter(ids)
+    got = toxicity.op2(spark, cases.save(spark, tmp_path, docs, labels=labels)).where(F.col("doc_id") != hot).collect()
+    assert len(got) == 239 and all(r["predicted"] == (r["doc_id"] % 3 == 0) for r in got)
+
+
 def shingles(text):
     w = words(text)
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()

@@ -98,6 +98,19 @@ def sample_keys(labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     return marks.where(chosen), sizes
 
 
+def sample_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(_id, _toxic, text): one row for each sampled label that has a document.
+
+    A label counts once, however many rows and texts its identifier has: the text with the smallest hash stands for it.
+    So the sample is bounded in rows, and a frequent identifier pushes no other label out.
+    """
+    labelled = docs.join(F.broadcast(keys), docs["doc_id"] == F.col("_id")).withColumn("_h", F.xxhash64("text"))
+    least = labelled.groupBy("_id", "_toxic").agg(F.min("_h").alias("_least"))
+    texts = docs.withColumn("_h", F.xxhash64("text")).join(
+        F.broadcast(least), (F.col("doc_id") == F.col("_id")) & (F.col("_h") == F.col("_least")))
+    return texts.groupBy("_id", "_toxic").agg(F.min("text").alias("text"))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Classifier from the labelled documents outside the held-out fold.
 
@@ -114,8 +127,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         distinct = Features()
         return {"buckets": [distinct(data) for data in text_bytes(batch)]}
 
-    texts = docs.join(F.broadcast(keys), docs["doc_id"] == F.col("_id")).select("_id", "_toxic", "text")
-    rows = keep(per_batch(texts, features, ["_id", "_toxic"], [("buckets", T.ArrayType(T.IntegerType()))]))
+    rows = keep(per_batch(sample_texts(docs, keys), features, ["_id", "_toxic"], [("buckets", T.ArrayType(T.IntegerType()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, toxic, entries = [], [], 0
