@@ -220,6 +220,17 @@ def test_paraphrases_leak_and_clean_texts_do_not(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 0), (2, 1), (3, 2), (None, 3)}
 
 
+def test_excerpts_of_long_items_leak(spark):
+    items = [(0, cases.prose(2000, 59)), (1, cases.prose(2001, 300)), (2, cases.prose(2002, 120))]
+    first, long, third = (t.split() for _, t in items)
+    parts = [first[:40], long[:200], long[95:135], third[-35:], third[7:12] + third[60:65], []]
+    docs = [(i, cases.prose(10 + i, 53 + i) + " " + " ".join(p) + " " + cases.prose(30 + i, 70)) for i, p in enumerate(parts)]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                              spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 0), (1, 1), (2, 1), (3, 2)}
+    assert all(r["common_words"] >= min(len(parts[r["doc_id"]]), 36) - 4 for r in got)
+
+
 @pytest.mark.parametrize("some", [None, []])
 def test_leaks_of_odd_rows(spark, some):
     docs = cases.frame(spark, some)

@@ -4,7 +4,8 @@ Benchmark items are cut into passages of ``PASSAGE`` words. A randomised SVD of
 ``BUCKETS`` columns, document frequencies from the whole corpus) gives a latent space. Every document is read in windows
 of the same length; windows that take enough of their TF-IDF weight from benchmark words are projected, and those whose
 cosine with a passage is high are candidates. A candidate counts when the longest common subsequence of the item and the
-text around it is long, or, for paraphrases, when it is fairly long and the answer is there too.
+text around it is long, or, for paraphrases, when it is fairly long and the answer is there too, or, for excerpts of a
+longer item, when a retrieved passage is there nearly whole.
 
 The space is fitted on all benchmark passages; every document is searched whole. Large benchmarks are taken in blocks of
 ``ITEMS_PER_BLOCK`` items, each of which is a search of its own, so what tasks hold is bounded.
@@ -28,6 +29,7 @@ LEAST_WEIGHT = 0.35        # share of a window's squared TF-IDF weight in words
 LEAST_COSINE = 0.5
 LEAST_COMMON = 0.7         # of the item's words, in order
 LEAST_PARAPHRASE = 0.5     # the same, when the answer is found
+LEAST_EXCERPT = 0.9        # of the words of a retrieved passage, in order, whatever the item's length
 LEAST_ANSWER = 0.8         # of the answer's words, in order
 ANSWER_WORDS = 6           # an item without an answer of its own: its last words
 ITEMS_PER_BLOCK = 10_000
@@ -217,19 +219,38 @@ class Index:
         weight = np.where(row >= 0, self.idf[windows], 0.0)
         return np.einsum("nw,nwk->nk", weight, self.space[row])
 
-    def compare(self, k: int, words: np.ndarray, begin: int) -> tuple[int, bool] | None:
-        """(common words, answer found) of item ``k`` and the text where it would begin, if that is a leak."""
+    def compare(self, k: int, words: np.ndarray, begin: int, offsets: list[int]) -> tuple[int, bool] | None:
+        """(common words, answer found) of item ``k`` and the text where it would begin, if that is a leak.
+
+        ``offsets`` are those of the item's passages that were retrieved there.
+        """
         _, item, masks, asked = self.items[k]
         slack = PASSAGE + len(item) // 4
         near = words[max(0, begin - slack):max(0, begin + len(item) + slack)].tolist()
         present = set(near)
-        if sum(map(present.__contains__, item)) < LEAST_PARAPHRASE * len(item):
-            return None  # no common subsequence is longer than that
-        common = common_subsequence(masks, len(item), near)
-        if common < LEAST_PARAPHRASE * len(item):
-            return None
+        # no common subsequence is longer than the number of words present
+        few = sum(map(present.__contains__, item)) < LEAST_PARAPHRASE * len(item)
+        common = 0 if few else common_subsequence(masks, len(item), near)
+        if few or common < LEAST_COMMON * len(item):
+            excerpt = any(self.holds_passage(item, words, begin, offset) for offset in offsets)
+            if not excerpt and (few or common < LEAST_PARAPHRASE * len(item)):
+                return None
+        else:
+            excerpt = True
         answer = common_subsequence(_masks(asked), len(asked), near) >= LEAST_ANSWER * len(asked)
-        return (common, answer) if answer or common >= LEAST_COMMON * len(item) else None
+        if not excerpt and not answer:
+            return None
+        return common_subsequence(masks, len(item), near) if few else common, answer
+
+    @staticmethod
+    def holds_passage(item: list[int], words: np.ndarray, begin: int, offset: int) -> bool:
+        """Whether the passage is nearly whole, and in order, in the text around the window that retrieved it."""
+        passage, at = item[offset:offset + PASSAGE], begin + offset
+        near = words[max(0, at - STRIDE):at + PASSAGE + STRIDE].tolist()
+        least = LEAST_EXCERPT * len(passage)
+        if sum(map(set(near).__contains__, passage)) < least:
+            return False
+        return common_subsequence(_masks(passage), len(passage), near) >= least
 
     def hits(self, words: np.ndarray) -> Iterator[tuple]:
         """(item, cosine, common words, share of the item, answer found): the best for each item."""
@@ -253,12 +274,14 @@ class Index:
                 cosine = latent @ self.latent[first:first + 8192].T
                 window, passage = np.nonzero(cosine >= LEAST_COSINE)
                 near = {}  # windows and passages that place the item alike count once, with their best cosine
-                for k, begin, value in zip(self.owners[first + passage].tolist(),
-                                           (some[window] - self.offsets[first + passage]).tolist(),
-                                           cosine[window, passage].tolist()):
-                    near[k, begin] = max(value, near.get((k, begin), 0.0))
-                for (k, begin), value in near.items():
-                    found = self.compare(k, words, begin)
+                offsets = self.offsets[first + passage]
+                for k, begin, value, offset in zip(self.owners[first + passage].tolist(), (some[window] - offsets).tolist(),
+                                                   cosine[window, passage].tolist(), offsets.tolist()):
+                    held = near.setdefault((k, begin), [0.0, []])
+                    held[0] = max(value, held[0])
+                    held[1].append(offset)
+                for (k, begin), (value, there) in near.items():
+                    found = self.compare(k, words, begin, there)
                     if found:
                         found = (found[0], value, found[1])
                         best[k] = max(best.get(k, found), found)
