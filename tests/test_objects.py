@@ -6,6 +6,8 @@ from tilewright.operators import embeddings as V
 from tilewright.operators import export as EX
 from tilewright.operators import pasting as PA
 from tilewright.operators import tiling as T
+from tilewright.plans import jobs as J
+from tilewright.plans.registry.jobs import masks
 
 
 @pytest.mark.parametrize("metric", ["cosine", "euclidean"])
@@ -140,3 +142,16 @@ def test_export_rules(spark):
     assert EX.export_counts(c, chosen).first().asDict() == {"skipped_unlabeled": 1, "skipped_invalid": 4, "exported_shapes": 2, "exported_images": 1, "duplicates": 1}
     zero = EX.classify_samples(samples, images, shapes, ["vehicle", "fp"], skip_index_zero=True)
     assert {r["o"] for r in zero.where("reason = 'valid'").collect()} == {4}
+
+
+@pytest.mark.parametrize("mode, want", [("bbox", (4, 2, 4, 1, 1)), ("point", (4, 1, 1, 1, 0))])
+def test_conversion_counts_all_records_and_prompts(spark, mode, want):
+    box, flat, three = [(5.0, 5.0), (30.0, 30.0)], [(5.0, 5.0), (5.0, 30.0)], [(9.0, 9.0), (30.0, 9.0), (9.0, 30.0)]
+    rows = [(1, 5, "rectangle", box), (1, 6, "Rectangle", box), (1, 7, "rectangle", flat), (1, 9, "rectangle", box[:1]),
+            (2, 8, "rectangle", flat), (3, 11, "polygon", three), (9, 5, "rectangle", box)]
+    shapes = spark.createDataFrame(
+        [(i, k, "car", t, p, None, {}) for i, k, t, p in rows], "image_id long, shape_idx long, label string, shape_type "
+        "string, points array<struct<x double, y double>>, group_id bigint, flags map<string,string>")
+    records = spark.createDataFrame([(i, 100, 100) for i in (1, 2, 3, 4)], "image_id long, width int, height int")
+    got = J.box_to_polygon_dataset(records, shapes, masks, mode, 4, min_area=4.0)[1].head()
+    assert (got["records_total"], got["records"], got["prompts_total"], got["prompts_converted"], got["prompts_fallback"]) == want

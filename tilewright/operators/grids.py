@@ -171,13 +171,17 @@ def pick_best_mask(candidates: DataFrame) -> DataFrame:
     return first_per_key(candidates, ["image_id", "shape_idx"], [F.col("score").desc(), F.col("cand_idx")])
 
 
-def conversion_counts(prompts: DataFrame) -> DataFrame:
-    """Records and prompts in total, converted, and left as they were. ``n_polygons`` is NULL where nothing was scored."""
+def conversion_counts(prompts: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """Records and prompts in total, converted, and left as they were. ``n_polygons`` is NULL where nothing was scored.
+
+    ``records`` counts the records that have a prompt; with a frame of all records, ``records_total`` counts those too.
+    """
     per_image = prompts.groupBy("image_id").agg(
         F.count(F.lit(1)).alias("_t"), F.count_if(F.col("n_polygons") > 0).alias("_c"),
         F.count_if(F.col("n_polygons") == 0).alias("_f"))
-    return per_image.agg(F.count(F.lit(1)).alias("records"), F.sum("_t").alias("prompts_total"),
-                         F.sum("_c").alias("prompts_converted"), F.sum("_f").alias("prompts_fallback"))
+    counts = per_image.agg(F.count(F.lit(1)).alias("records"), F.sum("_t").alias("prompts_total"),
+                           F.sum("_c").alias("prompts_converted"), F.sum("_f").alias("prompts_fallback"))
+    return counts if records is None else counts.crossJoin(records.agg(F.count(F.lit(1)).alias("records_total")))
 
 
 def token_weights(masks: DataFrame, tile: int, grid: int) -> DataFrame:

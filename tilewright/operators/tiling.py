@@ -270,6 +270,12 @@ def assert_positive_tiles(tiles: DataFrame, shapes: DataFrame, label: str) -> No
         raise ValueError(f"no tile holds an object labelled {label!r}; labels found: {found}")
 
 
+def prompt_shapes(shapes: DataFrame, mode: str = "bbox") -> DataFrame:
+    """Shapes of the prompt type, whether or not they give a usable prompt."""
+    rect = G.is_rectangle(F.col("shape_type"))
+    return shapes.where(rect & (F.size("points") >= 2) if mode == "bbox" else ~rect & (F.size("points") >= 3))
+
+
 def batch_prompts(shapes: DataFrame, records: DataFrame, mode: str = "bbox", batch: int = 4) -> DataFrame:
     """Prompts of the records in batches of ``batch`` records by key order.
 

@@ -48,12 +48,15 @@ def box_to_polygon_dataset(records: DataFrame, shapes: DataFrame, candidates: Ca
     """Boxes (or points) to polygons by a mask model: the new shapes, and the conversion counts.
 
     ``candidates`` gets the batched prompts and returns scored masks. Prompts without a usable polygon keep their shape.
+    The counts are of all records and of all shapes of the prompt type, degenerate ones included.
     """
     prompts = pin(T.batch_prompts(shapes, records, mode, batch))
     polygons = pin(mask_polygons(candidates(prompts), min_area, epsilon_frac))
     made = polygons.groupBy("image_id", "shape_idx").agg(F.count(F.lit(1)).alias("n_polygons"))
-    counts = GR.conversion_counts(prompts.select("image_id", "shape_idx").join(made, ["image_id", "shape_idx"], "left")
-                                  .withColumn("n_polygons", F.coalesce("n_polygons", F.lit(0))))
+    scored = prompts.select("image_id", "shape_idx").join(made, ["image_id", "shape_idx"], "left").withColumn(
+        "n_polygons", F.coalesce("n_polygons", F.lit(0)))
+    asked = T.prompt_shapes(shapes, mode).select("image_id", "shape_idx").join(records, "image_id", "left_semi")
+    counts = GR.conversion_counts(asked.join(scored, ["image_id", "shape_idx"], "left"), records)
     return X.replace_shapes(shapes, polygons, source), counts
 
 
