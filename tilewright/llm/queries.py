@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tilewright.llm import decontaminate, mixing, pii, quality, secret_scan, setsketch, sharding, suffix_tree, toxicity, warc
+from tilewright.llm import (decontaminate, merkle, mixing, pii, quality, repeats, secret_scan, setsketch, sharding, spelling,
+                            suffix_tree, toxicity, warc)
 
 QUERIES = {
     "op1_suffix_tree": suffix_tree.op1,
@@ -15,10 +16,16 @@ QUERIES = {
     "op8_water_filling": mixing.op8,
     "op9_seekable_warc": warc.op9,
     "op10_likelihood_ratio": quality.op10,
+    "op11_doubling_repeats": repeats.op11,
+    "op12_edit_tiles": spelling.op12,
+    "op13_merkle_climb": merkle.op13,
 }
 
 ORACLES = {
     "op5_setsketch": setsketch.OP5_SQL,
     "op8_water_filling": mixing.OP8_SQL,
     "op9_seekable_warc": warc.OP9_SQL,
+    "op11_doubling_repeats": repeats.OP11_SQL,
+    "op12_edit_tiles": spelling.OP12_SQL,
+    "op13_merkle_climb": merkle.OP13_SQL,
 }
