@@ -459,12 +459,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, start: int = START, st
     """``doc_id, n_words, n_removed, spans, kept`` for every document.
 
     Each word is removed that a window of ``window`` words covers whose words also start earlier: in a document with a
-    smaller ``doc_id`` (an integer; null comes last), or in the same one before. ``window`` must be ``start`` doubled any
-    number of times. Windows are judged on the input. Null and empty texts have no words and an empty ``kept``; texts
+    smaller ``doc_id`` (an integer; null comes last), or in the same one before. ``window`` must be ``start`` doubled once
+    or more. Windows are judged on the input. Null and empty texts have no words and an empty ``kept``; texts
     below one window stay whole. Rows that share an identifier are ordered by their place in the input. Other columns are
     left out, whatever their names; no documents give no rows. ``stable`` says that ``docs`` reads files, so that it has
     the same rows in the same partitions each time; otherwise it is written down first.
     """
+    if window not in (start << k for k in range(1, 32)):
+        raise ValueError("window must be start, doubled once or more")
     rows = docs.select("doc_id", "text")
     rows = (rows if stable else keep(rows)).withColumn("row", F.monotonically_increasing_id())
     size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
@@ -475,8 +477,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, start: int = START, st
     while length < window:
         answers = keep(answered(ask_states(states, window, length, buckets)))
         states, length = keep(next_states(states, answers, window, length)), 2 * length
-    if length != window:
-        raise ValueError("window must be start doubled any number of times")
     answers = keep(answered(ask_states(states, window, window, buckets)))
     done = whole.where("candidates is null").select(
         "doc_id", F.when(F.col("text") == "", F.lit(0)).otherwise(F.size(F.split("text", " "))).cast("bigint").alias("n_words"),
