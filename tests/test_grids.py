@@ -6,6 +6,7 @@ from tilewright.operators import components as C
 from tilewright.operators import grids as GR
 from tilewright.operators import polygons as PO
 from tilewright.operators import raster as RA
+from tilewright.operators.pointers import chain_ranks
 
 
 def bfs(mask):
@@ -101,16 +102,22 @@ def test_component_in_an_open_bay_stays_when_rings_are_thinned(spark):
     assert (76, 33) in raw and (76, 33) in thin
 
 
-def test_outer_ring_visits_the_whole_outline():
+def test_outer_ring_visits_the_whole_outline(spark):
     rng = np.random.default_rng(11)
-    for _ in range(60):
-        mask = rng.random((9, 12)) < 0.55
+    grids = {k: rng.random((9, 12)) < 0.55 for k in range(60)}
+    found = PO.outlines(C.label_runs(C.cell_runs(cells_of(spark, grids))), walked=True).collect()
+    rings = {(r["image_id"], r["comp_y"], r["comp_x"]): r for r in found}
+    assert len(rings) == len(found)
+    for k, mask in grids.items():
         labels = bfs(mask)
         for start in set(labels.values()):
             members = {c for c, s in labels.items() if s == start}
-            ys, xs = (np.array(v) for v in zip(*members))
-            ring = PO.outer_ring(ys, xs)
+            row = rings.pop((k, *map(int, start)))
+            ring = np.array([(p["x"], p["y"]) for p in row["ring"]])
+            assert tuple(ring[0].astype(int)) == (start[1], start[0])
             assert {(int(y), int(x)) for x, y in ring} <= members
+            steps = np.abs(np.roll(ring, -1, axis=0) - ring)
+            assert len(ring) == max(1, row["n_steps"]) and (steps.max(axis=1) == (len(ring) > 1)).all()
             # outside cells reachable from the frame; the ring must be the members that touch them
             pad = np.zeros((11, 14), dtype=bool)
             for y, x in members:
@@ -125,9 +132,34 @@ def test_outer_ring_visits_the_whole_outline():
             rim = {(y, x) for y, x in members if any((y + 1 + dy, x + 1 + dx) in seen for dy, dx in ((0, 1), (1, 0), (0, -1), (-1, 0)))}
             assert {(int(y), int(x)) for x, y in ring} == rim
             if len(ring) > 1:
-                filled = 0.5 * abs(PO._cross_sum(ring)) + len(ring) / 2 + 1
+                nxt = np.roll(ring, -1, axis=0)
+                assert row["area"] == 0.5 * abs(np.dot(ring[:, 0], nxt[:, 1]) - np.dot(ring[:, 1], nxt[:, 0]))
+                assert row["perimeter"] == pytest.approx(np.hypot(*(nxt - ring).T).sum())
                 holes = sum(1 for y in range(11) for x in range(14) if not pad[y, x] and (y, x) not in seen)
-                assert filled == len(members) + holes
+                assert row["area"] + len(ring) / 2 + 1 == len(members) + holes
+    assert not rings
+
+
+def test_one_component_is_spread_over_tasks(spark, masks):
+    runs = C.label_runs(C.cell_runs(cells_of(spark, {2: masks[2]})))
+    pieces = PO.border_chains(runs, walked=True)
+    bands = pieces.select(F.shiftright("id", 33).alias("gy")).select(F.expr(f"gy div {C.BAND}").alias("band")).distinct()
+    assert bands.count() == 3 and pieces.where("to is not null").count() > 10
+    ring = PO.outlines(runs, walked=True).head()
+    points = np.array([(p["x"], p["y"]) for p in ring["ring"]])
+    assert (np.abs(np.roll(points, -1, axis=0) - points).max(axis=1) == 1).all()
+    assert {(int(y), int(x)) for x, y in points} == set(zip(*(v.tolist() for v in np.nonzero(masks[2]))))
+    turned = PO.outlines(runs).head()
+    assert turned["area"] == ring["area"] and len(turned["ring"]) < len(points) / 10
+
+
+def test_chain_ranks(spark):
+    rng = np.random.default_rng(4)
+    order = rng.permutation(300).tolist()
+    links = [(1, a, b) for a, b in zip(order, order[1:])] + [(1, order[-1], None)]
+    links += [(1, 1000 + i, 1000 + (i + 1) % 37) for i in range(37)] + [(2, 5, None), (2, 6, 5), (2, 9, 9)]
+    got = {(r["k"], r["id"]): r["rank"] for r in chain_ranks(spark.createDataFrame(links, "k int, id long, to long"), ["k"]).collect()}
+    assert got == {(1, n): 300 - i for i, n in enumerate(order)} | {(2, 5): 1, (2, 6): 2}
 
 
 def test_simplify_keeps_every_vertex_close():

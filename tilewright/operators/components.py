@@ -1,21 +1,23 @@
-"""Eight-neighbour components of sparse cell tables.
+"""Eight-neighbour components of masks, by union of runs.
 
-A grid is cut into square blocks. Blocks are labelled inside the tasks they are shuffled to (many blocks per Arrow
-batch, at most 64×64 cells each), then only the components that meet across a block edge take part in a distributed
-merge. Its rounds at least halve the number of open components and are checkpointed.
+A run ``(image_id, gy, xs, xe)`` is a stretch of neighbouring cells in a grid row, as long as it gets. Two runs of
+neighbouring rows touch if their intervals, grown by one cell, overlap. Rows are dealt out in bands; each band is linked
+inside a task, by interval look-ups over sorted runs. Only runs on both sides of a band edge take part in a distributed
+merge, whose rounds at least halve the number of open components and are checkpointed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tilewright.session import pin
 
-BLOCK = 64
+BAND = 64    # grid rows of a band
+PIECE = 64   # columns in which runs of neighbouring bands look for each other
 
 
 def _merge_edges(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -36,48 +38,62 @@ def _merge_edges(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return root
 
 
-def _label_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Label whole blocks; rows are sorted by image, block and cell."""
-    block_cols = ["image_id", "by", "bx"]
-    changed = np.zeros(len(pdf), dtype=bool)
-    for c in block_cols:
-        v = pdf[c].to_numpy()
-        changed[1:] |= v[1:] != v[:-1]
-    block = np.cumsum(changed)
-    gy, gx = pdf["gy"].to_numpy(), pdf["gx"].to_numpy()
-    y, x = gy % BLOCK, gx % BLOCK
-    code = (block.astype(np.int64) * BLOCK + y) * BLOCK + x
-    order = np.argsort(code, kind="stable")
-    sorted_code = code[order]
-    us, vs = [], []
-    for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
-        inside = (y + dy < BLOCK) & (x + dx >= 0) & (x + dx < BLOCK)
-        src = np.flatnonzero(inside)
-        want = code[src] + dy * BLOCK + dx
-        at = np.minimum(np.searchsorted(sorted_code, want), len(code) - 1)
-        hit = sorted_code[at] == want
-        us.append(src[hit])
-        vs.append(order[at[hit]])
-    root = _merge_edges(len(pdf), np.concatenate(us), np.concatenate(vs))
-    return pdf.assign(ry=gy[root], rx=gx[root])[["image_id", "gy", "gx", "ry", "rx"]]
-
-
-def _label_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Carry the last, possibly unfinished, block of a batch over to the next one."""
-    rest: pd.DataFrame | None = None
-    for pdf in batches:
-        if rest is not None:
-            pdf = pd.concat([rest, pdf], ignore_index=True)
-        if not len(pdf):
+def touching(band: np.ndarray, gy: np.ndarray, xs: np.ndarray, xe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs of one band that touch. Runs are sorted by band, row and column and don't overlap within a row."""
+    width = int(xe.max(initial=0)) + 4
+    row = np.cumsum(np.concatenate([[0], np.where(np.diff(band) != 0, 2, np.diff(gy))]))  # 1 apart: neighbours of one band
+    start, end = row * width + xs + 1, row * width + xe + 1
+    below = (row + 1) * width
+    first = np.searchsorted(end, below + xs)                       # ends at or after the column before this run
+    last = np.searchsorted(start, below + xe + 2, side="right")    # starts at or before the column after it
+    counts = np.maximum(last - first, 0)
+    upper = np.repeat(np.arange(len(row)), counts)
+    lower = np.arange(counts.sum()) + np.repeat(first - (np.cumsum(counts) - counts), counts)
+    return upper, lower
+
+
+def _numbered(batch: pa.RecordBatch, names: tuple[str, ...]) -> np.ndarray:
+    """Which rows belong together: a number that grows where one of the columns changes."""
+    new = np.zeros(batch.num_rows, bool)
+    for name in names:
+        code = batch.column(batch.schema.names.index(name)).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return np.cumsum(new)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of sorted rows cut where the columns change, each with the group number of its rows.
+
+    What may go on in the next batch waits; pieces of one long group are put together once, at its end.
+    """
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        last = pdf.iloc[-1]
-        same = ((pdf["image_id"] == last["image_id"]) & (pdf["by"] == last["by"]) & (pdf["bx"] == last["bx"])).to_numpy()
-        cut = len(pdf) - int(same.sum())
-        if cut:
-            yield _label_blocks(pdf.iloc[:cut].reset_index(drop=True))
-        rest = pdf.iloc[cut:].reset_index(drop=True)
-    if rest is not None and len(rest):
-        yield _label_blocks(rest)
+        waiting.append(batch)
+        number = _numbered(batch, names)
+        edge = int(np.searchsorted(number, number[-1]))
+        if len(waiting) > 1:
+            before = waiting[-2].slice(waiting[-2].num_rows - 1)
+            joint = pa.Table.from_batches([before, batch.slice(0, 1)]).combine_chunks().to_batches()[0]
+            if not edge and _numbered(joint, names)[-1] == 0:
+                continue  # the group goes on over this whole batch
+        done = pa.Table.from_batches([*waiting[:-1], batch.slice(0, edge)]).combine_chunks().to_batches()
+        for part in done:
+            if part.num_rows:
+                yield part, _numbered(part, names)
+        waiting = [batch.slice(edge)]
+    if waiting:
+        for part in pa.Table.from_batches(waiting).combine_chunks().to_batches():
+            yield part, _numbered(part, names)
+
+
+def _label_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, band in whole_groups(batches, ("image_id", "band")):
+        gy, xs, xe = (batch.column(c).to_numpy().astype(np.int64) for c in ("gy", "xs", "xe"))
+        root = _merge_edges(len(band), *touching(band, gy, xs, xe))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(gy[root].astype(np.int32)), pa.array(xs[root].astype(np.int32))], names=[*batch.schema.names, "ry", "rx"])
 
 
 def merge_labels(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -115,29 +131,53 @@ def merge_labels(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
-def connected_components(cells: DataFrame) -> DataFrame:
-    """Cells with ``comp_y, comp_x``, the first cell (row by row) of their component, which names it."""
-    image_type = cells.schema["image_id"].dataType.simpleString()
-    located = (cells.select("image_id", F.col("gy").cast("int").alias("gy"), F.col("gx").cast("int").alias("gx")).distinct()
-               .withColumns({"by": F.expr(f"gy div {BLOCK}").cast("int"), "bx": F.expr(f"gx div {BLOCK}").cast("int")}))
-    labelled = (located.repartition("image_id", "by", "bx").sortWithinPartitions("image_id", "by", "bx", "gy", "gx")
-                .mapInPandas(_label_partition, f"image_id {image_type}, gy int, gx int, ry int, rx int"))
-    labelled = pin(labelled)
+def cell_runs(cells: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Runs of a table of cells, by gaps and islands within a grid row. Repeated cells count once.
+
+    The columns ``also`` must be the same in neighbouring cells and stay with the run.
+    """
+    row = W.partitionBy("image_id", "gy").orderBy("gx")
+    island = F.col("gx") - F.dense_rank().over(row)
+    return (cells.select("image_id", F.col("gy").cast("int").alias("gy"), F.col("gx").cast("int").alias("gx"), *also).withColumn("_i", island)
+            .groupBy("image_id", "gy", "_i", *also).agg(F.min("gx").alias("xs"), F.max("gx").alias("xe")).drop("_i"))
+
+
+def run_cells(runs: DataFrame) -> DataFrame:
+    """The single cells of runs."""
+    rest = [c for c in runs.columns if c not in ("xs", "xe")]
+    return runs.select(*rest, F.explode(F.sequence("xs", "xe")).alias("gx"))
+
+
+def label_runs(runs: DataFrame) -> DataFrame:
+    """Runs, with all their columns, and ``comp_y, comp_x``: the first cell (row by row) of their component.
+
+    Runs of one row must not overlap or touch, as those of :func:`cell_runs` and of grid rows don't.
+    """
+    band = F.expr(f"gy div {BAND}").cast("int")
+    dealt = runs.withColumn("band", band).repartition("image_id", "band").sortWithinPartitions("image_id", "band", "gy", "xs")
+    schema = T.StructType([*dealt.schema.fields, T.StructField("ry", T.IntegerType()), T.StructField("rx", T.IntegerType())])
+    labelled = pin(dealt.mapInArrow(_label_bands, schema))
     node = F.struct("image_id", "ry", "rx")
-    rim = (labelled.where((F.col("gy") % BLOCK).isin(0, BLOCK - 1) | (F.col("gx") % BLOCK).isin(0, BLOCK - 1))
-           .select("image_id", "gy", "gx", node.alias("_n")))
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    block_y, block_x = F.expr(f"gy div {BLOCK}"), F.expr(f"gx div {BLOCK}")
-    ask = (rim.withColumns({"_by": block_y, "_bx": block_x}).withColumn("_s", F.explode(steps))
-           .select("image_id", (F.col("gy") + F.col("_s.dy")).alias("gy"), (F.col("gx") + F.col("_s.dx")).alias("gx"),
-                   F.col("_n").alias("u"), "_by", "_bx")
-           .where((block_y != F.col("_by")) | (F.floor(F.col("gx") / BLOCK) != F.col("_bx"))))
-    edges = ask.join(rim.withColumnRenamed("_n", "v"), ["image_id", "gy", "gx"]).select("u", "v").distinct()
+
+    def pieces(low: Column, high: Column) -> Column:
+        return F.explode(F.sequence(F.floor(low / PIECE), F.floor(high / PIECE)))
+
+    above = labelled.where(F.col("gy") % BAND == BAND - 1).select(
+        "image_id", (F.col("gy") + 1).alias("gy"), F.col("xs").alias("_xs"), F.col("xe").alias("_xe"), node.alias("u"),
+        pieces(F.col("xs") - 1, F.col("xe") + 1).alias("_p"))
+    below = labelled.where(F.col("gy") % BAND == 0).select("image_id", "gy", "xs", "xe", node.alias("v"), pieces(F.col("xs"), F.col("xe")).alias("_p"))
+    edges = above.join(below, ["image_id", "gy", "_p"]).where(
+        (F.col("xs") <= F.col("_xe") + 1) & (F.col("xe") >= F.col("_xs") - 1)).select("u", "v").distinct()
     roots = merge_labels(edges)
     moved = roots.select(F.col("node.image_id").alias("image_id"), F.col("node.ry").alias("ry"), F.col("node.rx").alias("rx"),
                          F.col("root.ry").alias("_ty"), F.col("root.rx").alias("_tx"))
     return (labelled.join(moved, ["image_id", "ry", "rx"], "left")
-            .select("image_id", "gy", "gx", F.coalesce("_ty", "ry").alias("comp_y"), F.coalesce("_tx", "rx").alias("comp_x")))
+            .select(*runs.columns, F.coalesce("_ty", "ry").alias("comp_y"), F.coalesce("_tx", "rx").alias("comp_x")))
+
+
+def connected_components(cells: DataFrame) -> DataFrame:
+    """Cells with ``comp_y, comp_x``, the first cell (row by row) of their component, which names it."""
+    return run_cells(label_runs(cell_runs(cells))).select("image_id", "gy", "gx", "comp_y", "comp_x")
 
 
 def component_id(cells: DataFrame, name: str = "det_id") -> DataFrame:
@@ -145,6 +185,15 @@ def component_id(cells: DataFrame, name: str = "det_id") -> DataFrame:
     return cells.withColumn(name, F.col("comp_y").cast("bigint") * 4294967296 + F.col("comp_x")).drop("comp_y", "comp_x")
 
 
+def run_stats(runs: DataFrame, stride: int, keys: tuple[str, ...] = ("image_id", "det_id")) -> DataFrame:
+    """Cells, box in pixels and mean probability (the score) of each component, from its runs and their totals."""
+    s = float(stride)
+    length = F.col("xe") - F.col("xs") + 1
+    return runs.groupBy(*keys).agg(
+        F.sum(length).alias("n_cells"), (F.min("xs") * s).alias("x0"), (F.min("gy") * s).alias("y0"),
+        ((F.max("xe") + 1) * s).alias("x1"), ((F.max("gy") + 1) * s).alias("y1"), (F.sum("total") / F.sum(length)).alias("score"))
+
+
 def component_stats(cells: DataFrame, stride: int, keys: tuple[str, ...] = ("image_id", "det_id")) -> DataFrame:
     """Cells, box in pixels and mean probability (the score) of each component."""
     s = float(stride)

@@ -1,13 +1,15 @@
 """Score grids: merging tiles, thresholding, resampling, pooling.
 
-A grid is a sparse cell table ``(image_id, gy, gx, value)``; arrays appear only at the boundary to a scoring function
-and, one grid row at a time, in resampling.
+A merged grid is a table of rows with arrays, one grid row each; masks are runs ``(gy, xs, xe)`` of neighbouring cells.
+A sparse cell table ``(image_id, gy, gx, value)`` is the form in which single cells are looked up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tilewright.functions import geometry as G
@@ -31,25 +33,143 @@ def gate_tiles(preds: DataFrame, mode: str = "none", threshold: float = 0.5) ->
     return preds.withColumns({"tile_cls": cls, "gain": gain})
 
 
-def merge_tiles(preds: DataFrame, records: DataFrame, stride: int) -> DataFrame:
-    """Mean probability (and mean tile probability) of the tiles over each cell; cells outside the grid are cut off.
-
-    Tiles carry ``gh, gw, seg`` (row by row). Cells are partly averaged before the shuffle. Cells that no tile covers
-    are absent and stand for 0.
+def _tile_cells(batch: pa.RecordBatch) -> tuple:
+    """Row slots of the tiles of a batch, and for every cell its slot, column and values."""
+    column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+    gw, top, left, limit_y, limit_x = (column[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("gw", "_y", "_x", "_gh", "_gw"))
+    gain, cls = (column[c].to_numpy(zero_copy_only=False) for c in ("_g", "_c"))
+    seg = column["seg"]
+    counts = np.diff(seg.offsets.to_numpy()).astype(np.int64)
+    tile = np.repeat(np.arange(len(gw)), counts)
+    at = np.arange(len(tile)) - np.repeat(np.cumsum(counts) - counts, counts)
+    gy, gx = top[tile] + at // gw[tile], left[tile] + at % gw[tile]
+    inside = (gy < limit_y[tile]) & (gx < limit_x[tile])
+    tile, gy, gx = tile[inside], gy[inside], gx[inside]
+    values = seg.flatten().to_numpy(zero_copy_only=False)[inside]
+    image = column["image_id"].dictionary_encode()
+    code = image.indices.to_numpy(zero_copy_only=False).astype(np.int64)[tile]
+    high = int(gy.max(initial=0)) + 1
+    keys, slot = np.unique(code * high + gy, return_inverse=True)
+    ids = image.dictionary.take(pa.array(keys // high))
+    return ids, keys % high, slot, gx, values * gain[tile], cls[tile], np.ones(len(tile), np.int64)
+
+
+def _added(ids: pa.Array, gy: np.ndarray, slot: np.ndarray, gx: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    """One row for each slot: its cells' values added by column, as arrays from the slot's first column on."""
+    first = np.full(len(gy), np.iinfo(np.int64).max)
+    last = np.full(len(gy), -1)
+    np.minimum.at(first, slot, gx)
+    np.maximum.at(last, slot, gx)
+    offsets = np.concatenate([[0], np.cumsum(last - first + 1)])
+    place = offsets[slot] + gx - first[slot]
+    sums = [np.bincount(place, weights=v, minlength=offsets[-1]) for v in values]
+    lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x)) for x in (*sums[:-1], sums[-1].astype(np.int32))]
+    return pa.RecordBatch.from_arrays([ids, pa.array(gy.astype(np.int32)), pa.array(first.astype(np.int32)), *lists],
+                                      names=["image_id", "gy", "x0", "p", "c", "n"])
+
+
+def _row_cells(batch: pa.RecordBatch) -> tuple:
+    """The same for partial rows that are sorted by image and row."""
+    column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+    code = column["image_id"].dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    gy = column["gy"].to_numpy()
+    new = np.concatenate([[True], (code[1:] != code[:-1]) | (gy[1:] != gy[:-1])])
+    counts = np.diff(column["p"].offsets.to_numpy()).astype(np.int64)
+    slot = np.repeat(np.cumsum(new) - 1, counts)
+    gx = np.repeat(column["x0"].to_numpy() - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    heads = np.flatnonzero(new)
+    return (column["image_id"].take(pa.array(heads)), gy[heads].astype(np.int64), slot, gx,
+            *[column[c].flatten().to_numpy(zero_copy_only=False) for c in ("p", "c", "n")])
+
+
+def merge_rows(preds: DataFrame, records: DataFrame, stride: int) -> DataFrame:
+    """Merged grid rows ``image_id, gy, x0, prob, cls``: arrays over the columns from ``x0`` on, null where no tile lies.
+
+    Tiles carry ``gh, gw, seg`` (row by row). Each task adds up what it has of a grid row, as arrays of sums and counts;
+    those arrays are shuffled, not cells, and added once more.
     """
     s = int(stride)
     gain = F.col("gain") if "gain" in preds.columns else F.lit(1.0)
-    sized = preds.join(records.select("image_id", "width", "height"), "image_id")
-    cells = sized.select(
+    image_type = preds.schema["image_id"].dataType.simpleString()
+    sized = preds.join(records.select("image_id", "width", "height"), "image_id").select(
         "image_id", "gw", F.expr(f"y0 div {s}").alias("_y"), F.expr(f"x0 div {s}").alias("_x"),
-        F.expr(f"height div {s}").alias("_gh"), F.expr(f"width div {s}").alias("_gw"), gain.alias("_g"),
-        F.coalesce(F.col("tile_cls").cast("double"), F.lit(1.0)).alias("_c"), F.posexplode("seg").alias("_i", "_v"))
-    placed = cells.select(
-        "image_id", (F.col("_y") + F.expr("_i div gw")).cast("int").alias("gy"),
-        (F.col("_x") + F.col("_i") % F.col("gw")).cast("int").alias("gx"), "_gh", "_gw",
-        (F.col("_v").cast("double") * F.col("_g")).alias("_p"), "_c")
-    return (placed.where((F.col("gy") < F.col("_gh")) & (F.col("gx") < F.col("_gw")))
-            .groupBy("image_id", "gy", "gx").agg(F.avg("_p").alias("prob"), F.avg("_c").alias("cls")))
+        F.expr(f"height div {s}").alias("_gh"), F.expr(f"width div {s}").alias("_gw"), gain.cast("double").alias("_g"),
+        F.coalesce(F.col("tile_cls").cast("double"), F.lit(1.0)).alias("_c"), F.col("seg").cast("array<double>").alias("seg"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _added(*_tile_cells(batch))
+
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        p, c, n = (batch.column(i) for i in (3, 4, 5))
+        counts = n.flatten().to_numpy(zero_copy_only=False)
+        offsets = n.offsets.to_numpy()
+        means = [pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(
+            x.flatten().to_numpy(zero_copy_only=False) / np.maximum(counts, 1), mask=counts == 0)) for x in (p, c)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], *means], names=["image_id", "gy", "x0", "prob", "cls"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # the last row so far, which the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch.cast(rest.schema)]).combine_chunks().to_batches()[0]
+            whole = _added(*_row_cells(batch))
+            if whole.num_rows > 1:
+                yield finish(whole.slice(0, whole.num_rows - 1))
+            rest = whole.slice(whole.num_rows - 1)
+        if rest is not None:
+            yield finish(rest)
+
+    partial = sized.mapInArrow(add, f"image_id {image_type}, gy int, x0 int, p array<double>, c array<double>, n array<int>")
+    dealt = partial.repartition("image_id", "gy").sortWithinPartitions("image_id", "gy")
+    return dealt.mapInArrow(merge, f"image_id {image_type}, gy int, x0 int, prob array<double>, cls array<double>")
+
+
+def merge_tiles(preds: DataFrame, records: DataFrame, stride: int) -> DataFrame:
+    """Mean probability (and mean tile probability) of the tiles over each cell; cells outside the grid are cut off.
+
+    Cells that no tile covers are absent and stand for 0.
+    """
+    return row_cells(merge_rows(preds, records, stride))
+
+
+def row_cells(rows: DataFrame) -> DataFrame:
+    """The cells ``image_id, gy, gx, prob, cls`` of :func:`merge_rows`."""
+    cells = rows.select("image_id", "gy", "x0", F.posexplode(F.arrays_zip("prob", "cls")).alias("_i", "_v"))
+    return (cells.select("image_id", "gy", (F.col("x0") + F.col("_i")).alias("gx"), F.col("_v.prob").alias("prob"), F.col("_v.cls").alias("cls"))
+            .where(F.col("prob").isNotNull()))
+
+
+def row_runs(rows: DataFrame, threshold: float) -> DataFrame:
+    """Runs ``image_id, gy, xs, xe, total`` of neighbouring cells that reach the threshold; ``total`` adds their values up."""
+    image_type = rows.schema["image_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(3)
+            if not batch.num_rows:
+                continue
+            v = values.flatten().to_numpy(zero_copy_only=False)
+            counts = np.diff(values.offsets.to_numpy()).astype(np.int64)
+            row = np.repeat(np.arange(len(counts)), counts)
+            gx = np.repeat(batch.column(2).to_numpy() - (np.cumsum(counts) - counts), counts) + np.arange(len(v))
+            at = np.flatnonzero(v >= threshold)  # null is NaN here and never reaches it
+            if not len(at):
+                continue
+            new = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(row[at]) > 0)])
+            start = np.flatnonzero(new)
+            end = np.concatenate([start[1:], [len(at)]]) - 1
+            of = row[at[start]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(gx[at[start]].astype(np.int32)),
+                 pa.array(gx[at[end]].astype(np.int32)), pa.array(np.add.reduceat(v[at], start))],
+                names=["image_id", "gy", "xs", "xe", "total"])
+
+    return rows.select("image_id", "gy", "x0", "prob").mapInArrow(
+        run, f"image_id {image_type}, gy int, xs int, xe int, total double")
 
 
 def tile_cls_stats(preds: DataFrame) -> DataFrame:

@@ -1,7 +1,12 @@
 """Components to polygons.
 
-Spark keeps the boundary cells only and groups them by component; a small helper walks the outer border of each. The
-border runs through cell centres, as contour tracers do, so a polygon's area is smaller than its component's cell
+The border of a component is a closed walk along the free sides of its cells. Where the walk goes after a side depends
+on two more cells only, so the sides are linked inside bands of grid rows, each with one row of its neighbours as a
+halo. What lies in one band is a chain: its cells in walking order, and its share of area and length. Chains of
+different bands are put in order by ranking the list that their ends form (``pointers.chain_ranks``), never by walking a
+component in one task. The outline itself, at last, is one row.
+
+The walk runs through cell centres, as contour tracers do, so a polygon's area is smaller than its component's cell
 count. Vertices and the start of the ring may differ from other tracers.
 """
 
@@ -10,53 +15,164 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
+from tilewright.operators.components import BAND, cell_runs, whole_groups
+from tilewright.operators.pointers import chain_ranks
 from tilewright.operators.raster import spans
+from tilewright.session import pin
+
+#: Sides in clockwise order (top, right, bottom, left): the cell beyond a side, and the way along it, as (dy, dx).
+BEYOND = ((-1, 0), (0, 1), (1, 0), (0, -1))
+ALONG = ((0, 1), (1, 0), (0, -1), (-1, 0))
+POINT = "struct<x:double,y:double>"
 
-#: Clockwise steps (dy, dx), starting to the east.
-_STEPS = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
-
-
-def boundary_cells(cells: DataFrame) -> DataFrame:
-    """Cells with a free side. Neighbours are looked up along rows and along columns, each at most as long as the grid."""
-    row = W.partitionBy("image_id", "gy").orderBy("gx")
-    column = W.partitionBy("image_id", "gx").orderBy("gy")
-    gx, gy = F.col("gx"), F.col("gy")
-    enclosed_x = (F.lag("gx").over(row) == gx - 1) & (F.lead("gx").over(row) == gx + 1)
-    enclosed_y = (F.lag("gy").over(column) == gy - 1) & (F.lead("gy").over(column) == gy + 1)
-    return (cells.withColumn("_in", F.coalesce(enclosed_x, F.lit(False)))
-            .withColumn("_in", F.col("_in") & F.coalesce(enclosed_y, F.lit(False))).where(~F.col("_in")).drop("_in"))
-
-
-def outer_ring(ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
-    """Closed walk around a component given its boundary cells; rows ``x, y``, one per step."""
-    member = set(zip(ys.tolist(), xs.tolist()))
-    y, x = start = min(member)
-    ring: list[tuple[int, int]] = []
-    look, first_step = 5, None
-    while True:
-        for k in range(8):
-            step = (look + k) % 8
-            nxt = (y + _STEPS[step][0], x + _STEPS[step][1])
-            if nxt in member:
-                break
-        else:
-            return np.array([[x, y]], dtype=np.float64)
-        if (y, x) == start:
-            if first_step is None:
-                first_step = step
-            elif step == first_step:
-                return np.array(ring, dtype=np.float64)
-        ring.append((x, y))
-        y, x = nxt
-        look = (step + (7 if step % 2 == 0 else 6)) % 8
 
+def next_sides(code: np.ndarray, width: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Free sides of the ``own`` cells (cell, side), and the side that follows each (cell, side).
 
-def _cross_sum(ring: np.ndarray) -> float:
-    nxt = np.roll(ring, -1, axis=0)
-    return float(np.dot(ring[:, 0], nxt[:, 1]) - np.dot(ring[:, 1], nxt[:, 0]))
+    ``code`` numbers the cells in row order, ``width`` apart from row to row. At a corner where two cells meet
+    diagonally the walk crosses over to the other one, so that eight-neighbours belong together.
+    """
+    def found(wanted: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
+        return np.where(code[at] == wanted, at, -1)
+
+    cells, sides = [], []
+    for side, (dy, dx) in enumerate(BEYOND):
+        free = own[found(code[own] + dy * width + dx) < 0]
+        cells.append(free)
+        sides.append(np.full(len(free), side))
+    cell, side = np.concatenate(cells), np.concatenate(sides)
+    order = np.lexsort((side, cell))
+    cell, side = cell[order], side[order]
+    along = np.array([dy * width + dx for dy, dx in ALONG])[side]
+    beyond = np.array([dy * width + dx for dy, dx in BEYOND])[side]
+    across, ahead = found(code[cell] + along + beyond), found(code[cell] + along)
+    to_cell = np.where(across >= 0, across, np.where(ahead >= 0, ahead, cell))
+    to_side = np.where(across >= 0, side + 3, np.where(ahead >= 0, side, side + 1)) % 4
+    return cell, side, to_cell, to_side
+
+
+def chains(following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the elements, chain by chain from head to end, and the chain number of each; loops are left out.
+
+    ``following`` is the next element, or -1 at the end of a chain.
+    """
+    n = len(following)
+    jump = np.append(np.where(following < 0, n, following), n)
+    count = np.append(np.ones(n, np.int64), 0)
+    end = np.append(np.where(following < 0, np.arange(n), -1), -1)
+    left = None
+    while (open_ := int((jump[:n] < n).sum())) not in (0, left):
+        left = open_
+        end = np.where(end >= 0, end, end[jump])
+        count = count + count[jump]
+        jump = jump[jump]
+    done = np.flatnonzero(jump[:n] == n)
+    order = done[np.lexsort((-count[done], end[done]))]
+    return order, np.cumsum(np.concatenate([[0], np.diff(end[order]) != 0])) if len(order) else order
+
+
+def _sides_of_bands(batch: pa.RecordBatch, group: np.ndarray, walked: bool) -> pa.RecordBatch | None:
+    """The chains of whole bands; see :func:`border_chains`. None if there are none."""
+    gy, xs, xe, band, cy, cx = (batch.column(c).to_numpy().astype(np.int64) for c in ("gy", "xs", "xe", "band", "comp_y", "comp_x"))
+    halo = batch.column("halo").to_numpy(zero_copy_only=False)
+    counts = xe - xs + 1
+    run = np.repeat(np.arange(len(gy)), counts)
+    x = xs[run] + np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
+    y = gy[run]
+    width = int(xe.max()) + 3
+    code = (group[run] * (BAND + 4) + y - band[run] * BAND + 1) * width + x + 1
+    cell, side, to_cell, to_side = next_sides(code, width, np.flatnonzero(~halo[run]))
+    number = np.full(4 * len(code), -1)
+    number[cell * 4 + side] = np.arange(len(cell))
+    following = number[to_cell * 4 + to_side]
+    start = (to_side == 0) & (y[to_cell] == cy[run[to_cell]]) & (x[to_cell] == cx[run[to_cell]])  # a ring begins at its first cell
+    order, chain = chains(np.where(start, -1, following))
+    if not len(order):
+        return None
+    heads = np.flatnonzero(np.diff(chain, prepend=-1))
+    ends = np.concatenate([heads[1:], [len(order)]]) - 1
+    cell, side, to_cell, to_side, start = (v[order] for v in (cell, side, to_cell, to_side, start))
+    dy, dx = y[to_cell] - y[cell], x[to_cell] - x[cell]
+    moves = (dy != 0) | (dx != 0)
+
+    def total(v: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(v, heads)
+
+    def name(cells: np.ndarray, sides: np.ndarray) -> np.ndarray:
+        return (y[cells] << 33) + (x[cells] << 2) + sides
+
+    first = np.zeros(len(order), bool)
+    first[heads] = True
+    entered = first.copy()
+    entered[1:] |= moves[:-1]     # a cell is written down when the walk comes to it
+    if not walked:                # and only where it turns, but for the ends of the chain
+        at = np.flatnonzero(entered)
+        last = np.append(np.diff(chain[at]) != 0, True)
+        turn = np.ones(len(at), bool)
+        step = np.stack([y[cell[at[1:]]] - y[cell[at[:-1]]], x[cell[at[1:]]] - x[cell[at[:-1]]]], axis=1)
+        turn[1:-1] = (step[1:] != step[:-1]).any(axis=1)
+        entered[at[~(turn | first[at] | last)]] = False
+    offsets = np.concatenate([[0], np.cumsum(total(entered.astype(np.int64)))])
+    points = pa.StructArray.from_arrays([pa.array(v[cell[entered]].astype(np.float64)) for v in (x, y)], names=["x", "y"])
+    whose = pa.array(run[cell[heads]])
+    return pa.RecordBatch.from_arrays(
+        [batch.column("image_id").take(whose), batch.column("comp_y").take(whose), batch.column("comp_x").take(whose),
+         pa.array(name(cell[heads], side[heads])), pa.array(name(to_cell[ends], to_side[ends]), mask=start[ends]),
+         pa.array(total(x[cell] * y[to_cell] - x[to_cell] * y[cell])), pa.array(total((moves & ((dy == 0) | (dx == 0))).astype(np.int64))),
+         pa.array(total(((dy != 0) & (dx != 0)).astype(np.int64))), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), points)],
+        names=["image_id", "comp_y", "comp_x", "id", "to", "area2", "straight", "diagonal", "points"])
+
+
+def border_chains(runs: DataFrame, walked: bool = False) -> DataFrame:
+    """Pieces of the borders in each band: ``image_id, comp_y, comp_x, id, to, area2, straight, diagonal, points``.
+
+    ``id`` names the first side of the chain and ``to`` that which follows its last one, null where a ring closes at the
+    first cell of its component. Outer borders begin there; those of holes never come there. ``area2`` is the chain's
+    share of twice the area, and ``points`` are the cells, all of them if ``walked``, else those at which it turns and
+    both ends.
+    """
+    image_type = runs.schema["image_id"].dataType.simpleString()
+    band = F.expr(f"gy div {BAND}").cast("int")
+    beside = F.filter(F.array(F.when(F.col("gy") % BAND == 0, band - 1), F.when(F.col("gy") % BAND == BAND - 1, band + 1)), lambda b: b.isNotNull())
+    copies = F.concat(F.array(F.struct(band.alias("band"), F.lit(False).alias("halo"))),
+                      F.transform(beside, lambda b: F.struct(b.alias("band"), F.lit(True).alias("halo"))))
+    dealt = (runs.select("image_id", "gy", "xs", "xe", "comp_y", "comp_x", F.explode(copies).alias("_b"))
+             .select("image_id", "gy", "xs", "xe", "comp_y", "comp_x", "_b.band", "_b.halo")
+             .repartition("image_id", "band").sortWithinPartitions("image_id", "band", "gy", "xs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, group in whole_groups(batches, ("image_id", "band")):
+            found = _sides_of_bands(batch, group, walked)
+            if found is not None:
+                yield found
+
+    return dealt.mapInArrow(run, f"image_id {image_type}, comp_y int, comp_x int, id bigint, to bigint, area2 bigint, straight bigint, "
+                                 f"diagonal bigint, points array<{POINT}>")
+
+
+def outlines(runs: DataFrame, walked: bool = False) -> DataFrame:
+    """Outer ring of each component of labelled runs: ``image_id, comp_y, comp_x, area, perimeter, n_steps, ring``."""
+    keys = ["image_id", "comp_y", "comp_x"]
+    pieces = pin(border_chains(runs, walked))
+    start = F.col("comp_y").cast("bigint") * 2 ** 33 + F.col("comp_x").cast("bigint") * 4
+    whole = pieces.where((F.col("id") == start) & F.col("to").isNull())
+    parted = pieces.where((F.col("id") != start) | F.col("to").isNotNull())
+    ranks = chain_ranks(parted, ["image_id"])
+    sums = [F.sum(c).alias(c) for c in ("area2", "straight", "diagonal")]
+    joined = (parted.join(ranks, ["image_id", "id"]).groupBy(*keys)
+              .agg(*sums, F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("at"), "points"))).alias("_p"))
+              .withColumn("points", F.flatten(F.transform("_p", lambda p: p["points"]))))
+    columns = [*keys, "area2", "straight", "diagonal", "points"]
+    steps = F.col("straight") + F.col("diagonal")
+    # the last side is the left one of the first cell, which is then there twice
+    ring = F.when(F.size("points") > 1, F.slice("points", F.lit(1), F.size("points") - 1)).otherwise(F.col("points"))
+    return whole.select(columns).unionByName(joined.select(columns)).select(
+        *keys, (F.abs("area2") / 2.0).alias("area"), (F.col("straight") + F.col("diagonal") * F.sqrt(F.lit(2.0))).alias("perimeter"),
+        steps.alias("n_steps"), ring.alias("ring"))
 
 
 def _keep_far(points: np.ndarray, eps: float) -> np.ndarray:
@@ -100,81 +216,60 @@ def corners_only(ring: np.ndarray) -> np.ndarray:
     return ring[(before != after).any(axis=1)]
 
 
-def polygon_of(ys: np.ndarray, xs: np.ndarray, epsilon_frac: float, min_epsilon: float):
-    ring = outer_ring(ys, xs)
-    area = 0.5 * abs(_cross_sum(ring))
-    perimeter = float(np.hypot(*(np.roll(ring, -1, axis=0) - ring).T).sum())
-    filled = area + len(ring) / 2.0 + 1.0 if len(ring) > 1 else 1.0  # lattice points inside and on the ring
-    eps = max(min_epsilon, epsilon_frac * perimeter)
-    points = simplify_ring(corners_only(ring), eps) if eps > 0 and len(ring) > 2 else ring
-    return area, filled, points, ring
+def thinned(rings: DataFrame, epsilon_frac: float, min_epsilon: float) -> DataFrame:
+    """Rings with ``points``: the ring thinned by ``epsilon_frac`` of its perimeter, ``min_epsilon`` at least."""
+    schema = rings.schema.simpleString()[len("struct<"):-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ring, perimeter = batch.column("ring"), batch.column("perimeter").to_numpy()
+            offsets = ring.offsets.to_numpy()
+            flat = ring.flatten()
+            xy = np.stack([flat.field(c).to_numpy() for c in ("x", "y")], axis=1)
+            kept, sizes = [xy[:0]], [0]
+            for lo, hi, length in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0], perimeter):
+                line = xy[lo:hi]
+                points = simplify_ring(corners_only(line), max(min_epsilon, epsilon_frac * length)) if len(line) > 2 else line
+                kept.append(points)
+                sizes.append(len(points))
+            whole = np.concatenate(kept)
+            points = pa.StructArray.from_arrays([pa.array(whole[:, 0]), pa.array(whole[:, 1])], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), points)],
+                                             names=[*batch.schema.names, "points"])
+
+    return rings.mapInArrow(run, f"{schema}, points array<{POINT}>")
 
 
 def components_to_polygons(cells: DataFrame, min_area: float = 20.0, epsilon_frac: float = 0.002,
                            min_epsilon: float = 1.0, external_only: bool = True) -> DataFrame:
-    """Outer polygon of each component: ``image_id, comp_y, comp_x, n_cells, area, points``.
+    """Outer polygon of each component: ``image_id, comp_y, comp_x, n_cells, area, perimeter, points``.
 
-    Contours below ``min_area`` or with fewer than three points after thinning are dropped. With ``epsilon_frac`` and
-    ``min_epsilon`` 0 the ring is kept as walked. ``external_only`` leaves out components inside a hole of another one.
+    ``cells`` are labelled cells or, better, labelled runs. Contours below ``min_area`` or with fewer than three points
+    after thinning are dropped. With ``epsilon_frac`` and ``min_epsilon`` 0 the ring is kept as walked. ``external_only``
+    leaves out components inside a hole of another one.
     """
     keys = ["image_id", "comp_y", "comp_x"]
-    image_type = cells.schema["image_id"].dataType.simpleString()
-
-    def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            last = pdf.iloc[-1]
-            open_ = np.logical_and.reduce([pdf[k].to_numpy() == last[k] for k in keys])
-            cut = len(pdf) - int(open_.sum())
-            if cut:
-                yield rings(pdf.iloc[:cut])
-            rest = pdf.iloc[cut:].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield rings(rest)
-
-    def rings(pdf: pd.DataFrame) -> pd.DataFrame:
-        arrays = [pdf[k].to_numpy() for k in keys]
-        new = np.zeros(len(pdf), dtype=bool)
-        for a in arrays:
-            new[1:] |= a[1:] != a[:-1]
-        at = np.concatenate([[0], np.flatnonzero(new), [len(pdf)]])
-        ys, xs = pdf["gy"].to_numpy(), pdf["gx"].to_numpy()
-        out = {k: [] for k in (*keys, "area", "filled", "points", "ring")}
-        for lo, hi in zip(at[:-1], at[1:]):
-            area, filled, points, ring = polygon_of(ys[lo:hi], xs[lo:hi], epsilon_frac, min_epsilon)
-            for k, a in zip(keys, arrays):
-                out[k].append(a[lo])
-            out["area"].append(area)
-            out["filled"].append(filled)
-            for name, line in (("points", points), ("ring", ring)):
-                out[name].append([{"x": float(x), "y": float(y)} for x, y in line])
-        return pd.DataFrame(out)
-
-    schema = (f"image_id {image_type}, comp_y int, comp_x int, area double, filled double, "
-              "points array<struct<x:double,y:double>>, ring array<struct<x:double,y:double>>")
-    border = boundary_cells(cells.select(*keys, "gy", "gx"))
-    traced = border.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(trace, schema)
-    sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells"))
-    polygons = traced.join(sizes, keys)
+    runs = cells if "xs" in cells.columns else cell_runs(cells, ["comp_y", "comp_x"])
+    walked = epsilon_frac <= 0 and min_epsilon <= 0
+    rings = outlines(runs, walked)
+    rings = rings.withColumn("points", F.col("ring")) if walked else thinned(rings, epsilon_frac, min_epsilon)
+    sizes = runs.groupBy(*keys).agg(F.sum(F.col("xe") - F.col("xs") + 1).alias("n_cells"))
+    polygons = rings.join(sizes, keys)
     if external_only:
         polygons = _without_enclosed(polygons, keys)
     return (polygons.where((F.col("area") >= min_area) & (F.size("points") >= 3))
-            .select(*keys, "n_cells", "area", "points"))
+            .select(*keys, "n_cells", "area", "perimeter", "points"))
 
 
 def _without_enclosed(polygons: DataFrame, keys: list[str]) -> DataFrame:
     """Leave out components whose naming cell lies inside another one's ring.
 
-    Only components with a hole, which hold fewer cells than their ring encloses, can enclose others. Their rings, as
-    walked and not thinned, are rasterised and met with the naming cells row by row.
+    Only components with a hole, which hold fewer cells than their ring encloses (area, half the steps and one, by Pick's
+    theorem), can enclose others. Their rings, not thinned, are rasterised and met with the naming cells row by row.
     """
-    from tilewright.session import pin
-
     polygons = pin(polygons)
-    holed = polygons.where(F.col("filled") > F.col("n_cells") + 0.5).select(
+    enclosed = F.when(F.col("n_steps") > 0, F.col("area") + F.col("n_steps") / 2.0 + 1.0).otherwise(1.0)
+    holed = polygons.where(enclosed > F.col("n_cells") + 0.5).select(
         F.col("image_id"), F.col("comp_y").alias("_oy"), F.col("comp_x").alias("_ox"),
         F.transform("ring", lambda p: F.struct((p["x"] + 0.5).alias("x"), (p["y"] + 0.5).alias("y"))).alias("points"))
     frame = F.array_max(F.transform("points", lambda p: F.greatest(p["x"], p["y"]))).cast("int") + 1

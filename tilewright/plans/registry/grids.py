@@ -52,8 +52,16 @@ ORACLES["threshold_cells"] = X.with_sql("records", "tile_preds") + _MERGED.forma
 select image_id, count(*) as n, sum(gy * 31 + gx)::bigint as marks from merged where prob >= 0.6 group by 1"""
 
 
+def merged_rows(s, d):
+    return GR.merge_rows(GR.gate_tiles(X.tile_preds(s, d), "none"), X.records(s, d), X.PRED_CELL)
+
+
+def labelled_runs(s, d):
+    return C.label_runs(GR.row_runs(merged_rows(s, d), THRESHOLD))
+
+
 def components(s, d):
-    return C.connected_components(positive(s, d))
+    return C.run_cells(labelled_runs(s, d)).select("image_id", "gy", "gx", "comp_y", "comp_x")
 
 
 _COMPONENTS = X.with_sql("records", "tile_preds").replace("with ", "with recursive ", 1) + _MERGED.format(value="v") + """,
@@ -71,9 +79,7 @@ select image_id, gy::int as gy, gx::int as gx, (lab // 100000)::int as comp_y, (
 
 
 def detections(s, d):
-    cells = pin(positive(s, d))
-    labelled = pin(C.component_id(C.connected_components(cells)))
-    return C.component_stats(labelled.join(cells, ["image_id", "gy", "gx"]), X.PRED_CELL)
+    return C.run_stats(C.component_id(labelled_runs(s, d)), X.PRED_CELL)
 
 
 QUERIES["component_stats"] = lambda s, d: detections(s, d).withColumn("score", F.round(F.col("score") + 1e-9, 6))
