@@ -30,7 +30,15 @@ def keep(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/kept-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_path = path
+    return kept
+
+
+def discard(kept: DataFrame) -> None:
+    """Delete the files of a table from :func:`keep` that nothing reads any more; what was made of it must be kept itself."""
+    path = kept.sparkSession._jvm.org.apache.hadoop.fs.Path(kept.kept_path)
+    path.getFileSystem(kept.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def fold(column: Column | str, modulus: int) -> Column:

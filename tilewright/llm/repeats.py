@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tilewright.llm.common import keep, table
+from tilewright.llm.common import discard, keep, table
 
 WINDOW, START = 20, 5
 BLOCK_BITS = 10                  # a block is this many bits of consecutive row numbers
@@ -102,6 +102,19 @@ def covered(at: np.ndarray, reach: int, n: int) -> np.ndarray:
     return np.cumsum(steps)[:n] > 0
 
 
+def packed(candidates: np.ndarray) -> bytes:
+    """First and last place of each run of neighbours."""
+    breaks = np.flatnonzero(np.diff(candidates) != 1)
+    edges = np.stack([candidates[np.concatenate([[0], breaks + 1])], candidates[np.concatenate([breaks, [-1]])]], axis=1)
+    return edges.astype(np.int32).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    first, last = np.frombuffer(data, np.int32).reshape(-1, 2).astype(np.int64).T
+    counts = last - first + 1
+    return np.arange(counts.sum()) + np.repeat(first - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+
+
 class Documents:
     """Some documents of one block, end to end: row numbers, candidate starts and the names held for them."""
 
@@ -133,7 +146,7 @@ def _cut(data: bytes) -> list[bytes]:
 def from_words(rows: list[int], texts: list[list[bytes]], names: WordNames, window: int, start: int) -> Documents:
     """Every window of every text is a candidate."""
     ids = [np.fromiter(map(names.__getitem__, words), np.uint64, len(words)) for words in texts]
-    candidates = [np.arange(max(0, len(words) - window + 1), dtype=np.int32) for words in texts]
+    candidates = [np.arange(max(0, len(words) - window + 1)) for words in texts]
     # the names that candidates need, so that places() agrees
     held = [first_names(x, start) if len(x) >= window else np.zeros(0, np.uint64) for x in ids]
     return Documents(rows, candidates, held, window - start)
@@ -253,7 +266,7 @@ def ask_texts(rows: DataFrame, window: int, start: int, buckets: int) -> DataFra
 def _state(batch: pa.RecordBatch) -> Iterator[tuple]:
     columns = (batch.column(c).to_pylist() for c in ("row", "doc_id", "candidates", "names"))
     for row, doc_id, candidates, names in zip(*columns):
-        yield row, doc_id, np.frombuffer(candidates, np.int32), np.frombuffer(names, np.uint64)
+        yield row, doc_id, unpacked(candidates), np.frombuffer(names, np.uint64)
 
 
 def ask_states(states: DataFrame, window: int, length: int, buckets: int) -> DataFrame:
@@ -328,16 +341,13 @@ def _survivors(hits: Hits, block: int, docs: Documents, window: int, length: int
     least, _ = represent(docs.at, docs.names, window - length + 1)
     stays, _ = hits.find(block, least)
     for k, starts, names in docs.extended(stays, length):
-        yield k, starts.astype(np.int32).tobytes(), names.tobytes()
+        yield k, packed(starts), names.tobytes()
 
 
 def first_states(rows: DataFrame, answers: DataFrame, window: int, start: int) -> DataFrame:
-    """(row, doc_id, text, candidates, names) for every document; ``text`` has one space between words.
-
-    ``candidates`` and ``names`` are null where no window is left.
-    """
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "text": pa.binary(), "candidates": pa.binary(), "names": pa.binary()}
+    """(row, doc_id, candidates, names) of the documents where a window is left. Candidates are held as runs, for most
+    are neighbours."""
+    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "candidates": pa.binary(), "names": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, hits = WordNames(), Hits()
@@ -345,12 +355,12 @@ def first_states(rows: DataFrame, answers: DataFrame, window: int, start: int) -
 
         def out() -> pa.RecordBatch:
             nonlocal held
-            found = {k: rest for k, *rest in _survivors(hits, block, from_words(numbers, texts, names, window, start), window, start)}
-            rows_out = [(n, i, b" ".join(t), *found.get(k, (None, None))) for k, (n, i, t) in enumerate(zip(numbers, ids, texts))]
+            docs = from_words(numbers, texts, names, window, start)
+            found = [(numbers[k], ids[k], *rest) for k, *rest in _survivors(hits, block, docs, window, start)]
             for x in (numbers, ids, texts):
                 x.clear()
             held = 0
-            return _batch(kinds, rows_out)
+            return _batch(kinds, found)
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("block", "kind", "number", "doc_id", "hits")]
@@ -361,8 +371,9 @@ def first_states(rows: DataFrame, answers: DataFrame, window: int, start: int) -
                 block = here
                 if kind == 0:
                     hits.add(here, answer, None)
-                else:
-                    words = _cut(text or b"")
+                    continue
+                words = _cut(text or b"")
+                if len(words) >= window:
                     numbers.append(number)
                     ids.append(doc_id)
                     texts.append(words)
@@ -370,9 +381,9 @@ def first_states(rows: DataFrame, answers: DataFrame, window: int, start: int) -
         if numbers:
             yield out()
 
-    joined = with_answers(rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text"), answers.select("block", "names", F.lit(None).cast("binary").alias("row")))
-    found = joined.mapInArrow(run, "row long, doc_id long, text binary, candidates binary, names binary")
-    return found.select("row", F.col("doc_id").cast(id_type).alias("doc_id"), F.decode("text", "UTF-8").alias("text"), "candidates", "names")
+    joined = with_answers(rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text"),
+                          answers.select("block", "names", F.lit(None).cast("binary").alias("row")))
+    return joined.mapInArrow(run, "row long, doc_id long, candidates binary, names binary")
 
 
 def next_states(states: DataFrame, answers: DataFrame, window: int, length: int) -> DataFrame:
@@ -403,7 +414,7 @@ def next_states(states: DataFrame, answers: DataFrame, window: int, length: int)
                 else:
                     numbers.append(number)
                     ids.append(doc_id)
-                    candidates.append(np.frombuffer(some, np.int32))
+                    candidates.append(unpacked(some))
                     names.append(np.frombuffer(own, np.uint64))
                     held += len(names[-1])
         if numbers:
@@ -427,13 +438,13 @@ def spans_of(marks: np.ndarray) -> list[dict]:
     return [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])]
 
 
-def without_repeats(texts: DataFrame, states: DataFrame, answers: DataFrame, window: int) -> DataFrame:
-    """(row, doc_id, n_words, n_removed, spans, kept) of the documents in ``texts``."""
+def without_repeats(rows: DataFrame, states: DataFrame, answers: DataFrame, window: int) -> DataFrame:
+    """(row, doc_id, n_words, n_removed, spans, kept) of all documents; ``states`` has those that may lose words."""
     kinds = {"row": pa.int64(), "doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(),
              "spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), "kept": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits, later = Hits(), (None, np.zeros(0, np.int32))
+        hits, later = Hits(), (None, np.zeros(0, np.int64))
         for batch in batches:
             out = []
             columns = [batch.column(c).to_pylist() for c in ("block", "kind", "number", "step", "doc_id", "hits", "first", "candidates", "names")]
@@ -442,16 +453,16 @@ def without_repeats(texts: DataFrame, states: DataFrame, answers: DataFrame, win
                 if kind == 0:
                     hits.add(block, answer, first)
                 elif step == 0:
-                    later = row, later_windows(row, block, np.frombuffer(candidates, np.int32), np.frombuffer(names, np.uint64), hits)
+                    later = row, later_windows(row, block, unpacked(candidates), np.frombuffer(names, np.uint64), hits)
                 else:
-                    words = _cut(text)
+                    words = _cut(text or b"")
                     marks = covered(later[1] if later[0] == row else later[1][:0], window, len(words))
                     out.append((row, doc_id, len(words), int(marks.sum()), spans_of(marks), b" ".join(compress(words, ~marks))))
             yield _batch(kinds, out)
 
-    rows = (texts.select("row", "doc_id", "text", F.lit(1).alias("step"))
+    both = (rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(1).alias("step"))
             .unionByName(states.select("row", "doc_id", "candidates", "names", F.lit(0).alias("step")), allowMissingColumns=True))
-    return with_answers(rows, answers).mapInArrow(
+    return with_answers(both, answers).mapInArrow(
         run, "row long, doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
 
 
@@ -472,21 +483,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, start: int = START, st
     size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets = max(LEAST_BUCKETS, size // BYTES_PER_BUCKET)
     answers = keep(answered(ask_texts(rows, window, start, buckets)))
-    whole = keep(first_states(rows, answers, window, start))
-    states, length = whole.where("candidates is not null"), 2 * start
+    states, length = keep(first_states(rows, answers, window, start)), 2 * start
     while length < window:
+        discard(answers)
         answers = keep(answered(ask_states(states, window, length, buckets)))
-        states, length = keep(next_states(states, answers, window, length)), 2 * length
+        before, states = states, keep(next_states(states, answers, window, length))
+        discard(before)
+        length *= 2
+    discard(answers)
     answers = keep(answered(ask_states(states, window, window, buckets)))
-    done = whole.where("candidates is null").select(
-        "doc_id", F.when(F.col("text") == "", F.lit(0)).otherwise(F.size(F.split("text", " "))).cast("bigint").alias("n_words"),
-        F.lit(0).cast("bigint").alias("n_removed"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
-        F.col("text").alias("kept"))
-    cut = without_repeats(whole.where("candidates is not null").withColumn("doc_id", F.col("doc_id").cast("long")),
-                          states.withColumn("doc_id", F.col("doc_id").cast("long")), answers, window)
-    id_type = docs.schema["doc_id"].dataType
-    return done.unionByName(cut.select(F.col("doc_id").cast(id_type).alias("doc_id"), "n_words", "n_removed", "spans",
-                                       F.decode("kept", "UTF-8").alias("kept")))
+    cut = without_repeats(rows, states, answers, window)
+    return cut.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_words", "n_removed", "spans",
+                      F.decode("kept", "UTF-8").alias("kept"))
 
 
 def op11(spark, sf_dir: str) -> DataFrame:
