@@ -200,6 +200,23 @@ def test_components_of_a_long_path(spark):
     assert components.connected(edges.limit(0)).count() == 0
 
 
+def test_components_are_joined_by_new_links(spark):
+    first, second = [(1, 2), (3, 2), (7, 8), (9, 9)], [(8, 3), (20, 21), (1, 3), (30, 7)]
+    empty = spark.createDataFrame([], "node long, label long")
+    label = components.joined(empty, spark.createDataFrame(first, "u long, v long"))
+    assert {r["node"]: r["label"] for r in label.collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 9}
+    label = components.joined(label, spark.createDataFrame(second, "u long, v long"))
+    assert {r["node"]: r["label"] for r in label.collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 30: 1, 9: 9, 20: 20, 21: 20}
+    assert components.joined(empty, empty.select(F.col("node").alias("u"), F.col("label").alias("v"))).collect() == []
+
+
+def test_a_round_of_stars_is_a_small_plan(spark):
+    edges = components.keep(spark.createDataFrame([(2, 1), (3, 2), (5, 4)], "u long, v long"))
+    for star in (components.large_star, components.small_star):
+        plan = star(edges, 3)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation") <= 6
+
+
 def test_leaks_of_the_table(spark):
     items = {r["item_id"]: " ".join(r["text"].lower().split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     docs = {r["doc_id"]: " " + " ".join(r["text"].lower().split()) + " " for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

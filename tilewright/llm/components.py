@@ -8,12 +8,13 @@ from tilewright.llm.common import join_groups, keep
 
 
 def _minima(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("_n"))
+    """Kept, since both sides of :func:`join_groups` read it: a round is a few small plans instead of one of many copies."""
+    return keep(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("_n")))
 
 
 def large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every neighbour above u is linked with the smallest of u and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
     linked = join_groups(both, _minima(both), "u", 2 * total).where("v > u")
     return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
@@ -38,6 +39,22 @@ def connected(edges: DataFrame) -> DataFrame:
         if (n, mark) == state or not n:
             break
         state = (n, mark)
-        edges = keep(small_star(large_star(edges, n), n))
+        edges = keep(small_star(keep(large_star(edges, n)), n))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
+
+
+def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, label) of those so far and of new ``links`` (u, v) between any nodes.
+
+    Only the links' labels go through the rounds of :func:`connected`, however many links are behind them.
+    """
+    ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    known = keep(label.unionByName(ends.join(label, "node", "left_anti").select("node", F.col("node").alias("label"))))
+    between = (links.join(known.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u")
+               .join(known.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v"))
+    roots = connected(between.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+    total = known.count()
+    sizes = keep(roots.select(F.col("node").alias("_node"), F.col("label").alias("_root")).join(
+        known.groupBy(F.col("label").alias("_node")).agg(F.count(F.lit(1)).alias("_n")), "_node").withColumnRenamed("_node", "label"))
+    return keep(join_groups(known, sizes, "label", total, "left").select("node", F.coalesce("_root", "label").alias("label")))

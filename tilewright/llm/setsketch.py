@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tilewright.llm.common import join_groups, keep, per_batch, table, text_bytes
-from tilewright.llm.components import connected
+from tilewright.llm.components import joined
 
 SHINGLE = 5
 LEAST_PERCENT = 75
@@ -204,6 +204,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, keep(nodes)
 
 
+def _members() -> list:
+    """Sums that tell sets of nodes apart, whatever their order."""
+    return [F.expr("sum(cast(xxhash64(node) as decimal(38,0)))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y")]
+
+
 def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Components (node, label) of the nodes with a similar other text.
 
@@ -219,7 +224,9 @@ def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                         lambda i: F.xxhash64(i, F.slice("registers", i * ROWS + 1, ROWS)))
     entries = sketches.select("node", F.explode(bands).alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), *_members()).where("_n > 1")
+    # of buckets with the same members one is enough
+    shared = keep(shared.groupBy("_n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "_n"))
     n_entries = sketches.count() * BANDS
     members = keep(join_groups(entries, shared, "bucket", n_entries))
     wanted = sketches.join(members.select("node").distinct(), "node", "left_semi").select(
@@ -228,7 +235,6 @@ def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     texts = keep(found.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest")))
                  .select("node", "text"))
     label = spark.createDataFrame([], "node long, label long")
-    proven = spark.createDataFrame([], "u long, v long")
     tested = spark.createDataFrame([], "a long, b long")
     for turn in range(NEAREST_ROUNDS + 1):
         open_, cross = still_open(members, label, n_entries)
@@ -252,9 +258,8 @@ def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
             own = results.select(F.col("v").alias("node"), F.col("u").alias("pivot"), "distance")
             heads = results.select(F.col("u").alias("node")).distinct().join(own, "node", "left_anti")
             pivots = keep(own.unionByName(heads.select("node", F.col("node").alias("pivot"), F.lit(0.0).alias("distance"))))
-        proven = proven.unionByName(results.where("linked").select("u", "v"))
         tested = tested.unionByName(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        label = keep(connected(proven))
+        label = joined(label, results.where("linked").select("u", "v"))
     placed = open_.join(pivots, "node", "left")
     other = placed.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("pivot").alias("pb"),
                           F.col("distance").alias("db"))
@@ -263,7 +268,7 @@ def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
              .where((F.col("a") < F.col("b")) & (F.col("label") != F.col("lb")) & ~F.coalesce(apart, F.lit(False)))
              .select("a", "b").distinct())
     left = keep(likely(not_in(pairs, tested), sketches).select("a", "b"))
-    return keep(connected(proven.unionByName(verify(left, texts).where("linked").select("u", "v"))))
+    return joined(label, keep(verify(left, texts).where("linked").select("u", "v")))
 
 
 def not_in(pairs: DataFrame, tested: DataFrame) -> DataFrame:
@@ -278,9 +283,7 @@ def still_open(members: DataFrame, label: DataFrame, total: int) -> tuple[DataFr
     Of buckets with the same members one is enough.
     """
     known = keep(members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    counts = known.groupBy("bucket", "label").agg(
-        F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"),
-        F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
+    counts = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"), *_members())
     buckets = counts.groupBy("bucket").agg(
         F.sum("k").alias("_n"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count(F.lit(1)).alias("labels"),
         F.sum("x").alias("x"), F.expr("bit_xor(y)").alias("y")).where("labels > 1")
