@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tilewright.operators import ranking as R
 from tilewright.operators import selection as S
 from tilewright.operators.ranking import exact_quantiles, number_rows, seeded_rank, seeded_sample
 
@@ -95,3 +96,16 @@ def test_draws_reach_beyond_32_bits(spark):
     from tilewright.functions.draws import draw_int, seeded_digest
     got = spark.range(200).select(draw_int(seeded_digest(1, F.col("id")), F.lit(1 << 50)).alias("d")).collect()
     assert max(r["d"] for r in got) > 1 << 48 and min(r["d"] for r in got) >= 0
+
+
+@pytest.mark.parametrize("few, digits", [(20_000, 4), (5, 1), (0, 1)])
+def test_first_by_count_equals_first_by_rank(spark, monkeypatch, few, digits):
+    monkeypatch.setattr(R, "FEW", few)
+    monkeypatch.setattr(R, "DIGITS", digits)
+    df = spark.range(3000).select("id", F.when(F.col("id") % 10 == 0, "a").when(F.col("id") % 10 < 9, "b").otherwise("c").alias("kind"))
+    quotas = {"a": 17, "b": 1111, "c": 5000, "none": 3}
+    got = R.seeded_first(df, "kind", quotas, 7, ["id"]).collect()
+    ranked = R.seeded_rank(df, ["kind"], 7, ["id"]).collect()
+    want = {(r["id"], r["kind"]) for r in ranked if r["rank"] <= quotas[r["kind"]]}
+    assert {tuple(r) for r in got} == want and len(got) == 17 + 1111 + 300
+    assert R.seeded_first(df, "kind", {"a": 0}, 7, ["id"]).count() == 0

@@ -99,6 +99,57 @@ def test_batch_twin_follows_the_rules(spark, seed):
     assert TR.quiet_segments(TR.number_scored(df, RULES), RULES).select("segment").distinct().count() > 1
 
 
+def fold(rows, rules):
+    """The streaming step, frame by frame."""
+    out, last_save = set(), None
+    for stream in {r[0] for r in rows}:
+        own = sorted((r[1], r[3]) for r in rows if r[0] == stream)
+        state, number, last_save = TR.Tracker(), 0, None
+        for i, (index, detections) in enumerate(own):
+            if i and index % rules.infer_every:
+                continue
+            number += 1
+            TR.advance(state, TR._detections(detections), number, rules)
+            lasting = any(TR.is_persistent(t, number, rules) for t in state.tracks)
+            save = lasting and (last_save is None or number - last_save >= rules.cooldown)
+            last_save = number if save else last_save
+            out |= {(stream, index, number, t[0], round(t[1][0], 6), t[3], t[4], TR.is_persistent(t, number, rules), save) for t in state.tracks}
+    return out
+
+
+def crowd(seed, places, n, miss=0.0):
+    """A stream without an empty frame, of boxes at a few whole places, so that many overlaps are equal."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for f in range(1, n + 1):
+        dets = []
+        for p in places:
+            if rng.random() >= miss:
+                x = float(p + rng.integers(0, 3) * 4)
+                dets.append({"poly": [{"x": x, "y": 0.0}, {"x": x + 20, "y": 0.0}, {"x": x, "y": 20.0}], "x0": x, "y0": 0.0, "x1": x + 20, "y1": 20.0})
+        rows.append((1, f, datetime(2024, 1, 1) + timedelta(milliseconds=40 * f), dets))
+    return rows
+
+
+@pytest.mark.parametrize("places, miss, max_miss", [([0, 0, 8], 0.0, 1), ([0, 4, 12, 30, 34], 0.2, 2)])
+def test_crowded_streams_with_equal_overlaps(spark, places, miss, max_miss):
+    rules = TR.TrackRules(infer_every=1, iou=0.25, max_miss=max_miss, persist=2, cooldown=3)
+    rows = crowd(len(places), places, 60, miss)
+    assert batch_set(spark, rows, rules) == fold(rows, rules)
+
+
+def test_saves_of_one_dense_stream(spark):
+    steps = [i for i in range(1, 400) if i % 13] + [500, 503, 504, 900]
+    got = TR.save_decisions(spark.createDataFrame([(1, i) for i in steps] + [(2, 7)], "stream_id long, infer_idx long"), 8)
+    want, last = {(2, 7)}, None
+    for i in steps:
+        if last is None or i - last >= 8:
+            want.add((1, i))
+            last = i
+    rows = got.collect()
+    assert {(r["stream_id"], r["infer_idx"]) for r in rows if r["save"]} == want and len(rows) == len(steps) + 1
+
+
 def write_parts(spark, rows, cuts):
     path = tempfile.mkdtemp(prefix="spark-")
     for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):

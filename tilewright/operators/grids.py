@@ -33,35 +33,42 @@ def gate_tiles(preds: DataFrame, mode: str = "none", threshold: float = 0.5) ->
     return preds.withColumns({"tile_cls": cls, "gain": gain})
 
 
+def _spelled(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges that begin at ``first`` and have ``counts`` members: the range of every member, and its value."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    return of, np.arange(len(of)) + (first - (np.cumsum(counts) - counts))[of]
+
+
 def _tile_cells(batch: pa.RecordBatch) -> tuple:
-    """Row slots of the tiles of a batch, and for every cell its slot, column and values."""
+    """What the tiles of a batch add: row slots (image, row, first and last column), and each cell's slot, column, values."""
     column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
     gw, top, left, limit_y, limit_x = (column[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("gw", "_y", "_x", "_gh", "_gw"))
-    gain, cls = (column[c].to_numpy(zero_copy_only=False) for c in ("_g", "_c"))
-    seg = column["seg"]
-    counts = np.diff(seg.offsets.to_numpy()).astype(np.int64)
-    tile = np.repeat(np.arange(len(gw)), counts)
-    at = np.arange(len(tile)) - np.repeat(np.cumsum(counts) - counts, counts)
-    gy, gx = top[tile] + at // gw[tile], left[tile] + at % gw[tile]
-    inside = (gy < limit_y[tile]) & (gx < limit_x[tile])
-    tile, gy, gx = tile[inside], gy[inside], gx[inside]
-    values = seg.flatten().to_numpy(zero_copy_only=False)[inside]
+    offsets = column["seg"].offsets.to_numpy().astype(np.int64)
+    counts = np.diff(offsets)
+    tile, row = _spelled(np.zeros(len(gw), np.int64), -(-counts // np.maximum(gw, 1)))  # rows of tiles
+    wide = np.minimum(np.minimum(gw[tile], counts[tile] - row * gw[tile]), limit_x[tile] - left[tile])
+    inside = (top[tile] + row < limit_y[tile]) & (wide > 0)
+    tile, row, wide = tile[inside], row[inside], wide[inside]
+    gy = top[tile] + row
     image = column["image_id"].dictionary_encode()
-    code = image.indices.to_numpy(zero_copy_only=False).astype(np.int64)[tile]
     high = int(gy.max(initial=0)) + 1
-    keys, slot = np.unique(code * high + gy, return_inverse=True)
-    ids = image.dictionary.take(pa.array(keys // high))
-    return ids, keys % high, slot, gx, values * gain[tile], cls[tile], np.ones(len(tile), np.int64)
-
-
-def _added(ids: pa.Array, gy: np.ndarray, slot: np.ndarray, gx: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    keys, slot = np.unique(image.indices.to_numpy(zero_copy_only=False).astype(np.int64)[tile] * high + gy, return_inverse=True)
+    first, last = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), -1)
+    np.minimum.at(first, slot, left[tile])
+    np.maximum.at(last, slot, left[tile] + wide - 1)
+    of, at = _spelled(offsets[:-1][tile] - offsets[0] + row * gw[tile], wide)
+    _, gx = _spelled(left[tile], wide)
+    gain, cls = (column[c].to_numpy(zero_copy_only=False)[tile][of] for c in ("_g", "_c"))
+    values = column["seg"].flatten().to_numpy(zero_copy_only=False)[at]
+    slots = image.dictionary.take(pa.array(keys // high)), keys % high, first, last
+    return *slots, slot[of], gx, values * gain, cls, np.ones(len(of), np.int64)
+
+
+def _added(ids: pa.Array, gy: np.ndarray, first: np.ndarray, last: np.ndarray, slot: np.ndarray, gx: np.ndarray,
+           *values: np.ndarray) -> pa.RecordBatch:
     """One row for each slot: its cells' values added by column, as arrays from the slot's first column on."""
-    first = np.full(len(gy), np.iinfo(np.int64).max)
-    last = np.full(len(gy), -1)
-    np.minimum.at(first, slot, gx)
-    np.maximum.at(last, slot, gx)
     offsets = np.concatenate([[0], np.cumsum(last - first + 1)])
-    place = offsets[slot] + gx - first[slot]
+    place = (offsets[:-1] - first)[slot] + gx
     sums = [np.bincount(place, weights=v, minlength=offsets[-1]) for v in values]
     lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x)) for x in (*sums[:-1], sums[-1].astype(np.int32))]
     return pa.RecordBatch.from_arrays([ids, pa.array(gy.astype(np.int32)), pa.array(first.astype(np.int32)), *lists],
@@ -72,14 +79,13 @@ def _row_cells(batch: pa.RecordBatch) -> tuple:
     """The same for partial rows that are sorted by image and row."""
     column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
     code = column["image_id"].dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    gy = column["gy"].to_numpy()
-    new = np.concatenate([[True], (code[1:] != code[:-1]) | (gy[1:] != gy[:-1])])
+    gy, x0 = column["gy"].to_numpy().astype(np.int64), column["x0"].to_numpy().astype(np.int64)
+    heads = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (gy[1:] != gy[:-1])]))
     counts = np.diff(column["p"].offsets.to_numpy()).astype(np.int64)
-    slot = np.repeat(np.cumsum(new) - 1, counts)
-    gx = np.repeat(column["x0"].to_numpy() - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    heads = np.flatnonzero(new)
-    return (column["image_id"].take(pa.array(heads)), gy[heads].astype(np.int64), slot, gx,
-            *[column[c].flatten().to_numpy(zero_copy_only=False) for c in ("p", "c", "n")])
+    of, gx = _spelled(x0, counts)
+    slots = column["image_id"].take(pa.array(heads)), gy[heads], np.minimum.reduceat(x0, heads), np.maximum.reduceat(x0 + counts - 1, heads)
+    slot = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(gy))))
+    return *slots, slot[of], gx, *[column[c].flatten().to_numpy(zero_copy_only=False) for c in ("p", "c", "n")]
 
 
 def merge_rows(preds: DataFrame, records: DataFrame, stride: int) -> DataFrame:

@@ -14,23 +14,23 @@ from tilewright.session import pin
 
 
 def chain_ranks(links: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys, id, rank``: the number of rows from each row to the end of its chain, itself included.
+    """``keys, id, rank, end``: the number of rows from each row to the end of its chain, itself included, and that end.
 
     ``links`` has ``keys, id, to``; ``to`` is null at the end of a chain. An ``id`` is unique within the keys and has one
     row that points at it at most. Rows of closed loops have no rank and are left out. A round in which no row comes to
     its end leaves only loops, since of an open chain some row would.
     """
     keys = list(keys)
-    state = pin(links.select(*keys, "id", "to", F.lit(1).cast("bigint").alias("rank")))
+    state = pin(links.select(*keys, "id", "to", F.lit(1).cast("bigint").alias("rank"), F.when(F.col("to").isNull(), F.col("id")).alias("end")))
     before = None
     while True:
         left = state.where("to is not null").count()
         if left in (0, before):
-            return state.where("to is null").select(*keys, "id", "rank")
+            return state.where("to is null").select(*keys, "id", "rank", "end")
         before = left
-        ahead = state.select(*keys, F.col("id").alias("to"), F.col("to").alias("_to"), F.col("rank").alias("_rank"))
+        ahead = state.select(*keys, F.col("id").alias("to"), F.col("to").alias("_to"), F.col("rank").alias("_rank"), F.col("end").alias("_end"))
         moving = state.where("to is not null").join(ahead, [*keys, "to"]).select(
-            *keys, "id", F.col("_to").alias("to"), (F.col("rank") + F.col("_rank")).alias("rank"))
+            *keys, "id", F.col("_to").alias("to"), (F.col("rank") + F.col("_rank")).alias("rank"), F.col("_end").alias("end"))
         state = pin(state.where("to is null").unionByName(moving))
 
 

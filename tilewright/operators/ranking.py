@@ -15,6 +15,8 @@ from tilewright.functions.draws import seeded_digest
 from tilewright.session import pin
 
 CHUNK = "_chunk"
+DIGITS = 4      # hexadecimal digits of a digest that are counted at once
+FEW = 20_000    # rows that are ranked in one task at most
 
 
 def _name(df: DataFrame, order: Sequence[Column | str]) -> list[Column]:
@@ -72,9 +74,59 @@ def seeded_rank(df: DataFrame, keys: Sequence[str], seed: int | str, by: Sequenc
     return out.select(*cols, name)
 
 
+def seeded_first(df: DataFrame, group: str, quotas: dict[str, int], seed: int | str, by: Sequence[str]) -> DataFrame:
+    """The rows that :func:`seeded_rank` numbers up to ``quotas`` in each group, without ranking, sorting or moving the rest.
+
+    Rows are counted by the first digits of their digest. All below the digits at which the quota is reached are in; only
+    those with the very digits are looked at again, by more digits until they are few, and the last few are ranked.
+    Groups without a quota are left out. ``df`` is read once for each step, two as a rule, so pin what is expensive.
+    """
+    drawn = df.withColumn("_digest", seeded_digest(seed, *[F.col(c) for c in by]))
+    rest = {g: ("", n) for g, n in quotas.items() if n > 0}  # digits in question, and rows still wanted from them
+    sure, edge = F.lit(False), F.lit(False)
+    wanted = F.lit(0)
+    size = 0
+    while rest:
+        size += DIGITS
+        mine = F.lit(False)
+        quota = F.lit(0)
+        for g, (digits, n) in rest.items():
+            mine = mine | ((F.col(group) == g) & F.col("_digest").startswith(digits))
+            quota = F.when(F.col(group) == g, F.lit(n)).otherwise(quota)
+        counts = drawn.where(mine).groupBy(group, F.substring("_digest", 1, size).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+        upto = F.sum("_n").over(W.partitionBy(group).orderBy("_at"))
+        reached = {r[group]: r for r in counts.withColumns({"_upto": upto, "_quota": quota})
+                   .where((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota"))).collect()}
+        later = {}
+        for g, (digits, n) in rest.items():
+            if g not in reached:  # the quota is more than there is
+                sure = sure | (F.col(group) == g)
+                continue
+            at, count, upto_at = (reached[g][c] for c in ("_at", "_n", "_upto"))
+            left = n - (upto_at - count)
+            same = F.substring("_digest", 1, size)
+            sure = sure | ((F.col(group) == g) & (same <= at if left == count else same < at))
+            if left == count:
+                continue
+            if count <= FEW or size >= 32:
+                edge = edge | ((F.col(group) == g) & (same == at))
+                wanted = F.when(F.col(group) == g, F.lit(left)).otherwise(wanted)
+            else:
+                later[g] = (at, left)
+        rest = later
+    place = F.row_number().over(W.partitionBy(group).orderBy("_digest", *by))
+    last = drawn.where(edge).withColumn("_place", place).where(F.col("_place") <= wanted).drop("_place")
+    return drawn.where(sure).unionByName(last).select(df.columns)
+
+
+def seeded_subset(df: DataFrame, n: int, seed: int | str, by: Sequence[str]) -> DataFrame:
+    """The first ``n`` rows of a seeded random order, in any order."""
+    return seeded_first(df.withColumn("_all", F.lit("all")), "_all", {"all": n}, seed, by).drop("_all")
+
+
 def seeded_sample(df: DataFrame, n: int, seed: int | str, by: Sequence[str]) -> DataFrame:
     """The first ``n`` rows in seeded random order."""
-    return seeded_rank(df, [], seed, by, "_rank").where(F.col("_rank") <= n).drop("_rank")
+    return seeded_subset(df, n, seed, by).orderBy(seeded_digest(seed, *[F.col(c) for c in by]), *by)
 
 
 def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float],

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tilewright.functions import geometry as G
 from tilewright.functions.draws import seeded_digest, uniform
-from tilewright.operators.ranking import number_rows, seeded_rank, seeded_sample
+from tilewright.operators.ranking import number_rows, seeded_first, seeded_rank, seeded_subset
 from tilewright.session import pin
 
 TILE_KEY = ("image_id", "src_tile_size", "x0", "y0")
@@ -138,15 +138,10 @@ def balance_tiles(tiles: DataFrame, fp_neg_ratio: float = 0.5, seed: int = 42) -
     take_fp = min(n_fp_neg, round(n * ratio))
     take_pure = min(n_pure, n - take_fp)
     fill = n - take_fp - take_pure
-    quota = (F.when(F.col("draw") == "pos", F.lit(n)).when(F.col("draw") == "fp_neg", F.lit(take_fp))
-             .otherwise(F.lit(take_pure)))
-    ranked = seeded_rank(tiles, ["draw"], seed, TILE_KEY, "_rank")
-    chosen = ranked.where(F.col("_rank") <= quota).drop("_rank")
+    chosen = seeded_first(tiles, "draw", {"pos": n, "fp_neg": take_fp, "pure_neg": take_pure}, seed, TILE_KEY)
     if fill > 0:
         negatives = tiles.where(F.col("is_object") == 0)
-        extra = (seeded_rank(negatives, [], f"{seed}:fill", TILE_KEY, "_rank").where(F.col("_rank") <= fill)
-                 .drop("_rank").withColumn("draw", F.lit("fill")))
-        chosen = chosen.unionByName(extra)
+        chosen = chosen.unionByName(seeded_subset(negatives, fill, f"{seed}:fill", TILE_KEY).withColumn("draw", F.lit("fill")))
     return chosen
 
 
@@ -169,7 +164,7 @@ def split_records(records: DataFrame, train_fraction: float = 0.95, seed: int |
 
 def subset_tiles(tiles: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` tiles without replacement, after balancing; 0 keeps all."""
-    return seeded_sample(tiles, n, seed, TILE_KEY) if n > 0 else tiles
+    return seeded_subset(tiles, n, seed, TILE_KEY) if n > 0 else tiles
 
 
 def mine_hard_negatives(samples: DataFrame, scores: DataFrame, key: Sequence[str], epoch: int, seed: int = 42,
@@ -196,13 +191,12 @@ def mine_hard_negatives(samples: DataFrame, scores: DataFrame, key: Sequence[str
         hard = min(pool_n, int(n_pos * min(1.0, max(0.0, hard_ratio))))
         ranked = number_rows(negatives, [], [F.col("score").desc(), *key], "_rank")
         pooled = ranked.withColumn("draw", F.when(F.col("_rank") <= pool_n, "hard").otherwise("rest")).drop("_rank")
-        by_draw = seeded_rank(pooled, ["draw"], draw_seed, key, "_rank")
+        pooled = pin(pooled)
         outside = n_neg - pool_n
         rest = min(outside if outside > 0 else n_neg, n_pos - hard)
-        quota = F.when(F.col("draw") == "hard", F.lit(hard)).otherwise(F.lit(rest))
-        parts.append(by_draw.where(F.col("_rank") <= quota).select(*key, "is_object", "draw", once))
+        parts.append(seeded_first(pooled, "draw", {"hard": hard, "rest": rest}, draw_seed, key).select(*key, "is_object", "draw", once))
         if outside == 0 and rest > 0:  # everything is in the pool, so the rest is drawn from all negatives
-            parts.append(seeded_rank(negatives, [], f"{draw_seed}:rest", key, "_rank").where(F.col("_rank") <= rest)
+            parts.append(seeded_subset(negatives, rest, f"{draw_seed}:rest", key)
                          .select(*key, "is_object", F.lit("rest").alias("draw"), once))
         fill = n_pos - hard - rest
         if fill > 0:

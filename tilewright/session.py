@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,8 +47,11 @@ def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder once and read it back from there.
 
     Used where several branches read one expensive frame, where an iteration would grow its lineage, and where
-    partition ids must not change if a stage is run again. The data survives lost executors.
+    partition ids must not change if a stage is run again. The data survives lost executors. It is Parquet and not
+    ``checkpoint()``: columns are pruned, and Spark plans with its real size, whereas a checkpoint goes on with the
+    product of the sizes that were once joined, whose digits double in every round of an iteration.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

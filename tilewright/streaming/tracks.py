@@ -1,7 +1,8 @@
 """Tracks over detections of a frame stream.
 
-The matching rules live in one pure step function. Structured Streaming keeps its state per stream; the batch twin
-cuts every stream where its state is known to be empty, so that one long stream is spread over many tasks.
+Structured Streaming keeps the state of each stream and takes it frame by frame. The batch twin has whole streams: it
+matches detections as edges of a graph, all frames at once, and gets ages, identifiers and saved frames from list ranking
+and pointer doubling, so a stream is never walked in one task.
 
 Rules that belong to this engine: frames are taken in ``frame_idx`` order within a micro-batch, a frame that is not
 newer than the last one is dropped and counted, and the state of an idle stream expires by processing time.
@@ -15,9 +16,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tilewright.operators.components import merge_labels
+from tilewright.operators.pointers import chain_ranks, reached
 from tilewright.operators.ranking import number_rows
 from tilewright.operators.selection import RATE_KEEP, infer_gate
 from tilewright.session import pin
@@ -190,70 +193,169 @@ def quiet_segments(scored: DataFrame, rules: TrackRules) -> DataFrame:
     return number_rows(marked, ["stream_id"], ["infer_idx"], "segment", weight="_cut").drop("_cut")
 
 
-def track_frames(frames: DataFrame, rules: TrackRules = TrackRules()) -> DataFrame:
-    """Batch twin of :func:`track_stream` (without rate): the same tracks, identifiers and save decisions.
+def detection_rows(scored: DataFrame) -> DataFrame:
+    """One row for each detection with an outline of three points or more: ``stream_id, t, id`` and the detection.
 
-    Streams are cut into quiet segments. A task reads its segments frame by frame and keeps one tracker at a time.
-    Identifiers are local first and moved by the number of tracks that earlier segments of the stream opened.
+    ``id`` grows with the scored frame ``t`` and, within it, with the place of the detection.
     """
-    segments = quiet_segments(number_scored(frames, rules), rules)
-    ready = (segments.select("stream_id", "segment", "frame_idx", "infer_idx", "detections")
-             .repartition("stream_id", "segment").sortWithinPartitions("stream_id", "segment", "infer_idx"))
-    key_type = frames.schema["stream_id"].dataType.simpleString()
+    each = scored.select("stream_id", F.col("infer_idx").alias("t"), F.posexplode("detections").alias("_k", "d"))
+    return each.where(F.size("d.poly") >= 3).select("stream_id", "t", (F.shiftleft("t", 24) + F.col("_k")).alias("id"), "d")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, tracker = None, Tracker()
-        for pdf in batches:
-            rows = []
-            for stream, segment, frame_idx, infer_idx, cell in pdf.itertuples(index=False):
-                if (stream, segment) != current:
-                    current, tracker = (stream, segment), Tracker()
-                before = tracker.next_id
-                advance(tracker, _detections(cell), int(infer_idx), rules)
-                opened = tracker.next_id - before
-                for i, t in enumerate(tracker.tracks):
-                    rows.append({"stream_id": stream, "segment": segment, "frame_idx": frame_idx, "infer_idx": infer_idx,
-                                 **_track_row(t, int(infer_idx), rules), "opened": opened if i == 0 else 0})
-            if rows:
-                yield pd.DataFrame(rows)
-
-    schema = f"stream_id {key_type}, segment bigint, frame_idx bigint, infer_idx bigint, {TRACK_COLUMNS}, opened bigint"
-    local = pin(ready.mapInPandas(run, schema))
-    opened = local.groupBy("stream_id", "segment").agg(F.sum("opened").alias("_opened"))
-    offsets = (number_rows(opened, ["stream_id"], ["segment"], "_upto", weight="_opened")
-               .select("stream_id", "segment", (F.col("_upto") - F.col("_opened")).alias("_offset")))
-    tracks = (local.join(offsets, ["stream_id", "segment"])
-              .withColumn("track_id", F.col("track_id") + F.col("_offset")).drop("_offset", "opened", "segment"))
-    saves = save_decisions(local.where("persistent").select("stream_id", "infer_idx").distinct(), rules.cooldown)
-    return (tracks.join(saves, ["stream_id", "infer_idx"], "left")
-            .withColumn("save", F.coalesce("save", F.lit(False))))
 
+def overlaps(detections: DataFrame, rules: TrackRules) -> DataFrame:
+    """Edges ``stream_id, u, v, t, iou``: a track whose last detection is ``u`` could go on with ``v`` in frame ``t``.
+
+    A track is forgotten after ``max_miss`` frames without a match, so ``u`` is at most ``max_miss + 1`` frames older.
+    """
+    boxes = detections.select("stream_id", "t", "id", *[F.col(f"d.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    older = boxes.withColumn("t", F.explode(F.sequence(F.col("t") + 1, F.col("t") + rules.max_miss + 1)))
+    older = older.withColumnsRenamed({"id": "u", "x0": "_x0", "y0": "_y0", "x1": "_x1", "y1": "_y1"})
+    both = older.join(boxes.withColumnRenamed("id", "v"), ["stream_id", "t"])
+    wide = F.least("x1", "_x1") - F.greatest("x0", "_x0")
+    high = F.least("y1", "_y1") - F.greatest("y0", "_y0")
+    shared = F.when((wide > 0) & (high > 0), wide * high).otherwise(0.0)
+    one = F.greatest(F.lit(1.0), (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    other = F.greatest(F.lit(1.0), (F.col("_x1") - F.col("_x0")) * (F.col("_y1") - F.col("_y0")))
+    return both.withColumn("iou", shared / (other + one - shared)).where(F.col("iou") >= rules.iou).select("stream_id", "u", "v", "t", "iou")
+
+
+def matched(edges: DataFrame) -> DataFrame:
+    """The edges (``stream_id, u, v``) that frame-by-frame matching, the best free pair first, takes.
+
+    An edge is decided by those that share an end with it and come before it: earlier frames, then larger overlap. So
+    all edges that come first at both of their ends are taken at once, what they exclude is dropped, and so on, wherever
+    they are in their streams. A round goes on as long as the one before decided half of what was open; what is left,
+    where each edge waits for the last one or equal overlaps ask for the age of the tracks, goes to :func:`_settled`.
+    """
+    source = W.partitionBy("stream_id", "u").orderBy("t", F.col("iou").desc(), "v")
+    target = W.partitionBy("stream_id", "v").orderBy(F.col("iou").desc())
+    whole = W.partitionBy("stream_id", "v", "iou")
+    left = pin(edges)
+    taken, size = [], left.count()
+    while size:
+        judged = (left.withColumns({"_s": F.row_number().over(source) == 1, "_r": F.rank().over(target) == 1})
+                  .withColumn("_one", F.count(F.lit(1)).over(whole) == 1))
+        now = pin(judged.where(F.col("_s") & F.col("_r") & F.col("_one")).select("stream_id", "u", "v"))
+        taken.append(now)
+        left = pin(left.join(now.select("stream_id", "u"), ["stream_id", "u"], "left_anti").join(now.select("stream_id", "v"), ["stream_id", "v"], "left_anti"))
+        before, size = size, left.count()
+        if 2 * size > before:
+            break
+    found = left.select("stream_id", "u", "v").limit(0)
+    for part in taken:
+        found = found.unionByName(part)
+    return found.unionByName(_settled(left, found)) if size else found
 
-def save_decisions(candidates: DataFrame, cooldown: int) -> DataFrame:
-    """Which candidate steps are saved: the first, then every one at least ``cooldown`` steps after the last saved one.
 
-    A candidate at least ``cooldown`` steps after its predecessor is saved whatever happened before, so streams are cut
-    there and only short runs are walked through.
+def _settled(left: DataFrame, taken: DataFrame) -> DataFrame:
+    """Edges taken among those that the rounds have left open.
+
+    Chains of taken edges are contracted to their first detection. What is connected by open edges is walked in order,
+    with the age of each track known; different groups are walked in different tasks.
     """
-    key_type = candidates.schema["stream_id"].dataType.simpleString()
-    ranked = pin(number_rows(candidates, ["stream_id"], ["infer_idx"], "_n"))
-    prior = ranked.select("stream_id", (F.col("_n") + 1).alias("_n"), F.col("infer_idx").alias("_prior"))
-    fresh = F.coalesce(F.col("infer_idx") - F.col("_prior") >= cooldown, F.lit(True)).cast("bigint")
-    runs = number_rows(ranked.join(prior, ["stream_id", "_n"], "left").withColumn("_fresh", fresh), ["stream_id"],
-                       ["infer_idx"], "run", weight="_fresh")
+    ids = left.select("stream_id", F.col("u").alias("id")).unionByName(taken.select("stream_id", F.col("u").alias("id"))).unionByName(
+        taken.select("stream_id", F.col("v").alias("id"))).unionByName(left.select("stream_id", F.col("v").alias("id"))).distinct()
+    back = ids.join(taken.select("stream_id", F.col("v").alias("id"), F.col("u").alias("to")), ["stream_id", "id"], "left")
+    heads = pin(chain_ranks(back, ["stream_id"]).select("stream_id", "id", F.col("end").alias("head")))
+    open_ = left.join(heads.select("stream_id", F.col("id").alias("u"), F.col("head").alias("hu")), ["stream_id", "u"])
+    nodes = open_.select(F.struct("stream_id", F.col("hu").alias("id")).alias("u"), F.struct("stream_id", F.col("v").alias("id")).alias("v"))
+    groups = merge_labels(nodes).select("node.stream_id", F.col("node.id").alias("hu"), F.col("root.id").alias("group"))
+    dealt = (open_.join(groups, ["stream_id", "hu"]).repartition("stream_id", "group")
+             .sortWithinPartitions("stream_id", "group", "t", F.col("iou").desc()))
+    key_type = left.schema["stream_id"].dataType.simpleString()
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = None, NEVER
+        at, root, used, waiting = None, {}, set(), []
+
+        def settle(out: list) -> None:
+            """The edges of one frame with one overlap: by the age of the track, then by place."""
+            for hu, u, v in sorted((root.get(hu, hu), u, v) for hu, u, v in waiting):
+                if ("u", u) not in used and ("v", v) not in used:
+                    used.update((("u", u), ("v", v)))
+                    root[v] = hu
+                    out.append((at[0], u, v))
+            waiting.clear()
+
         for pdf in batches:
-            flags = []
-            for stream, number, infer_idx in pdf.itertuples(index=False):
-                if (stream, number) != current:
-                    current, last = (stream, number), NEVER
-                flags.append(infer_idx - last >= cooldown)
-                if flags[-1]:
-                    last = infer_idx
-            yield pdf[["stream_id", "infer_idx"]].assign(save=flags)
-
-    return (runs.select("stream_id", "run", "infer_idx").repartition("stream_id", "run")
-            .sortWithinPartitions("stream_id", "run", "infer_idx")
-            .mapInPandas(walk, f"stream_id {key_type}, infer_idx bigint, save boolean"))
+            out: list = []
+            for stream, group, t, iou, hu, u, v in pdf[["stream_id", "group", "t", "iou", "hu", "u", "v"]].itertuples(index=False):
+                if at != (stream, group, t, iou):
+                    settle(out)
+                    if at is not None and at[:2] != (stream, group):
+                        root, used = {}, set()
+                    at = (stream, group, t, iou)
+                waiting.append((hu, u, v))
+            yield pd.DataFrame(out, columns=["stream_id", "u", "v"])
+        out = []
+        settle(out)
+        yield pd.DataFrame(out, columns=["stream_id", "u", "v"])
+
+    return dealt.mapInPandas(walk, f"stream_id {key_type}, u bigint, v bigint")
+
+
+def track_frames(frames: DataFrame, rules: TrackRules = TrackRules()) -> DataFrame:
+    """Batch twin of :func:`track_stream` (without rate): the same tracks, identifiers and save decisions.
+
+    No stream is walked frame by frame. Detections that can follow each other are matched (:func:`matched`); a track is a
+    chain of them, and its age comes from list ranking. It is written down for every frame from one detection to the
+    next, or until it is forgotten. Tracks are numbered by their first detections.
+    """
+    scored = pin(number_scored(frames, rules))
+    detections = pin(detection_rows(scored))
+    taken = pin(matched(overlaps(detections, rules)))
+    back = detections.select("stream_id", "id").join(taken.select("stream_id", F.col("v").alias("id"), F.col("u").alias("to")), ["stream_id", "id"], "left")
+    chains = pin(chain_ranks(back, ["stream_id"]).select("stream_id", "id", F.col("rank").alias("hits"), F.col("end").alias("root")))
+    names = number_rows(chains.where("id = root").select("stream_id", "root"), ["stream_id"], ["root"], "track_id")
+    following = taken.select("stream_id", F.col("u").alias("id"), F.shiftright("v", 24).alias("_next"))
+    ends = scored.groupBy("stream_id").agg(F.max("infer_idx").alias("_last"))
+    last_seen = F.least(F.col("_last"), F.col("t") + rules.max_miss, F.coalesce(F.col("_next") - 1, F.col("_last")))
+    held = (detections.join(chains, ["stream_id", "id"]).join(names, ["stream_id", "root"]).join(following, ["stream_id", "id"], "left")
+            .join(ends, "stream_id").withColumn("infer_idx", F.explode(F.sequence(F.col("t"), last_seen))))
+    held = held.withColumn("miss", F.col("infer_idx") - F.col("t"))
+    lasting = (F.col("hits") >= rules.persist) & (F.col("miss") == 0)
+    rows = held.select("stream_id", "infer_idx", "track_id", *[F.col(f"d.{c}").alias(c) for c in ("x0", "y0", "x1", "y1", "poly")], "hits", "miss",
+                       F.col("t").alias("last_infer"), lasting.alias("persistent"))
+    saves = save_decisions(chains.where(F.col("hits") >= rules.persist).select(
+        "stream_id", F.shiftright("id", 24).alias("infer_idx")).distinct(), rules.cooldown)
+    return (rows.join(scored.select("stream_id", "infer_idx", "frame_idx"), ["stream_id", "infer_idx"])
+            .join(saves, ["stream_id", "infer_idx"], "left")
+            .select("stream_id", "frame_idx", "infer_idx", "track_id", "x0", "y0", "x1", "y1", "poly", "hits", "miss", "last_infer", "persistent",
+                    F.coalesce("save", F.lit(False)).alias("save")))
+
+
+def save_decisions(candidates: DataFrame, cooldown: int) -> DataFrame:
+    """Which candidate steps are saved: the first, then every one at least ``cooldown`` steps after the last saved one.
+
+    After a saved candidate comes the first one ``cooldown`` or more steps on, which is found among the candidates of one
+    stretch of ``cooldown`` steps, or else is the first of the next stretch that has any. The saved ones are those on the
+    way from a first candidate, and from every candidate so late after its predecessor that it is saved in any case.
+    """
+    width = max(1, cooldown)
+    stretch = F.floor(F.col("infer_idx") / width)
+    points = pin(candidates.select("stream_id", "infer_idx").withColumn("_s", stretch))
+    firsts = number_rows(points.groupBy("stream_id", "_s").agg(F.min("infer_idx").alias("_first"), F.max("infer_idx").alias("_end")),
+                         ["stream_id"], ["_s"], "_n")
+    firsts = pin(firsts)
+
+    def shifted(by: int, first: str, s: str) -> DataFrame:
+        return firsts.select("stream_id", (F.col("_n") - by).alias("_n"), F.col("_first").alias(first), F.col("_s").alias(s), F.col("_end").alias(f"{first}_end"))
+
+    around = (firsts.join(shifted(1, "_a", "_as"), ["stream_id", "_n"], "left").join(shifted(2, "_b", "_bs"), ["stream_id", "_n"], "left")
+              .join(shifted(-1, "_p", "_ps").select("stream_id", "_n", "_p_end"), ["stream_id", "_n"], "left")
+              .select("stream_id", "_s", F.when(F.col("_as") == F.col("_s") + 1, F.col("_b")).otherwise(F.col("_a")).alias("_else"), "_p_end"))
+    none = F.lit(None).cast("bigint")
+    asked = points.select("stream_id", (F.col("infer_idx") + width).alias("_at"), (F.col("_s") + 1).alias("_s"), F.col("infer_idx").alias("_of"), none.alias("_is"))
+    there = points.select("stream_id", F.col("infer_idx").alias("_at"), "_s", none.alias("_of"), F.col("infer_idx").cast("bigint").alias("_is"))
+    in_stretch = W.partitionBy("stream_id", "_s").orderBy("_at")
+    seen = asked.unionByName(there).withColumns({
+        "_to": F.min("_is").over(in_stretch.rangeBetween(W.currentRow, W.unboundedFollowing)),
+        "_prior": F.max("_is").over(in_stretch.rangeBetween(W.unboundedPreceding, -1))})
+    to = seen.where("_of is not null").select("stream_id", F.col("_of").alias("infer_idx"), F.col("_to"))
+    prior = seen.where("_is is not null").select("stream_id", F.col("_is").alias("infer_idx"), F.col("_prior"))
+    steps = pin(points.join(to, ["stream_id", "infer_idx"]).join(prior, ["stream_id", "infer_idx"]).join(around, ["stream_id", "_s"]).select(
+        "stream_id", F.col("infer_idx").alias("id"), F.coalesce("_to", "_else").alias("to"),
+        F.coalesce(F.col("infer_idx") - F.coalesce("_prior", "_p_end") >= cooldown, F.lit(True)).alias("_fresh")))
+    starts = steps.where("_fresh").select("stream_id", "id")
+    further = steps.join(starts.withColumnRenamed("id", "to"), ["stream_id", "to"], "left_anti").select("stream_id", "id", "to")
+    saved = reached(further, starts, ["stream_id"]).select("stream_id", F.col("id").alias("infer_idx"), F.lit(True).alias("save"))
+    return candidates.join(saved, ["stream_id", "infer_idx"], "left").select("stream_id", "infer_idx", F.coalesce("save", F.lit(False)).alias("save"))
