@@ -29,17 +29,14 @@ def mask_polygons(candidates: DataFrame, min_area: float, epsilon_frac: float) -
     """Best mask per prompt as polygons: ``image_id, shape_idx, poly_idx, points``.
 
     ``candidates`` has ``image_id, shape_idx, cand_idx, score, cells`` (``array<struct<gy,gx>>``). A prompt's mask is a
-    small grid of its own, so image and shape together name it.
+    small grid of its own, with a number that its cells carry in place of image and shape.
     """
     best = GR.pick_best_mask(candidates)
-    cells = best.select(F.struct("image_id", "shape_idx").alias("image_id"), F.explode("cells").alias("_c")).select(
-        "image_id", "_c.gy", "_c.gx")
-    flat = cells.select(F.to_json("image_id").alias("image_id"), "gy", "gx")
-    polygons = PO.components_to_polygons(C.connected_components(flat), min_area, epsilon_frac)
-    key = F.from_json("image_id", cells.schema["image_id"].dataType)
-    parts = polygons.select(key.alias("_k"), "comp_y", "comp_x", "points").select(
-        "_k.image_id", "_k.shape_idx", (F.col("comp_y").cast("bigint") * 4294967296 + F.col("comp_x")).alias("poly_idx"), "points")
-    return parts
+    best = pin(best.select(F.monotonically_increasing_id().alias("_mask"), "image_id", "shape_idx", "cells"))
+    cells = best.select(F.col("_mask").alias("image_id"), F.explode("cells").alias("_c")).select("image_id", "_c.gy", "_c.gx")
+    polygons = PO.components_to_polygons(C.label_runs(C.cell_runs(cells)), min_area, epsilon_frac)
+    return polygons.withColumnRenamed("image_id", "_mask").join(best.drop("cells"), "_mask").select(
+        "image_id", "shape_idx", (F.col("comp_y").cast("bigint") * 4294967296 + F.col("comp_x")).alias("poly_idx"), "points")
 
 
 def box_to_polygon_dataset(records: DataFrame, shapes: DataFrame, candidates: Candidates, mode: str = "bbox",
@@ -199,8 +196,8 @@ def batch_inference(preds: DataFrame, records: DataFrame, stride: int, threshold
     sizes = records.selectExpr("image_id", f"cast(height div {int(stride)} as int) as gh",
                                f"cast(width div {int(stride)} as int) as gw", "height as out_h", "width as out_w")
     mask = pin(GR.row_spans_at(GR.upsample_bilinear(merged, sizes), threshold))
-    comps = C.connected_components(GR.spans_to_cells(mask))
-    polygons = pin(PO.components_to_polygons(comps, min_area, epsilon_frac))
+    runs = C.label_runs(mask.select("image_id", F.col("y").alias("gy"), "xs", "xe"))
+    polygons = pin(PO.components_to_polygons(runs, min_area, epsilon_frac))
     report = GR.inference_report(records, GR.tile_cls_stats(preds), mask, polygons)
     return polygons, report, mask
 
