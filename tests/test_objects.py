@@ -144,6 +144,23 @@ def test_export_rules(spark):
     assert {r["o"] for r in zero.where("reason = 'valid'").collect()} == {4}
 
 
+def test_export_job_counts_what_it_writes(spark):
+    cols = "source_image_path string, source_json_path string, source_obj_idx bigint, tags array<string>, source_points array<struct<x:double,y:double>>, o int"
+    tri = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]
+    samples = spark.createDataFrame([
+        ("/a.png", "/a.json", 0, ["fp"], tri, 1), ("/b.png", "/a.json", 0, ["fp"], tri, 2), ("/a.png", "/empty.json", 3, ["fp"], tri, 3),
+        ("/a.png", "/gone.json", 4, ["fp"], tri, 4)], cols)
+    images = spark.createDataFrame([("/a.png",), ("/b.png",)], "path string")
+    shapes = spark.createDataFrame([("/a.json", 0, "polygon", tri)], "json_path string, shape_idx int, shape_type string, points array<struct<x:double,y:double>>")
+    sizes = spark.createDataFrame([("/a.png", 10, 20)], "path string, width int, height int")
+    listed = spark.createDataFrame([("/a.json",), ("/empty.json",)], "path string")
+    docs, manifest, counts = J.export_tagged(samples, images, shapes, sizes, ["fp"], ["o"], documents=listed)
+    assert counts.head().asDict() == {"skipped_unlabeled": 0, "skipped_invalid": 1, "skipped_unsized": 1, "exported_shapes": 2,
+                                      "exported_images": 1, "duplicates": 0}
+    assert docs.count() == 1 and [r["source_image"] for r in manifest.collect()] == ["/a.png"]
+    assert J.export_tagged(samples, images, shapes, sizes, ["fp"], ["o"])[2].head()["skipped_invalid"] == 2
+
+
 @pytest.mark.parametrize("mode, want", [("bbox", (4, 2, 4, 1, 1)), ("point", (4, 1, 1, 1, 0))])
 def test_conversion_counts_all_records_and_prompts(spark, mode, want):
     box, flat, three = [(5.0, 5.0), (30.0, 30.0)], [(5.0, 5.0), (5.0, 30.0)], [(9.0, 9.0), (30.0, 9.0), (9.0, 30.0)]

@@ -12,16 +12,19 @@ from tilewright.operators.selection import existing_sources, first_per_key
 
 
 def classify_samples(samples: DataFrame, images: DataFrame, shapes: DataFrame, allowed: Sequence[str],
-                     skip_index_zero: bool = False) -> DataFrame:
+                     skip_index_zero: bool = False, documents: DataFrame | None = None) -> DataFrame:
     """Samples with ``out_label``, ``outline`` and ``reason`` (``valid``, ``unlabeled`` or ``invalid``).
 
     The outline comes from the sample, or else from the source document's shape at the sample's index. ``shapes`` has
-    ``json_path, shape_idx, shape_type, points``; its documents are the ones that exist.
+    ``json_path, shape_idx, shape_type, points``. ``documents`` (``path``) are the documents that exist, with or without
+    shapes; without it they are those of ``shapes``.
     """
     idx = F.col("source_obj_idx")
     idx = F.when(idx == 0, F.lit(-1)).otherwise(idx) if skip_index_zero else idx
     tagged = samples.withColumns({"out_label": choose_label_from_tags(F.col("tags"), allowed), "_idx": idx.cast("bigint")})
-    documents = shapes.select(F.col("json_path").alias("path")).distinct()
+    if documents is None:
+        documents = shapes.select(F.col("json_path").alias("path"))
+    documents = documents.select("path").distinct()
     found = existing_sources(tagged, images, documents)
     source = shapes.select(F.col("json_path").alias("source_json_path"), F.col("shape_idx").cast("bigint").alias("_idx"),
                            G.shape_to_points(F.col("shape_type"), F.col("points")).alias("_fallback"))
@@ -33,6 +36,14 @@ def classify_samples(samples: DataFrame, images: DataFrame, shapes: DataFrame, a
     return joined.withColumn("reason", reason).drop("_fallback", "exists")
 
 
+def without_size(classified: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Valid samples of images that ``sizes`` (``path``) does not have get the reason ``unsized``."""
+    known = sizes.select(F.col("path").alias("source_image_path")).distinct().withColumn("_sized", F.lit(True))
+    lost = (F.col("reason") == "valid") & F.col("_sized").isNull()
+    return (classified.join(known, "source_image_path", "left")
+            .withColumn("reason", F.when(lost, "unsized").otherwise(F.col("reason"))).drop("_sized"))
+
+
 def selected_objects(classified: DataFrame, order: Sequence[str]) -> DataFrame:
     """Valid samples, one per (image, object, label): the first in ``order``."""
     valid = classified.where(F.col("reason") == "valid")

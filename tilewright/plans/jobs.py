@@ -146,9 +146,14 @@ def cluster_samples(samples: DataFrame, num_clusters: int = 12, seed: int = 42,
 
 
 def export_tagged(samples: DataFrame, images: DataFrame, shapes: DataFrame, sizes: DataFrame, allowed: Sequence[str],
-                  order: Sequence[str], skip_index_zero: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents of the tagged objects, the copy manifest, and the counts. ``sizes`` has ``path, width, height``."""
-    classified = pin(X.classify_samples(samples, images, shapes, allowed, skip_index_zero))
+                  order: Sequence[str], skip_index_zero: bool = False,
+                  documents: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents of the tagged objects, the copy manifest, and the counts.
+
+    ``sizes`` has ``path, width, height``. Objects of images without a size have no document and are counted as
+    ``skipped_unsized``, so the counts agree with what is written.
+    """
+    classified = pin(X.without_size(X.classify_samples(samples, images, shapes, allowed, skip_index_zero, documents), sizes))
     chosen = pin(X.selected_objects(classified, order))
     out_name = hashed_image_name(F.col("source_image_path"))
     per_image = chosen.select("source_image_path").distinct().join(
@@ -160,7 +165,9 @@ def export_tagged(samples: DataFrame, images: DataFrame, shapes: DataFrame, size
     stem = F.regexp_replace("image_name", r"(?<=.)\.[^.]*$", "")
     manifest = records.select(F.col("image_id").alias("source_image"), F.col("image_name").alias("output_image"),
                               F.concat(stem, F.lit(".json")).alias("output_json"))
-    return docs, manifest, X.export_counts(classified, chosen)
+    unsized = classified.agg(F.count_if(F.col("reason") == "unsized").alias("skipped_unsized"), F.lit(1).alias("_one"))
+    counts = X.export_counts(classified, chosen).withColumn("_one", F.lit(1)).join(unsized, "_one").drop("_one")
+    return docs, manifest, counts
 
 
 def merged_instances(preds: DataFrame, records: DataFrame, stride: int, threshold: float, gate: str = "none",
