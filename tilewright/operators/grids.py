@@ -232,14 +232,21 @@ def _axis_weights(n_in: Column, n_out: Column) -> Column:
 def upsample_bilinear(cells: DataFrame, sizes: DataFrame, value: str = "prob") -> DataFrame:
     """Bilinear resampling (corners not aligned) as rows ``image_id, y, vals`` with one array per output row.
 
-    ``sizes`` has ``image_id, gh, gw, out_h, out_w``. Both axes are treated one after the other; a task never holds
-    more than two rows of one grid at a time.
+    ``cells`` is a table of cells or, better, of the rows of :func:`merge_rows`, whose arrays are only filled up to the
+    width of the grid. ``sizes`` has ``image_id, gh, gw, out_h, out_w``. Both axes are treated one after the other; a
+    task never holds more than two rows of one grid at a time.
     """
-    row = (cells.groupBy("image_id", "gy")
-           .agg(F.map_from_entries(F.collect_list(F.struct("gx", F.col(value).cast("double")))).alias("_m"))
-           .join(sizes, "image_id")
-           .select("image_id", "gy", F.transform(F.sequence(F.lit(0), F.col("gw") - 1),
-                                                 lambda x: F.coalesce(F.col("_m")[x], F.lit(0.0))).alias("_vals")))
+    if "x0" in cells.columns:
+        zero = F.lit(0.0)
+        row = cells.select("image_id", "gy", "x0", F.col(value).alias("_v")).join(sizes, "image_id").select("image_id", "gy", F.concat(
+            F.array_repeat(zero, F.col("x0")), F.transform("_v", lambda v: F.coalesce(v, zero)),
+            F.array_repeat(zero, F.col("gw") - F.col("x0") - F.size("_v"))).alias("_vals"))
+    else:
+        row = (cells.groupBy("image_id", "gy")
+               .agg(F.map_from_entries(F.collect_list(F.struct("gx", F.col(value).cast("double")))).alias("_m"))
+               .join(sizes, "image_id")
+               .select("image_id", "gy", F.transform(F.sequence(F.lit(0), F.col("gw") - 1),
+                                                     lambda x: F.coalesce(F.col("_m")[x], F.lit(0.0))).alias("_vals")))
     want = (sizes.select("image_id", "gw", "out_w", F.explode(_axis_weights(F.col("gh"), F.col("out_h"))).alias("_r"))
             .select("image_id", "gw", "out_w", F.col("_r.i").alias("y"), F.col("_r.lo").alias("_lo"),
                     F.col("_r.hi").alias("_hi"), F.col("_r.w").alias("_w")))

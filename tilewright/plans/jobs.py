@@ -199,7 +199,7 @@ def batch_inference(preds: DataFrame, records: DataFrame, stride: int, threshold
     The merged grid is resampled to the image size before it is cut at the threshold.
     """
     gated = GR.gate_tiles(preds, gate, gate_threshold)
-    merged = pin(GR.merge_tiles(gated, records, stride))
+    merged = pin(GR.merge_rows(gated, records, stride))
     sizes = records.selectExpr("image_id", f"cast(height div {int(stride)} as int) as gh",
                                f"cast(width div {int(stride)} as int) as gw", "height as out_h", "width as out_w")
     mask = pin(GR.row_spans_at(GR.upsample_bilinear(merged, sizes), threshold))

@@ -95,7 +95,7 @@ def grid_sizes(s, d):
 
 
 def upsampled(s, d):
-    return GR.upsample_bilinear(merged(s, d), grid_sizes(s, d))
+    return GR.upsample_bilinear(merged_rows(s, d), grid_sizes(s, d))
 
 
 QUERIES["upsample_bilinear"] = lambda s, d: upsampled(s, d).select(
