@@ -279,9 +279,3 @@ def _without_enclosed(polygons: DataFrame, keys: list[str]) -> DataFrame:
                     & ((F.col("comp_y") != F.col("_oy")) | (F.col("comp_x") != F.col("_ox"))))
              .select(polygons["image_id"], "comp_y", "comp_x").distinct())
     return polygons.join(found, keys, "left_anti")
-
-
-def scale_to_pixels(polygons: DataFrame, stride: float) -> DataFrame:
-    """Grid polygons in pixels."""
-    return polygons.withColumn("points", F.transform("points", lambda p: F.struct(
-        (p["x"] * stride).alias("x"), (p["y"] * stride).alias("y"))))
