@@ -39,45 +39,95 @@ def test_suffix_tree_columns(spark, tmp_path, some):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
 
 
-def test_tree_is_a_distribution_and_equals_counting(spark):
-    docs = spark.createDataFrame([(cases.prose(i, 300),) for i in range(40)], "text string")
-    tree = suffix_tree.grow(suffix_tree.gram_counts(docs))
-    rng = random.Random(0)
-    sample = " ".join(r["text"] for r in docs.collect()[:3]).encode()
-    for _ in range(50):
-        at = rng.randrange(len(sample) - 6)
-        context = int.from_bytes(sample[at:at + suffix_tree.DEPTH], "big")
-        assert tree.probability((context << 8) + np.arange(256)).sum() == pytest.approx(1.0)
-    top = Counter()
-    for r in docs.collect():
-        top.update(b" ".join(r["text"].encode().lower().split()) + b"\n")
-    n, kinds = sum(top.values()), len(top)
-    got = tree.probability(np.array([ord("e")]), depth=0)[0]
-    assert got == pytest.approx((top[ord("e")] + kinds / 256) / (n + kinds))
-    assert len(tree.contexts[2]) > 5
-    # every suffix of a node is a node
-    for d in range(2, suffix_tree.DEPTH + 1):
-        assert set(tree.contexts[d] & ((1 << 8 * (d - 1)) - 1)) <= set(tree.contexts[d - 1])
-
-
-def test_blocks_of_a_long_text_score_like_one(monkeypatch, spark):
-    docs = spark.createDataFrame([(cases.prose(1, 2000),)], "text string")
-    tree = suffix_tree.grow(suffix_tree.gram_counts(docs))
+def longer(text):
+    return b" ".join(text.encode().lower().split()) + b"\n"
+
+
+class NaiveTree:
+    """The tree by its definition, from counters of whole contexts."""
+
+    def __init__(self, train, share):
+        self.follow = [defaultdict(Counter) for _ in range(suffix_tree.DEPTH + 1)]
+        pad = b"\n" * suffix_tree.DEPTH
+        for text in train:
+            whole = pad + longer(text)
+            for at in range(suffix_tree.DEPTH, len(whole)):
+                for d, level in enumerate(self.follow):
+                    level[whole[at - d:at]][whole[at]] += 1
+        total = sum(self.follow[0][b""].values())
+        self.nodes = [{b""}]
+        for d in range(1, suffix_tree.DEPTH + 1):
+            least = share * total if d <= suffix_tree.HEAD else suffix_tree.LEAST_COUNT
+            self.nodes.append({x for x, c in self.follow[d].items() if sum(c.values()) >= least
+                               and self.gain(d, x) >= suffix_tree.LEAST_DIVERGENCE})
+        for d in (*range(suffix_tree.DEPTH, suffix_tree.HEAD + 1, -1), *range(suffix_tree.HEAD, 1, -1)):
+            self.nodes[d - 1] |= {x[1:] for x in self.nodes[d]}
+
+    def gain(self, d, context):
+        own, shorter = self.follow[d][context], self.follow[d - 1][context[1:]]
+        n, m = sum(own.values()), sum(shorter.values())
+        return 2 * sum(c * math.log(c / n / (shorter[x] / m)) for x, c in own.items())
+
+    def score(self, text):
+        whole, out = b"\n" * suffix_tree.DEPTH + longer(text), 0.0
+        for at in range(suffix_tree.DEPTH, len(whole)):
+            p = 1 / 256
+            for d, nodes in enumerate(self.nodes):
+                context = whole[at - d:at]
+                if context in nodes:
+                    c = self.follow[d][context]
+                    p = (c[whole[at]] + len(c) * p) / (sum(c.values()) + len(c))
+            out += math.log10(p)
+        return out
+
+
+@pytest.mark.parametrize("blocks", ["one", "many"])
+def test_scores_equal_those_of_the_tree_by_its_definition(spark, tmp_path, monkeypatch, blocks):
+    share = 1e-3
+    monkeypatch.setattr(suffix_tree, "LEAST_SHARE", share)
+    if blocks == "many":
+        for name, value in (("VOCABULARY", 40), ("BLOCK_GRAMS", 300), ("PIECE_BYTES", 9000), ("BUCKET_BYTES", 1000)):
+            monkeypatch.setattr(suffix_tree, name, value)
+    found = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(60).collect()
+    texts = [r["text"] or "" for r in found] + ["", "unseen 漢字 words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(3)
+    path = cases.save(spark, tmp_path, docs)
+    tree = NaiveTree([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2], share)
+    for d in range(3, suffix_tree.DEPTH + 1):  # all thresholds bite
+        assert 20 < len(tree.nodes[d]) < len(tree.follow[d]) / 2
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.op1(spark, path).collect()}
+    assert got == pytest.approx({i: tree.score(t) for i, t in enumerate(texts)}, rel=1e-6)
+
+
+def test_nodes_are_distributions_and_grow_with_the_corpus(spark):
+    texts = [b" ".join((r["text"] or "").encode().lower().split())
+             for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    sizes = []
+    for some in (texts[:len(texts) // 10], texts):
+        counts = suffix_tree.GramCounts()
+        counts.add(some, True)
+        counts.merge()
+        tree = suffix_tree.branch(suffix_tree.Tree(suffix_tree.HEAD), *counts.done)
+        sizes.append(sum(map(len, tree.contexts[suffix_tree.HEAD + 1:])))
+    assert sizes[1] > 3 * sizes[0] > 0
+    for gram in counts.done[0][::len(counts.done[0]) // 50]:
+        assert tree.probability(((gram >> 8) << 8) + np.arange(256)).sum() == pytest.approx(1.0)
+
+
+def test_pieces_of_a_long_text_score_like_one(monkeypatch):
     texts = [cases.prose(2, 500).lower().encode(), b"", cases.prose(3, 40).lower().encode()]
-    whole = suffix_tree.log10_scores(tree, texts)
-    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 100)
-    assert suffix_tree.log10_scores(tree, texts) == pytest.approx(whole)
-
-
-def test_suffix_tree_beats_its_own_root_on_held_out_texts(spark):
-    got = suffix_tree.op1(spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).head()
-    assert got[0] > 1.1 * got[1]  # the base knows every word's count; the tree spells even unseen words
-    docs = spark.createDataFrame([(cases.prose(i, 200),) for i in range(30)], "text string")
-    tree = suffix_tree.grow(suffix_tree.gram_counts(docs))
-    text = [cases.prose(99, 200).lower().encode()]
-    flat = suffix_tree.Tree()
-    flat.contexts[0], flat.spare[0], flat.keys[0], flat.chances[0] = (x[0] for x in (tree.contexts, tree.spare, tree.keys, tree.chances))
-    assert suffix_tree.log10_scores(tree, text)[0] > 0.6 * suffix_tree.log10_scores(flat, text)[0]
+    counts = suffix_tree.GramCounts()
+    counts.add(texts, True)
+    counts.merge()
+    keys, logs = counts.done[0], -np.log10(1.0 + counts.done[1])
+    whole = suffix_tree.log10_scores(keys, logs, texts)
+    monkeypatch.setattr(suffix_tree, "PIECE_BYTES", 100)
+    assert suffix_tree.log10_scores(keys, logs, texts) == pytest.approx(whole)
+
+
+def test_held_out_texts_score_above_the_base(spark):
+    got = suffix_tree.op1(spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score"), F.sum("base_score")).head()
+    assert got[0] > 0.96 * got[1]  # the base knows every word's count; the tree spells even unseen words
 
 
 def test_toxicity_on_held_out_labels(spark):
