@@ -36,7 +36,7 @@ FOLDS, HELD_OUT = 7, 2
 PIECE_BYTES = 1 << 20     # text whose grams are at hand at once; arrays are 8 times as large
 VOCABULARY = 600_000      # distinct words from which a block is closed
 BLOCK_GRAMS = 3_000_000   # distinct grams from which a block is closed
-FRESH_GRAMS = 2_000_000   # grams of pieces that wait to be merged
+FRESH_GRAMS = 1_000_000   # grams of pieces that wait to be merged
 BUCKET_BYTES = 4 << 20    # text for each bucket of grams
 
 
@@ -326,8 +326,8 @@ def blocks_of(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def gram_logs(packs: DataFrame, head: Tree) -> DataFrame:
-    """(part, seq, keys, logs): for every block the log10 probabilities of its grams, from counts (part, seq, bucket, keys,
-    counts) of all blocks."""
+    """(part, seq, bucket, logs): for every block the log10 probabilities of its grams, in the order of ``keys``, from counts
+    (part, seq, bucket, keys, counts) of all blocks."""
     shared = packs.sparkSession.sparkContext.broadcast(head)
 
     def run(group: pa.Table) -> pa.Table:
@@ -337,10 +337,10 @@ def gram_logs(packs: DataFrame, head: Tree) -> DataFrame:
         grams, total = merged(list(zip(keys, counts)))
         logs = np.log10(branch(shared.value, grams, total).probability(grams)).astype(np.float32)
         back = [pack.compress(logs[np.searchsorted(grams, k)].tobytes()) for k in keys]
-        return pa.table({"part": group.column("part"), "seq": group.column("seq"), "keys": group.column("keys"),
+        return pa.table({"part": group.column("part"), "seq": group.column("seq"), "bucket": group.column("bucket"),
                          "logs": pa.array(back, pa.binary())})
 
-    return packs.groupBy("bucket").applyInArrow(run, "part long, seq int, keys binary, logs binary")
+    return packs.groupBy("bucket").applyInArrow(run, "part long, seq int, bucket long, logs binary")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -358,16 +358,19 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rows = keep(blocks_of(docs.select("doc_id", "text", held.alias("held_out"),
                                       F.spark_partition_id().cast("long").alias("part")), size // BUCKET_BYTES + 1))
     head = grow(keep(rows.where("gram is not null").groupBy("gram").agg(F.sum("c").alias("c"))))
-    logs = keep(gram_logs(rows.where("bucket is not null").select("part", "seq", "bucket", "keys", "counts"), head))
+    packs = rows.where("bucket is not null").select("part", "seq", "bucket", "keys", "counts")
+    logs = keep(gram_logs(packs, head))
     by_word = W.partitionBy("word")
     place = F.struct("part", "seq")
     summed = keep(rows.where("local is not null").select(
         "part", "seq", "local", F.sum("c").over(by_word).alias("c"), (F.min(place).over(by_word) == place).alias("first")))
     n, v = summed.where("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).head()
     texts = rows.where("body is not null").select("part", "seq", "pos", "doc_id", "held_out", "body")
-    both = (summed.drop("first").unionByName(logs, allowMissingColumns=True).unionByName(texts, allowMissingColumns=True)
-            .withColumn("turn", F.coalesce("pos", F.lit(-1)))
-            .repartition("part", "seq").sortWithinPartitions("part", "seq", "turn", "local"))
+    both = summed.drop("first")
+    for other in (packs.drop("counts"), logs, texts):
+        both = both.unionByName(other, allowMissingColumns=True)
+    both = (both.withColumn("turn", F.coalesce("pos", F.lit(-1))).repartition("part", "seq")
+            .sortWithinPartitions("part", "seq", "turn", "local", "bucket"))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,8 +391,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
                     pieces.append(np.asarray(part.column("c").filter(pa.array(words_here))))
                 packed = part.filter(pa.array(~words_here & ~texts_here))
                 for row in packed.select(["keys", "logs"]).to_pylist():
-                    keys.append(np.frombuffer(unpack.decompress(row["keys"]), np.int64))
-                    chances.append(np.frombuffer(unpack.decompress(row["logs"]), np.float32))
+                    for name, kind, into in (("keys", np.int64, keys), ("logs", np.float32, chances)):  # both by bucket
+                        if row[name] is not None:
+                            into.append(np.frombuffer(unpack.decompress(row[name]), kind))
                 if not texts_here.any():
                     continue
                 if known is None:
