@@ -31,6 +31,24 @@ def test_knn_with_many_copies(spark, metric):
         assert [m[2] for m in mine] == pytest.approx([v for v, _ in order], abs=1e-7)
 
 
+def test_knn_lists_no_vector_for_each_cell(spark, monkeypatch):
+    """Where nothing can be ruled out, what is kept must not be vectors times cells; many small blocks give the same."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 24))
+    kept = []
+    whole = V.pin
+    monkeypatch.setattr(V, "pin", lambda df: kept.append(whole(df)) or kept[-1])
+    monkeypatch.setattr(V, "BLOCK_ROWS", 40)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in V.knn_graph(df, 4, "euclidean").collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbor"]))
+    for i in range(len(x)):
+        d = np.linalg.norm(x - x[i], axis=1)
+        assert [j for _, j in sorted(got[i])] == [j for j in np.lexsort((np.arange(len(x)), d)) if j != i][:4]
+    assert max(f.count() for f in kept if "v" in f.columns) <= len(x)
+
+
 def test_cluster_count():
     assert [V.cluster_count(k, n) for k, n in ((0, 9), (12, 100), (12, 5), (12, 1), (20, 10))] == [2, 12, 5, 2, 8]
 

@@ -17,7 +17,9 @@ from tilewright.operators.selection import top_per_key
 from tilewright.session import pin
 
 MAX_PIVOTS = 256
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 4096    # vectors of a block
+COMPARE_ROWS = 512   # vectors that are compared with a block at once
+VISIT_ROWS = 2048    # vectors whose distances to all pivots are looked at at once
 
 
 def _stack(column: pd.Series, dim: int) -> np.ndarray:
@@ -29,14 +31,31 @@ def _pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0.0))
 
 
+def _block_layout(count: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each pivot's cell. Small cells of pivots that are close share a block."""
+    first, parts = np.zeros(len(count), np.int64), np.ones(len(count), np.int64)
+    left, at, filled, block = set(range(len(count))), 0, 0, 0
+    while left:
+        left.discard(at)
+        if filled and filled + count[at] > BLOCK_ROWS:
+            block, filled = block + 1, 0
+        first[at], parts[at] = block, max(1, -(-count[at] // BLOCK_ROWS))
+        block, filled = block + parts[at] - 1, filled + count[at]
+        if left:
+            rest = np.array(sorted(left))
+            at = int(rest[((pivots[rest] - pivots[at]) ** 2).sum(1).argmin()])
+    return first, parts
+
+
 def knn_graph(vectors: DataFrame, k: int = 30, metric: str = "cosine", vec: str = "embedding",
               id_col: str = "vec_id") -> DataFrame:
     """Exact ``k`` nearest neighbours of every vector: rows ``id, rank, neighbor, distance``; ties go to the lower id.
 
     Equal vectors are merged, and of each only the ``k+1`` lowest ids can matter. The rest is partitioned around at most
-    256 pivots. The triangle inequality gives each vector an upper bound for its k-th distance and drops the partitions
-    that cannot hold anything nearer. Partitions are cut into blocks of bounded size on both sides; a task compares one
-    pair of blocks and returns ``k+1`` candidates per vector.
+    256 pivots, whose cells are cut or put together into blocks of about ``BLOCK_ROWS``. The triangle inequality gives
+    each vector an upper bound for its k-th distance; a pair of blocks is compared if any vector of the one may have
+    something nearer in the other. Only the pairs of numbers are listed, vectors travel once for each block they meet. A
+    task compares one pair of blocks, a part of the rows at a time, and returns ``k+1`` candidates per vector.
     """
     spark = vectors.sparkSession
     raw = F.transform(F.col(vec), lambda v: v.cast("double"))
@@ -66,56 +85,68 @@ def knn_graph(vectors: DataFrame, k: int = 30, metric: str = "cosine", vec: str
     count, radius = np.zeros(n_pivots, dtype=np.int64), np.full(n_pivots, -np.inf)
     for c in cells:
         count[c["cell"]], radius[c["cell"]] = c["n"], c["r"]
-    layout = spark.sparkContext.broadcast((count, radius))
+    first, parts = _block_layout(count, pivots)
+    layout = spark.sparkContext.broadcast((count, radius, first, parts))
 
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n_in, r = layout.value
+    def block_of(gid: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        _, _, first, parts = layout.value
+        mixed = (gid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return first[cell] + (mixed % parts[cell].astype(np.uint64)).astype(np.int64)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            d = _pivot_distances(_stack(pdf["v"], dim), shared.value)
-            far = np.where(n_in > 0, d + r, np.inf)
-            order = np.argsort(far, axis=1)
-            seen = np.cumsum(n_in[order], axis=1)
-            stop = np.minimum((seen >= k + 1).argmax(1) + np.where(seen[:, -1] >= k + 1, 0, n_pivots), n_pivots - 1)
-            bound = np.where(seen[:, -1] >= k + 1, far[np.arange(len(d)), order[np.arange(len(d)), stop]], np.inf)
-            near = np.where(n_in > 0, d - r, np.inf)
-            q, c = np.nonzero(near <= bound[:, None] + 1e-9)
-            yield pd.DataFrame({"gid": pdf["gid"].to_numpy()[q], "v": pdf["v"].to_numpy()[q], "cell": c.astype(np.int32)})
-
-    asked = assigned.select("gid", "v").mapInPandas(visits, "gid bigint, v array<double>, cell int")
-    asked = pin(asked)
-    traffic = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("q_blocks"))
-    supply = assigned.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("c_blocks"))
-    blocks = F.broadcast(traffic.join(supply, "cell"))  # at most one row per pivot
-
-    def every(n_blocks: str):
-        return F.explode(F.sequence(F.lit(0), F.col(n_blocks) - 1))
-
-    def slot(n_blocks: str, salt: int):
-        return F.pmod(F.xxhash64(F.lit(salt), F.col("gid")), F.col(n_blocks)).cast("int")
-
-    questions = (asked.join(blocks, "cell").withColumn("qb", slot("q_blocks", 1)).withColumn("cb", every("c_blocks"))
-                 .select("cell", "qb", "cb", "gid", "v"))
-    answers = (assigned.join(blocks, "cell").withColumn("cb", slot("c_blocks", 2)).withColumn("qb", every("q_blocks"))
-               .select("cell", "qb", "cb", "gid", "v"))
+            block = block_of(pdf["gid"].to_numpy(), pdf["cell"].to_numpy())
+            yield pdf[["gid", "v"]].assign(block=block.astype(np.int32))
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n_in, r, first, parts = layout.value
+        n_blocks = int((first + parts).max(initial=0))
+        for whole in batches:
+            for lo in range(0, len(whole), VISIT_ROWS):
+                pdf = whole.iloc[lo:lo + VISIT_ROWS]
+                d = _pivot_distances(_stack(pdf["v"], dim), shared.value)
+                far = np.where(n_in > 0, d + r, np.inf)
+                order = np.argsort(far, axis=1)
+                seen = np.cumsum(n_in[order], axis=1)
+                stop = np.minimum((seen >= k + 1).argmax(1) + np.where(seen[:, -1] >= k + 1, 0, n_pivots), n_pivots - 1)
+                bound = np.where(seen[:, -1] >= k + 1, far[np.arange(len(d)), order[np.arange(len(d)), stop]], np.inf)
+                near = np.where(n_in > 0, d - r, np.inf)
+                q, c = np.nonzero((near <= bound[:, None] + 1e-9) & (n_in > 0))
+                mine = block_of(pdf["gid"].to_numpy(), pdf["cell"].to_numpy())
+                both = np.unique(mine[q] * n_pivots + c)
+                qb, c = both // n_pivots, both % n_pivots
+                of = np.repeat(np.arange(len(c)), parts[c])
+                cb = first[c][of] + np.arange(len(of)) - (np.cumsum(parts[c]) - parts[c])[of]
+                both = np.unique(qb[of] * n_blocks + cb)
+                yield pd.DataFrame({"qb": (both // n_blocks).astype(np.int32), "cb": (both % n_blocks).astype(np.int32)})
+
+    placed = pin(assigned.select("gid", "v", "cell").mapInPandas(place, "gid bigint, v array<double>, block int"))
+    wanted = pin(assigned.select("gid", "v", "cell").mapInPandas(visits, "qb int, cb int").distinct())
+    questions = placed.join(wanted, F.col("block") == F.col("qb")).select("qb", "cb", "gid", "v")
+    answers = placed.join(wanted, F.col("block") == F.col("cb")).select(*[F.col(c).alias(f"_{c}") for c in ("qb", "cb", "gid", "v")])
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"gid": [], "cand": [], "sq": []}).astype({"gid": "int64", "cand": "int64"})
-        a, b = _stack(left["v"], dim), _stack(right["v"], dim)
-        if metric == "cosine":
-            sq = 2.0 - 2.0 * (a @ b.T)
-        else:
-            sq = (a ** 2).sum(1)[:, None] + (b ** 2).sum(1)[None, :] - 2.0 * a @ b.T
-        ids = right["gid"].to_numpy()
-        by_id = np.argsort(ids)
-        sq, ids = sq[:, by_id], ids[by_id]
+        b, ids = _stack(right["_v"], dim), right["_gid"].to_numpy()
+        gids = left["gid"].to_numpy()
         m = min(k + 1, len(ids))
-        top = np.argsort(sq, axis=1, kind="stable")[:, :m]
-        return pd.DataFrame({"gid": np.repeat(left["gid"].to_numpy(), m), "cand": ids[top].ravel(),
-                             "sq": np.maximum(np.take_along_axis(sq, top, 1).ravel(), 0.0)})
-
-    key = ["cell", "qb", "cb"]
-    found = (questions.groupBy(*key).cogroup(answers.groupBy(*key))
+        out = []
+        for lo in range(0, len(left), COMPARE_ROWS):
+            a = _stack(left["v"].iloc[lo:lo + COMPARE_ROWS], dim)
+            if metric == "cosine":
+                sq = 2.0 - 2.0 * (a @ b.T)
+            else:
+                sq = (a ** 2).sum(1)[:, None] + (b ** 2).sum(1)[None, :] - 2.0 * a @ b.T
+            row, col = np.nonzero(sq <= np.partition(sq, m - 1, axis=1)[:, m - 1:m])  # ties of the last one too
+            by = np.lexsort((ids[col], sq[row, col], row))
+            row, col = row[by], col[by]
+            place_in_row = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[place_in_row < m], col[place_in_row < m]
+            out.append(pd.DataFrame({"gid": gids[lo + row], "cand": ids[col], "sq": np.maximum(sq[row, col], 0.0)}))
+        return pd.concat(out, ignore_index=True)
+
+    found = (questions.groupBy("qb", "cb").cogroup(answers.groupBy("_qb", "_cb"))
              .applyInPandas(nearest, "gid bigint, cand bigint, sq double"))
     found = found.withColumn("sq", F.when(F.col("gid") == F.col("cand"), F.lit(0.0)).otherwise(F.col("sq")))
     expanded = (top_per_key(found, ["gid"], [F.col("sq"), F.col("cand")], k + 1)
