@@ -232,3 +232,24 @@ def test_masked_pool_falls_back_to_the_mean(spark):
     assert GR.masked_pool(tokens, none, normalize=False).first()["embedding"] == [1.5, 2.0]
     half = spark.createDataFrame([(1, 0, 1, 0.5)], "object_id int, ty int, tx int, w double")
     assert GR.masked_pool(tokens, half).first()["embedding"] == [0.0, 1.0]
+
+
+def test_boundary_over_block_edges_and_one_shuffle(spark):
+    """Several blocks, a missing cell and nulls against a plain loop; the cells must travel once, not for each map."""
+    rng = np.random.default_rng(8)
+    a, b = rng.random((70, 131)), rng.random((70, 131)) < 0.3
+    cells = {(y, x): (float(a[y, x]), None if (y + x) % 17 == 0 else float(b[y, x])) for y in range(70) for x in range(131) if (y, x) != (64, 64)}
+    rows = [(k, y, x, v, t) for k in ("p", None) for (y, x), (v, t) in cells.items()]
+    df = spark.createDataFrame(rows, "sample string, gy int, gx int, v double, t double").repartition(7)
+    maps = GR.boundary_maps(df, ["sample"], {"bv": "v", "bt": "t"})
+    got = {(r["sample"], r["gy"], r["gx"]): (r["bv"], r["bt"]) for r in maps.collect()}
+    assert len(got) == len(rows)
+    for (y, x) in cells:
+        near = [cells[q] for q in ((y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)) if q in cells]
+        want = []
+        for side in zip(*near):
+            side = [v for v in side if v is not None]
+            want.append(max(side) - min(side))
+        assert got["p", y, x] == got[None, y, x] == pytest.approx(tuple(want), abs=1e-12)
+    plan = GR.boundary_maps(df.coalesce(2), ["sample"], {"bv": "v", "bt": "t"})._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan

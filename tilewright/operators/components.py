@@ -56,7 +56,7 @@ def _numbered(batch: pa.RecordBatch, names: tuple[str, ...]) -> np.ndarray:
     """Which rows belong together: a number that grows where one of the columns changes."""
     new = np.zeros(batch.num_rows, bool)
     for name in names:
-        code = batch.column(batch.schema.names.index(name)).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        code = batch.column(batch.schema.names.index(name)).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
         new[1:] |= code[1:] != code[:-1]
     return np.cumsum(new)
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tilewright.functions.geometry import sigmoid
-from tilewright.operators.grids import boundary_map
+from tilewright.operators.grids import boundary_maps
 from tilewright.operators.ranking import number_rows
 from tilewright.schema import STEP_METRICS
 
@@ -68,10 +68,10 @@ def pixel_losses(cells: DataFrame) -> DataFrame:
     Cells must be dense per sample.
     """
     p, t = sigmoid(F.col("logit")), F.col("target").cast("double")
-    base = cells.select("batch", "sample", "gy", "gx", "logit", t.alias("target"), p.alias("prob"))
+    base = cells.select("batch", "sample", F.col("gy").cast("int").alias("gy"), F.col("gx").cast("int").alias("gx"), "logit",
+                        t.alias("target"), p.alias("prob"))
     keys = ["batch", "sample"]
-    edges = boundary_map(base, keys, "prob").withColumnRenamed("boundary", "_bp")
-    edges = boundary_map(edges, keys, "target").withColumnRenamed("boundary", "_bt")
+    edges = boundary_maps(base, keys, {"_bp": "prob", "_bt": "target"})
     return edges.groupBy("batch").agg(
         F.avg(logistic_loss(F.col("logit"), F.col("target"))).alias("bce"),
         F.avg(probability_loss(F.col("_bp"), F.col("_bt"))).alias("boundary"))
