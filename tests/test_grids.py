@@ -253,3 +253,15 @@ def test_boundary_over_block_edges_and_one_shuffle(spark):
         assert got["p", y, x] == got[None, y, x] == pytest.approx(tuple(want), abs=1e-12)
     plan = GR.boundary_maps(df.coalesce(2), ["sample"], {"bv": "v", "bt": "t"})._jdf.queryExecution().sparkPlan().toString()
     assert "Window" not in plan
+
+
+def test_tiles_with_sizes_are_not_joined(spark):
+    """Tiles that know the size of their image give the same rows, and their grids are not moved for it."""
+    rec = spark.createDataFrame([(1, 20, 12), (2, 9, 30)], "image_id bigint, width int, height int")
+    rows = [(i, x, y, 4, 4, [float((x * 3 + y * 5 + i + c) % 7) for c in range(16)], 0.5) for i in (1, 2) for x in (0, 8, 16) for y in (0, 8, 16)]
+    bare = spark.createDataFrame(rows, "image_id bigint, x0 int, y0 int, gh int, gw int, seg array<double>, tile_cls double")
+    known = bare.join(rec, "image_id").localCheckpoint()
+    want = sorted(map(str, GR.merge_rows(bare, rec, 4).collect()))
+    with_sizes = GR.merge_rows(known, rec, 4)
+    assert sorted(map(str, with_sizes.collect())) == want and want
+    assert "Join" not in with_sizes._jdf.queryExecution().optimizedPlan().toString()
