@@ -265,3 +265,16 @@ def test_tiles_with_sizes_are_not_joined(spark):
     with_sizes = GR.merge_rows(known, rec, 4)
     assert sorted(map(str, with_sizes.collect())) == want and want
     assert "Join" not in with_sizes._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dealt_tiles_merge_as_shuffled_ones_and_small_rings_are_left_out(spark):
+    rng = np.random.default_rng(3)
+    tiles = [(img, x, y, 4, 4, rng.integers(0, 64, 16).astype(float).tolist(), 0.5, 30, 26) for img in range(5) for x in (0, 4, 8) for y in (0, 4)]
+    frame = spark.createDataFrame(tiles, "image_id long, x0 int, y0 int, gh int, gw int, seg array<double>, tile_cls double, width int, height int")
+    rows = [sorted(tuple(map(str, r)) for r in GR.merge_rows(frame.coalesce(1), None, 2, dealt=d).collect()) for d in (False, True)]
+    assert rows[0] == rows[1]
+    runs = C.label_runs(GR.row_runs(GR.merge_rows(frame.coalesce(1), None, 2, dealt=True), 36.0), dealt=True)
+    all_, some = ({(r.image_id, r.comp_y, r.comp_x): r for r in PO.outlines(runs, True, least).collect()} for least in (0.0, 1.5))
+    assert some == {k: r for k, r in all_.items() if r.area >= 1.5} and len(some) < len(all_)
+    sizes = {(r.image_id, r.comp_y, r.comp_x): r.n for r in runs.groupBy("image_id", "comp_y", "comp_x").agg(F.sum(F.expr("xe - xs + 1")).alias("n")).collect()}
+    assert {k: r.n_cells for k, r in all_.items()} == sizes

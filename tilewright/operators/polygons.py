@@ -75,7 +75,7 @@ def chains(following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(np.concatenate([[0], np.diff(end[order]) != 0])) if len(order) else order
 
 
-def _sides_of_bands(batch: pa.RecordBatch, group: np.ndarray, walked: bool) -> pa.RecordBatch | None:
+def _sides_of_bands(batch: pa.RecordBatch, group: np.ndarray, walked: bool, least: float) -> pa.RecordBatch | None:
     """The chains of whole bands; see :func:`border_chains`. None if there are none."""
     gy, xs, xe, band, cy, cx = (batch.column(c).to_numpy().astype(np.int64) for c in ("gy", "xs", "xe", "band", "comp_y", "comp_x"))
     halo = batch.column("halo").to_numpy(zero_copy_only=False)
@@ -94,8 +94,18 @@ def _sides_of_bands(batch: pa.RecordBatch, group: np.ndarray, walked: bool) -> p
     if not len(order):
         return None
     heads = np.flatnonzero(np.diff(chain, prepend=-1))
-    ends = np.concatenate([heads[1:], [len(order)]]) - 1
     cell, side, to_cell, to_side, start = (v[order] for v in (cell, side, to_cell, to_side, start))
+    if least > 0:  # rings that are whole here and enclose less
+        ends = np.append(heads[1:], len(order)) - 1
+        first = (side[heads] == 0) & (y[cell[heads]] == cy[run[cell[heads]]]) & (x[cell[heads]] == cx[run[cell[heads]]])
+        area2 = np.add.reduceat(x[cell] * y[to_cell] - x[to_cell] * y[cell], heads)
+        kept = np.repeat(~(first & start[ends] & (np.abs(area2) < 2 * least)), ends - heads + 1)
+        if not kept.any():
+            return None
+        cell, side, to_cell, to_side, start, chain = (v[kept] for v in (cell, side, to_cell, to_side, start, chain))
+        chain = np.cumsum(np.diff(chain, prepend=chain[0]) != 0)
+        heads = np.flatnonzero(np.diff(chain, prepend=-1))
+    ends = np.append(heads[1:], len(cell)) - 1
     dy, dx = y[to_cell] - y[cell], x[to_cell] - x[cell]
     moves = (dy != 0) | (dx != 0)
 
@@ -105,7 +115,7 @@ def _sides_of_bands(batch: pa.RecordBatch, group: np.ndarray, walked: bool) -> p
     def name(cells: np.ndarray, sides: np.ndarray) -> np.ndarray:
         return (y[cells] << 33) + (x[cells] << 2) + sides
 
-    first = np.zeros(len(order), bool)
+    first = np.zeros(len(cell), bool)
     first[heads] = True
     entered = first.copy()
     entered[1:] |= moves[:-1]     # a cell is written down when the walk comes to it
@@ -119,25 +129,29 @@ def _sides_of_bands(batch: pa.RecordBatch, group: np.ndarray, walked: bool) -> p
     offsets = np.concatenate([[0], np.cumsum(total(entered.astype(np.int64)))])
     points = pa.StructArray.from_arrays([pa.array(v[cell[entered]].astype(np.float64)) for v in (x, y)], names=["x", "y"])
     whose = pa.array(run[cell[heads]])
+    tall, wide = int(cy.max()) + 1, int(cx.max()) + 1
+    of = np.unique((group.astype(np.int64) * tall + cy) * wide + cx, return_inverse=True)[1]
+    n_cells = np.bincount(of, weights=np.where(halo, 0, counts)).astype(np.int64)[of[run[cell[heads]]]]
     return pa.RecordBatch.from_arrays(
         [batch.column("image_id").take(whose), batch.column("comp_y").take(whose), batch.column("comp_x").take(whose),
          pa.array(name(cell[heads], side[heads])), pa.array(name(to_cell[ends], to_side[ends]), mask=start[ends]),
          pa.array(total(x[cell] * y[to_cell] - x[to_cell] * y[cell])), pa.array(total((moves & ((dy == 0) | (dx == 0))).astype(np.int64))),
-         pa.array(total(((dy != 0) & (dx != 0)).astype(np.int64))), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), points)],
-        names=["image_id", "comp_y", "comp_x", "id", "to", "area2", "straight", "diagonal", "points"])
+         pa.array(total(((dy != 0) & (dx != 0)).astype(np.int64))), pa.array(n_cells), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), points)],
+        names=["image_id", "comp_y", "comp_x", "id", "to", "area2", "straight", "diagonal", "cells", "points"])
 
 
-def border_chains(runs: DataFrame, walked: bool = False) -> DataFrame:
-    """Pieces of the borders in each band: ``image_id, comp_y, comp_x, id, to, area2, straight, diagonal, points``.
+def border_chains(runs: DataFrame, walked: bool = False, least: float = 0.0) -> DataFrame:
+    """Pieces of the borders in each band: ``image_id, comp_y, comp_x, id, to, area2, straight, diagonal, cells, points``.
 
     ``id`` names the first side of the chain and ``to`` that which follows its last one, null where a ring closes at the
     first cell of its component. Outer borders begin there; those of holes never come there. ``area2`` is the chain's
-    share of twice the area, and ``points`` are the cells, all of them if ``walked``, else those at which it turns and
-    both ends.
+    share of twice the area, ``cells`` counts those of its component in this band, and ``points`` are the cells walked, all of
+    them if ``walked``, else those at which it turns and both ends. Rings that lie in one band and enclose an area below
+    ``least`` are left out.
     """
     image_type = runs.schema["image_id"].dataType.simpleString()
     band = F.expr(f"gy div {BAND}").cast("int")
-    beside = F.filter(F.array(F.when(F.col("gy") % BAND == 0, band - 1), F.when(F.col("gy") % BAND == BAND - 1, band + 1)), lambda b: b.isNotNull())
+    beside = F.filter(F.array(F.when((F.col("gy") % BAND == 0) & (F.col("gy") > 0), band - 1), F.when(F.col("gy") % BAND == BAND - 1, band + 1)), lambda b: b.isNotNull())
     copies = F.concat(F.array(F.struct(band.alias("band"), F.lit(False).alias("halo"))),
                       F.transform(beside, lambda b: F.struct(b.alias("band"), F.lit(True).alias("halo"))))
     dealt = (runs.select("image_id", "gy", "xs", "xe", "comp_y", "comp_x", F.explode(copies).alias("_b"))
@@ -146,32 +160,40 @@ def border_chains(runs: DataFrame, walked: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, group in whole_groups(batches, ("image_id", "band")):
-            found = _sides_of_bands(batch, group, walked)
+            found = _sides_of_bands(batch, group, walked, least)
             if found is not None:
                 yield found
 
     return dealt.mapInArrow(run, f"image_id {image_type}, comp_y int, comp_x int, id bigint, to bigint, area2 bigint, straight bigint, "
-                                 f"diagonal bigint, points array<{POINT}>")
+                                 f"diagonal bigint, cells bigint, points array<{POINT}>")
 
 
-def outlines(runs: DataFrame, walked: bool = False) -> DataFrame:
-    """Outer ring of each component of labelled runs: ``image_id, comp_y, comp_x, area, perimeter, n_steps, ring``."""
+def outlines(runs: DataFrame, walked: bool = False, least: float = 0.0) -> DataFrame:
+    """Outer ring of each component of labelled runs: ``image_id, comp_y, comp_x, n_cells, area, perimeter, n_steps, ring``.
+
+    Rings that enclose an area below ``least`` are left out.
+    """
     keys = ["image_id", "comp_y", "comp_x"]
-    pieces = pin(border_chains(runs, walked))
+    pieces = pin(border_chains(runs, walked, least))
     start = F.col("comp_y").cast("bigint") * 2 ** 33 + F.col("comp_x").cast("bigint") * 4
-    whole = pieces.where((F.col("id") == start) & F.col("to").isNull())
+    columns = [*keys, "n_cells", "area2", "straight", "diagonal", "points"]
+    # a ring in one band is all of its component's outline, so all its cells are there
+    rings = pieces.where((F.col("id") == start) & F.col("to").isNull()).withColumnRenamed("cells", "n_cells").select(columns)
     parted = pieces.where((F.col("id") != start) | F.col("to").isNotNull())
-    ranks = chain_ranks(parted, ["image_id"])
-    sums = [F.sum(c).alias(c) for c in ("area2", "straight", "diagonal")]
-    joined = (parted.join(ranks, ["image_id", "id"]).groupBy(*keys)
-              .agg(*sums, F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("at"), "points"))).alias("_p"))
-              .withColumn("points", F.flatten(F.transform("_p", lambda p: p["points"]))))
-    columns = [*keys, "area2", "straight", "diagonal", "points"]
+    if not parted.isEmpty():
+        ranks = chain_ranks(parted, ["image_id"])
+        sums = [F.sum(c).alias(c) for c in ("area2", "straight", "diagonal")]
+        joined = (parted.join(ranks, ["image_id", "id"]).groupBy(*keys)
+                  .agg(*sums, F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("at"), "points"))).alias("_p"))
+                  .withColumn("points", F.flatten(F.transform("_p", lambda p: p["points"]))))
+        sizes = (runs.join(parted.select(*keys).distinct(), keys, "left_semi").groupBy(*keys)
+                 .agg(F.sum(F.col("xe") - F.col("xs") + 1).alias("n_cells")))
+        rings = rings.unionByName(joined.join(sizes, keys).where(F.abs("area2") >= 2 * least).select(columns))
     steps = F.col("straight") + F.col("diagonal")
     # the last side is the left one of the first cell, which is then there twice
     ring = F.when(F.size("points") > 1, F.slice("points", F.lit(1), F.size("points") - 1)).otherwise(F.col("points"))
-    return whole.select(columns).unionByName(joined.select(columns)).select(
-        *keys, (F.abs("area2") / 2.0).alias("area"), (F.col("straight") + F.col("diagonal") * F.sqrt(F.lit(2.0))).alias("perimeter"),
+    return rings.select(
+        *keys, "n_cells", (F.abs("area2") / 2.0).alias("area"), (F.col("straight") + F.col("diagonal") * F.sqrt(F.lit(2.0))).alias("perimeter"),
         steps.alias("n_steps"), ring.alias("ring"))
 
 
@@ -251,12 +273,10 @@ def components_to_polygons(cells: DataFrame, min_area: float = 20.0, epsilon_fra
     keys = ["image_id", "comp_y", "comp_x"]
     runs = cells if "xs" in cells.columns else cell_runs(cells, ["comp_y", "comp_x"])
     walked = epsilon_frac <= 0 and min_epsilon <= 0
-    rings = outlines(runs, walked)
+    # what encloses a cell that is not its own has an area of 1.5 at least, by Pick's theorem
+    rings = outlines(runs, walked, min(min_area, 1.5) if external_only else min_area)
     rings = rings.withColumn("points", F.col("ring")) if walked else thinned(rings, epsilon_frac, min_epsilon)
-    sizes = runs.groupBy(*keys).agg(F.sum(F.col("xe") - F.col("xs") + 1).alias("n_cells"))
-    polygons = rings.join(sizes, keys)
-    if external_only:
-        polygons = _without_enclosed(polygons, keys)
+    polygons = _without_enclosed(rings, keys) if external_only else rings
     return (polygons.where((F.col("area") >= min_area) & (F.size("points") >= 3))
             .select(*keys, "n_cells", "area", "perimeter", "points"))
 
