@@ -278,3 +278,41 @@ def test_dealt_tiles_merge_as_shuffled_ones_and_small_rings_are_left_out(spark):
     assert some == {k: r for k, r in all_.items() if r.area >= 1.5} and len(some) < len(all_)
     sizes = {(r.image_id, r.comp_y, r.comp_x): r.n for r in runs.groupBy("image_id", "comp_y", "comp_x").agg(F.sum(F.expr("xe - xs + 1")).alias("n")).collect()}
     assert {k: r.n_cells for k, r in all_.items()} == sizes
+
+
+def test_masks_are_outlined_in_their_task_like_components(spark):
+    rng = np.random.default_rng(11)
+    cells = [(m, int(y) - 3, int(x)) for m in range(60) for y, x in np.argwhere(rng.random((rng.integers(3, 90), rng.integers(3, 14))) < rng.choice([0.3, 0.5, 0.7, 0.85]))]
+    ring = [(60, y, x) for y in range(9) for x in range(9) if max(abs(y - 4), abs(x - 4)) in (0, 2, 4)]  # one in a hole of one in a hole
+    mask, y, x = (np.array(v) for v in zip(*cells, *ring))
+    for min_area, frac, least in ((1.0, 0.002, 1.0), (0.0, 0.0, 0.0), (4.0, 0.05, 0.5)):
+        frame = spark.createDataFrame([(int(a), int(b) + 3, int(c)) for a, b, c in zip(mask, y, x)], "image_id long, gy int, gx int")
+        want = {(r["image_id"], r["comp_y"] - 3, r["comp_x"]): [(p["x"], p["y"] - 3) for p in r["points"]]
+                for r in PO.components_to_polygons(C.label_runs(C.cell_runs(frame)), min_area, frac, least).collect()}
+        order = rng.permutation(len(mask))
+        of, cy, cx, offsets, px, py = PO.mask_rings(mask[order], y[order], x[order], min_area, frac, least)
+        got = {(a, b, c): list(zip(px[i:j], py[i:j])) for a, b, c, i, j in zip(of.tolist(), cy.tolist(), cx.tolist(), offsets[:-1], offsets[1:])}
+        assert set(got) == set(want) and len(got) == len(of) > 60
+        assert all(sorted(got[k]) == sorted(want[k]) and got[k][0] == want[k][0] for k in got)
+
+
+def test_best_mask_is_chosen_before_and_after_the_shuffle(spark):
+    square = [(y, x) for y in range(3) for x in range(3)]
+    rows = [(1, 1, 0, 0.2, square), (1, 1, 1, 0.9, [(y + 7, x) for y, x in square]), (1, 1, 2, 0.9, square), (1, 2, 0, None, square),
+            (1, 2, 1, -5.0, []), (1, 3, 0, float("nan"), square), (1, 3, 1, 1.0, []), (1, 4, 0, None, None), (1, 1, 3, 0.95, [(9, 9)])]
+    df = spark.createDataFrame(rows, "image_id long, shape_idx long, cand_idx int, score double, cells array<struct<gy:int,gx:int>>")
+    for parts in (1, 4):
+        best = PO.best_mask_polygons(df.coalesce(1) if parts == 1 else df.repartition(parts, "cand_idx"), 1.0)
+        got = {r["shape_idx"]: (r["cand_idx"], len(r["polygons"])) for r in GR.pick_best_mask(best).collect()}
+        assert got == {1: (3, 0), 2: (1, 0), 3: (0, 1), 4: (0, 0)}
+    assert PO.best_mask_polygons(df.coalesce(1)).count() == 5  # one of neighbours, not one of each candidate
+
+
+def test_rings_are_thinned_together_like_one_by_one():
+    rng = np.random.default_rng(3)
+    rings = [rng.integers(0, 6, (rng.integers(0, 20), 2)).astype(float) for _ in range(400)] + [np.ones((5, 2))]
+    offsets, flat, eps = np.append(0, np.cumsum([len(r) for r in rings])), np.concatenate(rings), rng.random(len(rings)) * 2
+    at, cut = PO.simplify_rings(flat[:, 0], flat[:, 1], offsets, eps)
+    for ring, limit, lo, hi in zip(rings, eps, cut[:-1], cut[1:]):
+        want = PO.simplify_ring(PO.corners_only(ring), limit) if len(ring) > 2 else ring
+        assert flat[at[lo:hi]].tolist() == want.tolist()

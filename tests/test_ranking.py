@@ -109,3 +109,19 @@ def test_first_by_count_equals_first_by_rank(spark, monkeypatch, few, digits):
     want = {(r["id"], r["kind"]) for r in ranked if r["rank"] <= quotas[r["kind"]]}
     assert {tuple(r) for r in got} == want and len(got) == 17 + 1111 + 300
     assert R.seeded_first(df, "kind", {"a": 0}, 7, ["id"]).count() == 0
+
+
+def test_small_keys_are_numbered_in_one_move_and_large_ones_in_chunks(spark, monkeypatch):
+    from tilewright.operators import ranking
+
+    monkeypatch.setattr(ranking, "FEW", 50)
+    rows = [(k, (i * 37) % 1009) for k, n in ((1, 20), (2, 300), (None, 80), (None, 0), (4, 50)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, v int")
+    got = [(r["k"], r["v"], r["rank"], r["n"]) for r in ranking.number_within(df, ["k"], ["v"], total="n").collect()]
+    want = []
+    for k in (1, 2, None, 4):
+        values = sorted(v for key, v in rows if key == k)
+        want += [(k, v, i + 1, len(values)) for i, v in enumerate(values)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    few = ranking.number_within(df.where("k = 1"), ["k"], ["v"])
+    assert few._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tilewright.operators.components import BAND, cell_runs, whole_groups
+from tilewright.operators.components import BAND, _merge_edges, _numbered, cell_runs, touching, whole_groups
 from tilewright.operators.pointers import chain_ranks
 from tilewright.operators.raster import spans
 from tilewright.session import pin
@@ -27,6 +27,7 @@ from tilewright.session import pin
 BEYOND = ((-1, 0), (0, 1), (1, 0), (0, -1))
 ALONG = ((0, 1), (1, 0), (0, -1), (-1, 0))
 POINT = "struct<x:double,y:double>"
+MASK_CELLS = 1_000_000  # cells of masks that are outlined at once
 
 
 def next_sides(code: np.ndarray, width: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,6 +76,25 @@ def chains(following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(np.concatenate([[0], np.diff(end[order]) != 0])) if len(order) else order
 
 
+def _steps(y: np.ndarray, x: np.ndarray, cell: np.ndarray, to_cell: np.ndarray, chain: np.ndarray, heads: np.ndarray,
+           walked: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Way from side to side of chains in walking order (dy, dx), whether it leaves the cell, and the sides whose cell is written down."""
+    dy, dx = y[to_cell] - y[cell], x[to_cell] - x[cell]
+    moves = (dy != 0) | (dx != 0)
+    first = np.zeros(len(cell), bool)
+    first[heads] = True
+    entered = first.copy()
+    entered[1:] |= moves[:-1]     # a cell is written down when the walk comes to it
+    if not walked:                # and only where it turns, but for the ends of the chain
+        at = np.flatnonzero(entered)
+        last = np.append(np.diff(chain[at]) != 0, True)
+        turn = np.ones(len(at), bool)
+        step = np.stack([y[cell[at[1:]]] - y[cell[at[:-1]]], x[cell[at[1:]]] - x[cell[at[:-1]]]], axis=1)
+        turn[1:-1] = (step[1:] != step[:-1]).any(axis=1)
+        entered[at[~(turn | first[at] | last)]] = False
+    return dy, dx, moves, entered
+
+
 def _sides_of_bands(batch: pa.RecordBatch, group: np.ndarray, walked: bool, least: float) -> pa.RecordBatch | None:
     """The chains of whole bands; see :func:`border_chains`. None if there are none."""
     gy, xs, xe, band, cy, cx = (batch.column(c).to_numpy().astype(np.int64) for c in ("gy", "xs", "xe", "band", "comp_y", "comp_x"))
@@ -106,8 +126,7 @@ def _sides_of_bands(batch: pa.RecordBatch, group: np.ndarray, walked: bool, leas
         chain = np.cumsum(np.diff(chain, prepend=chain[0]) != 0)
         heads = np.flatnonzero(np.diff(chain, prepend=-1))
     ends = np.append(heads[1:], len(cell)) - 1
-    dy, dx = y[to_cell] - y[cell], x[to_cell] - x[cell]
-    moves = (dy != 0) | (dx != 0)
+    dy, dx, moves, entered = _steps(y, x, cell, to_cell, chain, heads, walked)
 
     def total(v: np.ndarray) -> np.ndarray:
         return np.add.reduceat(v, heads)
@@ -115,17 +134,6 @@ def _sides_of_bands(batch: pa.RecordBatch, group: np.ndarray, walked: bool, leas
     def name(cells: np.ndarray, sides: np.ndarray) -> np.ndarray:
         return (y[cells] << 33) + (x[cells] << 2) + sides
 
-    first = np.zeros(len(cell), bool)
-    first[heads] = True
-    entered = first.copy()
-    entered[1:] |= moves[:-1]     # a cell is written down when the walk comes to it
-    if not walked:                # and only where it turns, but for the ends of the chain
-        at = np.flatnonzero(entered)
-        last = np.append(np.diff(chain[at]) != 0, True)
-        turn = np.ones(len(at), bool)
-        step = np.stack([y[cell[at[1:]]] - y[cell[at[:-1]]], x[cell[at[1:]]] - x[cell[at[:-1]]]], axis=1)
-        turn[1:-1] = (step[1:] != step[:-1]).any(axis=1)
-        entered[at[~(turn | first[at] | last)]] = False
     offsets = np.concatenate([[0], np.cumsum(total(entered.astype(np.int64)))])
     points = pa.StructArray.from_arrays([pa.array(v[cell[entered]].astype(np.float64)) for v in (x, y)], names=["x", "y"])
     whose = pa.array(run[cell[heads]])
@@ -238,6 +246,70 @@ def corners_only(ring: np.ndarray) -> np.ndarray:
     return ring[(before != after).any(axis=1)]
 
 
+def simplify_rings(x: np.ndarray, y: np.ndarray, offsets: np.ndarray, eps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`corners_only` and :func:`simplify_ring` of many rings at once: points that stay, and their offsets.
+
+    Rings of up to two points stay as they are. All open lines of a depth are split together.
+    """
+    sizes = np.diff(offsets)
+    ring = np.repeat(np.arange(len(sizes)), sizes)
+    before, after = np.arange(len(x)) - 1, np.arange(len(x)) + 1
+    some = sizes > 0
+    before[offsets[:-1][some]] = offsets[1:][some] - 1
+    after[offsets[1:][some] - 1] = offsets[:-1][some]
+    corner = (x - x[before] != x[after] - x) | (y - y[before] != y[after] - y)
+    at = np.flatnonzero(corner | (sizes <= 2)[ring])
+    left = np.bincount(ring[at], minlength=len(sizes))
+    start = np.cumsum(left) - left
+    kept = np.ones(len(at), bool)
+    long = np.flatnonzero((left >= 3) & (sizes > 2))
+    if len(long):
+        kept[(left >= 3)[ring[at]] & (sizes > 2)[ring[at]]] = False
+        # the long rings, closed by their first point once more
+        count = left[long] + 1
+        first = np.cumsum(count) - count
+        of = np.repeat(np.arange(len(long)), count)
+        place = np.arange(len(of)) - first[of]
+        src = start[long][of] + np.where(place == count[of] - 1, 0, place)
+        px, py, limit = x[at[src]], y[at[src]], eps[long]
+        far = np.hypot(px - px[first][of], py - py[first][of])
+        top = np.maximum.reduceat(far, first)
+        split = np.flatnonzero(far == top[of])
+        split = split[np.diff(of[split], prepend=-1) != 0]
+        stays = np.zeros(len(of), bool)
+        stays[first] = True
+        open_ = split > first
+        stays[split[open_]] = True
+        owner = np.flatnonzero(open_)
+        a, b = np.concatenate([first[owner], split[owner]]), np.concatenate([split[owner], (first + count - 1)[owner]])
+        owner = np.concatenate([owner, owner])
+        while True:
+            wide = b - a >= 2
+            a, b, owner = a[wide], b[wide], owner[wide]
+            if not len(a):
+                break
+            inner = b - a - 1
+            head = np.cumsum(inner) - inner
+            line = np.repeat(np.arange(len(a)), inner)
+            point = a[line] + 1 + np.arange(len(line)) - head[line]
+            bx, by = px[b] - px[a], py[b] - py[a]
+            length = np.hypot(bx, by)
+            ix, iy = px[point] - px[a][line], py[point] - py[a][line]
+            flat = length == 0.0
+            dist = np.abs(bx[line] * iy - by[line] * ix) / np.where(flat, 1.0, length)[line]
+            dist = np.where(flat[line], np.hypot(ix, iy), dist)
+            top = np.maximum.reduceat(dist, head)
+            best = np.flatnonzero(dist == top[line])
+            best = best[np.diff(line[best], prepend=-1) != 0]
+            cut = top > limit[owner]
+            mid = point[best][cut]
+            stays[mid] = True
+            a, b, owner = np.concatenate([a[cut], mid]), np.concatenate([mid, b[cut]]), np.concatenate([owner[cut], owner[cut]])
+        kept[src[stays]] = True
+    at, ring = at[kept], ring[at[kept]]
+    return at, np.concatenate([[0], np.cumsum(np.bincount(ring, minlength=len(sizes)))])
+
+
 def thinned(rings: DataFrame, epsilon_frac: float, min_epsilon: float) -> DataFrame:
     """Rings with ``points``: the ring thinned by ``epsilon_frac`` of its perimeter, ``min_epsilon`` at least."""
     schema = rings.schema.simpleString()[len("struct<"):-1]
@@ -245,18 +317,12 @@ def thinned(rings: DataFrame, epsilon_frac: float, min_epsilon: float) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ring, perimeter = batch.column("ring"), batch.column("perimeter").to_numpy()
-            offsets = ring.offsets.to_numpy()
+            offsets = ring.offsets.to_numpy().astype(np.int64)
             flat = ring.flatten()
-            xy = np.stack([flat.field(c).to_numpy() for c in ("x", "y")], axis=1)
-            kept, sizes = [xy[:0]], [0]
-            for lo, hi, length in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0], perimeter):
-                line = xy[lo:hi]
-                points = simplify_ring(corners_only(line), max(min_epsilon, epsilon_frac * length)) if len(line) > 2 else line
-                kept.append(points)
-                sizes.append(len(points))
-            whole = np.concatenate(kept)
-            points = pa.StructArray.from_arrays([pa.array(whole[:, 0]), pa.array(whole[:, 1])], names=["x", "y"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), points)],
+            x, y = (flat.field(c).to_numpy() for c in ("x", "y"))
+            at, offsets = simplify_rings(x, y, offsets - offsets[0], np.maximum(min_epsilon, epsilon_frac * perimeter))
+            points = pa.StructArray.from_arrays([pa.array(x[at]), pa.array(y[at])], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), points)],
                                              names=[*batch.schema.names, "points"])
 
     return rings.mapInArrow(run, f"{schema}, points array<{POINT}>")
@@ -299,3 +365,115 @@ def _without_enclosed(polygons: DataFrame, keys: list[str]) -> DataFrame:
                     & ((F.col("comp_y") != F.col("_oy")) | (F.col("comp_x") != F.col("_ox"))))
              .select(polygons["image_id"], "comp_y", "comp_x").distinct())
     return polygons.join(found, keys, "left_anti")
+
+
+def mask_rings(mask: np.ndarray, y: np.ndarray, x: np.ndarray, min_area: float, epsilon_frac: float,
+               min_epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The polygons of :func:`components_to_polygons` for masks that are at hand as cells, many masks at once.
+
+    Returns mask, first row and column of the component for each polygon, and its points (offsets, x, y).
+    """
+    none = np.zeros(0, np.int64)
+    if not len(mask):
+        return none, none, none, np.zeros(1, np.int64), np.zeros(0), np.zeros(0)
+    order = np.lexsort((x, y, mask))
+    mask, y, x = mask[order], y[order], x[order]
+    other, down, along = np.diff(mask) != 0, np.diff(y), np.diff(x)
+    new = np.append(True, other | (down != 0) | (along != 0))  # repeated cells count once
+    mask, y, x = mask[new], y[new], x[new]
+    other, down, along = np.diff(mask) != 0, np.diff(y), np.diff(x)
+    # rows that lie apart, or belong to different masks, are two apart
+    row = np.cumsum(np.append(1, np.where(other, 2, np.minimum(down, 2))))
+    width = int(x.max() - x.min()) + 4
+    column = x - x.min() + 1
+    begins = np.append(True, other | (down != 0) | (along != 1))
+    run = np.cumsum(begins) - 1
+    head = np.flatnonzero(begins)
+    last = np.append(head[1:], len(x)) - 1
+    root = _merge_edges(len(head), *touching(np.zeros(len(head), np.int64), row[head], column[head], column[last]))
+    naming = head[root[run]]  # first cell of each cell's component
+    cell, side, to_cell, to_side = next_sides(row * width + column, width, np.arange(len(x)))
+    number = np.full(4 * len(x), -1)
+    number[cell * 4 + side] = np.arange(len(cell))
+    start = (to_side == 0) & (to_cell == naming[to_cell])
+    order, chain = chains(np.where(start, -1, number[to_cell * 4 + to_side]))
+    outer = np.zeros(len(cell), bool)
+    outer[order] = True
+    heads = np.flatnonzero(np.diff(chain, prepend=-1))
+    # A component whose first cell has a run to its left lies where that run's right side lies: in a hole of that
+    # component, or wherever that component is.
+    beside = np.flatnonzero((root == np.arange(len(head))) & np.append(False, np.diff(row[head]) == 0))
+    in_hole = np.zeros(len(head), bool)
+    up = np.arange(len(head))
+    in_hole[beside] = ~outer[number[last[beside - 1] * 4 + 1]]
+    up[beside] = np.where(in_hole[beside], beside, root[beside - 1])
+    while (up[up] != up).any():
+        up = up[up]
+    cell, to_cell = cell[order], to_cell[order]
+    dy, dx, _, entered = _steps(y, x, cell, to_cell, chain, heads, epsilon_frac <= 0 and min_epsilon <= 0)
+    area = np.abs(np.add.reduceat(x[cell] * y[to_cell] - x[to_cell] * y[cell], heads)) / 2.0
+    diagonal = np.add.reduceat(((dy != 0) & (dx != 0)).astype(np.int64), heads)
+    straight = np.add.reduceat(((dy != 0) ^ (dx != 0)).astype(np.int64), heads)
+    sizes = np.add.reduceat(entered.astype(np.int64), heads)
+    # the last side is the left one of the first cell, which is then there twice
+    twice = np.cumsum(sizes) - 1
+    points = cell[entered][np.delete(np.arange(sizes.sum()), twice[sizes > 1])]
+    sizes = np.where(sizes > 1, sizes - 1, sizes)
+    name = cell[heads]
+    good = (area >= min_area) & ~in_hole[up[run[name]]]
+    points, sizes, name = points[np.repeat(good, sizes)], sizes[good], name[good]
+    offsets = np.append(0, np.cumsum(sizes))
+    px, py = x[points].astype(np.float64), y[points].astype(np.float64)
+    if epsilon_frac > 0 or min_epsilon > 0:
+        perimeter = (straight + diagonal * np.sqrt(2.0))[good]
+        at, offsets = simplify_rings(px, py, offsets, np.maximum(min_epsilon, epsilon_frac * perimeter))
+        px, py = px[at], py[at]
+    sizes = np.diff(offsets)
+    px, py = px[np.repeat(sizes >= 3, sizes)], py[np.repeat(sizes >= 3, sizes)]
+    name, sizes = name[sizes >= 3], sizes[sizes >= 3]
+    return mask[name], y[name], x[name], np.append(0, np.cumsum(sizes)), px, py
+
+
+def _best_of_neighbours(batch: pa.RecordBatch) -> np.ndarray:
+    """Rows whose score is the best of the rows around them that have the same prompt; the first on a tie."""
+    prompt = _numbered(batch, ("image_id", "shape_idx"))
+    score, turn = batch.column("score"), batch.column("cand_idx")
+    unscored = score.is_null().to_numpy(zero_copy_only=False)
+    value = score.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+    rank = np.where(unscored, 2, np.where(np.isnan(value), 0, 1))  # as Spark orders them, downwards
+    numbered = turn.is_valid().to_numpy(zero_copy_only=False)
+    order = np.lexsort((turn.fill_null(0).to_numpy(zero_copy_only=False), numbered, -np.nan_to_num(value, nan=0.0, posinf=np.inf, neginf=-np.inf), rank, prompt))
+    return np.sort(order[np.diff(prompt[order], prepend=-1) != 0])
+
+
+def best_mask_polygons(candidates: DataFrame, min_area: float = 20.0, epsilon_frac: float = 0.002, min_epsilon: float = 1.0) -> DataFrame:
+    """``image_id, shape_idx, score, cand_idx, polygons`` of the best candidate of each prompt that is in one place.
+
+    A mask comes as one row with all its cells, so it is outlined where it is: only outlines are shuffled, not cells. A
+    prompt whose candidates lie in several places has a row for each. ``polygons`` holds ``poly_idx, points``.
+    """
+    kind = {c: candidates.schema[c].dataType.simpleString() for c in ("image_id", "shape_idx", "score", "cand_idx")}
+    schema = ", ".join(f"{c} {t}" for c, t in kind.items()) + f", polygons array<struct<poly_idx:bigint,points:array<{POINT}>>>"
+    rows = candidates.select(*kind, F.col("cells").cast("array<struct<gy:int,gx:int>>").alias("cells"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            best = batch.take(pa.array(_best_of_neighbours(batch)))
+            load = np.cumsum(best.column("cells").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) // MASK_CELLS
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(load)) + 1, [best.num_rows]])
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                part = best.slice(lo, hi - lo)
+                cells = part.column("cells")
+                mask = np.repeat(np.arange(part.num_rows), cells.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                gy, gx = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in cells.flatten().flatten())
+                of, cy, cx, offsets, px, py = mask_rings(mask, gy, gx, min_area, epsilon_frac, min_epsilon)
+                points = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(px), pa.array(py)], names=["x", "y"]))
+                order = np.lexsort((cx, cy, of))
+                pieces = pa.StructArray.from_arrays([pa.array((cy << 32) + cx), points], names=["poly_idx", "points"]).take(pa.array(order))
+                each = np.append(0, np.cumsum(np.bincount(of, minlength=part.num_rows)))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kind], pa.ListArray.from_arrays(pa.array(each, pa.int32()), pieces)],
+                                                 names=[*kind, "polygons"])
+
+    return rows.mapInArrow(run, schema)

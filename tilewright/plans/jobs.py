@@ -25,18 +25,18 @@ from tilewright.sources.writers import shape_struct, to_labelme
 Candidates = Callable[[DataFrame], DataFrame]
 
 
-def mask_polygons(candidates: DataFrame, min_area: float, epsilon_frac: float) -> DataFrame:
-    """Best mask per prompt as polygons: ``image_id, shape_idx, poly_idx, points``.
+def mask_outlines(candidates: DataFrame, min_area: float, epsilon_frac: float) -> DataFrame:
+    """Best mask per prompt as ``image_id, shape_idx, polygons`` (``poly_idx, points``), one row each.
 
-    ``candidates`` has ``image_id, shape_idx, cand_idx, score, cells`` (``array<struct<gy,gx>>``). A prompt's mask is a
-    small grid of its own, with a number that its cells carry in place of image and shape.
+    ``candidates`` has ``image_id, shape_idx, cand_idx, score, cells`` (``array<struct<gy,gx>>``). Masks are outlined where
+    they are, before the best is chosen among what different tasks have of a prompt.
     """
-    best = GR.pick_best_mask(candidates)
-    best = pin(best.select(F.monotonically_increasing_id().alias("_mask"), "image_id", "shape_idx", "cells"))
-    cells = best.select(F.col("_mask").alias("image_id"), F.explode("cells").alias("_c")).select("image_id", "_c.gy", "_c.gx")
-    polygons = PO.components_to_polygons(C.label_runs(C.cell_runs(cells)), min_area, epsilon_frac)
-    return polygons.withColumnRenamed("image_id", "_mask").join(best.drop("cells"), "_mask").select(
-        "image_id", "shape_idx", (F.col("comp_y").cast("bigint") * 4294967296 + F.col("comp_x")).alias("poly_idx"), "points")
+    return GR.pick_best_mask(PO.best_mask_polygons(candidates, min_area, epsilon_frac)).select("image_id", "shape_idx", "polygons")
+
+
+def mask_polygons(outlined: DataFrame) -> DataFrame:
+    """One row per polygon of :func:`mask_outlines`: ``image_id, shape_idx, poly_idx, points``."""
+    return outlined.select("image_id", "shape_idx", F.explode("polygons").alias("_p")).select("image_id", "shape_idx", "_p.poly_idx", "_p.points")
 
 
 def box_to_polygon_dataset(records: DataFrame, shapes: DataFrame, candidates: Candidates, mode: str = "bbox",
@@ -48,13 +48,13 @@ def box_to_polygon_dataset(records: DataFrame, shapes: DataFrame, candidates: Ca
     The counts are of all records and of all shapes of the prompt type, degenerate ones included.
     """
     prompts = pin(T.batch_prompts(shapes, records, mode, batch))
-    polygons = pin(mask_polygons(candidates(prompts), min_area, epsilon_frac))
-    made = polygons.groupBy("image_id", "shape_idx").agg(F.count(F.lit(1)).alias("n_polygons"))
+    outlined = pin(mask_outlines(candidates(prompts), min_area, epsilon_frac))
+    made = outlined.select("image_id", "shape_idx", F.size("polygons").alias("n_polygons"))
     scored = prompts.select("image_id", "shape_idx").join(made, ["image_id", "shape_idx"], "left").withColumn(
         "n_polygons", F.coalesce("n_polygons", F.lit(0)))
     asked = T.prompt_shapes(shapes, mode).select("image_id", "shape_idx").join(records, "image_id", "left_semi")
     counts = GR.conversion_counts(asked.join(scored, ["image_id", "shape_idx"], "left"), records)
-    return X.replace_shapes(shapes, polygons, source), counts
+    return X.replace_shapes(shapes, mask_polygons(outlined), source), counts
 
 
 def object_tile_conversion(records: DataFrame, shapes: DataFrame, label: str, candidates: Candidates,
@@ -81,7 +81,7 @@ def object_tile_conversion(records: DataFrame, shapes: DataFrame, label: str, ca
         local(F.col("_s.y0"), F.col("_w.y0"), side_y).alias("py0"), local(F.col("_s.x1"), F.col("_w.x0"), side_x).alias("px1"),
         local(F.col("_s.y1"), F.col("_w.y0"), side_y).alias("py1"))
     asked = pin(asked.withColumns({"cx": 0.5 * (F.col("px0") + F.col("px1")), "cy": 0.5 * (F.col("py0") + F.col("py1"))}))
-    polygons = mask_polygons(candidates(asked), min_area, epsilon_frac)
+    polygons = mask_polygons(mask_outlines(candidates(asked), min_area, epsilon_frac))
     placed = polygons.join(asked.select("image_id", "shape_idx", "crop_x0", "crop_y0"), ["image_id", "shape_idx"]).select(
         "image_id", "shape_idx", "poly_idx", F.transform("points", lambda p: G.point(
             p["x"] + F.col("crop_x0"), p["y"] + F.col("crop_y0"))).alias("points"))
