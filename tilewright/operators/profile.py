@@ -187,8 +187,8 @@ def object_count_distribution(records: DataFrame, objects: DataFrame) -> DataFra
             .agg(F.count(F.lit(1)).alias("n_images")))
 
 
-def ratio_samples(records: DataFrame, objects: DataFrame) -> DataFrame:
-    """Area ratio of every object."""
-    return (objects.join(records, "image_id")
-            .select("image_id", "shape_idx",
+def ratio_samples(records: DataFrame, objects: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Area ratio of every object, with the columns ``also`` of the object."""
+    return (objects.select("image_id", "shape_idx", *also, "area").join(records, "image_id")
+            .select("image_id", "shape_idx", *also,
                     G.area_ratio(F.col("area"), F.col("width"), F.col("height")).alias("ratio")))

@@ -140,9 +140,7 @@ v as (select area / (width * height) as r from objects join records using (image
 select count(*) as n, round(sum(r), 6) as total, min(r) as lowest, max(r) as highest from v where r between 0.001 and 0.02"""
 
 QUERIES["ratio_quantiles"] = lambda s, d: exact_quantiles(
-    P.ratio_samples(X.records(s, d), objects(s, d)).join(objects(s, d).select("image_id", "shape_idx", "label_cf"),
-                                                         ["image_id", "shape_idx"]),
-    "ratio", {"p10": 0.1, "p50": 0.5, "p99": 0.99}, ["label_cf"]).select(
+    P.ratio_samples(X.records(s, d), objects(s, d), ["label_cf"]), "ratio", {"p10": 0.1, "p50": 0.5, "p99": 0.99}, ["label_cf"]).select(
     "label_cf", *[F.round(c, 9).alias(c) for c in ("p10", "p50", "p99")])
 ORACLES["ratio_quantiles"] = X.with_sql("records", "boxes", "objects") + """,
 v as (select label_cf, area / (width * height) as r from objects join records using (image_id))
