@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tilewright.functions import geometry as G
 from tilewright.functions.labels import file_name
-from tilewright.operators.ranking import number_rows
+from tilewright.operators.ranking import number_within
 
 #: Version string written into documents (fixed value).
 DOC_VERSION = "5.5.0"
@@ -30,7 +30,7 @@ def to_labelme(records: DataFrame, shapes: DataFrame, shapes_per_doc: int = SHAP
     A document must be one row, so an image with very many shapes is continued in ``__partNNNN`` documents: nothing is
     lost and no row grows without bound.
     """
-    numbered = number_rows(shapes, ["image_id"], ["shape_idx"], "_rank")
+    numbered = number_within(shapes, ["image_id"], ["shape_idx"], "_rank")
     parts = (numbered.withColumn("part", F.expr(f"(_rank - 1) div {int(shapes_per_doc)}"))
              .groupBy("image_id", "part")
              .agg(F.array_sort(F.collect_list(F.struct("_rank", "shape")),
