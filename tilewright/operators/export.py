@@ -21,19 +21,22 @@ def classify_samples(samples: DataFrame, images: DataFrame, shapes: DataFrame, a
     """
     idx = F.col("source_obj_idx")
     idx = F.when(idx == 0, F.lit(-1)).otherwise(idx) if skip_index_zero else idx
-    tagged = samples.withColumns({"out_label": choose_label_from_tags(F.col("tags"), allowed), "_idx": idx.cast("bigint")})
+    tagged = samples.withColumns({"out_label": choose_label_from_tags(F.col("tags"), allowed), "_idx": idx.cast("bigint"),
+                                  "_own": F.coalesce(F.size("source_points") >= 3, F.lit(False))})
     if documents is None:
         documents = shapes.select(F.col("json_path").alias("path"))
     documents = documents.select("path").distinct()
     found = existing_sources(tagged, images, documents)
     source = shapes.select(F.col("json_path").alias("source_json_path"), F.col("shape_idx").cast("bigint").alias("_idx"),
                            G.shape_to_points(F.col("shape_type"), F.col("points")).alias("_fallback"))
+    # whether there is an outline is known before the joins, so outlines need not go along where nobody asks for them
+    source = source.withColumn("_drawn", F.size("_fallback") >= 3)
     own = F.when(F.size("source_points") >= 3, F.col("source_points"))
     joined = found.join(source, ["source_json_path", "_idx"], "left").withColumn("outline", F.coalesce(own, F.col("_fallback")))
     usable = ((F.col("source_image_path") != "") & (F.col("source_json_path") != "") & (F.col("_idx") >= 0)
-              & F.col("exists") & (F.coalesce(F.size("outline"), F.lit(0)) >= 3))
+              & F.col("exists") & (F.col("_own") | F.coalesce("_drawn", F.lit(False))))
     reason = (F.when(F.col("out_label").isNull(), "unlabeled").when(usable, "valid").otherwise("invalid"))
-    return joined.withColumn("reason", reason).drop("_fallback", "exists")
+    return joined.withColumn("reason", reason).drop("_fallback", "exists", "_own", "_drawn")
 
 
 def without_size(classified: DataFrame, sizes: DataFrame) -> DataFrame:

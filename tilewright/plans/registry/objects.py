@@ -110,7 +110,7 @@ def samples(s, d):
 
 def doc_shapes(s, d):
     """Shapes of the source documents: one per (order, line number), the first by key."""
-    b = X.shapes(s, d).join(X.boxes(s, d).select("image_id", "shape_idx", "l_linenumber"), ["image_id", "shape_idx"])
+    b = X.shapes(s, d, ("l_linenumber",))
     first = b.groupBy("image_id", "l_linenumber").agg(F.min_by(F.struct("shape_type", "points"), "shape_idx").alias("f"))
     return first.select(F.expr("concat('/data/img_', lpad(cast(image_id as string), 10, '0'), '.json')").alias("json_path"),
                         (F.col("l_linenumber") - 1).alias("shape_idx"), "f.shape_type", "f.points")
@@ -141,7 +141,7 @@ select img as source_image_path, idx::bigint as source_obj_idx, lab as out_label
 
 
 def export_counts(s, d):
-    c = J.pin(classified(s, d))
+    c = J.pin(classified(s, d).select("reason", "source_image_path", "_idx", "out_label", *ORDER))
     return EX.export_counts(c, EX.selected_objects(c, ORDER))
 
 
