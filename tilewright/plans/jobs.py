@@ -64,8 +64,8 @@ def object_tile_conversion(records: DataFrame, shapes: DataFrame, label: str, ca
 
     Records without such an object are left out.
     """
-    boxed = shapes.where(F.col("label") == label).withColumn("_s", G.outline_stats(F.col("points"))).where(
-        (F.size("points") >= 2) & (F.col("_s.x1") > F.col("_s.x0")) & (F.col("_s.y1") > F.col("_s.y0")))
+    proper = F.filter(F.array(G.bbox(F.col("points"))), lambda b: (b["x1"] > b["x0"]) & (b["y1"] > b["y0"]))
+    boxed = shapes.where((F.col("label") == label) & (F.size("points") >= 2)).select("image_id", "shape_idx", F.explode(proper).alias("_s"))
     sized = boxed.join(S.valid_records(records), "image_id")
     box = G.stats_box(F.col("_s"))
     crops = (sized.withColumn("_w", G.object_tile_window(box, F.col("width"), F.col("height"), tile_size, context_scale))
