@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from llm import cases
-from tilewright.llm import components, decontaminate, setsketch, suffix_tree, toxicity, warc
+from tilewright.llm import common, components, decontaminate, setsketch, suffix_tree, toxicity, warc
 
 SF = "/root/testdata/sf0.01"
 LABELS = "doc_id long, quality int, toxic int"
@@ -230,6 +230,51 @@ def test_all_rounds_lose_no_link(spark, tmp_path, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(brute_components(rows))
 
 
+def test_pairs_do_not_grow_with_the_square_of_a_family(spark, tmp_path, monkeypatch):
+    """Variants of one text at similarities about 0.5: they share buckets with each other, but hardly any pair is a link."""
+    base, rows = cases.prose(8, 150).split(), []
+    for i in range(200):
+        rng, w = random.Random(i), list(base)
+        for at in rng.sample(range(len(w)), 5):
+            w[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(w)))
+    seen, likely = [], setsketch.likely
+
+    def counted(pairs, sketches):
+        seen.append(pairs.count())
+        return likely(pairs, sketches)
+
+    monkeypatch.setattr(setsketch, "likely", counted)
+    got = setsketch.op5(spark, cases.save(spark, tmp_path, spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(brute_components(rows))
+    assert seen and sum(seen) <= (setsketch.ROUNDS * setsketch.CENTRES + 1) * len(rows)
+
+
+def test_sieve_lets_all_wanted_rows_pass(spark, monkeypatch):
+    rows = spark.range(20_000)
+    wanted = spark.range(0, 20_000, 100).select(F.col("id").alias("k"))
+    for words, most in ((2 ** 17, 220), (1, 20_000)):
+        monkeypatch.setattr(common, "SIEVE", words)
+        got = common.sieve(rows, "id", wanted, "k").collect()
+        assert {r["id"] for r in got} >= set(range(0, 20_000, 100)) and len(got) <= most
+    assert common.sieve(rows, "id", wanted.limit(0), "k").count() == 0
+
+
+def test_parity_rules_out_no_link(spark):
+    rng = np.random.default_rng(3)
+    pairs = []
+    for n in (1, 5, 40, 150, 900, 5000):
+        for share in (0.3, 0.5, 0.74, 0.75, 0.8, 1.0):
+            common = rng.integers(0, 2 ** 63, max(1, round(2 * n * share / (1 + share))), dtype=np.uint64)
+            own = [rng.integers(0, 2 ** 63, max(0, n - len(common)), dtype=np.uint64) for _ in range(2)]
+            a, b = (np.unique(np.concatenate([common, x])) for x in own)
+            pairs.append((n, share, len(np.intersect1d(a, b)), len(a), len(b), *setsketch.parity([a, b]).tolist()))
+    schema = "n long, share double, common long, na long, nb long, pa array<long>, pb array<long>"
+    got = spark.createDataFrame(pairs, schema).withColumn("may", setsketch.may_link("a", "b")).collect()
+    assert all(r["may"] for r in got if 100 * r["common"] >= 75 * (r["na"] + r["nb"] - r["common"]))
+    assert not any(r["may"] for r in got if 40 <= r["n"] <= 150 and r["share"] <= 0.5)
+
+
 def test_estimate_is_near_the_similarity():
     rng = np.random.default_rng(0)
     for share in (0.3, 0.75, 0.95):

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tilewright.session import checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
+SIEVE = 2 ** 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,3 +98,16 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int, how: s
     hot = F.broadcast(groups.where(F.col("_n") > share).drop("_n"))
     rest = groups.where(F.col("_n") <= share).drop("_n")
     return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(rest, key, how), allowMissingColumns=True)
+
+
+def sieve(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """Rows whose key may be among the wanted ones: all that are and some others, before a join has to shuffle them.
+
+    A broadcast table has ``SIEVE`` words of 64 bits and a bit for the hash of each wanted key. Its size is bounded; with
+    more keys than bits it only lets more rows pass.
+    """
+    bit = "shiftleft(1L, int(pmod(shiftright(_h, 32), 64)))"
+    word = F.pmod("_h", F.lit(SIEVE)).alias("_w")
+    words = wanted.select(F.xxhash64(wanted_key).alias("_h")).groupBy(word).agg(F.expr(f"bit_or({bit})").alias("_m"))
+    hashed = rows.withColumn("_h", F.xxhash64(key)).select("*", word)
+    return hashed.join(F.broadcast(words), "_w").where(F.expr(f"(_m & {bit}) != 0")).select(rows.columns)

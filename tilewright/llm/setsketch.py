@@ -6,6 +6,9 @@ bits). Equal registers happen about as often as the Jaccard similarity, and a sk
 registers. Bands of six registers nominate pairs, the likelihood of the counts of larger, equal and smaller registers
 rules out dissimilar ones, and full sets decide.
 
+A set also has ``PARITY`` bits: whether the number of its elements that hash to each is odd. Bits in which two sets
+differ are at most as many as the elements that only one of them has, so this rules out pairs without ever losing a link.
+
 At similarity 0.75, 48 bands of six registers miss a pair with probability (1 - 0.75^6)^48 = 8e-5; the likelihood test
 at 0.6 is about six standard errors away.
 """
@@ -13,13 +16,15 @@ at 0.6 is about six standard errors away.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tilewright.llm.common import join_groups, keep, per_batch, table, text_bytes
+from tilewright.llm.common import join_groups, keep, per_batch, sieve, table, text_bytes
 from tilewright.llm.components import joined
 
 SHINGLE = 5
@@ -28,9 +33,10 @@ ROWS, BANDS = 6, 48
 REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 LEAST_ESTIMATE = 0.6
-NEAREST_ROUNDS = 3       # rounds in which members meet centres
-SLOTS, CENTRES = 2, 4    # centres of a bucket, and those that a member meets, in each round
-PAIRS_PER_ENTRY = 0.02   # pairs across components for each bucket entry, from which no more rounds are needed
+PARITY = 1024            # bits of parity
+ROUNDS = 2               # rounds in which members meet centres
+SLOTS, CENTRES = 2, 4    # centres of a bucket after the first round, and those that a member meets in each
+PAIRS_PER_ENTRY = 0.02   # pairs across components for each bucket entry, from which no second round is needed
 MEMBERS_PER_TASK = 256   # members compared with one copy of a centre
 BATCH_ELEMENTS = 400_000
 
@@ -86,13 +92,32 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     return np.clip(scale, 0, TOP).astype(np.uint16).reshape(n, REGISTERS)
 
 
+def parity(sets: list[np.ndarray]) -> np.ndarray:
+    """For every set and bit, whether the number of its elements at that bit is odd, packed in 64-bit integers."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = (np.concatenate(sets) % np.uint64(PARITY)).astype(np.int64)
+    odd = np.bincount(owner * PARITY + at, minlength=len(sets) * PARITY) % 2
+    return np.packbits(odd.astype(bool).reshape(len(sets), PARITY), axis=1).view(np.int64)
+
+
+def may_link(x: str, y: str) -> Column:
+    """Whether sizes and parities (``n`` and ``p`` with the side's name) leave a link possible; it is for every link.
+
+    With S the sum of the sizes and D the number of elements that only one set has, similarity is (S - D) / (S + D).
+    """
+    nx, ny, least = F.col(f"n{x}"), F.col(f"n{y}"), LEAST_PERCENT
+    differing = reduce(add, (F.bit_count(F.get(f"p{x}", i).bitwiseXOR(F.get(f"p{y}", i))) for i in map(F.lit, range(PARITY // 64))))
+    return (100 * F.least(nx, ny) >= least * F.greatest(nx, ny)) & ((100 + least) * differing <= (100 - least) * (nx + ny))
+
+
 def _sketch_batch(batch: pa.RecordBatch) -> dict:
-    hashes, sizes, registers = _Words(), [], []
+    hashes, sizes, registers, parities = _Words(), [], [], []
     waiting: list[np.ndarray] = []
 
     def flush() -> None:
         if waiting:
             registers.extend(sketch(waiting).view(np.int16))
+            parities.extend(parity(waiting))
             waiting.clear()
 
     held = 0
@@ -105,11 +130,12 @@ def _sketch_batch(batch: pa.RecordBatch) -> dict:
         else:
             flush()
             registers.append(None)
+            parities.append(None)
         if held >= BATCH_ELEMENTS or len(waiting) >= 4096:
             flush()
             held = 0
     flush()
-    return {"n_shingles": sizes, "registers": registers}
+    return {"n_shingles": sizes, "registers": registers, "parity": parities}
 
 
 def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -129,12 +155,12 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
 
 
 def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b, estimate) whose sizes allow the similarity and whose registers make it likely."""
+    """Pairs (a, b) whose sizes and parities allow the similarity and whose registers make it likely."""
     def side(x: str) -> DataFrame:
-        return sketches.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("registers").alias(f"s{x}"))
+        return sketches.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("registers").alias(f"s{x}"),
+                               F.col("parity").alias(f"p{x}"))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(
-        100 * F.least("na", "nb") >= LEAST_PERCENT * F.greatest("na", "nb"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(may_link("a", "b")).select("a", "b", "na", "nb", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,10 +169,9 @@ def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
                                for c in ("sa", "sb"))
                 sizes = (np.asarray(batch.column(c), np.float64) for c in ("na", "nb"))
                 found = estimate(left, right, *sizes)
-                arrays = [batch.column("a"), batch.column("b"), pa.array(found)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "estimate"]).filter(pa.array(found >= LEAST_ESTIMATE))
+                yield batch.select(["a", "b"]).filter(pa.array(found >= LEAST_ESTIMATE))
 
-    return both.mapInArrow(run, "a long, b long, estimate double")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def shingle_set(data: bytes) -> set:
@@ -154,15 +179,13 @@ def shingle_set(data: bytes) -> set:
     return set(zip(*(words[i:] for i in range(SHINGLE)))) if len(words) >= SHINGLE else {tuple(words)} if words else set()
 
 
-def compared(a: set, b: set) -> tuple[bool, float]:
-    """(linked, Jaccard distance)."""
+def linked(a: set, b: set) -> bool:
     common = len(a & b)
-    union = len(a) + len(b) - common
-    return common > 0 and 100 * common >= LEAST_PERCENT * union, 1 - common / max(1, union)
+    return common > 0 and 100 * common >= LEAST_PERCENT * (len(a) + len(b) - common)
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v, linked, distance) of the pairs (a, b), by their full sets.
+    """The pairs (a, b) that are linked by their full sets, as (u, v).
 
     Rows are sorted so that a centre's text comes right before its members'; a task holds one centre's set at a time. A
     centre with many members is copied for every ``MEMBERS_PER_TASK`` of them.
@@ -183,21 +206,19 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for (a, b), data in zip(nodes, text_bytes(batch)):
                 if b is None:
                     centre = shingle_set(data)
-                else:
-                    out.append((a, b, *compared(centre, shingle_set(data))))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.float64())
-            columns = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                             names=["u", "v", "linked", "distance"])
+                elif linked(centre, shingle_set(data)):
+                    out.append((a, b))
+            columns = list(zip(*out)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long, linked boolean, distance double")
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, row, digest, n_shingles, registers; nodes: digest, node, _n). Equal texts are one node."""
+    """(rows: doc_id, row, digest, n_shingles, registers, parity; nodes: digest, node, _n). Equal texts are one node."""
     rows = per_batch(docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")),
                      _sketch_batch, ["doc_id", "digest"],
-                     [("n_shingles", T.LongType()), ("registers", T.ArrayType(T.ShortType()))])
+                     [("n_shingles", T.LongType()), ("registers", T.ArrayType(T.ShortType())), ("parity", T.ArrayType(T.LongType()))])
     rows = keep(rows.withColumn("row", F.monotonically_increasing_id()))
     nodes = (rows.where("n_shingles > 0").groupBy("digest")
              .agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("_n")))
@@ -212,63 +233,66 @@ def _members() -> list:
 def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Components (node, label) of the nodes with a similar other text.
 
-    In rounds, every member of a bucket that is not yet connected meets a few centres of its buckets, and is compared in
-    full with one: at first with the smallest, which becomes its pivot, then with that which its registers put nearest.
-    This is linear in the input and connects groups of copies, however large. Then the pairs of a bucket that are still
-    in different components are compared, so no link between components is lost. Jaccard distance is a metric: two
-    members whose distances to one pivot differ by more than 0.25 can't be linked and are left out.
+    A node is as popular as its buckets are large in sum. Every member of a bucket meets the most popular ones of its
+    buckets and is compared with them in full, which is linear in the input and connects copies with what they are
+    copies of, however many there are; where much is still open, other centres are met in a second round. Then the pairs
+    of a bucket that are still in different components are compared, so no link between components is lost. Parities
+    rule out most of these in the join itself.
     """
     spark = docs.sparkSession
-    sketches = keep(rows.join(nodes.select(F.col("node").alias("row"), F.col("node")), "row")
-                    .select("node", "doc_id", "digest", "n_shingles", "registers"))
+    n_entries = nodes.count() * BANDS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                         lambda i: F.xxhash64(i, F.slice("registers", i * ROWS + 1, ROWS)))
-    entries = sketches.select("node", F.explode(bands).alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), *_members()).where("_n > 1")
+    entries = rows.where("n_shingles > 0").select(F.col("row").alias("node"), F.xxhash64("digest").alias("d"),
+                                                  F.explode(bands).alias("bucket"))
+    texts_in = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+    shared = keep(texts_in.where("lo != hi").select("bucket", "_n"))
+    # kept in between, else the copies are looked for among all entries
+    found = keep(join_groups(sieve(entries.drop("d"), "bucket", shared, "bucket"), shared, "bucket", rows.count() * BANDS))
+    found = keep(found.join(nodes.select("node"), "node", "left_semi"))
+    sizes = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), *_members())
     # of buckets with the same members one is enough
-    shared = keep(shared.groupBy("_n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "_n"))
-    n_entries = sketches.count() * BANDS
-    members = keep(join_groups(entries, shared, "bucket", n_entries))
-    wanted = sketches.join(members.select("node").distinct(), "node", "left_semi").select(
-        "node", F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    found = docs.select("doc_id", "text").withColumn("_d", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    texts = keep(found.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest")))
+    once = keep(sizes.groupBy("_n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "_n", F.col("_n").alias("size")))
+    placed = keep(join_groups(found, once, "bucket", n_entries))
+    popular = keep(placed.groupBy("node").agg(F.sum("size").alias("popular")))
+    members = placed.select("node", "bucket").join(popular, "node")
+    sketches = keep(sieve(rows.withColumnRenamed("row", "node"), "node", popular, "node").join(popular, "node")
+                    .select("node", "doc_id", "digest", "n_shingles", "registers", "parity"))
+    wanted = sketches.select("node", F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    hashed = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("_d"))
+    texts = keep(sieve(hashed, "_d", wanted, "_digest")
+                 .join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest")))
                  .select("node", "text"))
     label = spark.createDataFrame([], "node long, label long")
     tested = spark.createDataFrame([], "a long, b long")
-    for turn in range(NEAREST_ROUNDS + 1):
+    open_ = keep(members.withColumn("label", F.col("node")))
+    for turn in range(ROUNDS):
+        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(SLOTS if turn else 1)).alias("slot")
+        best = F.max_by(F.struct("node", "label", "popular"), F.struct("popular", -F.col("node"))).alias("c")
+        centres = open_.groupBy("bucket", slot).agg(best).select(
+            "bucket", F.col("c.node").alias("a"), F.col("c.label").alias("la"), F.col("c.popular").alias("pa"))
+        met = open_.join(centres, "bucket").where(F.col("label") != F.col("la"))
+        few = F.slice(F.sort_array(F.collect_set(F.struct("pa", "a")), asc=False), 1, CENTRES)  # of BANDS * SLOTS at most
+        pairs = met.groupBy(F.col("node").alias("b")).agg(few.alias("c")).select(F.explode("c.a").alias("a"), "b")
+        near = keep(likely(not_in(pairs, tested) if turn else pairs, sketches))
+        tested = tested.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        label = joined(label, keep(verify(near, texts)))
         open_, cross = still_open(members, label, n_entries)
-        if not cross:
-            return label
-        if turn == NEAREST_ROUNDS or (turn and cross <= PAIRS_PER_ENTRY * n_entries):
+        if cross <= PAIRS_PER_ENTRY * n_entries:
             break
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(SLOTS)).alias("slot")
-        centres = open_.groupBy("bucket", slot).agg(F.min(F.struct("node", "label")).alias("c")).select(
-            "bucket", F.col("c.node").alias("a"), F.col("c.label").alias("la"))
-        met = open_.join(centres, "bucket").where((F.col("node") != F.col("a")) & (F.col("label") != F.col("la")))
-        few = F.slice(F.array_sort(F.collect_set("a")), 1, CENTRES)  # of BANDS * SLOTS at most
-        pairs = met.groupBy(F.col("node").alias("b")).agg(few.alias("a")).select(F.explode("a").alias("a"), "b")
-        if turn:
-            pairs = likely(not_in(pairs, tested), sketches)
-            nearest = keep(pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b"))
-        else:
-            nearest = keep(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        results = keep(verify(nearest, texts))
-        if not turn:
-            own = results.select(F.col("v").alias("node"), F.col("u").alias("pivot"), "distance")
-            heads = results.select(F.col("u").alias("node")).distinct().join(own, "node", "left_anti")
-            pivots = keep(own.unionByName(heads.select("node", F.col("node").alias("pivot"), F.lit(0.0).alias("distance"))))
-        tested = tested.unionByName(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        label = joined(label, results.where("linked").select("u", "v"))
-    placed = open_.join(pivots, "node", "left")
-    other = placed.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("pivot").alias("pb"),
-                          F.col("distance").alias("db"))
-    apart = (F.col("pivot") == F.col("pb")) & (F.abs(F.col("distance") - F.col("db")) > 1 - LEAST_PERCENT / 100 + 1e-9)
-    pairs = (placed.withColumnRenamed("node", "a").join(other, "bucket")
-             .where((F.col("a") < F.col("b")) & (F.col("label") != F.col("lb")) & ~F.coalesce(apart, F.lit(False)))
-             .select("a", "b").distinct())
-    left = keep(likely(not_in(pairs, tested), sketches).select("a", "b"))
-    return joined(label, keep(verify(left, texts).where("linked").select("u", "v")))
+    if not cross:
+        return label
+    side = keep(open_.join(sketches.select("node", "n_shingles", "parity"), "node"))
+
+    def named(x: str) -> DataFrame:
+        return side.select("bucket", F.col("node").alias(x), F.col("label").alias(f"l{x}"),
+                           F.col("n_shingles").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+
+    across = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & may_link("a", "b")
+    left = named("a").join(named("b").withColumnRenamed("bucket", "_bucket"), (F.col("bucket") == F.col("_bucket")) & across)
+    left = keep(likely(not_in(left.select("a", "b").distinct(), tested), sketches))
+    more = keep(verify(left, texts))
+    return joined(label, more) if more.head(1) else label
 
 
 def not_in(pairs: DataFrame, tested: DataFrame) -> DataFrame:
@@ -278,17 +302,11 @@ def not_in(pairs: DataFrame, tested: DataFrame) -> DataFrame:
 
 
 def still_open(members: DataFrame, label: DataFrame, total: int) -> tuple[DataFrame, int]:
-    """(bucket, node, label) of the buckets with more than one component, and the number of pairs across components.
-
-    Of buckets with the same members one is enough.
-    """
+    """The members, with labels, of buckets with more than one component, and the number of pairs across components."""
     known = keep(members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    counts = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"), *_members())
-    buckets = counts.groupBy("bucket").agg(
-        F.sum("k").alias("_n"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count(F.lit(1)).alias("labels"),
-        F.sum("x").alias("x"), F.expr("bit_xor(y)").alias("y")).where("labels > 1")
-    buckets = keep(buckets.groupBy("_n", "x", "y").agg(F.min_by(F.struct("bucket", "same"), "bucket").alias("b"))
-                   .select("b.bucket", "_n", "b.same"))
+    counts = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+    buckets = keep(counts.groupBy("bucket").agg(F.sum("k").alias("_n"), F.sum(F.col("k") * F.col("k")).alias("same"),
+                                                F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels"))
     cross = buckets.agg(F.sum((F.col("_n") * F.col("_n") - F.col("same")) / 2)).head()[0] or 0
     return keep(join_groups(known, buckets.drop("same"), "bucket", total)), int(cross)
 
