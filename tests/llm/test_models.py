@@ -332,6 +332,17 @@ def test_paraphrases_leak_and_clean_texts_do_not(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 0), (2, 1), (3, 2), (None, 3)}
 
 
+def test_frequencies_reach_the_driver_without_row_objects(spark, monkeypatch):
+    docs = cases.frame(spark).select("text")
+    want, texts = Counter(), [r[0] or "" for r in docs.collect()]
+    for t in texts:
+        want.update(set((decontaminate.word_ids(t.encode()) & (decontaminate.BUCKETS - 1)).tolist()))
+    monkeypatch.setattr(type(docs), "collect", lambda self: pytest.fail("rows were collected"))
+    counts, total = decontaminate.document_frequencies(docs)
+    assert total == len(texts) and {int(b): int(counts[b]) for b in np.flatnonzero(counts)} == dict(want)
+    assert decontaminate.document_frequencies(docs.limit(0))[1] == 0
+
+
 def test_excerpts_of_long_items_leak(spark):
     items = [(0, cases.prose(2000, 59)), (1, cases.prose(2001, 300)), (2, cases.prose(2002, 120))]
     first, long, third = (t.split() for _, t in items)

@@ -104,14 +104,12 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(counts[used], rows))],
                                          names=["bucket", "n"])
 
-    out, total = np.zeros(BUCKETS), 0
+    out = np.zeros(BUCKETS)
     found = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    for r in found.collect():
-        if r["bucket"] < 0:
-            total = r["n"]
-        else:
-            out[r["bucket"]] = r["n"]
-    return out, total
+    got = found.toArrow()  # rows would be objects of Python, a hundred megabytes of the driver's memory
+    bucket, n = (got.column(c).to_numpy() for c in ("bucket", "n"))
+    out[bucket[bucket >= 0]] = n[bucket >= 0]
+    return out, int(n[bucket < 0].sum())
 
 
 def passages_of(ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -143,7 +141,7 @@ def latent_space(items: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndar
                 seen[buckets] = True
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], names=["bucket"])
 
-    buckets = np.array(sorted(r[0] for r in items.mapInArrow(used, "bucket long").distinct().collect()), np.int64)
+    buckets = np.sort(items.mapInArrow(used, "bucket long").distinct().toArrow().column("bucket").to_numpy())
     rank = min(RANK + OVERSAMPLE, len(buckets))
     place = np.full(BUCKETS, -1)
     place[buckets] = np.arange(len(buckets))
@@ -165,6 +163,7 @@ def latent_space(items: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndar
         total = items.mapInArrow(run, schema).groupBy("row").agg(*(F.sum(f"z{j}").alias(f"z{j}") for j in range(rank)))
         got, out = total.toArrow(), np.zeros_like(basis)
         out[got.column("row").to_numpy()] = np.stack([got.column(f"z{j}").to_numpy() for j in range(rank)], axis=1)
+        shared.destroy()
         return out
 
     if not len(buckets):
