@@ -40,7 +40,9 @@ select image_id, det_id from c where not exists (select 1 from p where p.image_i
 
 
 def paste_plan(s, d):
-    rec, obj = X.records(s, d), objects(s, d).where(~F.col("is_fp"))
+    # objects are evaluated once; what is read of them again and again is narrow
+    rec = X.records(s, d)
+    obj = J.pin(objects(s, d).where(~F.col("is_fp")).select("image_id", "shape_idx", "x0", "y0", "x1", "y1", "area"))
     donors = J.pin(PA.build_donor_pool(X.shapes(s, d), rec, 400.0))
     ratios = S.size_ratio_filter(P.ratio_samples(rec, obj), 0.001, 0.02)
     return PA.plan_pastes(rec, obj, donors, ratios, PA.PasteRules(min_pastes=1, max_pastes=3, tries=12))
