@@ -104,9 +104,10 @@ def paste_dataset(records: DataFrame, shapes: DataFrame, donor_records: DataFram
     if donor_max_images > 0:
         donor_records = seeded_sample(donor_records, donor_max_images, sample_seed, ["image_id"])
     donors = pin(PA.build_donor_pool(S.filter_labels(donor_shapes, [label]), donor_records, min_area))
-    outlined = (S.filter_labels(shapes, [label]).withColumn("points", G.shape_to_points(F.col("shape_type"), F.col("points")))
-                .where(F.size("points") >= 3).withColumn("_s", G.outline_stats(F.col("points"))))
-    objects = outlined.select("image_id", "shape_idx", "_s.x0", "_s.y0", "_s.x1", "_s.y1", G.stats_area(F.col("_s")).alias("area")).where("area > 0")
+    outlined = (S.filter_labels(shapes, [label])
+                .select("image_id", "shape_idx", F.explode(F.array(G.shape_to_points(F.col("shape_type"), F.col("points")))).alias("points"))
+                .where(F.size("points") >= 3).withColumn("_s", F.explode(F.array(G.outline_stats(F.col("points"))))))
+    objects = pin(outlined.select("image_id", "shape_idx", "_s.x0", "_s.y0", "_s.x1", "_s.y1", G.stats_area(F.col("_s")).alias("area")).where("area > 0"))
     ratios = S.size_ratio_filter(
         objects.join(records, "image_id").select(G.area_ratio(F.col("area"), F.col("width"), F.col("height")).alias("ratio")), low, high)
     placed = pin(PA.plan_pastes(records, objects, donors, ratios, rules, brightness))
