@@ -98,3 +98,21 @@ def test_inference_report_from_runs(spark, scored):
     runs = C.label_runs(GR.row_runs(GR.merge_rows(tiles, records, 4, dealt=True, sizes=True), 36.0), dealt=True)
     report = GR.inference_report(records, GR.tile_cls_stats(tiles), GR.nearest_rects(runs, records, 4), runs.where("gy = comp_y and xs = comp_x"))
     assert rows_of(report) == want and len(want) == 5
+
+
+def test_only_tiles_of_accepted_images_are_made(spark, tmp_path):
+    """The export of accepted images is the same from polygons of those images alone."""
+    from tilewright.plans import fixtures as X
+    from tilewright.plans import jobs as J
+
+    spark.createDataFrame([(i,) for i in range(1, 9)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    log = spark.createDataFrame([(1, 3, "a"), (2, 5, "n"), (3, 6, "a"), (4, 6, "d"), (5, 77, "a"), (6, None, "a")], "seq long, image_id long, key string")
+    accepted = J.accepted_images(log)
+    ids = {r["image_id"] for r in accepted.collect()}
+    tiles = rows_of(X.tile_preds(spark, str(tmp_path), accepted).drop("seg"))
+    assert tiles == rows_of(X.tile_preds(spark, str(tmp_path)).drop("seg").where(F.col("image_id").isin(sorted(i for i in ids if i)))) and tiles
+    point = "array<struct<x:double,y:double>>"
+    polygons = spark.createDataFrame([(i, 0, 0, [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0)]) for i in range(1, 9)], f"image_id long, comp_y int, comp_x int, points {point}")
+    records = X.records(spark, str(tmp_path)).withColumn("image_name", F.format_string("%d.png", "image_id"))
+    whole = rows_of(J.curation_export(polygons, records, log, "car"))
+    assert rows_of(J.curation_export(polygons.join(accepted, "image_id", "left_semi"), records, log, "car")) == whole and whole
